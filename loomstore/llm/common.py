@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of at most `per_class` labelled training rows of each class, and the classes' sizes.
+
+    Rows whose fold is `remainder` are never among them.  A row is chosen by the
+    hash of its id, so the sample is the same on every run.  A document with
+    several labels takes the largest; labels without a document count nowhere.
+    """
+    y = F.col(label).cast("int")
+    labels = labels.select(F.col(id_col).alias("doc_id"), y.alias("y")).where(y.isin(0, 1) & (fold(id_col, mod) != remainder))
+    labels = labels.groupBy("doc_id").agg(F.max("y").alias("y"))
+    sizes = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [labels.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    chosen = parts[0].union(parts[1])  # 2 * per_class rows at most
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id"), sizes
+
+
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast `value` of bounded size; the result gives it on an executor, which needs no copy of its class's module."""
+    data, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not held:
+            held.append(pickle.loads(data.value))
+        return held[0]
+
+    return get

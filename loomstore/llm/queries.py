@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash
-from .common import table
+from . import bpe, decontaminate, lm, quality, simhash, toxicity, urls
+from .common import held_out, table
 
 
 def tokenizer() -> tuple[str, str]:
@@ -54,5 +54,36 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fp(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_decontaminate": op3_decontaminate, "op9_simhash": op9_simhash}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("figure")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
+    rows, total = lm.score_texts(docs, learned)
+    return rows.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_url_filter": op4_url_filter,
+    "op6_lm_score": op6_lm_score,
+    "op7_quality": op7_quality,
+    "op9_simhash": op9_simhash,
+}
 ORACLE_SQL = {"op3_decontaminate": OP3_SQL}
