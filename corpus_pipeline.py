@@ -1,42 +1,52 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Each filtering stage keeps rows whole, with the columns of documents.  Models
+are fitted on the stage's own input.  All stages but the near-duplicate one are
+narrow: documents don't move between executors.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomstore.llm import bpe, decontaminate, simhash
+from loomstore.llm import decontaminate, quality, simhash, toxicity
 from loomstore.llm.common import materialize, table
-from loomstore.llm.queries import tokenizer
+from loomstore.llm.queries import bpe_digests
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.3 or more for toxicity go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 for quality go."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id; rows without an id stay."""
-    groups = simhash.link_duplicates(docs)
-    keep = groups.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of linked fingerprints stays, that of the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The result: ids of every document that is left, and whether they decode to its text."""
-    rows = bpe.encode(docs, *tokenizer())
-    return rows.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """The result: for each document that is left, digests of its ids and of the text they decode to."""
+    return bpe_digests(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("byte_bpe", tokenize)]
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("byte_bpe", tokenize)]
 
-#: No SQL: trained filters and fingerprints cannot be expressed; tests compare with brute force.
+#: SQL cannot express the trained filters and the fingerprints; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

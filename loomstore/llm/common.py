@@ -98,3 +98,21 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
         return held[0]
 
     return get
+
+
+def append(df: DataFrame, text_col: str, fn: Callable[[list], list], name: str, kind: str, rows: int = 512) -> DataFrame:
+    """`df` with a column that `fn` makes of its texts, `rows` at a time; the other columns pass through as they are."""
+    schema = df.sparkSession.createDataFrame([], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` {kind}").schema
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                made = pa.array(fn(part.column(at).to_pylist()), out.field(name).type)
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, out)), made], schema=out)
+
+    return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_rows
+from .common import ASCII_LOWER, append, map_rows
 
 WINDOW, GRAM = 13, 5
 #: Words of the benchmark in one broadcast block (about 60 bytes a word).
@@ -172,19 +172,44 @@ def _scan(index: Index, keys: list, text_keys: list, texts: list) -> dict[str, l
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_hit, item_ids (of items with occurring windows, sorted), spans of hit words."""
-    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
+    found = [map_rows(docs, _scanner(index), SCHEMA, 2048) for index in _blocks(benchmark, block_words)]
+    if len(found) == 1:
+        return found[0].drop("text_key")
+    return _merged(found).drop("text_key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their own columns; hits of all blocks count together."""
+    blocks = _blocks(benchmark, block_words)
+    if len(blocks) == 1:
+        scan = _scanner(blocks[0])
+
+        def bad(texts: list) -> list[bool]:
+            none = [None] * len(texts)
+            found = scan([none, none, [t if t is None else t.encode("utf-8", "replace") for t in texts]])
+            return [h > 0 and 20 * h >= n for n, h in zip(found["n_words"], found["n_hit"])]
+
+        return append(docs, "text", bad, "_bad", "boolean", 2048).where("not _bad").drop("_bad")
+    found = _merged([map_rows(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary")), _scanner(b), SCHEMA, 2048) for b in blocks])
+    bad = found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select("text_key").distinct()
+    return docs.withColumn("_key", F.xxhash64("text")).join(bad, F.col("_key") == F.col("text_key"), "left_anti").drop("_key")
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> list:
+    """The benchmark's items in broadcasts of at most `block_words` words (but for one huge item)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0))).first()[0]  # a word takes two bytes with its gap
     blocks = max(1, -(-int(size) // block_words))
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     found = []
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # at most block_words words, but for one huge item
-        index = spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in rows])
-        found.append(map_rows(docs, _scanner(index), SCHEMA, 2048))
-    if blocks == 1:
-        return found[0].drop("text_key")
-    # Several blocks: the passes' rows of one text meet again by id and text
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        found.append(benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in rows]))
+    return found
+
+
+def _merged(found: list[DataFrame]) -> DataFrame:
+    """Several blocks' rows of one text, met again by id and text."""
     every = found[0].withColumn("first", F.lit(True))
     for part in found[1:]:
         every = every.unionByName(part.withColumn("first", F.lit(False)))
@@ -192,11 +217,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["start"], x["stop"] - 1)))))
     return (
         merged.withColumn("words", covered)
-        .select("doc_id", "n_words", F.size("words").cast("bigint").alias("n_hit"), "item_ids", F.expr("transform(filter(words, (w, i) -> i = 0 or words[i - 1] <> w - 1), w -> named_struct('start', w, 'stop', w + 1))").alias("starts"), "words", "copies")
+        .select("doc_id", "text_key", "n_words", F.size("words").cast("bigint").alias("n_hit"), "item_ids", F.expr("transform(filter(words, (w, i) -> i = 0 or words[i - 1] <> w - 1), w -> named_struct('start', w, 'stop', w + 1))").alias("starts"), "words", "copies")
         .withColumn("stops", F.expr("filter(words, (w, i) -> i = size(words) - 1 or words[i + 1] <> w + 1)"))
         .withColumn("spans", F.expr("transform(starts, (x, i) -> named_struct('start', x.start, 'stop', stops[i] + 1))"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("doc_id", "n_words", "n_hit", "item_ids", "spans")
+        .select("doc_id", "text_key", "n_words", "n_hit", "item_ids", "spans")
     )
 
 

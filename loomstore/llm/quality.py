@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_rows
+from .common import append, held_out, labelled_sample, map_rows
 
 PER_CLASS, BINS, LEAVES, ROUNDS, PAIRS, PAIR_BINS, PAIR_ROUNDS, RATE = 8_000, 32, 4, 60, 8, 8, 30, 0.15
 
@@ -170,3 +170,9 @@ def score(docs: DataFrame, model: Gam, mod: int = 3, remainder: int = 1) -> Data
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", mod, remainder).alias("held_out"), F.col("text"))
     return map_rows(rows, scan, "doc_id bigint, held_out boolean, score double")
+
+
+def keep_good(docs: DataFrame, model: Gam, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose score is `least` or more, with their own columns."""
+    rows = append(docs, "text", lambda texts: model.score(np.array([figures(t) for t in texts])), "_quality", "double")
+    return rows.where(F.col("_quality") >= least).drop("_quality")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm, quality, simhash, toxicity, urls
+from . import bpe, chat, decontaminate, langid, lm, quality, simhash, toxicity, urls, weighted
 from .common import held_out, table
 
 
@@ -16,11 +16,15 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.encode(table(spark, sf_dir, "documents"), *tokenizer())
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    rows = bpe.encode(docs, *tokenizer())
     return rows.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -77,13 +81,29 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotations(table(spark, sf_dir, "conversations"))
+
+
+def op8_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op5_chat_quotes": op5_chat_quotes,
     "op6_lm_score": op6_lm_score,
     "op7_quality": op7_quality,
+    "op8_weighted_fingerprint": op8_weighted_fingerprint,
     "op9_simhash": op9_simhash,
+    "op10_language": op10_language,
 }
 ORACLE_SQL = {"op3_decontaminate": OP3_SQL}

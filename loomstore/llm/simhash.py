@@ -51,15 +51,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, fp (the 64 bits as a signed bigint). Null texts have no words; other columns are ignored."""
+    """Per row: doc_id, text_key (a hash of the text), fp (the 64 bits as a signed bigint). Null texts have no words; other columns are ignored."""
 
     def scan(columns: list) -> dict[str, list]:
-        keys, texts = columns
+        keys, text_keys, texts = columns
         found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-        return {"doc_id": keys, "fp": found}
+        return {"doc_id": keys, "text_key": text_keys, "fp": found}
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return map_rows(rows, scan, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
+    return map_rows(rows, scan, "doc_id bigint, text_key bigint, fp bigint")
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
@@ -100,7 +100,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def link_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per row: doc_id, fp, component_id, the smallest doc_id reachable over links of at most `radius` bits.
+    """Per row: doc_id, text_key, fp, component_id, the smallest doc_id reachable over links of at most `radius` bits.
 
     Texts without words have the fingerprint zero and are linked like others.
     A row without an id is no one's representative and takes its group's.
@@ -112,8 +112,17 @@ def link_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     members = named.join(lowest, "component").select(F.col("fp"), "component_id")
-    return rows.join(members, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(members, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def hex_fp(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of `docs` for each group, that of the smallest id; rows without an id stay. The columns are the documents' own."""
+    groups = link_duplicates(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("text_key").alias("_key"))
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(first, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_rows, sent
+from .common import append, held_out, labelled_sample, map_rows, sent
 
 PER_CLASS, CANDIDATES, COVER, LEXICONS = 10_000, 2_000, 3, 8
 PREFIXES = (3, 4, 5, 6)
@@ -218,14 +218,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4,
 def score(docs: DataFrame, model: Model, mod: int = 4, remainder: int = 2) -> DataFrame:
     """Per row: doc_id, held_out, score; other columns are ignored."""
 
-    trained = sent(docs.sparkSession, model)
-    ready: list[Hits] = []
+    scores = _scorer(docs, model)
 
     def scan(columns: list) -> dict[str, list]:
         keys, held, texts = columns
-        if not ready:
-            ready.append(Hits(trained().features))
-        return {"doc_id": keys, "held_out": held, "score": trained().score([ready[0].of(t) for t in texts])}
+        return {"doc_id": keys, "held_out": held, "score": scores(texts)}
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", mod, remainder).alias("held_out"), F.col("text"))
     return map_rows(rows, scan, "doc_id bigint, held_out boolean, score double")
+
+
+def _scorer(docs: DataFrame, model: Model):
+    trained = sent(docs.sparkSession, model)
+    ready: list[Hits] = []
+
+    def scores(texts: list) -> np.ndarray:
+        if not ready:
+            ready.append(Hits(trained().features))
+        return trained().score([ready[0].of(t) for t in texts])
+
+    return scores
+
+
+def keep_clean(docs: DataFrame, model: Model, most: float = 0.3) -> DataFrame:
+    """The rows of `docs` whose score is below `most`, with their own columns."""
+    return append(docs, "text", _scorer(docs, model), "_toxicity", "double").where(F.col("_toxicity") < most).drop("_toxicity")
