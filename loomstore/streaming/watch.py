@@ -1,0 +1,98 @@
+"""Streams: new files and transcripts, conflicts on writes, locks, and polls of a folder.
+
+All sinks are idempotent by key, so a batch that is replayed after a failure
+changes nothing.  Streams read folders that all executors see.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstore.operators import conversations, files, locks
+from loomstore.operators.snapshots import Store
+from loomstore.sources import transcripts
+
+CHANGES = "event_id bigint, ts timestamp, op string, file_path string, session_id string, llm_name string"
+
+
+def drop_zone(spark: SparkSession, folder: str, store: Store, checkpoint: str, now: Callable[[], object]) -> DataFrame:
+    """A query that takes each .md or .json file put into a folder once: turns are appended, the file is noted."""
+    rows = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.{md,json}").load(folder).select(F.input_file_name().alias("source_path"), F.col("value").alias("content"))
+
+    def take(batch: DataFrame, _: int) -> None:
+        new = batch.join(store.read("handoff_drops").select(F.col("file_path").alias("source_path")), "source_path", "left_anti")
+        parsed = transcripts.json_array(new.where("source_path like '%.json'")).unionByName(transcripts.markdown(new.where("source_path like '%.md'")))
+        turns = parsed.withColumn("session_id", F.concat_ws("-", transcripts.llm_of_file(F.col("source_path")), F.substring(F.md5("source_path"), 1, 8)))
+        tail = conversations.append_tail(store.read("conversation_turns"), turns.withColumn("token_est", F.lit(0)))
+        store.upsert("conversation_turns", tail.withColumn("recorded_at", F.lit(now())))
+        store.upsert("handoff_drops", new.select(F.col("source_path").alias("file_path"), F.lit(None).cast("string").alias("session_id"), F.lit(now()).cast("timestamp").alias("ingested_at")))
+
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+
+
+def poll_transcripts(spark: SparkSession, tool: str, folder: str, store: Store) -> DataFrame:
+    """One poll of a tool's folder: turns beyond those stored are appended; gives the summary row. Run it by a timer."""
+    turns = transcripts.read(spark, tool, folder)
+    turns = turns.withColumn("session_id", conversations.imported_id(F.lit(tool), F.col("session_key"))).withColumn("token_est", F.lit(0))
+    have = store.read("conversation_turns")
+    summary = spark.createDataFrame(conversations.import_summary(have, turns).collect(), "imported bigint, updated bigint, inserted bigint, skipped bigint")
+    store.upsert("conversation_turns", conversations.append_tail(have, turns))
+    found = transcripts.sessions_of(turns.drop("paths"), tool)
+    store.upsert("sessions", found.select("id", "llm_name", "working_on", "source_tool", "source_path", "source_id", "thread_id", F.lit("completed").alias("status")))
+    return summary
+
+
+def snapshot_changes(spark: SparkSession, store: Store, current: DataFrame, now: object, session_id: str | None = None) -> DataFrame:
+    """One look at a project's files (rows of `files`): events against the stored snapshot, which is then replaced.
+
+    A file stream reports new files only, so changes and deletions are found by comparing snapshots.
+    """
+    before = store.read("files")
+    log = store.read("changes")
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    events = files.change_events(before, current).collect()  # what changed since the last look
+    rows = [(last + 1 + i, e["file_path"], e["change_type"], session_id, now) for i, e in enumerate(sorted(events))]
+    new = spark.createDataFrame(rows, "id bigint, file_path string, change_type string, session_id string, changed_at timestamp")
+    store.write("changes", log.unionByName(new, allowMissingColumns=True))
+    store.write("files", current.withColumn("indexed_at", F.lit(now)).withColumn("llm_notes", F.lit(None).cast("string")))
+    return new
+
+
+def conflict_stream(writes: DataFrame, owners: Callable[[], DataFrame]) -> DataFrame:
+    """A stream of writes (event_id, ts, file_path, session_id) joined to the owners of now: conflicts as they come."""
+    return locks.write_conflicts(owners(), writes)
+
+
+def lock_stream(events: DataFrame) -> DataFrame:
+    """A stream of lock events, folded by file with the owner as state; out comes what happened to each event.
+
+    Within a batch a file's events are taken in the order of event_id; batches must come in order.
+    """
+    out = "event_id bigint, file_path string, session_id string, op string, granted boolean, owner string"
+
+    def fold(key, batches, state):
+        import pandas as pd
+
+        (owner,) = state.get if state.exists else (None,)
+        rows = []
+        for e in pd.concat(list(batches)).sort_values("event_id").itertuples():
+            granted = None
+            if e.op == "claim":
+                granted = owner in (None, e.session_id)
+                owner = e.session_id if granted else owner
+            elif e.op == "release":
+                granted = owner == e.session_id
+                owner = None if granted else owner
+            rows.append((e.event_id, key[0], e.session_id, e.op, granted, owner))
+        state.update((owner,))
+        yield pd.DataFrame(rows, columns=["event_id", "file_path", "session_id", "op", "granted", "owner"])
+
+    return events.groupBy("file_path").applyInPandasWithState(fold, out, "owner string", "append", "NoTimeout")
+
+
+def changes_by_window(changes: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Changes by time window and type, late ones dropped after `late`: beyond what a single project needs."""
+    return changes.withWatermark("changed_at", late).groupBy(F.window("changed_at", width), "change_type").agg(F.count("*").alias("n"))
