@@ -120,14 +120,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
 
 
 def _threshold(bins: list[tuple[int, int, int]]) -> float:
-    """The lower edge of the bin from which allowing errs least, each kind weighing the same; 0 without bins."""
+    """Halfway between the bin from which allowing errs least, each kind weighing the same, and the one before; 0 without bins."""
     accepted, rejected = sum(a for _, a, _ in bins) or 1, sum(r for _, _, r in bins) or 1
     if not bins:
         return 0.0
-    best, at, lost, kept = None, 0.0, 0, sum(r for _, _, r in bins)
+    best, at, lost, kept, last = None, 0.0, 0, sum(r for _, _, r in bins), bins[0][0] - 1
     for b, a, r in bins:
         errors = lost / accepted + kept / rejected
         if best is None or errors < best:
-            best, at = errors, (b - 0.5) / 50
-        lost, kept = lost + a, kept - r
+            best, at = errors, (b + last) / 100
+        lost, kept, last = lost + a, kept - r, b
     return at
