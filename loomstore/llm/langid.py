@@ -8,8 +8,9 @@ one fewer, down to single characters.  The language of the largest sum is
 predicted; the score is its share among all, from the mean per word, so that it
 does not saturate on long texts.
 
-The model is fitted on at most PER_LANGUAGE training rows a language, chosen by
-the hash of their ids, and keeps at most WORDS words and NGRAM_ENTRIES n-grams of
+The model is fitted on PER_LANGUAGE training rows a language (about that many:
+each row is taken or not by the hash of its id alone, so no task sees all rows of
+a language; all rows if there are fewer), and keeps at most WORDS words and NGRAM_ENTRIES n-grams of
 each length a language: a documented bound on what is sent to executors.
 
 A null text, and one without a letter, is UNKNOWN with score 0, as is every text
@@ -79,9 +80,9 @@ class Model:
 
 def fit(docs: DataFrame, mod: int = 3, remainder: int = 1) -> Model:
     learned = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", mod) != remainder))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = learned.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
-    sample = learned.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")  # PER_LANGUAGE rows a language
+    sizes = learned.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    sample = learned.join(F.broadcast(sizes), "lang").where(share * F.col("n") < PER_LANGUAGE).select("lang", "text")  # a row a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], Counter] = {}
