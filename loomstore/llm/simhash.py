@@ -29,6 +29,8 @@ from .components import components
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints of a bucket up to which its pairs are compared one by one.
 SMALL = 256
+#: Ids are below this; nodes of documents without ids are called by numbers from here on.
+NAMELESS = 1 << 62
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -81,37 +83,37 @@ def _bit_sets(most: int, bits: int = BITS) -> list[int]:
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs of distinct `fp` within `radius` bits."""
+    """Links (u, v) of labels whose components are those of all pairs of distinct `fp` within `radius` bits; nodes are (fp, label)."""
     masks = [_signed(m) for m in covering_masks(radius=radius)]
-    tables = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    tables = nodes.select("fp", "label", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
     sizes = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     keyed = materialize(tables.join(sizes, ["t", "key"]), "buckets")
-    few = keyed.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    pair = F.expr(f"flatten(transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= {radius}), y -> struct(x as u, y as v))))")
+    few = keyed.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.array_sort(F.collect_list(F.struct("fp", "label"))).alias("fps"))
+    pair = F.expr(f"flatten(transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, size(fps)), y -> bit_count(x.fp ^ y.fp) <= {radius}), y -> struct(x.label as u, y.label as v))))")
     links = few.select(F.explode(pair).alias("p")).select("p.u", "p.v")
     half = radius // 2
-    many = keyed.where(F.col("n") > SMALL).select("fp").distinct()
+    many = keyed.where(F.col("n") > SMALL).select("fp", "label").distinct()
     if radius % 2:
         raise ValueError("centres need an even radius")
     sets = F.from_json(F.lit(str(_bit_sets(half))), "array<bigint>")
-    centred = many.select("fp", F.explode(F.transform(sets, lambda b: b.bitwiseXOR(F.col("fp")))).alias("c"))
-    low = centred.groupBy("c").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    return links.union(low.select("u", F.explode("fps").alias("v")).where("u <> v")).distinct()
+    centred = many.select("label", F.explode(F.transform(sets, lambda b: b.bitwiseXOR(F.col("fp")))).alias("c"))
+    low = centred.groupBy("c").agg(F.min("label").alias("u"), F.collect_set("label").alias("labels")).where(F.size("labels") > 1)
+    return links.union(low.select("u", F.explode("labels").alias("v")).where("u <> v")).distinct()
 
 
 def link_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per row: doc_id, text_key, fp, component_id, the smallest doc_id reachable over links of at most `radius` bits.
 
     Texts without words have the fingerprint zero and are linked like others.
-    A row without an id is no one's representative and takes its group's.
+    A row without an id is no one's representative and takes its group's (null if none has an id).
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = materialize(nodes, "nodes")
+    # A node is called by its smallest id, so a component's smallest node is its smallest id; without ids, by a number above all
+    nodes = materialize(nodes.withColumn("label", F.coalesce("first", F.col("fp").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS))), "nodes")
     found = materialize(components(near_links(nodes, radius)), "components")
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    members = named.join(lowest, "component").select(F.col("fp"), "component_id")
+    lowest = F.coalesce("component", "label")
+    members = nodes.join(found, nodes["label"] == found["node"], "left").select("fp", F.when(lowest < NAMELESS, lowest).alias("component_id"))
     return rows.join(members, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 

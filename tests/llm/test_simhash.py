@@ -63,7 +63,7 @@ def near_sets(n, rng):
 def test_links_have_the_components_of_all_near_pairs(spark, monkeypatch):
     rng = random.Random(2)
     fps = near_sets(25, rng)
-    nodes = spark.createDataFrame([(signed(x),) for x in fps], "fp bigint")
+    nodes = spark.createDataFrame([(signed(x), signed(x)) for x in fps], "fp bigint, label bigint")
     want = groups([signed(x) for x in fps], lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
     for small in (1, 256):  # all buckets through centres, and none
         monkeypatch.setattr(S, "SMALL", small)
