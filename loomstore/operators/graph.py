@@ -1,8 +1,9 @@
 """The code graph: walks, neighbourhoods, gaps, figures.
 
 Nodes are named by qualified_name; edges may end in names that have no node.
-Walks are unrolled frontier joins of a fixed number of hops, so a call is one
-lazy plan: no driver loop over rows, and no collected node sets.
+Walks are frontier joins, a hop at a time, whose rings are written to the shared
+folder: no loop over rows on the driver, no collected node sets, no plan that
+repeats the hops before.
 """
 
 from __future__ import annotations
@@ -11,21 +12,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstore.functions.text import last_name
+from loomstore.plans.shared import materialize
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    e = edges.select(F.col("source_qualified").alias("src"), F.col("target_qualified").alias("dst"))
-    return e.union(e.select("dst", "src")).distinct()
+def _touched(edges: DataFrame, ring: DataFrame) -> DataFrame:
+    """(node): the other ends of edges at the ring's nodes, in either direction; the edges move only where the ring is large."""
+    out = edges.join(ring.withColumnRenamed("node", "source_qualified"), "source_qualified", "left_semi").select(F.col("target_qualified").alias("node"))
+    into = edges.join(ring.withColumnRenamed("node", "target_qualified"), "target_qualified", "left_semi").select(F.col("source_qualified").alias("node"))
+    return out.union(into).distinct()
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth): the least number of hops, in either direction, from the seeds (node)."""
-    links = undirected(edges)
-    reached = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    """(node, depth): the least number of hops, in either direction, from the seeds (node).
+
+    Each hop's ring is written out, so every hop reads the edges once, whatever came before.
+    """
+    ends = edges.select("source_qualified", "target_qualified")
+    rings = [materialize(seeds.select("node").distinct(), "ring")]
+    reached = rings[0].withColumn("depth", F.lit(0))
     for hop in range(1, depth + 1):
-        edge = reached.where(F.col("depth") == hop - 1).select(F.col("node").alias("src"))
-        step = links.join(edge, "src").select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(hop))
-        reached = reached.union(step.join(reached, "node", "left_anti"))
+        ring = materialize(_touched(ends, rings[-1]).join(reached, "node", "left_anti"), "ring")
+        if ring.isEmpty():
+            break
+        rings.append(ring)
+        reached = reached.union(ring.withColumn("depth", F.lit(hop)))
     return reached
 
 
@@ -133,12 +143,15 @@ def neighbours(nodes: DataFrame, edges: DataFrame, centre: str, hops: int = 1, e
 
 def subtree(edges: DataFrame, root: str, depth: int = 8, most: int | None = 500) -> DataFrame:
     """(node, parent, depth) along CONTAINS edges; of several parents on one level the first by name."""
-    links = edges.where("kind = 'CONTAINS'").select(F.col("source_qualified").alias("parent"), F.col("target_qualified").alias("node")).distinct()
+    links = edges.where("kind = 'CONTAINS'").select(F.col("source_qualified").alias("parent"), F.col("target_qualified").alias("node"))
     found = links.sparkSession.createDataFrame([(root, None, 0)], "node string, parent string, depth int")
     for hop in range(1, depth + 1):
         edge = found.where(F.col("depth") == hop - 1).select(F.col("node").alias("parent"))
         step = links.join(edge, "parent", "left_semi").groupBy("node").agg(F.min("parent").alias("parent")).withColumn("depth", F.lit(hop))
-        found = found.unionByName(step.join(found, "node", "left_anti"))
+        step = materialize(step.join(found, "node", "left_anti"), "level")
+        if step.isEmpty():
+            break
+        found = found.unionByName(step)
     return found.orderBy("depth", "node").limit(most) if most else found
 
 

@@ -17,7 +17,7 @@ from loomstore.plans.schemas import ROLES
 # Inputs of tools that hold a path, and extensions of paths in free text.
 PATH_FIELDS = ["path", "file_path", "target_file", "filePath", "relativePath", "relative_path", "notebook_path", "file"]
 PATH_EXTENSIONS = "py ts tsx js jsx json md html css yml yaml toml rs go java c h hpp cpp sh ps1 sql xml ini cfg lock".split()
-PATHS = r"""(?i)((?:[a-z]:\\(?:[^\\'",<>|:*?\n]+\\)+[^\\'",<>|:*?\n]+?|(?:\./)?(?:[\w\-.]+/)+[\w\-.]+)\.(?:""" + "|".join(PATH_EXTENSIONS) + "))"
+PATHS = r"""(?i)((?:[a-z]:\\(?:[^\\'",<>|:*?\n]+\\)+[^\\'",<>|:*?\n]+?|(?:\.?/)?(?:[\w\-.]+/)+[\w\-.]+)\.(?:""" + "|".join(PATH_EXTENSIONS) + "))"
 MOST_ROLLOUTS = 2000
 
 
@@ -33,10 +33,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_array(files: DataFrame) -> DataFrame:
-    """A list of {role, content}. Another shape, or an unknown role, is an error that names the file."""
+    """A list of {role, content}. Another shape, or an unknown role, is an error that names the file; a null content has no turns."""
     v = F.try_parse_json(F.col("content"))
     ok = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.lit(False))
-    rows = files.select("source_path", F.when(ok, F.from_json("content", "array<struct<role:string,content:string>>")).otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), "source_path")).cast("array<struct<role:string,content:string>>")).alias("turns"))
+    rows = files.select("source_path", F.when(ok | F.col("content").isNull(), F.from_json("content", "array<struct<role:string,content:string>>")).otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), "source_path")).cast("array<struct<role:string,content:string>>")).alias("turns"))
     rows = rows.select("source_path", F.posexplode("turns").alias("pos", "t"))
     role = F.when(F.col("t.role").isin(ROLES), F.col("t.role")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("invalid role in"), "source_path", F.lit("turn"), "pos")))
     return rows.select("source_path", F.col("source_path").alias("session_key"), "pos", role.alias("role"), F.coalesce("t.content", F.lit("")).alias("content"))
@@ -153,7 +153,7 @@ def newest_rollouts(files: DataFrame, most: int = MOST_ROLLOUTS) -> DataFrame:
 
 
 def same_folder(a: Column, b: Column) -> Column:
-    norm = lambda c: F.rtrim(F.lit("/\\"), F.lower(c))
+    norm = lambda c: F.rtrim(F.lower(c), F.lit("/\\"))
     return F.coalesce(norm(a) == norm(b), F.lit(False))
 
 
@@ -177,7 +177,7 @@ def llm_of_file(path: Column) -> Column:
 
 def relative_to(path: Column, folder: Column) -> Column:
     """The path below the folder, with forward slashes; null outside it."""
-    p, f = F.translate(path, "\\", "/"), F.concat(F.rtrim(F.lit("/"), F.translate(folder, "\\", "/")), F.lit("/"))
+    p, f = F.translate(path, "\\", "/"), F.concat(F.rtrim(F.translate(folder, "\\", "/"), F.lit("/")), F.lit("/"))
     return F.when(folder.isNull(), path).when(F.startswith(F.lower(p), F.lower(f)), F.substr(p, F.length(f) + 1))
 
 

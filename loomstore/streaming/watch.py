@@ -24,7 +24,9 @@ def drop_zone(spark: SparkSession, folder: str, store: Store, checkpoint: str, n
 
     def take(batch: DataFrame, _: int) -> None:
         new = batch.join(store.read("handoff_drops").select(F.col("file_path").alias("source_path")), "source_path", "left_anti")
-        parsed = transcripts.json_array(new.where("source_path like '%.json'")).unionByName(transcripts.markdown(new.where("source_path like '%.md'")))
+        # Not a filter: what it drops might be parsed before it is dropped
+        listed = new.withColumn("content", F.when(F.col("source_path").endswith(".json"), F.col("content")))
+        parsed = transcripts.json_array(listed).unionByName(transcripts.markdown(new.where("source_path like '%.md'")))
         turns = parsed.withColumn("session_id", F.concat_ws("-", transcripts.llm_of_file(F.col("source_path")), F.substring(F.md5("source_path"), 1, 8)))
         tail = conversations.append_tail(store.read("conversation_turns"), turns.withColumn("token_est", F.lit(0)))
         store.upsert("conversation_turns", tail.withColumn("recorded_at", F.lit(now())))
