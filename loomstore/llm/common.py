@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstore.plans.shared import materialize  # noqa: F401
+
 #: ASCII upper case to lower case, for bytes.translate.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -55,23 +56,6 @@ def map_rows(df: DataFrame, fn: Callable[[list], dict], schema: str, rows: int =
     return df.mapInArrow(run, arrow)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; where the session names none, one under the warehouse (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, and lost executors cost no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, y) of at most `per_class` labelled training rows of each class, and the classes' sizes.
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, held_out, map_rows, sent
 
-PER_LANGUAGE, WORDS, NGRAMS, NGRAM_ENTRIES, UNKNOWN = 4_000, 20_000, 5, 4_000, "und"
+PER_LANGUAGE, WORDS, NGRAMS, NGRAM_ENTRIES, UNKNOWN = 2_000, 20_000, 5, 4_000, "und"
 #: Words whose figures a task remembers.
 CACHED_WORDS = 200_000
 #: How much the mean per word is sharpened to a share.
