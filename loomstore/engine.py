@@ -1,0 +1,380 @@
+"""One project's memory behind one object, by the groups of its commands.
+
+State that changes in small steps (sessions, locks, changes, turns) is kept in
+append-only logs and folded when it is read; the file index and the graph are
+versioned tables.  Everything returns DataFrames, or strings where it says so.
+"""
+
+from __future__ import annotations
+
+import uuid
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstore.functions.text import PRIVACY_RULES, slashes
+from loomstore.operators import budget, conversations, extract, files, graph, locks, search
+from loomstore.operators.snapshots import Store, insert_missing, replace_files
+from loomstore.plans import render
+from loomstore.plans.schemas import KEYS, TABLES, conform
+from loomstore.sources import project, transcripts
+
+SESSION_EVENTS = "event_id bigint, ts timestamp, op string, session_id string, llm_name string, thread_id string, working_on string, summary string, conversation_context string, files_modified string, tags string"
+LOCK_EVENTS = "event_id bigint, ts timestamp, op string, file_path string, session_id string, llm_name string"
+
+
+class Engine:
+    def __init__(self, spark: SparkSession, root: str, clock=lambda: datetime.now(UTC).replace(tzinfo=None)):
+        self.spark, self.store, self.root, self.clock = spark, Store(spark, root), root, clock
+        self.sessions, self.threads, self.sync, self.context = Sessions(self), Threads(self), Sync(self), Context(self)
+        self.graph, self.locks, self.privacy = Graph(self), Locks(self), Privacy(self)
+
+    # The project
+
+    def index(self, folder: str, more_ignored: list[str] | None = None) -> DataFrame:
+        """Read the project's tree into the file index; returns the changes since the last index."""
+        from loomstore.streaming.watch import snapshot_changes
+
+        tree = project.read_tree(self.spark, folder, more_ignored)
+        facts = project.project_facts(tree.where("path not like '%/%'").select("path", F.decode("content", "UTF-8").alias("content")))
+        self.store.upsert("project_meta", facts.withColumn("updated_at", F.lit(self.clock())))
+        events = snapshot_changes(self.spark, self.store, project.index_files(tree), self.clock(), self._active_id())
+        for e in events.where("change_type <> 'deleted'").select("file_path").collect() if self._active_id() else ():
+            self.locks.write(e["file_path"], self._active_id())
+        return events
+
+    def _active_id(self) -> str | None:
+        row = self.sessions.table().where("status = 'active'").orderBy(F.col("started_at").desc(), "id").limit(1).collect()
+        return row[0]["id"] if row else None
+
+    def files(self) -> DataFrame:
+        return self.store.read("files")
+
+    def changes(self) -> DataFrame:
+        return self.store.read("changes")
+
+    def meta(self) -> DataFrame:
+        return self.store.read("project_meta")
+
+    def status(self) -> DataFrame:
+        return files.overview_counts(self.files(), self.sessions.table(), self.changes(), F.lit(self.clock()))
+
+    def query(self, what: str = "overview", value: str | None = None, limit: int = 20) -> DataFrame:
+        """overview, find, recent, sessions, types, purposes or file."""
+        if what == "overview":
+            return self.status()
+        if what == "find":
+            return files.find_files(self.files(), value or "", 50)
+        if what == "recent":
+            return files.recent_changes(self.changes(), self.sessions.table(), limit)
+        if what == "sessions":
+            return self.sessions.list(limit=limit)
+        if what == "types":
+            return files.type_counts(self.files(), limit)
+        if what == "purposes":
+            return files.purposes_by_type(self.files())
+        if what == "file":
+            info = files.file_info(self.files(), value or "")
+            history = files.file_history(self.changes()).groupBy(F.col("file_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("changed_at", "id", "change_type")), False).alias("history"))
+            return info.join(history, "path", "left")
+        raise ValueError(f"no query {what!r}")
+
+    def find(self, text: str, sources: tuple[str, ...] = ("graph", "chat", "file"), limit: int = 20, mode: str = "compat") -> DataFrame:
+        given = {"nodes": self.graph.nodes() if "graph" in sources else None, "turns": self.sessions.turns() if "chat" in sources else None, "files": self.files() if "file" in sources else None}
+        return search.unified_find(text, F.lit(self.clock()), limit=limit, mode=mode, stemmed=True, **given)
+
+    def export(self, form: str = "context", path: str | None = None) -> str | None:
+        """markdown or context give a string; json writes below a path."""
+        if form == "json":
+            return render.export_json(path, self.meta(), self.files(), self.sessions.table(), self.changes())
+        if form == "markdown":
+            return render.export_markdown(self.meta(), self.files(), self.sessions.table(), self.changes(), str(self.clock()))
+        return render.export_context(self.meta(), self.files(), self.sessions.table())
+
+
+class _Part:
+    def __init__(self, engine: Engine):
+        self.e, self.spark, self.store = engine, engine.spark, engine.store
+
+    def _next(self, table: str, schema: str) -> int:
+        return self.store.read_log(table, schema).agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0] + 1
+
+
+class Sessions(_Part):
+    def _event(self, op: str, session_id: str, **values) -> None:
+        names = [c.split()[0] for c in SESSION_EVENTS.split(", ")]
+        row = {"event_id": self._next("session_events", SESSION_EVENTS), "ts": self.e.clock(), "op": op, "session_id": session_id} | values
+        self.store.append("session_events", self.spark.createDataFrame([tuple(row.get(n) for n in names)], SESSION_EVENTS))
+
+    def table(self) -> DataFrame:
+        """Sessions of the log, and imported ones."""
+        own = conversations.fold_sessions(self.store.read_log("session_events", SESSION_EVENTS))
+        return insert_missing(conform(own, "sessions"), self.store.read("sessions"), ["id"])
+
+    def turns(self) -> DataFrame:
+        return conform(self.store.read_log("turns", TABLES["conversation_turns"]), "conversation_turns").unionByName(self.store.read("conversation_turns"))
+
+    def start(self, llm_name: str, working_on: str = "", thread_id: str | None = None, session_id: str | None = None) -> str:
+        """A new session in a thread (a new one unless given); an active one of the same LLM is interrupted."""
+        session_id = session_id or f"{llm_name}-{uuid.uuid4().hex[:8]}"
+        self._event("start", session_id, llm_name=llm_name, working_on=working_on, thread_id=thread_id or self.e.threads.create(working_on or f"{llm_name} session"))
+        return session_id
+
+    def save(self, session_id: str, **values: str) -> None:
+        """working_on, summary, conversation_context, files_modified, tags; blank ones keep what is there."""
+        self._event("save", session_id, **values)
+
+    def end(self, session_id: str, **values: str) -> None:
+        self._event("end", session_id, **values)
+        self.e.locks._event("end_session", None, session_id)
+
+    def list(self, **filters) -> DataFrame:
+        return conversations.list_sessions(self.table(), self.turns(), **filters)
+
+    def add_turns(self, session_id: str, rows: list[tuple[str, str]]) -> int:
+        """(role, content) pairs, redacted and numbered on; an unknown role is an error."""
+        new = self.spark.createDataFrame([(session_id, r, c, 0, k) for k, (r, c) in enumerate(rows)], "session_id string, role string, content string, token_est int, pos int")
+        if bad := conversations.prepared_turns(new)[1].count():
+            raise ValueError(f"{bad} turns have an unknown role")
+        made = conversations.append_turns(self.turns(), new).withColumn("recorded_at", F.lit(self.e.clock()))
+        self.store.append("turns", conform(made, "conversation_turns").coalesce(1))
+        return len(rows)
+
+    def search(self, query: str, **filters) -> DataFrame:
+        return search.search_turns(self.turns(), self.table(), query, **filters)
+
+    def handoff(self, tokens: int = 4000, session_id: str | None = None, thread_id: str | None = None) -> str:
+        return render.handoff_markdown(self.table(), self.turns(), tokens, session_id, thread_id)
+
+    def show(self, session_id: str) -> str:
+        session = self.table().where(F.col("id") == session_id).first()
+        if session is None:
+            raise ValueError(f"no session {session_id!r}")
+        touched = conversations.session_files(self.table().where(F.col("id") == session_id), self.e.changes().where(F.col("session_id") == session_id)).collect()
+        last = budget.last_turns(self.turns().where(F.col("session_id") == session_id), 10).orderBy("turn_index").collect()
+        return render.session_markdown(session, touched[0]["files"] if touched else [], last)
+
+    def load(self, tokens: int = 4000) -> str:
+        """What the latest open session left, for a new one to take up."""
+        return self.handoff(tokens)
+
+    def graph(self, session_id: str) -> tuple[DataFrame, DataFrame]:
+        touched = conversations.session_files(self.table().where(F.col("id") == session_id), self.e.changes().where(F.col("session_id") == session_id))
+        return graph.session_scope(self.e.graph.nodes(), self.e.graph.edges(), touched.select(F.explode("files").alias("path")))
+
+
+class Threads(_Part):
+    def table(self) -> DataFrame:
+        return self.store.read("threads")
+
+    def create(self, title: str, thread_id: str | None = None) -> str:
+        thread_id = thread_id or f"thread-{uuid.uuid4().hex[:8]}"
+        new = self.spark.createDataFrame([(thread_id, title, self.e.clock())], "id string, title string, created_at timestamp")
+        self.store.write("threads", conversations.create_threads(self.table(), new))
+        return thread_id
+
+    def list(self) -> DataFrame:
+        return conversations.threads_by_activity(self.table(), self.e.sessions.table())
+
+    def show(self, thread_id: str, tokens: int = 4000) -> str:
+        return self.e.sessions.handoff(tokens, thread_id=thread_id)
+
+    def link(self, thread_id: str, session_id: str) -> None:
+        self.e.sessions._event("link", session_id, thread_id=thread_id)
+
+    def unlink(self, session_id: str) -> None:
+        self.e.sessions._event("unlink", session_id)
+
+
+class Sync(_Part):
+    def configure(self, tool: str, source_path: str, enabled: bool = True) -> None:
+        self.store.upsert("tool_sources", self.spark.createDataFrame([(tool, source_path, enabled, self.e.clock())], TABLES["tool_sources"]))
+
+    def tool(self, name: str, path: str) -> DataFrame:
+        """Import a tool's transcripts below a path; only turns beyond those stored are added."""
+        from loomstore.streaming.watch import poll_transcripts
+
+        out = poll_transcripts(self.spark, name, path, self.store)
+        seen = self.spark.createDataFrame([(None, name, path, None, self.e.root, self.e.clock(), None)], TABLES["conversation_sources"])
+        self.store.upsert("conversation_sources", seen)
+        return out.withColumn("tool", F.lit(name)).withColumn("fallback", F.lit(name in transcripts.EMPTY_TOOLS))
+
+    def all(self) -> DataFrame:
+        """Every enabled tool source."""
+        out = self.spark.createDataFrame([], "imported bigint, updated bigint, inserted bigint, skipped bigint, tool string, fallback boolean")
+        for r in self.store.read("tool_sources").where("enabled").orderBy("tool_name", "source_path").collect():
+            out = out.unionByName(self.tool(r["tool_name"], r["source_path"]))
+        return out
+
+    def ingest(self, folder: str, checkpoint: str) -> None:
+        """Take what lies in a drop folder, each file once."""
+        from loomstore.streaming.watch import drop_zone
+
+        drop_zone(self.spark, folder, self.store, checkpoint, self.e.clock).trigger(availableNow=True).start().awaitTermination()
+
+
+class Context(_Part):
+    def current(self, tokens: int = 4000) -> str:
+        """The latest thread's turns within a budget; without threads the latest session's."""
+        latest = conversations.latest_thread(self.e.threads.table(), self.e.sessions.table()).collect()
+        return self.e.sessions.handoff(tokens, thread_id=latest[0]["id"] if latest else None)
+
+    def search(self, query: str, limit: int = 5) -> DataFrame:
+        return self.e.sessions.search(query, limit=limit)
+
+    def thread(self, thread_id: str, tokens: int = 4000) -> str:
+        return self.e.threads.show(thread_id, tokens)
+
+    def pack(self, tokens: int = 4000, session_id: str | None = None) -> str:
+        return render.context_pack(self.e.sessions.table(), self.e.sessions.turns(), self.e.changes(), tokens, session_id)
+
+    def unified(self, changed: list[str], query: str = "") -> dict[str, DataFrame]:
+        """What a change touches: impacted nodes, turns that mention its files, and hits for a query."""
+        paths = self.spark.createDataFrame([(p,) for p in changed], "path string")
+        hit = graph.impact(self.e.graph.nodes(), self.e.graph.edges(), paths)
+        out = {"impacted": hit, "mentions": search.mentions(graph.impacted_files(hit).select(F.col("file_path").alias("path")).union(paths), self.e.sessions.turns())}
+        return out | ({"hits": self.search(query)} if query else {})
+
+
+class Graph(_Part):
+    def nodes(self) -> DataFrame:
+        return self.store.read("code_nodes")
+
+    def edges(self) -> DataFrame:
+        return self.store.read("code_edges")
+
+    def _sources(self, folder: str) -> DataFrame:
+        tree = project.read_tree(self.spark, folder)
+        return extract.parseable(tree).select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("file_hash"))
+
+    def build(self, folder: str, full: bool = False) -> DataFrame:
+        """Parse what changed since the last build (everything if full); files that are gone leave the graph. Returns a row of counts."""
+        sources = self._sources(folder)
+        old_nodes, old_edges = self.nodes(), self.edges()
+        known = old_nodes.where("kind = 'File'").select(F.col("file_path").alias("path"), "file_hash")
+        todo = sources if full else files.changed(known, sources, "path", "file_hash")
+        gone = files.removed(known, sources)
+        python = todo.where(extract.language(F.col("path")) == "python")
+        parsed = [extract.parse_python(python), extract.scan_lines(todo.where(extract.language(F.col("path")) != "python"))]
+        hashes = todo.select(F.col("path").alias("file_path"), "file_hash")
+        nodes = parsed[0][0].unionByName(parsed[1][0]).join(hashes, "file_path").withColumn("updated_at", F.lit(self.e.clock()))
+        edges = parsed[0][1].unionByName(parsed[1][1]).withColumn("confidence", F.lit(1.0)).withColumn("updated_at", F.lit(self.e.clock()))
+        paths = todo.select(F.col("path").alias("file_path")).union(gone)
+        counts = todo.agg(F.count("*").alias("parsed")).join(sources.agg(F.count("*").alias("files")), F.lit(True)).join(gone.agg(F.count("*").alias("removed")), F.lit(True)).first()
+        self.store.write("code_nodes", replace_files(old_nodes, conform(nodes, "code_nodes"), paths, KEYS["code_nodes"]))
+        self.store.write("code_edges", replace_files(old_edges, conform(edges, "code_edges"), paths, KEYS["code_edges"]))
+        return self.spark.createDataFrame([(counts["files"], counts["parsed"], counts["files"] - counts["parsed"], counts["removed"])], "files bigint, parsed bigint, skipped bigint, removed bigint")
+
+    update = build
+
+    def status(self) -> DataFrame:
+        return graph.stats(self.nodes(), self.edges())
+
+    def impact(self, paths: list[str], depth: int = 3, most: int = 500) -> DataFrame:
+        return graph.impact(self.nodes(), self.edges(), self.spark.createDataFrame([(p,) for p in paths], "path string"), depth, most)
+
+    def gaps(self) -> DataFrame:
+        return graph.test_gaps(self.nodes(), self.edges())
+
+    def search(self, query: str, limit: int = 20) -> DataFrame:
+        return search.search_nodes(self.nodes(), query, limit)
+
+    def overview(self, tokens: int = 2000) -> str:
+        return render.overview_markdown(self.nodes(), self.e.files(), tokens)
+
+    def neighbours(self, name: str, hops: int = 1) -> DataFrame:
+        centre = graph.resolve_name(self.nodes(), name).collect()
+        return graph.neighbours(self.nodes(), self.edges(), centre[0]["qualified_name"] if centre else name, hops)
+
+    def subtree(self, root: str, depth: int = 8) -> DataFrame:
+        return graph.subtree(self.edges(), root, depth)
+
+    def export(self, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(nodes with degree and state, edges among them), for a drawing."""
+        nodes = self.nodes().where(F.col("kind").isin(kinds)) if kinds else self.nodes()
+        edges = graph.edges_among(self.edges(), nodes.select(F.col("qualified_name").alias("node")))
+        day = self.e.changes().where(F.col("changed_at") >= F.lit(self.e.clock()) - F.expr("interval 24 hours")).select("file_path")
+        blast = graph.impact(self.nodes(), self.edges(), day.select(F.col("file_path").alias("path")), 1).select("qualified_name")
+        states = graph.overlay(nodes, self.e.locks.list().select("file_path"), day, blast)
+        ends = graph.degree(edges).withColumnRenamed("node", "qualified_name")
+        return states.join(ends, "qualified_name", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), edges
+
+
+class Locks(_Part):
+    def _event(self, op: str, path: str | None, session_id: str, llm_name: str | None = None) -> int:
+        n = self._next("lock_events", LOCK_EVENTS)
+        self.store.append("lock_events", self.spark.createDataFrame([(n, self.e.clock(), op, path, session_id, llm_name)], LOCK_EVENTS).withColumn("file_path", slashes(F.col("file_path"))))
+        return n
+
+    def _folded(self) -> DataFrame:
+        return locks.fold_locks(self.store.read_log("lock_events", LOCK_EVENTS))
+
+    def claim(self, path: str, session_id: str, llm_name: str | None = None) -> bool:
+        """Whether the session has the file now; a refused claim is logged as a conflict."""
+        n = self._event("claim", path, session_id, llm_name)
+        return self._folded().where(F.col("event_id") == n).first()["granted"]
+
+    def release(self, path: str, session_id: str) -> bool:
+        n = self._event("release", path, session_id)
+        return self._folded().where(F.col("event_id") == n).first()["granted"]
+
+    def write(self, path: str, session_id: str) -> None:
+        self._event("write", path, session_id)
+
+    def list(self) -> DataFrame:
+        return locks.current_locks(self._folded())
+
+    def conflicts(self, resolved: bool = False) -> DataFrame:
+        done = self.store.read_log("resolved_conflicts", "event_id bigint, resolved_at timestamp, resolved_by string")
+        rows = locks.conflicts(self._folded()).join(done, "event_id", "left")
+        return rows if resolved else rows.where("resolved_at is null").drop("resolved_at", "resolved_by")
+
+    def resolve(self, by: str, conflict_id: int | None = None, path: str | None = None) -> int:
+        """Resolve an open conflict by its id, or all open ones of a file; returns how many."""
+        chosen = self.conflicts().where((F.col("event_id") == conflict_id) if conflict_id is not None else (F.col("file_path") == path))
+        rows = chosen.select("event_id", F.lit(self.e.clock()).alias("resolved_at"), F.lit(by).alias("resolved_by"))
+        n = rows.count()
+        if n:
+            self.store.append("resolved_conflicts", rows.coalesce(1))
+        return n
+
+
+class Privacy(_Part):
+    def audit(self) -> dict:
+        return {"redaction_enabled": True, "built_in_rules": PRIVACY_RULES, "cloud_sync": False, "network_interception": False}
+
+
+class Registry:
+    """Projects of a machine or a cluster, and what spans them."""
+
+    def __init__(self, spark: SparkSession, root: str, clock=lambda: datetime.now(UTC).replace(tzinfo=None)):
+        self.spark, self.store, self.clock = spark, Store(spark, root), clock
+
+    def register(self, project_path: str, db_path: str, name: str) -> None:
+        self.store.upsert("project_registry", self.spark.createDataFrame([(project_path, db_path, name, self.clock())], TABLES["project_registry"]))
+
+    def projects(self) -> DataFrame:
+        return self.store.read("project_registry").orderBy(F.col("last_seen_at").desc(), "project_path")
+
+    def status(self) -> dict:
+        return {"root": self.store.root, "projects": self.store.read("project_registry").count()}
+
+    def _turns(self) -> DataFrame:
+        out = None
+        for r in self.projects().collect():
+            part = Engine(self.spark, r["db_path"], self.clock).sessions.turns().withColumn("project_path", F.lit(r["project_path"])).withColumn("project_name", F.lit(r["name"]))
+            out = part if out is None else out.unionByName(part)
+        return out if out is not None else conform(None, "conversation_turns", self.spark).withColumns({"project_path": F.lit(""), "project_name": F.lit("")})
+
+    def search(self, query: str, limit: int = 20) -> DataFrame:
+        return search.search_projects(self._turns(), query, limit, True)
+
+    def handoff(self, tokens: int = 2000) -> str:
+        """What the latest session of each project left, the projects seen last first; those without turns are left out."""
+        parts = []
+        for r in self.projects().collect():
+            e = Engine(self.spark, r["db_path"], self.clock)
+            if not e.sessions.turns().isEmpty():
+                parts.append(f"# {r['name']}\n\n" + e.sessions.handoff(tokens))
+        return "\n\n".join(parts)

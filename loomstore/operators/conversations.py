@@ -120,14 +120,14 @@ def import_summary(existing: DataFrame, imported: DataFrame) -> DataFrame:
 
 
 def handoff(sessions: DataFrame, turns: DataFrame, tokens: int, session_id: str | None = None, thread_id: str | None = None) -> DataFrame:
-    """Turns of a session, of a thread, or of the latest session, within a budget, in order."""
+    """Turns of a session, of a thread, or of the latest session (an open one if there is one), within a budget, in order."""
     if thread_id:
         rows = turns.join(sessions.where(F.col("thread_id") == thread_id).select(F.col("id").alias("session_id"), "thread_id", "started_at"), "session_id")
         return thread_budget(rows, tokens).orderBy("started_at", "session_id", "turn_index")
     if session_id:
         chosen = sessions.where(F.col("id") == session_id)
     else:
-        chosen = sessions.where(F.col("status").isin("active", "interrupted")).orderBy(F.col("started_at").desc(), "id").limit(1)
+        chosen = sessions.orderBy(F.col("status").isin("active", "interrupted").desc(), F.col("started_at").desc(), "id").limit(1)
     rows = turns.join(chosen.select(F.col("id").alias("session_id")), "session_id", "left_semi")
     return session_budget(rows, tokens).orderBy("session_id", "turn_index")
 
