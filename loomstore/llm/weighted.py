@@ -49,13 +49,13 @@ def draw(words: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tupl
     """Values to minimise, and 16-bit names of (word, step), for each pair and sample; words are 64-bit hashes."""
     k = np.arange(samples, dtype=np.uint64)
 
-    def uniform(j: int) -> np.ndarray:
-        x = _mix(words[:, None] + (k * np.uint64(5) + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15))
-        return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    def uniforms(j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two of 32 bits from one hash."""
+        x = _mix(words[:, None] + (k * np.uint64(3) + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15))
+        return ((x >> np.uint64(32)).astype(np.float64) + 0.5) / 2.0**32, ((x & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0**32
 
-    r = -np.log(uniform(0) * uniform(1))
-    c = -np.log(uniform(2) * uniform(3))
-    b = uniform(4)
+    r, c = (-np.log(u * v) for u, v in (uniforms(0), uniforms(1)))
+    b, _ = uniforms(2)
     t = np.floor(np.log(weights)[:, None] / r + b)
     name = _mix(_mix(words)[:, None] ^ _mix(t.astype(np.int64).view(np.uint64) + k * np.uint64(0xD6E8FEB86659FD93)))
     return (np.log(c) - r * (t - b) - r).astype(np.float32), (name % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
@@ -88,20 +88,18 @@ class Sampler:
     def of(self, text: str) -> np.ndarray:
         if len(self.place) > REMEMBERED:
             self.place.clear()
-        place, new = self.place, self.new
-        ids = []
-        for pair in words_of(text).items():
-            i = place.get(pair)
-            if i is None:
-                place[pair] = i = len(place)
-                new.append(pair)
-            ids.append(i)
-        if new:
-            self._draw()
-        if not ids:
+        pairs = list(words_of(text).items())
+        if not pairs:
             return np.zeros(self.samples, np.uint16)
-        best = self.values[ids].argmin(axis=0)
-        return self.names[np.array(ids)[best], np.arange(self.samples)]
+        ids = list(map(self.place.get, pairs))
+        if None in ids:
+            self.new = [p for p, i in zip(pairs, ids) if i is None]
+            self.place.update(zip(self.new, range(len(self.place), len(self.place) + len(self.new))))
+            self._draw()
+            ids = list(map(self.place.get, pairs))
+        at = np.array(ids)
+        best = self.values[at].argmin(axis=0)
+        return self.names[at[best], np.arange(self.samples)]
 
 
 def to_text(fingerprint: np.ndarray) -> str:
