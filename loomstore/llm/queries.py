@@ -94,6 +94,55 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+_NORMALISED = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+
+OP5_SQL = rf"""
+WITH raw AS (SELECT conv_id, turn, role, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+marked AS (SELECT *, list_transform(ls, lambda x: regexp_extract(x, '^(?:[ \t]*>)+[ \t]?')) AS marks FROM raw),
+lined AS (SELECT conv_id, turn, role, row, list_transform(range(1, len(ls) + 1), lambda i: CAST(length(marks[i]) - length(replace(marks[i], '>', '')) AS INTEGER)) AS levels,
+  list_transform(range(1, len(ls) + 1), lambda i: substring(ls[i], length(marks[i]) + 1)) AS lines FROM marked),
+plains AS (SELECT *, trim(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: levels[i] = 0 AND NOT (rtrim(lines[i]) LIKE '%wrote:' AND i < len(lines) AND coalesce(levels[i + 1], 0) > 0)), lambda i: lines[i]), chr(10)), chr(10)) AS plain,
+  list_filter(range(1, len(lines) + 1), lambda i: levels[i] > 0 AND (i = 1 OR levels[i - 1] <> levels[i])) AS starts, list_filter(range(1, len(lines) + 1), lambda i: levels[i] > 0 AND (i = len(lines) OR levels[i + 1] <> levels[i])) AS stops FROM lined),
+own AS (SELECT DISTINCT conv_id, turn, {_NORMALISED.format("part")} AS h FROM (SELECT conv_id, turn, unnest(list_concat([plain], string_split_regex(plain, '\n\s*\n'), string_split(plain, chr(10)))) AS part FROM plains) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+near AS (SELECT conv_id, h, min(turn) AS t FROM own WHERE h <> '' GROUP BY ALL),
+far AS (SELECT h, arg_min(conv_id, (conv_id, t)) AS c, arg_min(t, (conv_id, t)) AS t FROM near GROUP BY h),
+quotes AS (SELECT DISTINCT conv_id, turn, level, place, {_NORMALISED.format("text")} AS h FROM (SELECT conv_id, turn, k - 1 AS place, levels[starts[k]] AS level, array_to_string(lines[starts[k] : stops[k]], chr(10)) AS text FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS k FROM plains))),
+links AS (SELECT * FROM (SELECT q.*, CASE WHEN near.t < turn THEN q.conv_id WHEN far.c <> q.conv_id THEN far.c END AS sc, CASE WHEN near.t < turn THEN near.t WHEN far.c <> q.conv_id THEN far.t END AS st FROM quotes q LEFT JOIN near USING (conv_id, h) LEFT JOIN far USING (h) WHERE h <> '') WHERE st IS NOT NULL),
+best AS (SELECT conv_id, turn, count(*) AS n_linked, arg_min(st, (level, place)) FILTER (WHERE sc = conv_id) AS near_t, arg_min(sc, (level, place, sc, st)) AS any_c, arg_min(st, (level, place, sc, st)) AS any_t FROM links GROUP BY conv_id, turn),
+told AS (SELECT p.conv_id, p.turn, role, row, plain, levels, len(starts) AS n, n_linked, near_t, any_c, any_t, max(p.turn) OVER (PARTITION BY p.conv_id ORDER BY p.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM plains p LEFT JOIN best USING (conv_id, turn))
+SELECT conv_id, turn, role, plain AS text, CAST(n AS INTEGER) AS n_quotes, CAST(coalesce(list_max(levels), 0) AS INTEGER) AS max_level, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
+  CASE WHEN near_t IS NULL AND any_t IS NOT NULL THEN any_c WHEN coalesce(near_t, before) IS NOT NULL THEN conv_id END AS reply_conv, CASE WHEN near_t IS NULL AND any_t IS NOT NULL THEN any_t ELSE coalesce(near_t, before) END AS reply_turn,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(near_t, before) NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, plain) AS INTEGER) AS position FROM told
+"""
+
+def _op4_sql() -> str:
+    """Rules by length, and the two models level by level."""
+    ranked = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{value(kind, h, p)}'" for kind, h, p in ranked) + " END"
+    n, pull, share = urls.ORDER, urls.PULL, 1.0 / len(urls.SYMBOLS)
+    levels = [f"m0 AS (SELECT gram, (a + {pull * share}) / (ta + {pull}) AS pa, (r + {pull * share}) / (tr + {pull}) AS pr FROM level WHERE k = 0)"]
+    levels += [f"m{k} AS (SELECT l.gram, (a + {pull} * pa) / (ta + {pull}) AS pa, (r + {pull} * pr) / (tr + {pull}) AS pr FROM level l JOIN m{k - 1} s ON substring(l.gram, 2) = s.gram WHERE k = {k})" for k in range(1, n + 1)]
+    joins = " ".join(f"LEFT JOIN m{k} ON m{k}.gram = substring(padded, i - {k}, {k + 1})" for k in range(n + 1))
+    best = ", ".join(f"ln(m{k}.pa) - ln(m{k}.pr)" for k in range(n, -1, -1))
+    return rf"""
+WITH host AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (SELECT *, {cases(lambda kind, h, p: h + p)} AS rule, {cases(lambda kind, h, p: kind)} AS ruled,
+  regexp_replace(regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^a-z0./:\-_?=&#%+~]', '*', 'g') AS symbols FROM host),
+u AS (SELECT url, '{"^" * n}' || min(symbols) AS padded, min(ruled) AS ruled, substring(md5(url), 1, 1) < '4' AS tests FROM ruled WHERE url IS NOT NULL GROUP BY url),
+spots AS (SELECT *, unnest(range({n + 1}, length(padded) + 1)) AS i FROM u),
+grams AS (SELECT ruled = 'allow' AS accepted, k, substring(padded, i - k, k + 1) AS gram FROM spots, range({n + 1}) t(k) WHERE ruled IS NOT NULL AND NOT tests),
+counts AS (SELECT k, gram, count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE NOT accepted) AS r FROM grams GROUP BY k, gram),
+totals AS (SELECT k, substring(gram, 1, k) AS context, sum(a) AS ta, sum(r) AS tr FROM counts GROUP BY 1, 2),
+level AS (SELECT c.k, gram, a, r, ta, tr FROM counts c JOIN totals t ON c.k = t.k AND substring(gram, 1, c.k) = context WHERE ta + tr >= {urls.MIN_CONTEXT} OR c.k = 0),
+{", ".join(levels)},
+figures AS (SELECT url, avg(coalesce({best}, 0)) * (SELECT CAST(count(DISTINCT ruled) = 2 AS INTEGER) FROM u WHERE NOT tests) AS figure FROM spots {joins} GROUP BY url),
+bins AS (SELECT CAST(round(figure * 50) AS INTEGER) AS b, count(*) FILTER (WHERE ruled = 'allow') AS a, count(*) FILTER (WHERE ruled = 'block') AS r FROM u JOIN figures USING (url) WHERE tests AND ruled IS NOT NULL GROUP BY 1),
+edges AS (SELECT b, lag(b, 1, b - 1) OVER (ORDER BY b) AS last, coalesce(sum(a) OVER before, 0) / greatest(1, sum(a) OVER ()) + (sum(r) OVER () - coalesce(sum(r) OVER before, 0)) / greatest(1, sum(r) OVER ()) AS errors FROM bins WINDOW before AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT CAST(b + last AS DOUBLE) / 100 FROM edges ORDER BY errors, b LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(figure, 0) >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM ruled LEFT JOIN figures USING (url), cut
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -106,4 +155,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
 }
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_url_filter": _op4_sql(), "op5_chat_quotes": OP5_SQL}

@@ -42,3 +42,20 @@ def test_a_passage_that_many_share_joins_as_one_row(spark):
     rows = [(c, 0, "u", "the same opening line") for c in range(300)] + [(c, 1, "a", "> the same opening line\nanswer") for c in range(300)]
     found = run(spark, rows)
     assert all(found[c, 1]["reply_conv"] == c and found[c, 1]["reply_turn"] == 0 and found[c, 1]["n_linked"] == 1 for c in range(300))
+
+
+def test_sql_gives_the_same_rows_where_there_are_quotes(spark):
+    import duckdb
+    import pandas as pd
+
+    from loomstore.llm.queries import OP5_SQL
+
+    rows = [(1, 0, "user", A), (1, 1, "assistant", "Unrelated."), (1, 2, "user", B), (1, 3, "assistant", D), (2, 0, "user", "> it   IS ready.\nWhy?"), (2, 1, "user", "> Why?\n>> it is ready.\n\n> Unrelated.\nok"), (3, 0, "u", None), (3, 1, "u", ">"), (3, 2, "u", "> nowhere\n"), (3, 3, "u", "\n\nok\n\n")]
+    columns = ["conv_id", "turn", "role", "text"]
+    df = C.link_quotations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=columns))
+    found = con.sql(OP5_SQL)
+    assert sorted(found.columns) == sorted(df.columns)
+    want = sorted(map(repr, (tuple(r[c] for c in found.columns) for r in df.collect())))
+    assert sorted(map(repr, found.fetchall())) == want

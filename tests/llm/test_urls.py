@@ -73,12 +73,12 @@ def ratio(model_urls, url):
 
 
 def test_figures_equal_brute_force(spark):
-    import zlib
+    import hashlib
 
     urls = [f"http://{h}.net/de/{k}" for k in range(40) for h in ("good", "fine")] + [f"http://{h}.com/en/{k}x" for k in range(40) for h in ("spam", "junk")]
     open_ = ["http://good.info/de/1", "http://spam.info/xx", "q", "http://ZZZ.info/é"]
     found = {r["page_id"]: r for r in U.judge(pages(spark, list(enumerate(urls + open_)))).collect()}
-    learned = [(rule(*host_path(u))[1] == "allow", u) for u in urls if zlib.crc32(u.encode()) % 4]
+    learned = [(rule(*host_path(u))[1] == "allow", u) for u in urls if hashlib.md5(u.encode()).hexdigest()[0] >= "4"]
     for i, u in enumerate(urls + open_):
         assert abs(found[i]["figure"] - ratio(learned, u)) < 1e-9, u
     assert found[len(urls)]["verdict"] == "allow" and found[len(urls) + 1]["verdict"] == "block"
