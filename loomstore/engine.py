@@ -52,7 +52,7 @@ class Engine:
         return self.store.read("files")
 
     def changes(self) -> DataFrame:
-        return self.store.read("changes")
+        return self.store.changes()
 
     def meta(self) -> DataFrame:
         return self.store.read("project_meta")
@@ -113,7 +113,7 @@ class Sessions(_Part):
         return insert_missing(conform(own, "sessions"), self.store.read("sessions"), ["id"])
 
     def turns(self) -> DataFrame:
-        return conform(self.store.read_log("turns", TABLES["conversation_turns"]), "conversation_turns").unionByName(self.store.read("conversation_turns"))
+        return self.store.turns()
 
     def start(self, llm_name: str, working_on: str = "", thread_id: str | None = None, session_id: str | None = None) -> str:
         """A new session in a thread (a new one unless given); an active one of the same LLM is interrupted."""
@@ -268,6 +268,25 @@ class Graph(_Part):
 
     update = build
 
+    def bench(self, folder: str, most: int = 200) -> DataFrame:
+        """(path, ms) of parsing the first `most` Python files, the slowest first."""
+        sample = self._sources(folder).where(extract.language(F.col("path")) == "python").orderBy("path").limit(most)
+
+        def run(batches):
+            import time
+
+            import pyarrow as pa
+
+            for batch in batches:
+                paths, spent = batch.column(0).to_pylist(), []
+                for path, text in zip(paths, batch.column(1).to_pylist()):
+                    began = time.perf_counter()
+                    extract.syntax_rows(path, text)
+                    spent.append(1000 * (time.perf_counter() - began))
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(spent, pa.float64())], names=["path", "ms"])
+
+        return sample.select("path", "content").mapInArrow(run, "path string, ms double").orderBy(F.col("ms").desc(), "path")
+
     def status(self) -> DataFrame:
         return graph.stats(self.nodes(), self.edges())
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from loomstore.operators import conversations, files, locks
 from loomstore.operators.snapshots import Store
+from loomstore.plans.schemas import conform
+from loomstore.plans.shared import materialize
 from loomstore.sources import transcripts
 
 CHANGES = "event_id bigint, ts timestamp, op string, file_path string, session_id string, llm_name string"
@@ -28,8 +30,8 @@ def drop_zone(spark: SparkSession, folder: str, store: Store, checkpoint: str, n
         listed = new.withColumn("content", F.when(F.col("source_path").endswith(".json"), F.col("content")))
         parsed = transcripts.json_array(listed).unionByName(transcripts.markdown(new.where("source_path like '%.md'")))
         turns = parsed.withColumn("session_id", F.concat_ws("-", transcripts.llm_of_file(F.col("source_path")), F.substring(F.md5("source_path"), 1, 8)))
-        tail = conversations.append_tail(store.read("conversation_turns"), turns.withColumn("token_est", F.lit(0)))
-        store.upsert("conversation_turns", tail.withColumn("recorded_at", F.lit(now())))
+        tail = conversations.append_tail(store.turns(), turns.withColumn("token_est", F.lit(0)))
+        store.append("turns", conform(tail.withColumn("recorded_at", F.lit(now())), "conversation_turns"))
         store.upsert("handoff_drops", new.select(F.col("source_path").alias("file_path"), F.lit(None).cast("string").alias("session_id"), F.lit(now()).cast("timestamp").alias("ingested_at")))
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
@@ -39,9 +41,9 @@ def poll_transcripts(spark: SparkSession, tool: str, folder: str, store: Store)
     """One poll of a tool's folder: turns beyond those stored are appended; gives the summary row. Run it by a timer."""
     turns = transcripts.read(spark, tool, folder)
     turns = turns.withColumn("session_id", conversations.imported_id(F.lit(tool), F.col("session_key"))).withColumn("token_est", F.lit(0))
-    have = store.read("conversation_turns")
+    have = store.turns()
     summary = spark.createDataFrame(conversations.import_summary(have, turns).collect(), "imported bigint, updated bigint, inserted bigint, skipped bigint")
-    store.upsert("conversation_turns", conversations.append_tail(have, turns))
+    store.append("turns", conform(conversations.append_tail(have, turns), "conversation_turns"))
     found = transcripts.sessions_of(turns.drop("paths"), tool)
     store.upsert("sessions", found.select("id", "llm_name", "working_on", "source_tool", "source_path", "source_id", "thread_id", F.lit("completed").alias("status")))
     return summary
@@ -53,12 +55,11 @@ def snapshot_changes(spark: SparkSession, store: Store, current: DataFrame, now:
     A file stream reports new files only, so changes and deletions are found by comparing snapshots.
     """
     before = store.read("files")
-    log = store.read("changes")
-    last = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    events = files.change_events(before, current).collect()  # what changed since the last look
-    rows = [(last + 1 + i, e["file_path"], e["change_type"], session_id, now) for i, e in enumerate(sorted(events))]
-    new = spark.createDataFrame(rows, "id bigint, file_path string, change_type string, session_id string, changed_at timestamp")
-    store.write("changes", log.unionByName(new, allowMissingColumns=True))
+    last = store.changes().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    events = materialize(files.change_events(before, current), "change-events")
+    new = events.select((F.monotonically_increasing_id() + last + 1).alias("id"), "file_path", "change_type", F.lit(session_id).cast("string").alias("session_id"), F.lit(now).cast("timestamp").alias("changed_at"))
+    new = materialize(new, "changes")
+    store.append("changes", conform(new, "changes"))
     store.write("files", current.withColumn("indexed_at", F.lit(now)).withColumn("llm_notes", F.lit(None).cast("string")))
     return new
 

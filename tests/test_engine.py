@@ -58,6 +58,7 @@ def test_graph(engine, tree):
     assert "src/utils.py::other" in names and not names & {"src/utils.py::helper", "app.js::start"} and engine.graph.edges().count() == before - 1
     assert [r["qualified_name"] for r in engine.graph.search("login").collect()][:1] and "UserService" in engine.graph.overview()
     assert {r["source"] for r in engine.find("login").collect()} == {"graph"}
+    assert [r["ms"] > 0 for r in engine.graph.bench(str(tree)).collect()] == [True] * 3
     nodes, edges = engine.graph.export(["Class", "Function"])
     assert "degree" in nodes.columns and edges.count() >= 1
 

@@ -148,7 +148,7 @@ def test_drop_zone_takes_each_file_once(spark, tmp_path):
     run()
     (zone / "codex-3.md").write_text("plain")
     run()
-    rows = store.read("conversation_turns").collect()
+    rows = store.turns().collect()
     assert sorted(r["content"] for r in rows) == ["hey", "plain", "token=[REDACTED]"] and store.read("handoff_drops").count() == 3
 
 
@@ -161,7 +161,7 @@ def test_polls_are_idempotent(spark, tmp_path):
     (folder / "s.jsonl").write_text("\n".join([line("user", "a"), line("assistant", "b"), line("user", "c")]))
     assert watch.poll_transcripts(spark, "cursor", str(folder), store).first().asDict() == {"imported": 0, "updated": 1, "inserted": 1, "skipped": 2}
     assert watch.poll_transcripts(spark, "cursor", str(folder), store).first()["inserted"] == 0
-    assert store.read("conversation_turns").count() == 3 and store.read("sessions").first()["id"] == "cursor-s"
+    assert store.turns().count() == 3 and store.read("sessions").first()["id"] == "cursor-s"
 
 
 def snapshot(spark, rows):
@@ -173,7 +173,7 @@ def test_changes_between_snapshots(spark, tmp_path):
     look = lambda rows: sorted((r["file_path"], r["change_type"]) for r in watch.snapshot_changes(spark, store, snapshot(spark, rows), T0).collect())
     assert look([("a", "1"), ("b", "2"), ("c", "3")]) == [("a", "created"), ("b", "created"), ("c", "created")]
     assert look([("a", "9"), ("d", "2")]) == [("a", "modified"), ("b", "deleted"), ("c", "deleted"), ("d", "moved")]
-    assert look([("a", "9"), ("d", "2")]) == [] and store.read("changes").count() == 7
+    assert look([("a", "9"), ("d", "2")]) == [] and store.changes().count() == 7
     assert files.changed(snapshot(spark, [("a", "1")]), snapshot(spark, [("a", "2"), ("b", "1")])).count() == 2
 
 
