@@ -22,7 +22,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER
@@ -119,6 +119,13 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _block_names(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n blocks such that each is dealt to a task of its own of n tasks, so tasks are even."""
+    dealt = spark.range(40 * n).select(F.col("id").cast("int").alias("name")).withColumn("task", F.pmod(F.hash("name"), F.lit(n)))
+    found = sorted(r["name"] for r in dealt.groupBy("task").agg(F.min("name").alias("name")).collect())
+    return found + [40 * n + k for k in range(n - len(found))]
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, the text's fingerprint, its edited text's, and likenesses to that and to the next document's.
 
@@ -133,17 +140,20 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cuts = docs.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)] or [0.5], 10 * MOST_BLOCKS)).first()[0]
     cuts = sorted(set(cuts or [])) if blocks > 1 else []
 
+    names = _block_names(docs.sparkSession, len(cuts) + 1)
+
     @F.pandas_udf("int")
     def block_of(ids):
-        return ids.map(lambda i: 0 if i != i or i is None else int(np.searchsorted(cuts, i, "right")))
+        return ids.map(lambda i: names[int(np.searchsorted(cuts, i, "right"))])
 
-    placed = docs.withColumn("block", block_of("doc_id"))
-    first = sorted((r["doc_id"], r["block"]) for r in docs.select("doc_id").withColumn("block", block_of("doc_id")).groupBy("block").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").collect())  # a row for each block
+    block = block_of(F.coalesce("doc_id", F.lit(-(1 << 63))))
+    placed = docs.withColumn("block", block)
+    first = sorted((r["doc_id"], r["block"]) for r in docs.select("doc_id").withColumn("block", block).groupBy("block").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").collect())  # a row for each block
     after = [(doc_id, first[k - 1][1]) for k, (doc_id, _) in enumerate(first)]
     guests = docs.sparkSession.createDataFrame(after, "doc_id bigint, block int")
     guests = docs.join(F.broadcast(guests), "doc_id").select("doc_id", "text", "block")
     rows = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    rows = rows.repartition(max(1, len(cuts) + 1), "block").sortWithinPartitions("block", "guest", "doc_id", F.xxhash64("text"))
+    rows = rows.repartition(len(names), "block").sortWithinPartitions("block", "guest", "doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, held = Sampler(), None
