@@ -40,9 +40,12 @@ def words_of(text: str) -> Counter:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """In place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def draw(words: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +55,28 @@ def draw(words: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tupl
     def uniforms(j: int) -> tuple[np.ndarray, np.ndarray]:
         """Two of 32 bits from one hash."""
         x = _mix(words[:, None] + (k * np.uint64(3) + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15))
-        return ((x >> np.uint64(32)).astype(np.float64) + 0.5) / 2.0**32, ((x & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0**32
+        halves = x.view(np.uint32).reshape(*x.shape, 2).astype(np.float64)
+        halves += 0.5
+        halves *= 2.0**-32
+        return halves[..., 0], halves[..., 1]
 
-    r, c = (-np.log(u * v) for u, v in (uniforms(0), uniforms(1)))
+    def gamma(j: int) -> np.ndarray:
+        u, v = uniforms(j)
+        out = np.log(u * v)
+        return np.negative(out, out=out)
+
+    r, c = gamma(0), gamma(1)
     b, _ = uniforms(2)
-    t = np.floor(np.log(weights)[:, None] / r + b)
-    name = _mix(_mix(words)[:, None] ^ _mix(t.astype(np.int64).view(np.uint64) + k * np.uint64(0xD6E8FEB86659FD93)))
-    return (np.log(c) - r * (t - b) - r).astype(np.float32), (name % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+    t = np.log(weights)[:, None] / r
+    t += b
+    np.floor(t, out=t)
+    name = _mix(_mix(t.astype(np.int64).view(np.uint64) + k * np.uint64(0xD6E8FEB86659FD93)) ^ _mix(words.copy())[:, None])
+    value = np.log(c, out=c)
+    t -= b
+    t += 1
+    t *= r
+    value -= t
+    return value.astype(np.float32), np.maximum((name >> np.uint64(48)).astype(np.uint16), np.uint16(1))
 
 
 class Sampler:
@@ -79,8 +97,8 @@ class Sampler:
                 grown = np.zeros((max(n, 2 * len(old)), self.samples), old.dtype)
                 grown[:done] = old[:done]
                 setattr(self, name, grown)
-        for at in range(0, len(self.new), 2048):
-            part = self.new[at : at + 2048]
+        for at in range(0, len(self.new), 256):  # what stays in a core's cache
+            part = [p if type(p) is tuple else (p, 1) for p in self.new[at : at + 256]]
             hashes = np.array([xxh64(w, 8) for w, _ in part], np.uint64)
             self.values[done + at : done + at + len(part)], self.names[done + at : done + at + len(part)] = draw(hashes, np.array([c for _, c in part], float), self.samples)
         self.new.clear()
@@ -88,7 +106,7 @@ class Sampler:
     def of(self, text: str) -> np.ndarray:
         if len(self.place) > REMEMBERED:
             self.place.clear()
-        pairs = list(words_of(text).items())
+        pairs = [w if c == 1 else (w, c) for w, c in words_of(text).items()]  # a word's hash is known, a pair's is not
         if not pairs:
             return np.zeros(self.samples, np.uint16)
         ids = list(map(self.place.get, pairs))
