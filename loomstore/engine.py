@@ -144,6 +144,16 @@ class Sessions(_Part):
     def search(self, query: str, **filters) -> DataFrame:
         return search.search_turns(self.turns(), self.table(), query, **filters)
 
+    def handoff_data(self, tokens: int | None = None, session_id: str | None = None, thread_id: str | None = None) -> dict:
+        """Turns within a budget, how many older ones were cut, and the budget; an unknown session or thread is an error."""
+        table, turns = self.table(), self.turns()
+        known = table.where(F.col("id") == session_id) if session_id else self.e.threads.table().where(F.col("id") == thread_id) if thread_id else None
+        if known is not None and known.isEmpty():
+            raise ValueError(f"no session or thread {session_id or thread_id!r}")
+        kept, every = (conversations.handoff(table, turns, t, session_id, thread_id) for t in (tokens, None))
+        n = kept.count()
+        return {"turns": kept, "turns_truncated": every.count() - n, "budget_applied": tokens}
+
     def handoff(self, tokens: int = 4000, session_id: str | None = None, thread_id: str | None = None) -> str:
         return render.handoff_markdown(self.table(), self.turns(), tokens, session_id, thread_id)
 

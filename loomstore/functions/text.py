@@ -39,7 +39,10 @@ def shorten(text: Column, most: int, keep: int | None = None, mark: str = "...")
 
 
 def trim_to_tokens(text: Column, tokens: int, mark: str = "\n…(truncated)") -> Column:
-    return F.when(F.length(text) > tokens * 4, F.concat(F.rtrim(F.substring(text, 1, max(0, tokens * 4))), F.lit(mark))).otherwise(text)
+    """At most four characters a token; a limit of 0 or less is none."""
+    if tokens <= 0:
+        return text
+    return F.when(F.length(text) > tokens * 4, F.concat(F.rtrim(F.substring(text, 1, tokens * 4)), F.lit(mark))).otherwise(text)
 
 
 def one_line(text: Column) -> Column:

@@ -13,18 +13,20 @@ def cost(estimate: Column, content: Column) -> Column:
     return F.coalesce(F.nullif(estimate, F.lit(0)), token_estimate(content))
 
 
-def within_budget(turns: DataFrame, tokens: int, by: list[str], newest_first: list[Column]) -> DataFrame:
-    """The newest turns of each group while their running cost fits; costs are not negative, so the prefix ends at the first that doesn't."""
+def within_budget(turns: DataFrame, tokens: int | None, by: list[str], newest_first: list[Column]) -> DataFrame:
+    """The newest turns of each group while their running cost fits (all without a budget); costs are not negative, so the prefix ends at the first that doesn't."""
+    if tokens is None:
+        return turns
     w = Window.partitionBy(*by).orderBy(*newest_first).rowsBetween(Window.unboundedPreceding, 0)
     running = F.sum(cost(F.col("token_est"), F.col("content"))).over(w)
     return turns.withColumn("running", running).where(F.col("running") <= max(0, tokens)).drop("running")
 
 
-def session_budget(turns: DataFrame, tokens: int) -> DataFrame:
+def session_budget(turns: DataFrame, tokens: int | None) -> DataFrame:
     return within_budget(turns, tokens, ["session_id"], [F.col("turn_index").desc()])
 
 
-def thread_budget(turns: DataFrame, tokens: int) -> DataFrame:
+def thread_budget(turns: DataFrame, tokens: int | None) -> DataFrame:
     """Over all sessions of a thread: sessions by start, then turns; `turns` has thread_id and started_at."""
     return within_budget(turns, tokens, ["thread_id"], [F.col("started_at").desc(), F.col("session_id").desc(), F.col("turn_index").desc()])
 

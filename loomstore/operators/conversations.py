@@ -119,7 +119,7 @@ def import_summary(existing: DataFrame, imported: DataFrame) -> DataFrame:
     return per.agg(F.count_if(F.col("have").isNull()).alias("imported"), F.count_if(F.col("have").isNotNull() & (new > 0)).alias("updated"), F.coalesce(F.sum(new), F.lit(0)).alias("inserted"), F.coalesce(F.sum(F.col("n") - new), F.lit(0)).alias("skipped"))
 
 
-def handoff(sessions: DataFrame, turns: DataFrame, tokens: int, session_id: str | None = None, thread_id: str | None = None) -> DataFrame:
+def handoff(sessions: DataFrame, turns: DataFrame, tokens: int | None, session_id: str | None = None, thread_id: str | None = None) -> DataFrame:
     """Turns of a session, of a thread, or of the latest session (an open one if there is one), within a budget, in order."""
     if thread_id:
         rows = turns.join(sessions.where(F.col("thread_id") == thread_id).select(F.col("id").alias("session_id"), "thread_id", "started_at"), "session_id")

@@ -20,7 +20,7 @@ def estimate(text: str) -> int:
 
 
 def trim(text: str, tokens: int) -> str:
-    return text if len(text) <= tokens * 4 else text[: max(0, tokens * 4)].rstrip() + "\n…(truncated)"
+    return text if tokens <= 0 or len(text) <= tokens * 4 else text[: tokens * 4].rstrip() + "\n…(truncated)"
 
 
 def to_json(df: DataFrame) -> str:

@@ -83,8 +83,11 @@ def test_sessions_threads_and_handoff(engine):
     assert "more" in engine.sessions.handoff() and "interrupted" in engine.sessions.show(b) and "# Context pack" in engine.context.pack()
     with pytest.raises(ValueError):
         engine.sessions.add_turns(a, [("robot", "x")])
-    with pytest.raises(ValueError):
-        engine.sessions.show("nobody")
+    data = engine.sessions.handoff_data(2, "a")
+    assert (data["turns"].count(), data["turns_truncated"], data["budget_applied"]) == (2, 1, 2)
+    for wrong in (lambda: engine.sessions.show("nobody"), lambda: engine.sessions.handoff_data(5, "nobody")):
+        with pytest.raises(ValueError):
+            wrong()
 
 
 def test_locks(engine):
