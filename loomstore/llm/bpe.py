@@ -8,8 +8,8 @@ texts' ids are then looked up word by word.  Decoding concatenates the binary
 pieces of the ids.
 
 `fold_column` is the same fold as Spark higher-order functions.  It gives the
-same ids, at about 77 microseconds a word against about 10 here; README.md has
-the figures that decided for the Arrow form on the main path.
+same ids, at about 77 microseconds a word against about 5 here; README.md has the
+figures that decided for the Arrow form on the main path.
 
 Nulls and empty texts have no tokens.  Rows are independent: repeated rows give
 repeated results, and columns other than the id and the text are ignored.
