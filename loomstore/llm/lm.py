@@ -1,19 +1,20 @@
 """Language-model scoring with a weighted backoff automaton.
 
 All words of the training texts are counted.  The root state gives a token w
-the smoothed unigram probability (c + 0.5) / (N + 0.5 (V + 1)).  A bigram h w of
-frequent words becomes an arc of the state h, weighing (c(hw) - D) / c(h);
+the smoothed unigram probability (c + 0.5) / (N + 0.5 (V + 1)).  Every bigram h w
+of the training texts is an arc of the state h, weighing (c(hw) - D) / c(h);
 every state has a failure arc to the root whose weight makes its probabilities
 sum to one.  A text is read once from left to right: from the state of the word
 before, a token takes its arc if there is one and the failure arc plus the
 root's weight otherwise.  Log-probabilities (base 10) are added up.
 
-Size.  Words are counted exactly, in as many rows as there are words.  Only
-bounded parts are sent to executors: at most FREQUENT words (of at most
-WORD_BYTES bytes) and at most ARCS arcs between the ARC_WORDS most frequent of
-them, those of the highest counts.  All other bigrams take the failure arc, so
-each token still gets its probability.  Weights of the other words come by a
-join; what is frequent enough to skew it is never in it.
+Size.  Words and bigrams are counted without a cap, in as many rows as there are
+of them.  Only bounded parts are sent to executors: at most FREQUENT words (of
+at most WORD_BYTES bytes) with their failure weights, and at most ARCS arcs
+between the ARC_WORDS most frequent of them, those of the highest counts.  The
+weights of all other words and arcs come by a join; what is frequent enough to
+skew it is never in it.  In bigrams, words that are not sent go by 63 bits of a
+hash; the word counts themselves go by the words.
 
 A null text has no words, but an end.  A row without an id is not learned from.
 Repeated rows are scored (and learned from) each; other columns are ignored.
@@ -23,10 +24,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, materialize, sent
@@ -42,6 +44,28 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ASCII_LOWER).split()
 
 
+def word_id(word: bytes) -> int:
+    """Id of a word that is not frequent, below zero."""
+    return ~(int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1)
+
+
+END_ID = word_id(END)  # where END is not in the vocabulary: nothing was learned
+
+
+class Ids(dict):
+    """Ids of words: the frequent ones as given, the others by hash, at most HELD of them remembered."""
+
+    def __init__(self, frequent: dict[bytes, int]):
+        super().__init__(frequent)
+        self.most = len(frequent) + HELD
+
+    def __missing__(self, word: bytes) -> int:
+        made = word_id(word)
+        if len(self) < self.most:
+            self[word] = made
+        return made
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list]:
     for batch in batches:
         for at in range(0, batch.num_rows, _ROWS):
@@ -49,13 +73,13 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over a binary text column; each text adds one END."""
+    """(word, id, c) over a binary text column; each text adds one END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(map(word_id, counts)), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "id", "c"])
             counts.clear()
             return made
 
@@ -67,7 +91,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return texts.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "word binary, id bigint, c bigint").groupBy("word", "id").agg(F.sum("c").alias("c"))
 
 
 def _floor_for(counts: DataFrame, most: int, least: int = 1) -> int:
@@ -95,7 +119,7 @@ class Vocabulary:
 
 
 def _sequence(ids: list[list[int]], end: int, start: int) -> np.ndarray:
-    """START and ids and END of each text, in a row; a word without id is -1."""
+    """START and ids and END of each text, in a row."""
     flat: list[int] = []
     for x in ids:
         flat.append(start)
@@ -105,37 +129,47 @@ def _sequence(ids: list[list[int]], end: int, start: int) -> np.ndarray:
 
 
 def bigram_counts(texts: DataFrame, vocabulary) -> DataFrame:
-    """(key, c) of the bigrams of arc words; key is h * 2**20 + w, h may be START."""
+    """(h, w, c) of all bigrams, by the words' ids; h may be START, w END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary()
-        end, start, get = v.id.get(END, -1), len(v.id), v.id.get
+        ids, start = Ids(v.id), len(v.id)
+        end = ids[END]
         held: list[np.ndarray] = []
 
-        def out() -> pa.RecordBatch:
+        def out(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, w, n)], names=["h", "w", "c"])
+
+        def frequent() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "c"])
+            return out(keys >> 20, keys & ((1 << 20) - 1), n)
 
         size = 0
         for part in _texts(batches, 0):
-            s = _sequence([[get(w, -1) for w in words_of(t)] for t in part], end, start)
+            s = _sequence([[ids[w] for w in words_of(t)] for t in part], end, start)
             h, w = s[:-1], s[1:]
-            ok = (w >= 0) & (w < v.arc_words) & (((h >= 0) & (h < v.arc_words) & (h != end)) | (h == start))
-            held.append((h[ok] << 20) + w[ok])
+            h, w = h[w != start], w[w != start]
+            both = (h >= 0) & (w >= 0)
+            held.append((h[both] << 20) + w[both])
             size += len(held[-1])
+            # Others seldom come again in a task; what does is added up before the exchange
+            yield out(h[~both], w[~both], np.ones(int((~both).sum()), np.int64))
             if size > 8 * HELD:
-                yield out()
+                yield frequent()
                 size = 0
-        yield out()
+        yield frequent()
 
-    return texts.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "h bigint, w bigint, c bigint").groupBy("h", "w").agg(F.sum("c").alias("c"))
 
 
 class Automaton:
-    """States of frequent words: sorted arc keys with what an arc adds over the root's weight, and failure weights."""
+    """States of frequent words: sorted arc keys with what an arc adds over the root's weight, and failure weights.
 
-    def __init__(self, vocabulary: Vocabulary, keys: np.ndarray, counts: np.ndarray, texts: int, total: int, distinct: int):
+    Arc keys are h * 2**20 + w.  Without `fail` the arcs given are all there are, and the failure weights follow from them.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, keys: np.ndarray, counts: np.ndarray, texts: int, total: int, distinct: int, fail: np.ndarray | None = None):
         self.vocabulary, self.norm = vocabulary, total + 0.5 * (distinct + 1)
         self.root = np.log10((vocabulary.counts + 0.5) / self.norm)
         order = np.argsort(keys)
@@ -144,26 +178,40 @@ class Automaton:
         seen = np.append(vocabulary.counts, texts).astype(float)
         p = (counts - DISCOUNT) / seen[h]
         self.gain = np.log10(p) - self.root[w]
+        if fail is not None:
+            self.fail = fail
+            return
         left = 1 - np.bincount(h, p, len(seen))
         free = 1 - np.bincount(h, 10 ** self.root[w], len(seen))
         self.fail = np.where(np.bincount(h, minlength=len(seen)) > 0, np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-12)), 0.0)
 
-    def read(self, ids: list[list[int]]) -> np.ndarray:
-        """What the arcs and failure arcs of each text add to its tokens' weights at the root."""
+    def read(self, ids: list[list[int]]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """What the arcs and failure arcs held here add to the root's weights in each text; and (text, h, w, n) of the bigrams without an arc here."""
         start = len(self.vocabulary.id)
-        s = _sequence(ids, self.vocabulary.id.get(END, -1), start)
+        s = _sequence(ids, self.vocabulary.id.get(END, END_ID), start)
         text = np.cumsum(s == start) - 1
         h, w = s[:-1], s[1:]
         inner = w != start
         h, w, text = h[inner], w[inner], text[1:][inner]
-        add = np.where(h >= 0, self.fail[np.maximum(h, 0)], 0.0)
+        add, open_ = np.where(h >= 0, self.fail[np.maximum(h, 0)], 0.0), np.ones(len(h), bool)
         if len(self.keys):
             near = np.flatnonzero((h >= 0) & (w >= 0) & (w < self.vocabulary.arc_words))
             key = (h[near] << 20) + w[near]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             add[near[hit]] = self.gain[at[hit]]
-        return np.bincount(text, add, len(ids))
+            open_[near[hit]] = False
+        sums = np.bincount(text, add, len(ids))
+        t, h, w = text[open_], h[open_], w[open_]
+        order = np.lexsort((w, h, t))
+        t, h, w = t[order], h[order], w[order]
+        first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1]))[: len(t)])
+        return sums, (t[first], h[first], w[first], np.diff(np.append(first, len(t))))
+
+
+def _fail(n: Column, followers: Column, seen: Column, norm: float) -> Column:
+    """Failure weight of a state from its number of arcs, their words' counts together, and its own count."""
+    return F.log10(n * DISCOUNT / seen) - F.log10(F.greatest((F.lit(norm) - followers - n * 0.5) / norm, F.lit(1e-12)))
 
 
 def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -177,45 +225,73 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     names, counts = [bytes(r["word"]) for r in top], [r["c"] for r in top]
     if texts and END not in names:
         names, counts = [*names, END], [*counts, texts]
-    vocabulary = Vocabulary(names, counts)
+    vocabulary, norm = Vocabulary(names, counts), float(total + 0.5 * (distinct + 1))
+    start = len(vocabulary.id)
     pairs = materialize(bigram_counts(learned, sent(spark, vocabulary)), "bigrams")
-    kept = pairs.where(F.col("c") >= _floor_for(pairs, ARCS, 2)).toArrow()  # ARCS rows at most
-    model = sent(spark, Automaton(vocabulary, kept["key"].to_numpy(), kept["c"].to_numpy(), texts, total, distinct))
 
-    schema = "doc_id bigint, text_key bigint, word binary, n bigint, n_tokens bigint, n_known bigint, base double, more double"
+    # Counts of the second words: of frequent ones from the vocabulary, of the others by a join
+    frequent = F.broadcast(spark.createDataFrame(pa.table({"w": pa.array(np.arange(start), pa.int64()), "cw": pa.array(vocabulary.counts, pa.int64())})))  # FREQUENT + 1 rows at most
+    rare = materialize(pairs.where("w < 0").join(vocab.select(F.col("id").alias("w"), F.col("c").alias("cw")), "w").select("h", "w", "c", "cw"), "rare-bigrams")
+    arcs = pairs.where("w >= 0").join(frequent, "w").select("h", "w", "c", "cw").unionByName(rare)
+    states = materialize(arcs.groupBy("h").agg(F.count("*").alias("n"), F.sum("cw").alias("followers"), F.sum("c").alias("seen")).select("h", "seen", _fail(F.col("n"), F.col("followers"), F.col("seen"), norm).alias("fail")), "states")
+    sent_states = states.where("h >= 0").toArrow()  # FREQUENT + 2 rows at most
+    fail = np.zeros(start + 1)
+    fail[sent_states["h"].to_numpy()] = sent_states["fail"].to_numpy()
+
+    between = (F.col("w") >= 0) & (F.col("w") < vocabulary.arc_words) & ((F.col("h") >= 0) & (F.col("h") < vocabulary.arc_words) | (F.col("h") == start))
+    held = between & (F.col("c") >= _floor_for(pairs.where(between), ARCS, 2))
+    kept = pairs.where(held).toArrow()  # ARCS rows at most
+    model = sent(spark, Automaton(vocabulary, (kept["h"].to_numpy() << 20) + kept["w"].to_numpy(), kept["c"].to_numpy(), texts, total, distinct, fail))
+
+    # All that is not sent, by first and second word; a word's own weights stand at START, which is second to none
+    others = arcs.where(~held)
+    placed = others.where("h >= 0").join(F.broadcast(states.where("h >= 0")), "h").unionByName(others.where("h < 0").join(states.where("h < 0"), "h"))
+    gain = F.log10((F.col("c") - DISCOUNT) / F.col("seen")) - F.log10((F.col("cw") + 0.5) / norm) - F.col("fail")
+    weights = placed.select("h", "w", F.lit(b"").alias("word"), F.lit(None).cast("bigint").alias("c"), gain.alias("add")).unionByName(
+        vocab.join(states.where("h < 0"), F.col("id") == F.col("h")).select("h", F.lit(start).cast("bigint").alias("w"), "word", "c", F.col("fail").alias("add"))
+    )
+
+    schema = "doc_id bigint, text_key bigint, h bigint, w bigint, word binary, n bigint, n_tokens bigint, n_known bigint, base double, more double"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
-        get, root = m.vocabulary.id.get, m.root
-        end = get(END)
+        ids_of, root = Ids(m.vocabulary.id), m.root
+        end = m.vocabulary.id.get(END)
         end_weight = root[end] if end is not None else float(np.log10(0.5 / m.norm))
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
-                keys, text_keys, texts = (c.to_pylist() for c in batch.slice(at, _ROWS).columns)
+                part = batch.slice(at, _ROWS)
+                keys, text_keys, texts = (c.to_pylist() for c in part.columns)
                 found = [words_of(t) for t in texts]
-                ids = [[get(w, -1) for w in x] for x in found]
-                gains = m.read(ids)
-                out: list[list] = [[] for _ in range(8)]
+                ids = [[ids_of[w] for w in x] for x in found]
+                gains, (text, h, w, n) = m.read(ids)
+                out: list[list] = [[] for _ in kinds]
                 for key, text_key, words, x, gain in zip(keys, text_keys, found, ids, gains):
                     a = np.array(x, np.int64)
                     a = a[a >= 0]
                     # The text's own row joins no word: its name, like END, holds a space
-                    rows = [(b" %x" % (text_key & (1 << 64) - 1), 0, len(words) + 1, len(a) + (end is not None), float(root[a].sum() + end_weight), float(gain))]
+                    rows = [((key or 0) ^ text_key, b" ", 0, len(words) + 1, len(a) + (end is not None), float(root[a].sum() + end_weight), float(gain))]
                     if len(a) < len(words):
-                        rows += [(w, n, 0, 0, 0.0, 0.0) for w, n in Counter([w for w, i in zip(words, x) if i < 0]).items()]
+                        rows += [(ids_of[w], w, n, 0, 0, 0.0, 0.0) for w, n in Counter([w for w, i in zip(words, x) if i < 0]).items()]
                     out[0] += [key] * len(rows)
                     out[1] += [text_key] * len(rows)
-                    for column, values in zip(out[2:], zip(*rows)):
+                    out[3] += [start] * len(rows)
+                    for column, values in zip((out[2], *out[4:]), zip(*rows)):
                         column += values
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "text_key", "word", "n", "n_tokens", "n_known", "base", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                size, zeros = len(text), np.zeros(len(text), np.int64)
+                open_ = [part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), h, w, pa.repeat(pa.scalar(b"", pa.binary()), size), n, zeros, zeros, zeros.astype(float), zeros.astype(float)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(open_, kinds)], names=names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
-    joined = rows.join(vocab, "word", "left")
-    weight = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(total + 0.5 * (distinct + 1))))
-    own = F.col("n") == 0
+    joined = rows.join(weights, ["h", "w", "word"], "left")
+    own, is_word = F.col("n") == 0, (F.col("w") == start) & (F.col("n") > 0)
+    weight = F.when(is_word, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / norm)).otherwise(0.0)
     sums = joined.groupBy("doc_id", "text_key").agg(
         F.count_if(own).alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(weight)).alias("base"), F.sum("more").alias("more"),
+        F.sum(F.when(own, F.col("base")).otherwise(weight)).alias("base"), F.sum(F.when(own, F.col("more")).otherwise(F.col("n") * F.coalesce("add", F.lit(0.0)))).alias("more"),
     )
     # Rows of one id and text were added up; each gets its share
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

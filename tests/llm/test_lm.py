@@ -56,3 +56,36 @@ def test_nothing_learned(make_docs):
     r = lm.score_texts(make_docs([(1, "a b"), (2, None)]), make_docs([]))[0].orderBy("doc_id").collect()
     assert [(x["n_tokens"], x["n_known"], x["base_score"], x["score"]) for x in r] == [(3, 0, 0.0, 0.0), (1, 0, 0.0, 0.0)]
     assert lm.score_texts(make_docs([]), make_docs([]))[0].count() == 0
+
+
+def whole_score(text, train):
+    """Backoff score with every bigram of the training texts as an arc."""
+    c = Counter(t for x in train for t in tokens(x)) + Counter({"": len(train)})
+    pairs = Counter(p for x in train for p in zip(["", *tokens(x)], tokens(x)))
+    n, v = sum(c.values()) - len(train), len(c) - 1
+    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    total = 0.0
+    for h, w in zip(["", *tokens(text)], tokens(text)):
+        after = [b for a, b in pairs if a == h]
+        if (h, w) in pairs:
+            p = (pairs[h, w] - 0.75) / c[h]
+        elif after:
+            p = root(w) * (0.75 * len(after) / c[h]) / (1 - sum(map(root, after)))
+        else:
+            p = root(w)
+        total += math.log10(p)
+    return total
+
+
+def test_all_bigrams_count_wherever_they_are_held(make_docs, monkeypatch):
+    train = ["a b c d", "a b c e", "rare1 rare2 a b", "rare1 rare2", "once more", "a rare1 b", None, "c c c"]
+    docs = ["a b c d", "rare1 rare2", "once more once more", "unseen a b unseen unseen", "b a d c", None, "rare1 rare2"]
+    for frequent, arc_words, arcs in ((lm.FREQUENT, lm.ARC_WORDS, lm.ARCS), (lm.FREQUENT, 2, 1), (4, 2, 2), (1, 1, 0), (0, 0, 0)):
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        monkeypatch.setattr(lm, "ARC_WORDS", arc_words)
+        monkeypatch.setattr(lm, "ARCS", arcs)
+        rows = lm.score_texts(make_docs(list(enumerate(docs))), make_docs(list(enumerate(train))))[0].collect()
+        found = {r["doc_id"]: r["score"] for r in rows}
+        assert len(rows) == len(docs)
+        for k, x in enumerate(docs):
+            assert abs(found[k] - whole_score(x, train)) < 1e-9, (frequent, arc_words, arcs, x)
