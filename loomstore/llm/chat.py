@@ -6,7 +6,10 @@ passage.  A passage is normalised (marks off, lower case, runs of white space to
 one space) and hashed, and so are the unquoted texts of all messages: whole,
 each paragraph, and each line.  A passage is joined to the earliest message that
 has it: one before it in its own conversation if there is one, else the first
-message of another conversation.  The message's reply target is the source of
+message of another conversation.  A passage of several lines that no message has
+in one of these forms is joined in the same order to the messages that have its
+lines in a run (blank lines left out): runs are hashed as they are read, of the
+numbers of lines that passages have.  The message's reply target is the source of
 its first passage of the lowest level in its own conversation, else the turn
 before it.  Each conversation is put in reply order: replies to an earlier
 message come first, then by turn; a reply never precedes its target.
@@ -50,20 +53,34 @@ def parsed(messages: DataFrame) -> DataFrame:
     return out.withColumn("passages", F.expr(passages)).drop("starts", "stops")
 
 
+def _lines(text: Column) -> Column:
+    """The normalised lines of a text that are not blank."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
+def _sources(own: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """The first message that has a hash, by conversation and hash and by hash, from (conv_id, turn, hash)."""
+    own = own.where("turn is not null and conv_id is not null")
+    in_conv = own.groupBy("conv_id", "hash").agg(F.min("turn").alias(f"{prefix}near"))
+    return in_conv, in_conv.groupBy("hash").agg(F.min(F.struct("conv_id", F.col(f"{prefix}near").alias("turn"))).alias(f"{prefix}far"))
+
+
 def quote_links(rows: DataFrame) -> DataFrame:
     """(row key columns, level, place, source_conv, source_turn) of the passages of `rows` (of `parsed`) that have a source."""
     keyed = F.transform(F.filter(F.transform(F.concat(F.array("plain"), F.split("plain", r"\n\s*\n"), F.split("plain", "\n")), normalised), lambda x: x != ""), lambda x: F.xxhash64(x))
-    own = rows.select("conv_id", "turn", F.explode(F.array_distinct(keyed)).alias("hash")).where("turn is not null and conv_id is not null")
-    in_conv = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"))
-    anywhere = in_conv.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("near_turn").alias("turn"))).alias("far"))
-    quotes = rows.select("conv_id", "turn", F.explode("passages").alias("p")).withColumn("hash", F.xxhash64(normalised(F.col("p.text")))).where(normalised(F.col("p.text")) != "").distinct()
-    found = quotes.join(in_conv, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
-    near = F.col("near_turn") < F.col("turn")
-    far = F.col("far.conv_id") != F.col("conv_id")
-    return found.select(
-        "conv_id", "turn", F.col("p.level").alias("level"), F.col("p.place").alias("place"), "hash",
-        F.when(near, F.col("conv_id")).when(far, F.col("far.conv_id")).alias("source_conv"), F.when(near, F.col("near_turn")).when(far, F.col("far.turn")).alias("source_turn"),
-    ).where("source_turn is not null")
+    found = rows.select("conv_id", "turn", F.explode("passages").alias("p")).withColumn("hash", F.xxhash64(normalised(F.col("p.text")))).where(normalised(F.col("p.text")) != "").distinct()
+    sizes = rows.select(F.explode("passages").alias("p")).select(F.size(_lines(F.col("p.text"))).alias("n")).where("n > 1").agg(F.sort_array(F.collect_set("n")).alias("sizes"))  # one row
+    of_lines = rows.select("conv_id", "turn", _lines(F.col("plain")).alias("ls")).crossJoin(F.broadcast(sizes))
+    runs = F.expr("flatten(transform(filter(sizes, n -> n <= size(ls)), n -> transform(sequence(1, size(ls) - n + 1), i -> xxhash64(array_join(slice(ls, i, n), ' ')))))")
+    for prefix, own in (("", rows.select("conv_id", "turn", F.explode(F.array_distinct(keyed)).alias("hash"))), ("run_", of_lines.select("conv_id", "turn", F.explode(F.array_distinct(runs)).alias("hash")))):
+        in_conv, anywhere = _sources(own, prefix)
+        found = found.join(in_conv, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
+    source = F.coalesce(*(
+        x for k in ("", "run_")
+        for x in (F.when(F.col(f"{k}near") < F.col("turn"), F.struct("conv_id", F.col(f"{k}near").alias("turn"))), F.when(F.col(f"{k}far.conv_id") != F.col("conv_id"), F.col(f"{k}far")))
+    ))
+    found = found.withColumn("source", source).where("source is not null")
+    return found.select("conv_id", "turn", F.col("p.level").alias("level"), F.col("p.place").alias("place"), "hash", F.col("source.conv_id").alias("source_conv"), F.col("source.turn").alias("source_turn"))
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:

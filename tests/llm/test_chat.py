@@ -59,3 +59,16 @@ def test_sql_gives_the_same_rows_where_there_are_quotes(spark):
     assert sorted(found.columns) == sorted(df.columns)
     want = sorted(map(repr, (tuple(r[c] for c in found.columns) for r in df.collect())))
     assert sorted(map(repr, found.fetchall())) == want
+
+
+def test_excerpts_of_several_lines_are_linked(spark):
+    long = "one a\ntwo b\nthree c\nfour d"
+    paragraphs = "first p\n\nsecond p\n\nthird p"
+    rows = [
+        (1, 0, "u", long), (1, 1, "a", paragraphs), (1, 2, "u", "filler"), (1, 3, "a", "> two b\n>  THREE c\nyes"), (1, 4, "u", "> second p\n>\n> third p\nno"),
+        (1, 5, "a", "> two b\n> four d\nnot a run"), (1, 6, "u", "> one a\nwell\nso\n> four d\nok"), (1, 7, "a", "filler 2"), (1, 8, "u", "> well\n> so\nfine"), (2, 0, "u", "> three c\n> four d\nwhere?"),
+    ]
+    found = run(spark, rows)
+    got = {k: (r["n_linked"], r["reply_conv"], r["reply_turn"]) for k, r in found.items()}
+    assert got[1, 3] == (1, 1, 0) and got[1, 4] == (1, 1, 1) and got[1, 8] == (1, 1, 6) and got[2, 0] == (1, 1, 0)
+    assert got[1, 5] == (0, 1, 4) and got[1, 6] == (2, 1, 0)
