@@ -15,7 +15,8 @@ before it.  Each conversation is put in reply order: replies to an earlier
 message come first, then by turn; a reply never precedes its target.
 
 Only DataFrame functions are used.  The side that passages are joined to holds
-one row for each hash (and for each hash and conversation), so a passage that
+one row for each hash (with the first two conversations that have it, as one
+may be the passage's own) and one for each hash and conversation, so a passage that
 thousands of messages share joins as one row.
 
 A null text is empty; a null conversation or turn is kept, quotes nothing before
@@ -59,10 +60,12 @@ def _lines(text: Column) -> Column:
 
 
 def _sources(own: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """The first message that has a hash, by conversation and hash and by hash, from (conv_id, turn, hash)."""
+    """The first message that has a hash, by conversation and hash, and those of the first two conversations that have it, by hash, from (conv_id, turn, hash)."""
     own = own.where("turn is not null and conv_id is not null")
     in_conv = own.groupBy("conv_id", "hash").agg(F.min("turn").alias(f"{prefix}near"))
-    return in_conv, in_conv.groupBy("hash").agg(F.min(F.struct("conv_id", F.col(f"{prefix}near").alias("turn"))).alias(f"{prefix}far"))
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
+    first = in_conv.withColumn("place", place).where("place <= 2").groupBy("hash")
+    return in_conv, first.agg(F.sort_array(F.collect_list(F.struct("conv_id", F.col(f"{prefix}near").alias("turn")))).alias(f"{prefix}far"))  # two at most
 
 
 def quote_links(rows: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def quote_links(rows: DataFrame) -> DataFrame:
         found = found.join(in_conv, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
     source = F.coalesce(*(
         x for k in ("", "run_")
-        for x in (F.when(F.col(f"{k}near") < F.col("turn"), F.struct("conv_id", F.col(f"{k}near").alias("turn"))), F.when(F.col(f"{k}far.conv_id") != F.col("conv_id"), F.col(f"{k}far")))
+        for x in (F.when(F.col(f"{k}near") < F.col("turn"), F.struct("conv_id", F.col(f"{k}near").alias("turn"))), F.get(F.filter(f"{k}far", lambda s: s["conv_id"] != F.col("conv_id")), 0))
     ))
     found = found.withColumn("source", source).where("source is not null")
     return found.select("conv_id", "turn", F.col("p.level").alias("level"), F.col("p.place").alias("place"), "hash", F.col("source.conv_id").alias("source_conv"), F.col("source.turn").alias("source_turn"))

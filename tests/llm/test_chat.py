@@ -72,3 +72,10 @@ def test_excerpts_of_several_lines_are_linked(spark):
     got = {k: (r["n_linked"], r["reply_conv"], r["reply_turn"]) for k, r in found.items()}
     assert got[1, 3] == (1, 1, 0) and got[1, 4] == (1, 1, 1) and got[1, 8] == (1, 1, 6) and got[2, 0] == (1, 1, 0)
     assert got[1, 5] == (0, 1, 4) and got[1, 6] == (2, 1, 0)
+
+
+def test_a_source_in_another_conversation_is_found_past_the_own_one(spark):
+    rows = [(1, 0, "u", "> shared words\nwhat?"), (1, 1, "a", "shared words"), (2, 0, "u", "shared words"), (3, 5, "u", "shared words"), (3, 1, "u", "> shared words\nand?")]
+    found = run(spark, rows)
+    assert (found[1, 0]["n_linked"], found[1, 0]["reply_conv"], found[1, 0]["reply_turn"]) == (1, 2, 0)
+    assert (found[3, 1]["reply_conv"], found[3, 1]["reply_turn"]) == (1, 1)
