@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.plans.shared import materialize  # noqa: F401
+from loomstore.plans.shared import materialize
 
 #: ASCII upper case to lower case, for bytes.translate.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -65,7 +65,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     """
     y = F.col(label).cast("int")
     labels = labels.select(F.col(id_col).alias("doc_id"), y.alias("y")).where(y.isin(0, 1) & (fold(id_col, mod) != remainder))
-    labels = labels.groupBy("doc_id").agg(F.max("y").alias("y"))
+    labels = labels.groupBy("doc_id").agg(F.max("y").alias("y")).join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
+    labels = materialize(labels, "labels")
     sizes = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [labels.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = parts[0].union(parts[1])  # 2 * per_class rows at most

@@ -34,3 +34,11 @@ def test_sent_values_arrive_without_their_module(spark):
     df = common.map_rows(spark.range(3), lambda c: {"n": [get().n + i for i in c[0]]}, "n bigint", rows=1)
     assert sorted(r["n"] for r in df.collect()) == [41, 42, 43]
     assert df.agg(F.count("*")).first()[0] == 3
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark, make_docs):
+    docs = make_docs([(i, f"text {i}") for i in range(8)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id bigint, toxic int")
+    sample, sizes = common.labelled_sample(docs, labels, "toxic", 1, 1, 3)
+    rows = sample.collect()
+    assert sizes == {0: 4, 1: 4} and sorted(r["y"] for r in rows) == [0, 0, 0, 1, 1, 1] and all(r["doc_id"] < 8 for r in rows)
