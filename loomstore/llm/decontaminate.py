@@ -9,8 +9,9 @@ window is one window of all its words.
 
 The benchmark is worked off in blocks of at most BLOCK_WORDS words, each sent
 to all executors; documents never move.  Null and empty texts have no words; an
-empty benchmark hits nothing; equal items each count.  Rows are independent,
-and other columns are ignored.
+empty benchmark hits nothing; equal items each count.  Items without an id hit
+like others and stand together as one null at the end of the item ids.  Rows are
+independent, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,17 +107,17 @@ class Index:
 
     FILTER = 1 << 20
 
-    def __init__(self, items: list[tuple[str, bytes]]):
+    def __init__(self, items: list[tuple[str | None, bytes]]):
         words = Words([t for _, t in items])
         by_size: dict[int, list[int]] = defaultdict(list)
         for i in range(len(items)):
             a, z = words.bounds[i], words.bounds[i + 1]
             if z > a:
                 by_size[min(WINDOW, int(z - a))] += range(a, max(a + 1, z - WINDOW + 1))
-        self.windows: dict[int, dict[int, dict[bytes, set[str]]]] = {}
+        self.windows: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
         self.prints: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size, starts in by_size.items():
-            table: dict[int, dict[bytes, set[str]]] = defaultdict(dict)
+            table: dict[int, dict[bytes, set[str | None]]] = defaultdict(dict)
             hashes, _ = words.windows(size)
             for at in starts:
                 table[int(hashes[at])].setdefault(words.joined(at, size), set()).add(items[words.text_of[at]][0])
@@ -126,7 +127,7 @@ class Index:
             seen[prints % np.uint64(self.FILTER)] = True
             self.prints[size] = seen, prints
 
-    def hits(self, words: Words) -> list[tuple[int, int, set[str]]]:
+    def hits(self, words: Words) -> list[tuple[int, int, set[str | None]]]:
         """Windows of the texts that occur in an item: first word, number of words, ids of the items."""
         out = []
         for size, (seen, prints) in self.prints.items():
@@ -164,14 +165,14 @@ def _scan(index: Index, keys: list, text_keys: list, texts: list) -> dict[str, l
             edge = np.flatnonzero(np.diff(hit[a:z].astype(np.int8), prepend=0, append=0)).tolist() if k in items else []
             out["n_words"].append(z - a)
             out["n_hit"].append(int(hit[a:z].sum()))
-            out["item_ids"].append(sorted(items.get(k, ())))
+            out["item_ids"].append(sorted(items.get(k, ()), key=lambda x: (x is None, x or "")))
             out["spans"].append([{"start": s, "stop": e} for s, e in zip(edge[::2], edge[1::2])])
         at = stop
     return out
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_hit, item_ids (of items with occurring windows, sorted), spans of hit words."""
+    """Per row of `docs`: doc_id, n_words, n_hit, item_ids (of items with occurring windows, sorted, null last), spans of hit words."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     found = [map_rows(docs, _scanner(index), SCHEMA, 2048) for index in _blocks(benchmark, block_words)]
     if len(found) == 1:
@@ -198,7 +199,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int =
 
 def _blocks(benchmark: DataFrame, block_words: int) -> list:
     """The benchmark's items in broadcasts of at most `block_words` words (but for one huge item)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0))).first()[0]  # a word takes two bytes with its gap
     blocks = max(1, -(-int(size) // block_words))
     found = []

@@ -76,3 +76,27 @@ def test_empty_tables(spark, make_docs):
 def test_rule(spark):
     rows = spark.createDataFrame([(20, 1, True), (21, 1, False), (0, 0, False), (1, 1, True)], "n bigint, h bigint, want boolean")
     assert all(r["got"] == r["want"] for r in rows.withColumn("got", D.contaminated(F.col("n"), F.col("h"))).collect())
+
+
+def test_items_without_an_id_hit(spark, make_docs, tmp_path):
+    import duckdb
+
+    from loomstore.llm.queries import OP3_SQL, op3_decontaminate
+
+    docs, items = cases()
+    docs = list(dict(docs).items())  # the SQL adds up rows of one id
+    items = [(None if k % 3 == 0 else k, t) for k, t in items]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    make_docs(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(OP3_SQL)
+    rows = op3_decontaminate(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r[c] for c in want.columns) for r in rows) == sorted(want.fetchall())
+    bad = sorted(r["doc_id"] for r in rows if r["contaminated"])
+    assert 4 in bad
+    for block in (D.BLOCK_WORDS, 60):
+        kept = sorted(r["doc_id"] for r in D.drop_contaminated(make_docs(docs), bench, block).collect())
+        assert sorted(kept + bad) == sorted(i for i, _ in docs)
