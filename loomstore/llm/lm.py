@@ -1,302 +1,273 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-All words of the training texts are counted.  The root state gives a token w
-the smoothed unigram probability (c + 0.5) / (N + 0.5 (V + 1)).  Every bigram h w
-of the training texts is an arc of the state h, weighing (c(hw) - D) / c(h);
-every state has a failure arc to the root whose weight makes its probabilities
-sum to one.  A text is read once from left to right: from the state of the word
-before, a token takes its arc if there is one and the failure arc plus the
-root's weight otherwise.  Log-probabilities (base 10) are added up.
-
-Size.  Words and bigrams are counted without a cap, in as many rows as there are
-of them.  Only bounded parts are sent to executors: at most FREQUENT words (of
-at most WORD_BYTES bytes) with their failure weights, and at most ARCS arcs
-between the ARC_WORDS most frequent of them, those of the highest counts.  The
-weights of all other words and arcs come by a join; what is frequent enough to
-skew it is never in it.  In bigrams, words that are not sent go by 63 bits of a
-hash; the word counts themselves go by the words.
-
-A null text has no words, but an end.  A row without an id is not learned from.
-Repeated rows are scored (and learned from) each; other columns are ignored.
+"""Language-model scoring with a weighted backoff automaton of order ORDER.
+
+The n-grams of the learned texts, up to ORDER words, are counted without a cap.
+Its states are the root, and every word and every run of up to ORDER - 1 words
+that was learned.  The root gives a token w the smoothed unigram probability
+(c + 0.5) / (N + 0.5 (V + 1)).  A state h has an arc for each word w that was
+learned after it, weighing (c(hw) + PULL p) / (c(h) + PULL), where p is what the
+state of h's last words but one gives w; and a failure arc to that state, weighing
+PULL / (c(h) + PULL).  So the probabilities of every state sum to one, unseen
+words included.  A text is read once from left to right: the state carried is the
+longest learned run that ends at the token before; a token takes its arc, or
+fails down the chain to the state that has one, or to the root.  The log-
+probabilities (base 10) along the way are added up.  A state and its arcs follow
+from the last ORDER - 1 words alone, so all positions of a block are read at once.
+
+Size.  Texts are cut into blocks of about BLOCK_TOKENS tokens (see `blocks`).
+A block asks for the counts of its own n-grams, level by level, and builds the
+part of the automaton that its texts can reach.  If no other block has an n-gram's
+first or last words (all but one), it needs no asking: all there is of it is in the
+block; nor does it if they were never learned.  No part of the model is on the driver or broadcast, and what is
+gathered grows with the texts.  A very long text is cut into pieces that carry the
+last ORDER - 1 words over.
+
+Words and n-grams go by 64 bits of a hash, in the counts as well: two of them can
+be taken for one with a chance of about (number of n-grams)^2 / 2^65.
+
+A null or empty text has no words, but an end.  A row without an id is scored like
+others; `learned` says what is learned from (null: not).  Repeated rows are scored
+(and learned from) each; other columns are ignored.  If nothing was learned all
+scores are 0.  An empty table has no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, sent
+from . import blocks as B
+from .common import ASCII_LOWER
 
-FREQUENT, WORD_BYTES, ARC_WORDS, ARCS, DISCOUNT = 65_536, 64, 8_192, 500_000, 0.75
-#: Distinct words or bigrams that a task holds before it passes their counts on.
-HELD = 400_000
-END = b" "  # no word holds a space
-_ROWS = 256
+ORDER = 3
+#: Weight of the shorter run in that of the longer, in tokens.
+PULL = 100.0
+#: Tokens of a block, and bytes of text that are one piece; both bound a task's memory.
+BLOCK_TOKENS, PIECE_BYTES = 1 << 21, 1 << 22
+#: Tokens of a block that are written as one row.
+ROW_TOKENS = 1 << 18
+#: N-grams, on average, that one task adds up at a time.
+PART_TOKENS = 1 << 20
+
+START, END = b" s", b" "  # no word holds a space
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
+BLOCKS = "block bigint, part int, doc_id array<bigint>, text_block array<bigint>, text_place array<bigint>, size array<int>, lead array<int>, learned array<boolean>, tokens binary, names binary, n bigint, total bigint"
+SCORED = "text_block bigint, text_place bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ASCII_LOWER).split()
 
 
-def word_id(word: bytes) -> int:
-    """Id of a word that is not frequent, below zero."""
-    return ~(int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1)
-
-
-END_ID = word_id(END)  # where END is not in the vocabulary: nothing was learned
-
-
-class Ids(dict):
-    """Ids of words: the frequent ones as given, the others by hash, at most HELD of them remembered."""
-
-    def __init__(self, frequent: dict[bytes, int]):
-        super().__init__(frequent)
-        self.most = len(frequent) + HELD
-
-    def __missing__(self, word: bytes) -> int:
-        made = word_id(word)
-        if len(self) < self.most:
-            self[word] = made
-        return made
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            yield batch.column(column).slice(at, _ROWS).to_pylist()
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, id, c) over a binary text column; each text adds one END."""
+def pieces_of(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text, a piece of about PIECE_BYTES at a time; one piece at least."""
+    text = text or b""
+    at = 0
+    while len(text) - at > PIECE_BYTES and (gap := _SPACE.search(text, at + PIECE_BYTES)):
+        yield words_of(text[at : gap.start()])
+        at = gap.start()
+    yield words_of(text[at:])
+
+
+def _type(kind: str) -> pa.DataType:
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.list_(plain[kind[6:-1]]) if kind.startswith("array<") else plain[kind]
+
+
+def _columns(schema: str) -> list[tuple[str, pa.DataType]]:
+    return [(c.split()[0], _type(c.split()[1])) for c in schema.split(", ")]
+
+
+class Packer:
+    """Cuts texts into blocks, and blocks into rows of BLOCKS."""
+
+    def __init__(self):
+        self.made, self.kinds = 0, _columns(BLOCKS)
+        self._block()
+
+    def _block(self) -> None:
+        from xxhash import xxh64_intdigest
+
+        class Names(dict):
+            """Word -> its number in the block; new words' hashes are gathered."""
+
+            def __missing__(names, word: bytes) -> int:  # noqa: N805
+                self.hashes.append(xxh64_intdigest(word, 7))
+                names[word] = n = len(names)
+                return n
+
+        self.block, self.part, self.tokens_so_far = B.block_number(self.made), 0, 0
+        self.made += 1
+        self.hashes: list[int] = []
+        self.names = Names()
+        self._row()
+
+    def _row(self) -> None:
+        self.row = {name: [] for name, _ in self.kinds[2:8]}
+        self.tokens: list[int] = []
+        self.total = 0
+        self.hashes.clear()
+
+    def rows(self, doc_id: int | None, learned: bool, text: bytes | None) -> Iterator[pa.RecordBatch]:
+        """Takes a text in; gives the rows that are full."""
+        pieces, before, first = pieces_of(text), [START], None
+        piece = next(pieces)
+        while piece is not None:
+            following = next(pieces, None)
+            first = first or (self.block, self.tokens_so_far)
+            words = [*before, *piece] if following is not None else [*before, *piece, END]
+            names = self.names
+            self.tokens += [names[w] for w in words]
+            counted = len(words) - len(before)
+            for name, value in zip(self.row, (doc_id, *first, len(words), len(before), learned)):
+                self.row[name].append(value)
+            self.total += counted * learned
+            self.tokens_so_far += len(words)
+            before, piece = words[-(ORDER - 1) :], following
+            if self.tokens_so_far > BLOCK_TOKENS:
+                yield self.full()
+                self._block()
+            elif len(self.tokens) > ROW_TOKENS:
+                yield self.full()
+
+    def full(self) -> pa.RecordBatch:
+        tokens, names = B.packed(np.array(self.tokens, np.uint64)), B.packed(np.array(self.hashes, np.uint64))
+        values = (self.block, self.part, *self.row.values(), tokens, names, len(self.tokens), self.total)
+        batch = pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, self.kinds)], names=[n for n, _ in self.kinds])
+        self.part += 1
+        self._row()
+        return batch
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """(doc_id, learned, text) as a table of BLOCKS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(map(word_id, counts)), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "id", "c"])
-            counts.clear()
-            return made
-
-        for part in _texts(batches, 0):
-            for text in part:
-                counts.update(words_of(text))
-                counts[END] += 1
-            if len(counts) > HELD:
-                yield out()
-        yield out()
-
-    return texts.mapInArrow(run, "word binary, id bigint, c bigint").groupBy("word", "id").agg(F.sum("c").alias("c"))
-
-
-def _floor_for(counts: DataFrame, most: int, least: int = 1) -> int:
-    """The lowest count, `least` or more, that at most `most` rows reach, to within a sixteenth of an octave."""
-    bins = counts.groupBy(F.ceil(F.log2(F.col("c")) * 16).alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()  # a row for each sixteenth octave
-    floor, seen = None, 0
-    for r in bins:
-        seen += r["n"]
-        if seen > most:
-            break
-        floor = r["b"]
-    if floor is None:
-        return (int(2 ** (bins[0]["b"] / 16)) + 2) if bins else least
-    return max(least, int(np.floor(2 ** ((floor - 1) / 16))) + 1)  # the smallest whole number in the bin
+        packer = Packer()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    yield from packer.rows(*row)
+        if packer.tokens:
+            yield packer.full()
 
+    return B.write_blocks(rows.mapInArrow(run, BLOCKS))
 
-class Vocabulary:
-    """Ids of the frequent words, by falling count; START follows them."""
 
-    def __init__(self, words: list[bytes], counts: list[int]):
-        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-        self.id = {words[i]: k for k, i in enumerate(order)}
-        self.counts = np.array([counts[i] for i in order], np.int64)
-        self.arc_words = min(len(order), ARC_WORDS)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
 
 
-def _sequence(ids: list[list[int]], end: int, start: int) -> np.ndarray:
-    """START and ids and END of each text, in a row."""
-    flat: list[int] = []
-    for x in ids:
-        flat.append(start)
-        flat += x
-        flat.append(end)
-    return np.array(flat, np.int64)
+class Level:
+    """A block's n-grams of one length: which each position ends, how often the block learns them, and which it must ask for."""
 
+    def __init__(self, keys: np.ndarray, places: np.ndarray, counted: np.ndarray):
+        """keys: by position; places: of the positions that end a whole n-gram; counted: whether a position is learned."""
+        self.keys, self.places = keys, places
+        self.distinct, self.first, self.which = np.unique(keys[places], return_index=True, return_inverse=True)
+        self.own = np.bincount(self.which, counted[places], len(self.distinct)).astype(np.int64)
+        self.asked = np.ones(len(self.distinct), bool)
 
-def bigram_counts(texts: DataFrame, vocabulary) -> DataFrame:
-    """(h, w, c) of all bigrams, by the words' ids; h may be START, w END."""
+    def take(self, counts: np.ndarray, elsewhere: np.ndarray) -> None:
+        """What was asked for: how often all blocks learn an n-gram, and whether other blocks have it at all."""
+        self.counts, self.elsewhere = self.own.copy(), np.zeros(len(self.own), bool)
+        self.counts[self.asked], self.elsewhere[self.asked] = counts, elsewhere
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary()
-        ids, start = Ids(v.id), len(v.id)
-        end = ids[END]
-        held: list[np.ndarray] = []
-
-        def out(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, w, n)], names=["h", "w", "c"])
-
-        def frequent() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            held.clear()
-            return out(keys >> 20, keys & ((1 << 20) - 1), n)
-
-        size = 0
-        for part in _texts(batches, 0):
-            s = _sequence([[ids[w] for w in words_of(t)] for t in part], end, start)
-            h, w = s[:-1], s[1:]
-            h, w = h[w != start], w[w != start]
-            both = (h >= 0) & (w >= 0)
-            held.append((h[both] << 20) + w[both])
-            size += len(held[-1])
-            # Others seldom come again in a task; what does is added up before the exchange
-            yield out(h[~both], w[~both], np.ones(int((~both).sum()), np.int64))
-            if size > 8 * HELD:
-                yield frequent()
-                size = 0
-        yield frequent()
-
-    return texts.mapInArrow(run, "h bigint, w bigint, c bigint").groupBy("h", "w").agg(F.sum("c").alias("c"))
+    def spread(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Values of the distinct n-grams, by position; 0 where none ends."""
+        out = np.zeros(size, values.dtype)
+        out[self.places] = values[self.which]
+        return out
 
 
 class Automaton:
-    """States of frequent words: sorted arc keys with what an arc adds over the root's weight, and failure weights.
-
-    Arc keys are h * 2**20 + w.  Without `fail` the arcs given are all there are, and the failure weights follow from them.
+    """The part of the model that a block's texts can reach: counts of their n-grams, by the positions that they end at."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("part")
+        lists = {c: np.array([x for part in rows[c].to_pylist() for x in part]) for c in ("text_block", "text_place", "size", "lead", "learned")}
+        self.doc_id = [x for part in rows["doc_id"].to_pylist() for x in part]
+        self.text = lists["text_block"], lists["text_place"]
+        names = np.concatenate([B.unpacked(x) for x in rows["names"].to_pylist()])
+        self.words = names[np.concatenate([B.unpacked(x) for x in rows["tokens"].to_pylist()]).astype(np.int64)]
+        size = lists["size"].astype(np.int64)
+        starts = np.cumsum(size) - size
+        self.piece = np.repeat(np.arange(len(size)), size)
+        self.place = np.arange(len(self.words)) - starts[self.piece]
+        self.read = self.place >= lists["lead"][self.piece]
+        learned = lists["learned"].astype(bool)[self.piece]
+        self.counted = learned & self.read
+        first = (lists["text_block"] == rows["block"][0].as_py()) & (lists["text_place"] == starts)
+        self.starts = learned & first[self.piece] & (self.place == 0)  # START is counted as a state alone
+        self.levels: list[Level] = []
+
+    def deepen(self) -> Level:
+        """The n-grams one word longer than so far; to be asked for are those that other blocks may have, and that may have been learned."""
+        n = len(self.levels) + 1
+        if n == 1:
+            level = Level(self.words, np.arange(len(self.words)), self.counted | self.starts)
+        else:
+            last, size = self.levels[-1], len(self.words)
+            keys = np.zeros(size, np.uint64)
+            keys[1:] = _mix(last.keys[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + self.words[1:])
+            level = Level(keys, np.flatnonzero(self.place >= n - 1), self.counted)
+            at = level.places[level.first]
+            shared = last.spread(last.elsewhere & (last.counts > 0), size)
+            level.asked = shared[at - 1] & shared[at]
+        self.levels.append(level)
+        return level
+
+    def with_answers(self, got: pa.Table | None, levels: int) -> Automaton:
+        for n in range(1, levels + 1):
+            self.deepen().take(*B.answers_of(got, n))
+        return self
+
+    def scores(self, total: int, distinct: int) -> pa.Table:
+        """A row of SCORED for each piece."""
+        size, norm = len(self.words), total + 0.5 * (distinct + 1)
+        here = self.levels[0].spread(self.levels[0].counts, size)
+        root = np.log10((here + 0.5) / norm)
+        known, weight = here > 0, root
+        for level in self.levels[1:]:
+            state = np.zeros(size)  # how often the run before the token was learned; 0: no such state, the next shorter one is carried
+            state[1:] = here[:-1]
+            here = level.spread(level.counts, size)
+            failing = np.log10(PULL / (state + PULL)) + weight
+            weight = np.where(here > 0, np.log10((here + PULL * 10**weight) / (state + PULL)), failing)
+        piece, pieces = self.piece[self.read], len(self.doc_id)
+        sums = [np.bincount(piece, x[self.read], pieces) for x in (np.ones(size), known, root, weight)]
+        columns = (*self.text, self.doc_id, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3])
+        return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, _columns(SCORED))], names=[n for n, _ in _columns(SCORED)])
+
+
+def score_texts(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """Per row of `docs`: doc_id, n_tokens, n_known, base_score, score; and the number of training tokens.
+
+    `learned` is a condition over `docs`.  To score other texts than those that are learned, unite them first.
     """
-
-    def __init__(self, vocabulary: Vocabulary, keys: np.ndarray, counts: np.ndarray, texts: int, total: int, distinct: int, fail: np.ndarray | None = None):
-        self.vocabulary, self.norm = vocabulary, total + 0.5 * (distinct + 1)
-        self.root = np.log10((vocabulary.counts + 0.5) / self.norm)
-        order = np.argsort(keys)
-        self.keys, counts = keys[order], counts[order]
-        h, w = self.keys >> 20, self.keys & ((1 << 20) - 1)
-        seen = np.append(vocabulary.counts, texts).astype(float)
-        p = (counts - DISCOUNT) / seen[h]
-        self.gain = np.log10(p) - self.root[w]
-        if fail is not None:
-            self.fail = fail
-            return
-        left = 1 - np.bincount(h, p, len(seen))
-        free = 1 - np.bincount(h, 10 ** self.root[w], len(seen))
-        self.fail = np.where(np.bincount(h, minlength=len(seen)) > 0, np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-12)), 0.0)
-
-    def read(self, ids: list[list[int]]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        """What the arcs and failure arcs held here add to the root's weights in each text; and (text, h, w, n) of the bigrams without an arc here."""
-        start = len(self.vocabulary.id)
-        s = _sequence(ids, self.vocabulary.id.get(END, END_ID), start)
-        text = np.cumsum(s == start) - 1
-        h, w = s[:-1], s[1:]
-        inner = w != start
-        h, w, text = h[inner], w[inner], text[1:][inner]
-        add, open_ = np.where(h >= 0, self.fail[np.maximum(h, 0)], 0.0), np.ones(len(h), bool)
-        if len(self.keys):
-            near = np.flatnonzero((h >= 0) & (w >= 0) & (w < self.vocabulary.arc_words))
-            key = (h[near] << 20) + w[near]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            add[near[hit]] = self.gain[at[hit]]
-            open_[near[hit]] = False
-        sums = np.bincount(text, add, len(ids))
-        t, h, w = text[open_], h[open_], w[open_]
-        order = np.lexsort((w, h, t))
-        t, h, w = t[order], h[order], w[order]
-        first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1]))[: len(t)])
-        return sums, (t[first], h[first], w[first], np.diff(np.append(first, len(t))))
-
-
-def _fail(n: Column, followers: Column, seen: Column, norm: float) -> Column:
-    """Failure weight of a state from its number of arcs, their words' counts together, and its own count."""
-    return F.log10(n * DISCOUNT / seen) - F.log10(F.greatest((F.lit(norm) - followers - n * 0.5) / norm, F.lit(1e-12)))
-
-
-def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """Per row of `docs`: doc_id, n_tokens, n_known, base_score, score; and the number of training tokens."""
-    spark = docs.sparkSession
-    learned = train.select(F.col(text_col).cast("binary").alias("text"))
-    vocab = materialize(word_counts(learned), "words")
-    total, distinct, texts = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
-    short = vocab.where(F.octet_length("word") <= WORD_BYTES)
-    top = short.where(F.col("c") >= _floor_for(short, FREQUENT)).collect()  # FREQUENT rows at most
-    names, counts = [bytes(r["word"]) for r in top], [r["c"] for r in top]
-    if texts and END not in names:
-        names, counts = [*names, END], [*counts, texts]
-    vocabulary, norm = Vocabulary(names, counts), float(total + 0.5 * (distinct + 1))
-    start = len(vocabulary.id)
-    pairs = materialize(bigram_counts(learned, sent(spark, vocabulary)), "bigrams")
-
-    # Counts of the second words: of frequent ones from the vocabulary, of the others by a join
-    frequent = F.broadcast(spark.createDataFrame(pa.table({"w": pa.array(np.arange(start), pa.int64()), "cw": pa.array(vocabulary.counts, pa.int64())})))  # FREQUENT + 1 rows at most
-    rare = materialize(pairs.where("w < 0").join(vocab.select(F.col("id").alias("w"), F.col("c").alias("cw")), "w").select("h", "w", "c", "cw"), "rare-bigrams")
-    arcs = pairs.where("w >= 0").join(frequent, "w").select("h", "w", "c", "cw").unionByName(rare)
-    states = materialize(arcs.groupBy("h").agg(F.count("*").alias("n"), F.sum("cw").alias("followers"), F.sum("c").alias("seen")).select("h", "seen", _fail(F.col("n"), F.col("followers"), F.col("seen"), norm).alias("fail")), "states")
-    sent_states = states.where("h >= 0").toArrow()  # FREQUENT + 2 rows at most
-    fail = np.zeros(start + 1)
-    fail[sent_states["h"].to_numpy()] = sent_states["fail"].to_numpy()
-
-    between = (F.col("w") >= 0) & (F.col("w") < vocabulary.arc_words) & ((F.col("h") >= 0) & (F.col("h") < vocabulary.arc_words) | (F.col("h") == start))
-    held = between & (F.col("c") >= _floor_for(pairs.where(between), ARCS, 2))
-    kept = pairs.where(held).toArrow()  # ARCS rows at most
-    model = sent(spark, Automaton(vocabulary, (kept["h"].to_numpy() << 20) + kept["w"].to_numpy(), kept["c"].to_numpy(), texts, total, distinct, fail))
-
-    # All that is not sent, by first and second word; a word's own weights stand at START, which is second to none
-    others = arcs.where(~held)
-    placed = others.where("h >= 0").join(F.broadcast(states.where("h >= 0")), "h").unionByName(others.where("h < 0").join(states.where("h < 0"), "h"))
-    gain = F.log10((F.col("c") - DISCOUNT) / F.col("seen")) - F.log10((F.col("cw") + 0.5) / norm) - F.col("fail")
-    weights = placed.select("h", "w", F.lit(b"").alias("word"), F.lit(None).cast("bigint").alias("c"), gain.alias("add")).unionByName(
-        vocab.join(states.where("h < 0"), F.col("id") == F.col("h")).select("h", F.lit(start).cast("bigint").alias("w"), "word", "c", F.col("fail").alias("add"))
-    )
-
-    schema = "doc_id bigint, text_key bigint, h bigint, w bigint, word binary, n bigint, n_tokens bigint, n_known bigint, base double, more double"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model()
-        ids_of, root = Ids(m.vocabulary.id), m.root
-        end = m.vocabulary.id.get(END)
-        end_weight = root[end] if end is not None else float(np.log10(0.5 / m.norm))
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                keys, text_keys, texts = (c.to_pylist() for c in part.columns)
-                found = [words_of(t) for t in texts]
-                ids = [[ids_of[w] for w in x] for x in found]
-                gains, (text, h, w, n) = m.read(ids)
-                out: list[list] = [[] for _ in kinds]
-                for key, text_key, words, x, gain in zip(keys, text_keys, found, ids, gains):
-                    a = np.array(x, np.int64)
-                    a = a[a >= 0]
-                    # The text's own row joins no word: its name, like END, holds a space
-                    rows = [((key or 0) ^ text_key, b" ", 0, len(words) + 1, len(a) + (end is not None), float(root[a].sum() + end_weight), float(gain))]
-                    if len(a) < len(words):
-                        rows += [(ids_of[w], w, n, 0, 0, 0.0, 0.0) for w, n in Counter([w for w, i in zip(words, x) if i < 0]).items()]
-                    out[0] += [key] * len(rows)
-                    out[1] += [text_key] * len(rows)
-                    out[3] += [start] * len(rows)
-                    for column, values in zip((out[2], *out[4:]), zip(*rows)):
-                        column += values
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-                size, zeros = len(text), np.zeros(len(text), np.int64)
-                open_ = [part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), h, w, pa.repeat(pa.scalar(b"", pa.binary()), size), n, zeros, zeros, zeros.astype(float), zeros.astype(float)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(open_, kinds)], names=names)
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
-    joined = rows.join(weights, ["h", "w", "word"], "left")
-    own, is_word = F.col("n") == 0, (F.col("w") == start) & (F.col("n") > 0)
-    weight = F.when(is_word, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / norm)).otherwise(0.0)
-    sums = joined.groupBy("doc_id", "text_key").agg(
-        F.count_if(own).alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(weight)).alias("base"), F.sum(F.when(own, F.col("more")).otherwise(F.col("n") * F.coalesce("add", F.lit(0.0)))).alias("more"),
-    )
-    # Rows of one id and text were added up; each gets its share
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    result = each.select(
-        "doc_id", F.expr("n_tokens div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"),
-        (F.col("base") / F.col("copies")).alias("base_score"), ((F.col("base") + F.col("more")) / F.col("copies")).alias("score"),
-    )
-    return result, int(total)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(learned, F.lit(False)).alias("learned"), F.col(text_col).cast("binary").alias("text"))
+    table = pack(rows)
+    size, total = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PART_TOKENS))
+
+    answers = None
+    for n in range(1, ORDER + 1):
+
+        def asking(block: int, rows: pa.Table, got: pa.Table | None, n: int = n) -> pa.Table:
+            level = Automaton(rows).with_answers(got, n - 1).deepen()
+            return B.ask(block, level.distinct[level.asked], level.own[level.asked], parts)
+
+        found = B.answer(B.read_blocks(table, answers, asking, B.ASKED), n)
+        if n == 1:
+            distinct = found.agg(F.coalesce(F.sum("present"), F.lit(0))).first()[0] - bool(total)  # START is no word
+        answers = found if answers is None else answers.unionByName(found)
+
+    scored = B.read_blocks(table, answers, lambda _, rows, got: Automaton(rows).with_answers(got, ORDER).scores(int(total), int(distinct)), SCORED)
+    sums = scored.groupBy("text_block", "text_place").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    return sums.select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), "score"), int(total)

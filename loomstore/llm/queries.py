@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, langid, lm, quality, simhash, toxicity, urls, weighted
-from .common import held_out, table
+from .common import fold, held_out, table
 
 
 def tokenizer() -> tuple[str, str]:
@@ -70,8 +70,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learned = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
-    rows, total = lm.score_texts(docs, learned)
+    rows, total = lm.score_texts(docs, fold("doc_id", 5) != 1)
     return rows.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

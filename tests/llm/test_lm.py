@@ -2,7 +2,8 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from loomstore.llm import lm
 
@@ -11,81 +12,108 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) + [" "]
 
 
-def brute(docs, train):
-    c = Counter(t for _, x in train for t in tokens(x))
-    n, v = sum(c.values()), len(c)
-    return c, n, {k: (len(tokens(x)), sum(c[t] > 0 for t in tokens(x)), sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens(x))) for k, (_, x) in enumerate(docs)}
-
-
-def test_counts_and_base_equal_brute_force(make_docs, texts, monkeypatch):
-    docs = list(enumerate(texts)) + [(3, texts[3]), (500, "the the zzz the of of"), (500, "the the zzz the of of")]
-    train = docs[5:20]
-    for frequent in (lm.FREQUENT, 4, 0):
-        monkeypatch.setattr(lm, "FREQUENT", frequent)
-        rows, total = lm.score_texts(make_docs(docs), make_docs(train))
-        c, n, want = brute(docs, train)
-        assert total == n
-        found = sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in rows.collect())
-        assert found == sorted((docs[k][0], a, b, round(s, 6)) for k, (a, b, s) in want.items())
+class Automaton:
+    """The model written out: states by the words they stand for, arcs as (weight, next state), failure arcs as (weight, next state)."""
+
+    def __init__(self, train):
+        runs = Counter()
+        for text in train:
+            seq = ["<s>", *tokens(text)]
+            runs.update(tuple(seq[i : i + n]) for n in range(1, lm.ORDER + 1) for i in range(len(seq) - n + 1))
+        words = Counter({k[0]: c for k, c in runs.items() if len(k) == 1 and k != ("<s>",)})
+        self.n, self.words = sum(words.values()), words
+        self.norm = self.n + 0.5 * (len(words) + 1)
+        self.states = {(), *(k for k in runs if len(k) < lm.ORDER and k[-1] != " ")}
+        self.arcs = {(): {w: math.log10((c + 0.5) / self.norm) for w, c in words.items()}}
+        self.fail = {}
+        for state in sorted(self.states - {()}, key=len):
+            self.fail[state] = math.log10(lm.PULL / (runs[state] + lm.PULL)), self.shorter(state[1:])
+            self.arcs[state] = {}
+        for run, c in sorted(runs.items(), key=lambda x: len(x[0])):
+            if len(run) > 1:
+                lower = 10 ** self.step(self.shorter(run[1:-1]), run[-1])[0]
+                self.arcs[run[:-1]][run[-1]] = math.log10((c + lm.PULL * lower) / (runs[run[:-1]] + lm.PULL))
+
+    def shorter(self, run):
+        while run not in self.states:
+            run = run[1:]
+        return run
+
+    def step(self, state, word):
+        """Weight of reading a word, and the state that it leads to."""
+        weight, at = 0.0, state
+        while word not in self.arcs[at]:
+            if at == ():
+                return weight + math.log10(0.5 / self.norm), ()
+            w, at = self.fail[at]
+            weight += w
+        return weight + self.arcs[at][word], self.shorter((*state, word)[-(lm.ORDER - 1) :])
+
+    def read(self, text):
+        state, total = self.shorter(("<s>",)), 0.0
+        for word in tokens(text):
+            weight, state = self.step(state, word)
+            total += weight
+        found = tokens(text)
+        return len(found), sum(self.words[w] > 0 for w in found), sum(math.log10((self.words[w] + 0.5) / self.norm) for w in found), total
+
+
+def agree(make_docs, docs, learned):
+    rows, total = lm.score_texts(make_docs(docs), F.col("doc_id").isin(*learned))
+    model = Automaton([t for i, t in docs if i in learned])
+    assert total == model.n
+    found = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows.collect()), key=lambda r: (r[:4], round(r[5], 6)))
+    want = sorted(((i is None, i or 0, *model.read(t)) for i, t in docs), key=lambda r: (r[:4], round(r[5], 6)))
+    assert len(found) == len(want)
+    for f, w in zip(found, want):
+        assert f[:4] == w[:4] and abs(f[4] - w[4]) < 1e-6 and abs(f[5] - w[5]) < 1e-6, (f, w)
+
+
+SIZES = [{}, {"BLOCK_TOKENS": 6, "ROW_TOKENS": 3, "PART_TOKENS": 2}, {"BLOCK_TOKENS": 0, "ROW_TOKENS": 0, "PIECE_BYTES": 4}, {"BLOCK_TOKENS": 20, "PIECE_BYTES": 12, "PART_TOKENS": 8}, {"ORDER": 2, "BLOCK_TOKENS": 4}, {"ORDER": 4, "PIECE_BYTES": 9, "BLOCK_TOKENS": 15}]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_scores_equal_those_of_the_automaton_written_out(make_docs, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(lm, name, value)
+    train = ["a b c d", "a b c e", "rare1 rare2 a b", "rare1 rare2", "once more", "a rare1 b", None, "c c c", "a b c d a b c d a b"]
+    docs = ["a b c d", "A B rare1 rare2", "once more once more", "unseen a b unseen unseen", "b a d c", "", "c c c c", "x a b c"]
+    rows = list(enumerate(train + docs)) + [(3, "rare1 rare2"), (30, "a b c d"), (30, "a b c d"), (None, "a b c")]
+    agree(make_docs, rows, set(range(len(train))))
+
+
+def test_odd_texts(make_docs, texts, monkeypatch):
+    texts = [t if t is None else t[:3000] for t in texts]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (500, "the the zzz the of of"), (500, "the the zzz the of of")]
+    agree(make_docs, rows, set(range(5, 20)))
+    monkeypatch.setattr(lm, "PIECE_BYTES", 40)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 30)
+    agree(make_docs, rows, set(range(5, 20)))
 
 
 def test_each_state_s_probabilities_sum_to_one():
-    texts = [b"a b a b c", b"a b d", b"b b a"]
-    c = Counter(w for t in texts for w in [*lm.words_of(t), lm.END])
-    v = lm.Vocabulary(list(c), list(c.values()))
-    pairs = Counter()
-    for t in texts:
-        ids = [len(v.id), *(v.id[w] for w in lm.words_of(t)), v.id[lm.END]]
-        pairs.update((h << 20) + w for h, w in zip(ids, ids[1:]))
-    kept = {k: n for k, n in pairs.items() if n > 1}
-    m = lm.Automaton(v, np.array(list(kept)), np.array(list(kept.values())), 3, sum(c.values()), len(c))
-    unseen = 0.5 / m.norm
-    for h in range(len(v.id) + 1):
-        arc = {int(k) & (1 << 20) - 1: g for k, g in zip(m.keys, m.gain) if k >> 20 == h}
-        total = sum(10 ** (m.root[w] + (arc[w] if w in arc else m.fail[h])) for w in range(len(v.id))) + unseen * 10 ** m.fail[h]
-        assert abs(total - 1) < 1e-9
+    model = Automaton(["a b a b c", "a b d", "b b a", "", "c a b"])
+    for state in model.states:
+        total = sum(10 ** model.step(state, w)[0] for w in [*model.words, "never seen"])
+        assert abs(total - 1) < 1e-9, state
 
 
 def test_the_model_beats_the_base_where_order_tells(make_docs):
-    train = [(i, "red green blue " * 20) for i in range(30)]
-    r = lm.score_texts(make_docs([(1, "red green blue red green blue")]), make_docs(train))[0].first()
+    rows = [(i, "red green blue " * 20) for i in range(30)] + [(99, "red green blue red green blue")]
+    r = lm.score_texts(make_docs(rows), F.col("doc_id") < 50)[0].where("doc_id = 99").first()
     assert r["score"] > r["base_score"] + 1
 
 
 def test_nothing_learned(make_docs):
-    r = lm.score_texts(make_docs([(1, "a b"), (2, None)]), make_docs([]))[0].orderBy("doc_id").collect()
+    r = lm.score_texts(make_docs([(1, "a b"), (2, None)]), F.lit(False))[0].orderBy("doc_id").collect()
     assert [(x["n_tokens"], x["n_known"], x["base_score"], x["score"]) for x in r] == [(3, 0, 0.0, 0.0), (1, 0, 0.0, 0.0)]
-    assert lm.score_texts(make_docs([]), make_docs([]))[0].count() == 0
-
-
-def whole_score(text, train):
-    """Backoff score with every bigram of the training texts as an arc."""
-    c = Counter(t for x in train for t in tokens(x)) + Counter({"": len(train)})
-    pairs = Counter(p for x in train for p in zip(["", *tokens(x)], tokens(x)))
-    n, v = sum(c.values()) - len(train), len(c) - 1
-    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    total = 0.0
-    for h, w in zip(["", *tokens(text)], tokens(text)):
-        after = [b for a, b in pairs if a == h]
-        if (h, w) in pairs:
-            p = (pairs[h, w] - 0.75) / c[h]
-        elif after:
-            p = root(w) * (0.75 * len(after) / c[h]) / (1 - sum(map(root, after)))
-        else:
-            p = root(w)
-        total += math.log10(p)
-    return total
-
-
-def test_all_bigrams_count_wherever_they_are_held(make_docs, monkeypatch):
-    train = ["a b c d", "a b c e", "rare1 rare2 a b", "rare1 rare2", "once more", "a rare1 b", None, "c c c"]
-    docs = ["a b c d", "rare1 rare2", "once more once more", "unseen a b unseen unseen", "b a d c", None, "rare1 rare2"]
-    for frequent, arc_words, arcs in ((lm.FREQUENT, lm.ARC_WORDS, lm.ARCS), (lm.FREQUENT, 2, 1), (4, 2, 2), (1, 1, 0), (0, 0, 0)):
-        monkeypatch.setattr(lm, "FREQUENT", frequent)
-        monkeypatch.setattr(lm, "ARC_WORDS", arc_words)
-        monkeypatch.setattr(lm, "ARCS", arcs)
-        rows = lm.score_texts(make_docs(list(enumerate(docs))), make_docs(list(enumerate(train))))[0].collect()
-        found = {r["doc_id"]: r["score"] for r in rows}
-        assert len(rows) == len(docs)
-        for k, x in enumerate(docs):
-            assert abs(found[k] - whole_score(x, train)) < 1e-9, (frequent, arc_words, arcs, x)
+    assert lm.score_texts(make_docs([]), F.lit(True))[0].count() == 0
+
+
+def test_pieces_hold_the_words_of_the_text(monkeypatch):
+    text = ("one two  three\n" * 50 + "x" * 500 + " end").encode()
+    whole = lm.words_of(text)
+    for size in (1, 7, 100, 10_000):
+        monkeypatch.setattr(lm, "PIECE_BYTES", size)
+        assert [w for p in lm.pieces_of(text) for w in p] == whole
+    assert list(lm.pieces_of(None)) == [[]]
