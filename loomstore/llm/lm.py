@@ -47,7 +47,7 @@ ORDER = 3
 #: Weight of the shorter run in that of the longer, in tokens.
 PULL = 100.0
 #: Tokens of a block, and bytes of text that are one piece; both bound a task's memory.
-BLOCK_TOKENS, PIECE_BYTES = 1 << 21, 1 << 22
+BLOCK_TOKENS, PIECE_BYTES = 1 << 20, 1 << 22
 #: Tokens of a block that are written as one row.
 ROW_TOKENS = 1 << 18
 #: N-grams, on average, that one task adds up at a time.
@@ -170,7 +170,13 @@ class Level:
     def __init__(self, keys: np.ndarray, places: np.ndarray, counted: np.ndarray):
         """keys: by position; places: of the positions that end a whole n-gram; counted: whether a position is learned."""
         self.keys, self.places = keys, places
-        self.distinct, self.first, self.which = np.unique(keys[places], return_index=True, return_inverse=True)
+        found = keys[places]
+        order = found.argsort()  # which of equal ones comes first does not matter
+        ranked = found[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+        self.distinct, self.first = ranked[new], order[new]
+        self.which = np.empty(len(order), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
         self.own = np.bincount(self.which, counted[places], len(self.distinct)).astype(np.int64)
         self.asked = np.ones(len(self.distinct), bool)
 
