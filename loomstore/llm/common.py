@@ -5,7 +5,9 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,40 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of an Arrow batch that become Python objects at a time.
+PIECE_BYTES = 1 << 23
+
+
+def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and about PIECE_BYTES bytes, but of one row at least."""
+    size = max(1, batch.nbytes // max(1, batch.num_rows))
+    if size * min(rows, batch.num_rows) <= PIECE_BYTES // 4:  # even with some rows much longer
+        ends = list(range(rows, batch.num_rows, rows))
+    else:
+        widths = sum((pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy().astype("int64") for c in batch.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type)), 0 * np.arange(batch.num_rows))
+        ends, first, held = [], 0, 0
+        for at, width in enumerate(widths.tolist()):
+            if at > first and (at - first >= rows or held + width > PIECE_BYTES):
+                ends.append(at)
+                first, held = at, 0
+            held += width
+    for a, z in zip([0, *ends], [*ends, batch.num_rows]):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 def map_rows(df: DataFrame, fn: Callable[[list], dict], schema: str, rows: int = 512) -> DataFrame:
-    """Run `fn` over column lists, at most `rows` input rows at a time; it returns columns by name.
+    """Run `fn` over column lists, at most `rows` input rows and about PIECE_BYTES bytes at a time; it returns columns by name.
 
-    Splitting an Arrow batch bounds the Python objects alive at once.  Binary
+    That bounds the Python objects alive at once, but for a text that is longer.  Binary
     and string columns arrive as bytes and str; nulls as None.
     """
     arrow = df.sparkSession.createDataFrame([], schema).schema
@@ -48,8 +80,7 @@ def map_rows(df: DataFrame, fn: Callable[[list], dict], schema: str, rows: int =
 
         out = to_arrow_schema(arrow)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in pieces(batch, rows):
                 columns = fn([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
 
@@ -86,8 +117,8 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
 
 
 def append(df: DataFrame, text_col: str, fn: Callable[[list], list], name: str, kind: str, rows: int = 512) -> DataFrame:
-    """`df` with a column that `fn` makes of its texts, `rows` at a time; the other columns pass through as they are."""
-    schema = df.sparkSession.createDataFrame([], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` {kind}").schema
+    """`df` with a column that `fn` makes of its texts, some at a time as in `map_rows`; the other columns pass through as they are."""
+    schema = df.sparkSession.createDataFrame([], ", ".join("`%s` %s" % (f.name.replace("`", "``"), f.dataType.simpleString()) for f in df.schema) + f", `{name}` {kind}").schema
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +126,14 @@ def append(df: DataFrame, text_col: str, fn: Callable[[list], list], name: str,
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            for first in range(0, batch.num_rows, rows):
-                part = batch.slice(first, rows)
-                made = pa.array(fn(part.column(at).to_pylist()), out.field(name).type)
+            for part in pieces(batch, rows):
+                made = pa.array(fn(part.column(at).to_pylist()), out.field(len(out) - 1).type)
                 yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, out)), made], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, fn: Callable[[list], list], text_col: str = "text", rows: int = 512) -> DataFrame:
+    """The rows of `docs` for whose text `fn` says True, with their own columns."""
+    name = free(docs, "keep")
+    return append(docs, text_col, fn, name, "boolean", rows).where(F.col(name)).drop(name)

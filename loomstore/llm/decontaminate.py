@@ -3,34 +3,45 @@
 Every window of WINDOW words keeps the smallest of its k-gram hashes as its
 fingerprint.  A window that a document and a benchmark item share has the same
 k-grams on both sides, so its fingerprints meet: no shared span of WINDOW words
-is missed.  Fingerprints that meet are extended to whole windows, whose words
-are compared, so a hash collision never counts.  An item of fewer words than a
-window is one window of all its words.
-
-The benchmark is worked off in blocks of at most BLOCK_WORDS words, each sent
-to all executors; documents never move.  Null and empty texts have no words; an
-empty benchmark hits nothing; equal items each count.  Items without an id hit
-like others and stand together as one null at the end of the item ids.  Rows are
-independent, and other columns are ignored.
+is missed.  An item of fewer words than a window is one window of all its words.
+
+Both sides become tables of windows with their fingerprints, and are joined.
+Before the join a document's windows are held against a bitmap of the
+benchmark's fingerprints, FILTER_BITS bits whatever the benchmark's size, which
+is all that is broadcast; what passes joins by fingerprint and by the window's
+words, so a hash collision never counts.  A window that a document repeats is one
+row.  Hits are then extended to the words they cover.  Neither documents nor
+benchmark texts move: only their rows of windows do.
+
+Null and empty texts have no words; an empty benchmark hits nothing; equal items
+each count.  Items without an id hit like others and stand together as one null
+at the end of the item ids.  Texts of any length are read whole, CHUNK_BYTES of
+texts at a time or one text if that is longer.  Repeated rows give repeated
+results; an empty table gives none; other columns are ignored, whatever they are
+called.  Ids that are not numbers are an error.
 """
 
+
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, append, map_rows
+from .common import ASCII_LOWER, free, map_rows, materialize, sent
 
 WINDOW, GRAM = 13, 5
-#: Words of the benchmark in one broadcast block (about 60 bytes a word).
-BLOCK_WORDS = 1_000_000
+#: Bits of the filter that documents' fingerprints are held against first; eight of them make a byte of broadcast.
+FILTER_BITS = 1 << 26
+#: Bits of one value of Spark's bitmap functions.
+BITMAP = 8 * 4096
 #: Bytes of text that are hashed at a time.
 CHUNK_BYTES = 1 << 21
 
-SCHEMA = "doc_id bigint, text_key bigint, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,stop:bigint>>"
+SCANNED = "doc_id bigint, text_key bigint, n_words bigint, print bigint, size int, window binary, starts array<bigint>"
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1
 
@@ -102,141 +113,108 @@ class Words:
         return b" ".join(self.raw[a:z] for a, z in zip(self.starts[at : at + size].tolist(), self.stops[at : at + size].tolist()))
 
 
-class Index:
-    """A block of the benchmark: fingerprints of its windows, and its windows by hash."""
-
-    FILTER = 1 << 20
-
-    def __init__(self, items: list[tuple[str | None, bytes]]):
-        words = Words([t for _, t in items])
-        by_size: dict[int, list[int]] = defaultdict(list)
-        for i in range(len(items)):
-            a, z = words.bounds[i], words.bounds[i + 1]
-            if z > a:
-                by_size[min(WINDOW, int(z - a))] += range(a, max(a + 1, z - WINDOW + 1))
-        self.windows: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
-        self.prints: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size, starts in by_size.items():
-            table: dict[int, dict[bytes, set[str | None]]] = defaultdict(dict)
-            hashes, _ = words.windows(size)
-            for at in starts:
-                table[int(hashes[at])].setdefault(words.joined(at, size), set()).add(items[words.text_of[at]][0])
-            self.windows[size] = dict(table)
-            prints = np.unique(words.fingerprints(size, min(GRAM, size))[starts])
-            seen = np.zeros(self.FILTER, bool)
-            seen[prints % np.uint64(self.FILTER)] = True
-            self.prints[size] = seen, prints
-
-    def hits(self, words: Words) -> list[tuple[int, int, set[str | None]]]:
-        """Windows of the texts that occur in an item: first word, number of words, ids of the items."""
-        out = []
-        for size, (seen, prints) in self.prints.items():
-            low = words.fingerprints(size, min(GRAM, size))
-            near = np.flatnonzero(seen[low % np.uint64(self.FILTER)])
-            place = np.minimum(np.searchsorted(prints, low[near]), len(prints) - 1)
-            near = near[prints[place] == low[near]]
-            if not len(near):
-                continue
-            hashes, whole = words.windows(size)
-            table = self.windows[size]
-            for at in near[whole[near]].tolist():
-                if (same := table.get(int(hashes[at]))) and (ids := same.get(words.joined(at, size))):
-                    out.append((at, size, ids))
-        return out
-
-
-def _scan(index: Index, keys: list, text_keys: list, texts: list) -> dict[str, list]:
-    out: dict[str, list] = {"doc_id": keys, "text_key": text_keys, "n_words": [], "n_hit": [], "item_ids": [], "spans": []}
+def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, Words]]:
+    """The words of about CHUNK_BYTES of texts at a time, and the number of the first text."""
     at = 0
     while at < len(texts):
         stop, size = at, 0
         while stop < len(texts) and (stop == at or size < CHUNK_BYTES):
             size += len(texts[stop] or b"")
             stop += 1
-        words = Words([t or b"" for t in texts[at:stop]])
-        marks, items = np.zeros(len(words.hashes) + 1, np.int64), defaultdict(set)
-        for i, n, ids in index.hits(words):
-            marks[i] += 1
-            marks[i + n] -= 1
-            items[int(words.text_of[i])] |= ids
-        hit = np.cumsum(marks[:-1]) > 0
-        for k in range(stop - at):
-            a, z = int(words.bounds[k]), int(words.bounds[k + 1])
-            edge = np.flatnonzero(np.diff(hit[a:z].astype(np.int8), prepend=0, append=0)).tolist() if k in items else []
-            out["n_words"].append(z - a)
-            out["n_hit"].append(int(hit[a:z].sum()))
-            out["item_ids"].append(sorted(items.get(k, ()), key=lambda x: (x is None, x or "")))
-            out["spans"].append([{"start": s, "stop": e} for s, e in zip(edge[::2], edge[1::2])])
+        yield at, Words([t or b"" for t in texts[at:stop]])
         at = stop
-    return out
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_hit, item_ids (of items with occurring windows, sorted, null last), spans of hit words."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
-    found = [map_rows(docs, _scanner(index), SCHEMA, 2048) for index in _blocks(benchmark, block_words)]
-    if len(found) == 1:
-        return found[0].drop("text_key")
-    return _merged(found).drop("text_key")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with their own columns; hits of all blocks count together."""
-    blocks = _blocks(benchmark, block_words)
-    if len(blocks) == 1:
-        scan = _scanner(blocks[0])
-
-        def bad(texts: list) -> list[bool]:
-            none = [None] * len(texts)
-            found = scan([none, none, [t if t is None else t.encode("utf-8", "replace") for t in texts]])
-            return [h > 0 and 20 * h >= n for n, h in zip(found["n_words"], found["n_hit"])]
-
-        return append(docs, "text", bad, "_bad", "boolean", 2048).where("not _bad").drop("_bad")
-    found = _merged([map_rows(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary")), _scanner(b), SCHEMA, 2048) for b in blocks])
-    bad = found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select("text_key").distinct()
-    return docs.withColumn("_key", F.xxhash64("text")).join(bad, F.col("_key") == F.col("text_key"), "left_anti").drop("_key")
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> list:
-    """The benchmark's items in broadcasts of at most `block_words` words (but for one huge item)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0))).first()[0]  # a word takes two bytes with its gap
-    blocks = max(1, -(-int(size) // block_words))
-    found = []
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        found.append(benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in rows]))
-    return found
-
-
-def _merged(found: list[DataFrame]) -> DataFrame:
-    """Several blocks' rows of one text, met again by id and text."""
-    every = found[0].withColumn("first", F.lit(True))
-    for part in found[1:]:
-        every = every.unionByName(part.withColumn("first", F.lit(False)))
-    merged = every.groupBy("doc_id", "text_key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.count_if("first").alias("copies"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["start"], x["stop"] - 1)))))
-    return (
-        merged.withColumn("words", covered)
-        .select("doc_id", "text_key", "n_words", F.size("words").cast("bigint").alias("n_hit"), "item_ids", F.expr("transform(filter(words, (w, i) -> i = 0 or words[i - 1] <> w - 1), w -> named_struct('start', w, 'stop', w + 1))").alias("starts"), "words", "copies")
-        .withColumn("stops", F.expr("filter(words, (w, i) -> i = size(words) - 1 or words[i + 1] <> w + 1)"))
-        .withColumn("spans", F.expr("transform(starts, (x, i) -> named_struct('start', x.start, 'stop', stops[i] + 1))"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("doc_id", "text_key", "n_words", "n_hit", "item_ids", "spans")
-    )
-
-
-def _scanner(index):
-    built: list[Index] = []
 
-    def scan(columns: list) -> dict[str, list]:
-        if not built:
-            built.append(Index(index.value))
-        return _scan(built[0], *columns)
 
-    return scan
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(print, size, window, items) of the benchmark's distinct windows, written; items: sorted ids, null last."""
 
+    def scan(columns: list) -> dict[str, list]:
+        ids, texts = columns
+        rows: set[tuple[str | None, int, int, bytes]] = set()
+        for first, words in _chunks(texts):
+            sizes = np.diff(words.bounds)
+            for size in np.unique(np.minimum(sizes[sizes > 0], WINDOW)).tolist():
+                prints = words.fingerprints(size, min(GRAM, size)).view(np.int64)
+                for k in np.flatnonzero((sizes >= WINDOW) if size == WINDOW else (sizes == size)).tolist():
+                    for at in range(words.bounds[k], words.bounds[k + 1] - size + 1):
+                        rows.add((ids[first + k], int(prints[at]), size, words.joined(at, size)))
+        columns = list(zip(*rows)) or [()] * 4
+        return dict(zip(("item", "print", "size", "window"), columns))
+
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("text is not null")
+    windows = map_rows(items, scan, "item string, print bigint, size int, window binary")
+    # A list is as long as that of the document that it is found in
+    ids = F.sort_array(F.collect_set("item"))
+    unnamed = F.when(F.count_if(F.col("item").isNull()) > 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return materialize(windows.groupBy("print", "size", "window").agg(F.concat(ids, unnamed).alias("items")), "windows")
+
+
+def print_filter(windows: DataFrame) -> tuple[list[int], bytes]:
+    """The sizes of windows, and the bitmap of their fingerprints; at most FILTER_BITS bits."""
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # WINDOW rows at most
+    place = F.pmod("print", F.lit(FILTER_BITS))
+    rows = windows.groupBy(F.floor(place / BITMAP).alias("at")).agg(F.bitmap_construct_agg((place % BITMAP)).alias("bits")).collect()  # FILTER_BITS / BITMAP rows at most
+    bits = bytearray(FILTER_BITS // 8)
+    for r in rows:
+        bits[r["at"] * BITMAP // 8 : (r["at"] + 1) * BITMAP // 8] = r["bits"]
+    return sorted(sizes), bytes(bits)
+
+
+def document_windows(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """SCANNED: a row for each distinct window of a document whose fingerprint passes the filter, and one of size 0 for the document."""
+    known = sent(docs.sparkSession, print_filter(windows))
 
-def contaminated(n_words, n_hit):
+    def scan(columns: list) -> dict[str, list]:
+        keys, text_keys, texts = columns
+        sizes, bits = known()
+        bits = np.frombuffer(bits, np.uint8)
+        out: list[tuple] = []
+        for first, words in _chunks(texts):
+            found: dict[tuple[int, int, int, bytes], list[int]] = defaultdict(list)
+            for size in sizes:
+                prints = words.fingerprints(size, min(GRAM, size))
+                place = prints & np.uint64(FILTER_BITS - 1)
+                near = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                _, whole = words.windows(size)
+                for at in near[whole[near]].tolist():
+                    k = int(words.text_of[at])
+                    found[k, int(prints[at].view(np.int64)), size, words.joined(at, size)].append(at - int(words.bounds[k]))
+            for k, n in enumerate(np.diff(words.bounds).tolist()):
+                out.append((keys[first + k], text_keys[first + k], n, text_keys[first + k], 0, b"", []))
+            for (k, print_, size, window), starts in found.items():
+                out.append((keys[first + k], text_keys[first + k], 0, print_, size, window, starts))
+        columns = list(zip(*out)) or [()] * 7
+        return dict(zip(("doc_id", "text_key", "n_words", "print", "size", "window", "starts"), columns))
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
+    return map_rows(rows, scan, SCANNED, 2048)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of `docs`: doc_id, text_key, n_words, n_hit, item_ids (of items with occurring windows, sorted, null last), spans of hit words."""
+    windows = item_windows(benchmark)
+    hits = document_windows(docs, windows, id_col, text_col).join(windows, ["print", "size", "window"], "left")
+    own, hit = F.col("size") == 0, F.col("items").isNotNull()
+    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1)))
+    merged = hits.groupBy("doc_id", "text_key").agg(
+        F.count_if(own).alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(hit, covered))))).alias("words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"),
+    )
+    edges = merged.withColumn("starts", F.expr("filter(words, (w, i) -> i = 0 or words[i - 1] <> w - 1)")).withColumn("stops", F.expr("filter(words, (w, i) -> i = size(words) - 1 or words[i + 1] <> w + 1)"))
+    spans = F.expr("transform(starts, (x, i) -> named_struct('start', x, 'stop', stops[i] + 1))")
+    each = edges.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))  # equal rows of one id were taken together
+    return each.select("doc_id", "text_key", "n_words", F.size("words").cast("bigint").alias("n_hit"), "item_ids", spans.alias("spans"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their own columns."""
+    found = find_contamination(docs, benchmark)
+    key = free(docs, "key")
+    # Whether a text is contaminated hangs on the text alone; written first, so that a small table is known to be small
+    bad = materialize(found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("text_key").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, F.xxhash64("text")).join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def contaminated(n_words: Column, n_hit: Column) -> Column:
     """The rule of the benchmark: a twentieth of the words or more lie in shared windows."""
     return (n_hit > 0) & (n_hit * 20 >= n_words)

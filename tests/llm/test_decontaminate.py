@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomstore.llm import decontaminate as D
@@ -49,11 +50,23 @@ def check(rows, docs, items):
         assert sum(s["stop"] - s["start"] for s in r["spans"]) == r["n_hit"]
 
 
-def test_equals_brute_force_in_one_block_and_in_many(spark, make_docs):
+@pytest.mark.parametrize("bits", [D.FILTER_BITS, D.BITMAP])
+def test_equals_brute_force_however_many_pass_the_filter(spark, make_docs, monkeypatch, bits):
+    monkeypatch.setattr(D, "FILTER_BITS", bits)
     docs, items = cases()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     check(D.find_contamination(make_docs(docs), bench).collect(), docs, items)
-    check(D.find_contamination(make_docs(docs), bench, block_words=60).collect(), docs, items)
+    many = [(10 * k + j, t) for j in range(8) for k, t in items]
+    check(D.find_contamination(make_docs(docs[:30]), spark.createDataFrame(many, "item_id bigint, text string")).collect(), docs[:30], many)
+
+
+def test_the_filter_holds_all_fingerprints_and_is_of_one_size(spark):
+    _, items = cases()
+    windows = D.item_windows(spark.createDataFrame(items, "item_id bigint, text string"))
+    sizes, bits = D.print_filter(windows)
+    assert sizes == sorted({min(13, len(words(t))) for _, t in items} - {0}) and len(bits) == D.FILTER_BITS // 8
+    places = {r["print"] % D.FILTER_BITS for r in windows.collect()}
+    assert all(bits[p >> 3] >> (p & 7) & 1 for p in places) and sum(b.bit_count() for b in bits) == len(places)
 
 
 def test_contaminated_rows_go_with_their_columns_kept(spark, make_docs):
@@ -61,9 +74,8 @@ def test_contaminated_rows_go_with_their_columns_kept(spark, make_docs):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted(i for i, t in docs for n, h, _ in [brute(t, items)] if not (h and 20 * h >= n))
     df = make_docs(docs)
-    for block in (D.BLOCK_WORDS, 60):
-        kept = D.drop_contaminated(df, bench, block)
-        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == want
+    kept = D.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == want
 
 
 def test_empty_tables(spark, make_docs):
@@ -97,6 +109,5 @@ def test_items_without_an_id_hit(spark, make_docs, tmp_path):
     assert sorted(tuple(r[c] for c in want.columns) for r in rows) == sorted(want.fetchall())
     bad = sorted(r["doc_id"] for r in rows if r["contaminated"])
     assert 4 in bad
-    for block in (D.BLOCK_WORDS, 60):
-        kept = sorted(r["doc_id"] for r in D.drop_contaminated(make_docs(docs), bench, block).collect())
-        assert sorted(kept + bad) == sorted(i for i, _ in docs)
+    kept = sorted(r["doc_id"] for r in D.drop_contaminated(make_docs(docs), bench).collect())
+    assert sorted(kept + bad) == sorted(i for i, _ in docs)
