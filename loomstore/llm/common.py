@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +55,7 @@ def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     if size * min(rows, batch.num_rows) <= PIECE_BYTES // 4:  # even with some rows much longer
         ends = list(range(rows, batch.num_rows, rows))
     else:
-        widths = sum((pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy().astype("int64") for c in batch.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type)), 0 * np.arange(batch.num_rows))
+        widths = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy().astype("int64") for c in batch.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type)), 0 * np.arange(batch.num_rows))
         ends, first, held = [], 0, 0
         for at, width in enumerate(widths.tolist()):
             if at > first and (at - first >= rows or held + width > PIECE_BYTES):

@@ -42,3 +42,23 @@ def test_labels_without_a_document_take_no_place_in_the_sample(spark, make_docs)
     sample, sizes = common.labelled_sample(docs, labels, "toxic", 1, 1, 3)
     rows = sample.collect()
     assert sizes == {0: 4, 1: 4} and sorted(r["y"] for r in rows) == [0, 0, 0, 1, 1, 1] and all(r["doc_id"] < 8 for r in rows)
+
+
+def test_batches_are_cut_by_rows_and_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "PIECE_BYTES", 100)
+    texts = ["a" * 30, None, "", "b" * 500, "c" * 60, "d" * 60, "e", "f"]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(8)), "t": texts})
+    for rows in (1, 3, 100):
+        cut = list(common.pieces(batch, rows))
+        assert [x for p in cut for x in p.column(1).to_pylist()] == texts and all(p.num_rows <= rows for p in cut)
+        assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 100 for p in cut)
+    assert list(common.pieces(batch.slice(0, 0), 5)) == []
+    short = pa.RecordBatch.from_pydict({"t": ["x"] * 10})
+    assert [p.num_rows for p in common.pieces(short, 4)] == [4, 4, 2]
+
+
+def test_free_names(spark):
+    df = spark.createDataFrame([(1, 2)], "Key int, key_ int")
+    assert common.free(df, "key") == "key__" and common.free(df, "other") == "other"
