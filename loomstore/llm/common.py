@@ -88,11 +88,12 @@ def map_rows(df: DataFrame, fn: Callable[[list], dict], schema: str, rows: int =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of at most `per_class` labelled training rows of each class, and the classes' sizes.
+    """(doc_id, text, y), written: at most `per_class` labelled training documents of each class; and the classes' sizes in documents.
 
-    Rows whose fold is `remainder` are never among them.  A row is chosen by the
-    hash of its id, so the sample is the same on every run.  A document with
-    several labels takes the largest; labels without a document count nowhere.
+    Documents whose fold is `remainder` are never among them.  A document is chosen
+    by the hash of its id, so the sample is the same on every run.  One with several
+    labels takes the largest; an id with several rows counts once, with the text of
+    the smallest hash; labels without a document count nowhere.
     """
     y = F.col(label).cast("int")
     labels = labels.select(F.col(id_col).alias("doc_id"), y.alias("y")).where(y.isin(0, 1) & (fold(id_col, mod) != remainder))
@@ -101,7 +102,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     sizes = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [labels.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = parts[0].union(parts[1])  # 2 * per_class rows at most
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id"), sizes
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("t"))
+    return materialize(rows.select("doc_id", "t.text", "y"), "sample"), sizes
 
 
 def sent(spark: SparkSession, value: object) -> Callable[[], object]:

@@ -1,44 +1,43 @@
 """Language identification, words first.
 
-Each language has the log frequencies of its commonest words and of the
-character n-grams of its words.  A word that some language knows adds its log
-frequency under every language.  An unseen word is scored by the longest
-n-grams of it that are known: those of NGRAMS characters if there are any, else
-one fewer, down to single characters.  The language of the largest sum is
-predicted; the score is its share among all, from the mean per word, so that it
-does not saturate on long texts.
+Each language has the log frequencies of its words and of the character n-grams
+of its words.  A word that some language knows adds its log frequency under every
+language.  An unseen word is scored by the longest n-grams of it that are known:
+those of NGRAMS characters if there are any, else one fewer, down to single
+characters.  The language of the largest sum is predicted; the score is its share
+among all, from the mean per word, so that it does not saturate on long texts.
 
 The model is fitted on PER_LANGUAGE training rows a language (about that many:
 each row is taken or not by the hash of its id alone, so no task sees all rows of
-a language; all rows if there are fewer), and keeps at most WORDS words and NGRAM_ENTRIES n-grams of
-each length a language: a documented bound on what is sent to executors.
-
-A null text, and one without a letter, is UNKNOWN with score 0, as is every text
-when nothing was learned.  Ties go to the language that sorts first.  Repeated
-rows count each; other columns are ignored.
+a language; all rows if there are fewer): a documented bound.  All words and n-grams
+of those rows are kept, so the model is as large as their texts' vocabulary.
+
+A null text, and one without a letter (`str.isalpha`), is UNKNOWN with score 0, as
+is every text when nothing was learned.  A text whose letters make no word that
+any n-gram knows scores all languages alike; ties go to the language that sorts
+first.  Texts of any length are read whole.  Repeated rows count each; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, map_rows, sent
+from .common import fold, held_out, map_rows, materialize, pieces, sent
 
-PER_LANGUAGE, WORDS, NGRAMS, NGRAM_ENTRIES, UNKNOWN = 2_000, 20_000, 5, 4_000, "und"
-#: Words whose figures a task remembers.
+PER_LANGUAGE, NGRAMS, UNKNOWN = 500, 5, "und"
+#: Unseen words whose figures a task remembers.
 CACHED_WORDS = 200_000
 #: How much the mean per word is sharpened to a share.
 SHARPNESS = 8.0
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,33 +50,75 @@ def ngrams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def has_letter(text: str) -> bool:
+    return next(filter(str.isalpha, text), None) is not None
+
+
 class Model:
-    """Languages, and rows of log frequencies by word and by n-gram."""
+    """Languages; words and n-grams by their rows in tables of log frequencies, a column a language."""
 
-    def __init__(self, counts: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
-        """counts: (language, length of n-gram or 0 for words, term, count); totals: by language and length."""
+    def __init__(self, counts: list[tuple[str, int, str, int]]):
+        """counts: (language, length of n-gram or 0 for words, term, count)."""
         self.languages = sorted({lang for lang, *_ in counts})
         column = {lang: k for k, lang in enumerate(self.languages)}
-        self.tables: list[dict[str, np.ndarray]] = []
+        self.row: list[dict[str, int]] = []
+        self.tables: list[np.ndarray] = []
         for n in range(NGRAMS + 1):
-            terms: dict[str, np.ndarray] = {}
-            for lang, size, term, c in counts:
-                if size == n:
-                    terms.setdefault(term, np.zeros(len(column)))[column[lang]] = c
-            total = np.array([totals.get((lang, n), 0) for lang in self.languages], float)
-            self.tables.append({t: np.log((c + 0.1) / (total + 0.1 * (len(terms) + 1))) for t, c in terms.items()})
-
-    def figures(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+            mine = [(column[lang], term, c) for lang, size, term, c in counts if size == n]
+            row = {term: k for k, term in enumerate(sorted({term for _, term, _ in mine}))}
+            table = np.zeros((len(row), len(column)))
+            for lang, term, c in mine:
+                table[row[term], lang] += c
+            self.row.append(row)
+            self.tables.append(np.log((table + 0.1) / (table.sum(0) + 0.1 * (len(row) + 1))))
+
+    def unseen(self, word: str) -> np.ndarray:
+        """Figures of a word that no language knows."""
         for n in range(NGRAMS, 0, -1):
-            found = [r for g in ngrams_of(word, n) if (r := self.tables[n].get(g)) is not None]
+            found = [k for g in ngrams_of(word, n) if (k := self.row[n].get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.tables[n][found].mean(axis=0)
         return np.zeros(len(self.languages))
 
 
+class Reader:
+    """A model at work: figures of unseen words are worked out once, CACHED_WORDS of them at most."""
+
+    def __init__(self, model: Model):
+        self.model, self.row, self.words = model, dict(model.row[0]), len(model.row[0])
+        self.table = np.zeros((self.words + CACHED_WORDS, len(model.languages)))
+        self.table[: self.words] = model.tables[0]
+
+    def figures(self, words: list[str]) -> np.ndarray:
+        rows = list(map(self.row.get, words))
+        if None not in rows:
+            return self.table[rows]
+        new = [w for w, k in zip(words, rows) if k is None]
+        if len(new) > CACHED_WORDS:  # a text of more unseen words than are remembered
+            unseen = iter(np.array([self.model.unseen(w) for w in new]))
+            return np.array([next(unseen) if k is None else self.table[k] for k in rows])
+        if len(self.row) + len(new) > len(self.table):
+            self.row = dict(self.model.row[0])
+            return self.figures(words)
+        for w in new:
+            k = self.row[w] = len(self.row)
+            self.table[k] = self.model.unseen(w)
+        return self.table[list(map(self.row.get, words))]
+
+    def read(self, text: str | None) -> tuple[str, float]:
+        languages = self.model.languages
+        if not languages or not text or not has_letter(text):
+            return UNKNOWN, 0.0
+        counts = Counter(words_of(text))
+        total, n = np.zeros(len(languages)), 0.0
+        if counts:
+            k = np.fromiter(counts.values(), float, len(counts))
+            total, n = k @ self.figures(list(counts)), k.sum()
+        z = np.exp(SHARPNESS * (total - total.max()) / max(1.0, n))
+        best = int(z.argmax())
+        return languages[best], float(z[best] / z.sum())
+
+
 def fit(docs: DataFrame, mod: int = 3, remainder: int = 1) -> Model:
     learned = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", mod) != remainder))
     sizes = learned.groupBy("lang").agg(F.count("*").alias("n"))
@@ -94,8 +135,8 @@ def fit(docs: DataFrame, mod: int = 3, remainder: int = 1) -> Model:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "n", "term", "c"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for lang, text in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
+            for part in pieces(batch, 512):
+                for lang, text in zip(*(c.to_pylist() for c in part.columns)):
                     counts.setdefault((lang, 0), Counter()).update(words_of(text))
                 if sum(map(len, counts.values())) > 300_000:
                     yield out()
@@ -116,41 +157,18 @@ def fit(docs: DataFrame, mod: int = 3, remainder: int = 1) -> Model:
     # Few bytes but much work: dealt out by number, so that the adaptive plan does not join the parts again
     words = words.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term")
     terms = map_rows(words.select("lang", "term", "c"), split, "lang string, n int, term string, c bigint", 8192).groupBy("lang", "n", "term").agg(F.sum("c").alias("c"))
-    terms = terms.cache()
-    try:
-        totals = {(r["lang"], r["n"]): r["c"] for r in terms.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
-        place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "term"))
-        most = F.when(F.col("n") == 0, WORDS).otherwise(NGRAM_ENTRIES)
-        kept = terms.withColumn("place", place).where((F.col("place") <= WORDS) & (F.col("place") <= most)).select("lang", "n", "term", "c").toArrow()
-    finally:
-        terms.unpersist()
-    return Model(list(zip(*(kept[c].to_pylist() for c in ("lang", "n", "term", "c")))), totals)
+    kept = materialize(terms, "terms").toArrow()  # the terms of PER_LANGUAGE rows a language
+    return Model(list(zip(*(kept[c].to_pylist() for c in ("lang", "n", "term", "c")))))
 
 
 def predict(docs: DataFrame, model: Model, mod: int = 3, remainder: int = 1) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
-    trained, known = sent(docs.sparkSession, model), {}
+    trained, ready = sent(docs.sparkSession, model), []
 
     def one(text: str | None) -> tuple[str, float]:
-        m = trained()
-        if not m.languages or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        total, n = np.zeros(len(m.languages)), 0
-        counts = Counter(words_of(text))
-        rows = []
-        for w in counts:
-            got = known.get(w)
-            if got is None:
-                known[w] = got = m.figures(w)
-            rows.append(got)
-        if rows:
-            k = np.fromiter(counts.values(), float, len(rows))
-            total, n = k @ np.array(rows), k.sum()
-        z = np.exp(SHARPNESS * (total - total.max()) / max(1.0, n))
-        best = int(z.argmax())
-        return m.languages[best], float(z[best] / z.sum())
+        if not ready:
+            ready.append(Reader(trained()))
+        return ready[0].read(text)
 
     def scan(columns: list) -> dict[str, list]:
         keys, held, texts = columns

@@ -13,7 +13,10 @@ The model is fitted on the driver, on the figures of at most PER_CLASS labelled
 rows a class (weighed back to the classes' sizes): a documented bound.  Texts
 are read whole everywhere.  Null and empty texts have the figures of no words,
 and a score like others.  With labels of one class, or none, the score is that
-class's share (0.5 without labels).
+class's share (0.5 without labels).  A figure that ties with a bin's edge falls
+into the bin above.  Repeated rows are scored each; a labelled id with several
+rows is learned from once.  An empty table gives no rows; other columns are
+ignored by `score` and kept as they are by `keep_good`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, held_out, labelled_sample, map_rows
+from .common import held_out, keep_rows, labelled_sample, map_rows
 
 PER_CLASS, BINS, LEAVES, ROUNDS, PAIRS, PAIR_BINS, PAIR_ROUNDS, RATE = 8_000, 32, 4, 60, 8, 8, 30, 0.15
 
@@ -174,5 +177,4 @@ def score(docs: DataFrame, model: Gam, mod: int = 3, remainder: int = 1) -> Data
 
 def keep_good(docs: DataFrame, model: Gam, least: float = 0.5) -> DataFrame:
     """The rows of `docs` whose score is `least` or more, with their own columns."""
-    rows = append(docs, "text", lambda texts: model.score(np.array([figures(t) for t in texts])), "_quality", "double")
-    return rows.where(F.col("_quality") >= least).drop("_quality")
+    return keep_rows(docs, lambda texts: (model.score(np.array([figures(t) for t in texts])) >= least).tolist())

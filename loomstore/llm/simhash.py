@@ -13,6 +13,12 @@ centres instead: two fingerprints are within 2t bits exactly if both are within
 t of a common centre, so nodes that meet at a centre are all linked to the
 smallest of them.  That is exact and takes a fixed number of rows a node, no
 matter how large the bucket is.
+
+Null and empty texts have no words and the fingerprint zero, which links like any
+other.  Texts of any length are read whole.  Repeated rows, and equal texts, have
+equal fingerprints and so one component; nothing is left to ties, as a component is
+named by its smallest id.  Rows without an id belong to components but name none.
+An empty table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_rows, materialize
+from .common import ASCII_LOWER, free, map_rows, materialize
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -123,8 +129,8 @@ def hex_fp(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each group, that of the smallest id; rows without an id stay. The columns are the documents' own."""
-    groups = link_duplicates(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("text_key").alias("_key"))
-    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(first, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    groups, key = link_duplicates(docs), free(docs, "key")
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("text_key").alias(key))
+    keyed = docs.where("doc_id is not null").withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(first, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]).drop(key)
     return kept.unionByName(docs.where("doc_id is null"))

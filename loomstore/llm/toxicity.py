@@ -1,24 +1,30 @@
 """Toxicity by weak supervision.
 
-Voters.  From a sample of labelled training rows, words and word beginnings that
-are far commoner in toxic texts are counted out; enough are taken that every
+Voters.  From a sample of labelled training documents, words and word beginnings
+that are far commoner in toxic texts are counted out; enough are taken that every
 toxic text of the sample has COVER of them.  They are dealt to lexicon voters
 (whole words) and pattern voters (beginnings of a length), beside voters for
-several hits at once, for no hit, and for shouting; the label is a voter too.
-Each says toxic, clean or nothing.
+several hits at once, for no hit, and for shouting.  Each says toxic, clean or
+nothing.  The label of a text is no voter: it only helps to find the words.
 
 Label model.  Expectation maximisation estimates the share of toxic texts and
 each voter's accuracies, without taking any vote for the truth.  The voters'
 correlations within a class are estimated from what is left, and a voter's
 evidence counts the less the more it repeats others'.
 
-Classifier.  A logistic regression over the words and beginnings is trained on
-the posterior labels, and scores any text whole.
-
-The sample is bounded: at most PER_CLASS labelled rows a class, weighed back to
-the classes' sizes; at most CANDIDATES words and beginnings.  Null and empty
-texts have no hits, and the score of such.  Without labels of both classes no
-word is telling, and the score is the share of toxic labels (0 without any).
+Classifier.  A logistic regression over the words and beginnings, and over the
+number of words with a hit, is trained on the posterior labels, and scores any
+text whole.
+
+The sample is bounded: at most PER_CLASS labelled documents a class, weighed back
+to the classes' sizes; the words and beginnings are as many as its texts tell of.
+Null and empty texts have no hits, and the score of such.  Without labels of both
+classes no word is telling, and the score is the share of toxic labels (0 without
+any).  Of words that tell alike the longer comes first, then by the alphabet.
+Texts of any length are read whole.  Repeated rows are scored each; a labelled id
+with several rows is learned from once.  An empty table gives no rows; other
+columns are ignored by `score` and kept as they are by `keep_clean`, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -32,13 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, held_out, labelled_sample, map_rows, sent
+from .common import held_out, keep_rows, labelled_sample, map_rows, pieces, sent
 
-PER_CLASS, CANDIDATES, COVER, LEXICONS = 10_000, 2_000, 3, 8
+PER_CLASS, COVER, LEXICONS = 10_000, 3, 8
 PREFIXES = (3, 4, 5, 6)
 CACHED_WORDS = 500_000
-#: Words with a hit that are told apart by number.
-MOST = 6
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -67,8 +71,8 @@ def feature_counts(sample: DataFrame) -> DataFrame:
             return made
 
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1)):
-                counts[y.as_py()].update({f for w in words_of(text.as_py()) for f in features_of(w)})
+            for text, y in (row for part in pieces(batch, 64) for row in zip(*(c.to_pylist() for c in part.columns))):
+                counts[y].update({f for w in words_of(text) for f in features_of(w)})
                 if len(counts[0]) + len(counts[1]) > 500_000:
                     yield out()
         yield out()
@@ -83,7 +87,7 @@ class Hits:
         self.id, self.known = {f: i for i, f in enumerate(features)}, {}
 
     def of(self, text: str | None) -> tuple[list[int], int]:
-        """The ids, and how many words (MOST at most) have one."""
+        """The ids, and how many words have one."""
         found: set[int] = set()
         n = 0
         known = self.known
@@ -96,7 +100,7 @@ class Hits:
             if got:
                 found.update(got)
                 n += k
-        return sorted(found), min(n, MOST)
+        return sorted(found), n
 
 
 def label_model(votes: np.ndarray, weight: np.ndarray, share: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,11 +128,11 @@ def label_model(votes: np.ndarray, weight: np.ndarray, share: float, rounds: int
     return posterior, accuracies, correlation
 
 
-def _votes(hits: list[list[int]], several: np.ndarray, features: list[str], shout: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _votes(hits: list[list[int]], several: np.ndarray, features: list[str], shout: np.ndarray) -> np.ndarray:
     words = [i for i, f in enumerate(features) if f[-1] != "*"]
     voter = {i: k % LEXICONS for k, i in enumerate(words)} | {i: LEXICONS + PREFIXES.index(len(f) - 1) for i, f in enumerate(features) if f[-1] == "*"}
     lexicons = LEXICONS + len(PREFIXES)
-    votes = np.full((len(hits), lexicons + 5), -1)
+    votes = np.full((len(hits), lexicons + 4), -1)
     for row, found, n in zip(votes, hits, several.tolist()):
         for i in found:
             row[voter[i]] = 1
@@ -136,7 +140,6 @@ def _votes(hits: list[list[int]], several: np.ndarray, features: list[str], shou
         row[lexicons + 1] = 1 if n >= 4 else -1
         row[lexicons + 2] = -1 if n > 1 else 0
     votes[:, lexicons + 3] = np.where(shout > 0.5, 1, -1)
-    votes[:, lexicons + 4] = y
     return votes
 
 
@@ -148,8 +151,12 @@ class Model:
         n, m = len(hits), len(features)
         at = np.repeat(np.arange(n), [len(x) for x in hits])
         ids = np.array([i for x in hits for i in x], np.int64)
-        reached = (several[:, None] > np.arange(MOST)).astype(float)
-        w, c, b = np.zeros(m), np.zeros(MOST), 0.0
+        # Numbers of hits that are told apart: each up to four, then every power of the root of two, up to the sample's largest
+        most = max(1, int(several.max(initial=1)))
+        self.steps = np.array(sorted({1, 2, 3, *(round(2 ** (k / 2)) for k in range(4, 2 * most.bit_length() + 1))}))
+        self.steps = self.steps[self.steps <= most]
+        reached = (several[:, None] >= self.steps).astype(float)
+        w, c, b = np.zeros(m), np.zeros(len(self.steps)), 0.0
         weight = weight / weight.sum()
         size = np.bincount(ids, weight[at], m) * 0.25 + 1e-4  # of each coordinate, for the step
         for k in range(rounds):
@@ -162,7 +169,7 @@ class Model:
         self.w, self.c, self.b = w, c, b
 
     def score(self, hits: list[tuple[list[int], int]]) -> np.ndarray:
-        z = np.array([self.b + self.c[:n].sum() + self.w[x].sum() for x, n in hits])
+        z = np.array([self.b + self.c[self.steps <= n].sum() + self.w[x].sum() for x, n in hits])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -176,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4,
         return model
     odds = ((F.col("toxic") + 0.5) / (total[1] + 1.0)) / ((F.col("clean") + 0.5) / (total[0] + 1.0))
     telling = feature_counts(sample).where((F.col("toxic") >= 4) & (odds >= 6)).withColumn("odds", odds)
-    ranked = telling.orderBy(F.desc(F.col("toxic") * F.ln("odds")), F.desc(F.length("feature")), "feature").limit(CANDIDATES).collect()
+    ranked = telling.orderBy(F.desc(F.col("toxic") * F.ln("odds")), F.desc(F.length("feature")), "feature").collect()  # of 2 * PER_CLASS texts
     features = [r["feature"] for r in ranked]
 
     def scan(columns: list) -> dict[str, list]:
@@ -211,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4,
     rows = map_rows(sample.select("text", "y"), count, "hits array<int>, n int, shout double, y int").toArrow()
     hits, several, y = rows["hits"].to_pylist(), rows["n"].to_numpy(), rows["y"].to_numpy().astype(int)
     weight = np.array([sizes[k] / max(1, int((y == k).sum())) for k in y.tolist()])
-    posterior, _, _ = label_model(_votes(hits, several, features, rows["shout"].to_numpy(), y), weight, share)
+    posterior, _, _ = label_model(_votes(hits, several, features, rows["shout"].to_numpy()), weight, share)
     return Model(features, hits, several, posterior, weight)
 
 
@@ -242,4 +249,5 @@ def _scorer(docs: DataFrame, model: Model):
 
 def keep_clean(docs: DataFrame, model: Model, most: float = 0.3) -> DataFrame:
     """The rows of `docs` whose score is below `most`, with their own columns."""
-    return append(docs, "text", _scorer(docs, model), "_toxicity", "double").where(F.col("_toxicity") < most).drop("_toxicity")
+    scores = _scorer(docs, model)
+    return keep_rows(docs, lambda texts: (scores(texts) < most).tolist())

@@ -129,7 +129,103 @@ def test_languages_without_words_letters_or_training(spark, make_docs):
 
 def test_unseen_words_fall_back_to_shorter_ngrams():
     counts = [("aa", 0, "known", 5), ("aa", 3, "<zq", 4), ("bb", 1, "z", 9), ("bb", 3, "xyz", 2)]
-    m = langid.Model(counts, {("aa", 0): 5, ("aa", 3): 4, ("bb", 1): 9, ("bb", 3): 2})
-    assert (m.figures("known") == m.tables[0]["known"]).all()
-    assert (m.figures("zqk") == m.tables[3]["<zq"]).all()
-    assert (m.figures("kz") == m.tables[1]["z"]).all() and not m.figures("ooo").any()
+    m = langid.Model(counts)
+    assert (langid.Reader(m).figures(["known"])[0] == m.tables[0][m.row[0]["known"]]).all()
+    assert (m.unseen("zqk") == m.tables[3][m.row[3]["<zq"]]).all()
+    assert (m.unseen("kz") == m.tables[1][m.row[1]["z"]]).all() and not m.unseen("ooo").any()
+
+
+def brute_language(text, rows):
+    """From (language, text) rows: language and score by the definition, term by term."""
+    languages = sorted({lang for lang, _ in rows})
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    split = lambda t: "".join(c if "a" <= c <= "z" or c >= "\x80" else " " for c in t.lower()).split(" ")
+    words = {lang: [w for at, t in rows if at == lang for w in split(t) if w] for lang in languages}
+    terms = {(lang, 0): words[lang] for lang in languages}
+    for n in range(1, langid.NGRAMS + 1):
+        for lang in languages:
+            marked = words[lang] if n == 1 else [f"<{w}>" for w in words[lang]]
+            terms[lang, n] = [w[i : i + n] for w in marked for i in range(len(w) - n + 1)]
+    distinct = {n: {t for lang in languages for t in terms[lang, n]} for n in range(langid.NGRAMS + 1)}
+
+    def log(lang, n, term):
+        return np.log((terms[lang, n].count(term) + 0.1) / (len(terms[lang, n]) + 0.1 * (len(distinct[n]) + 1)))
+
+    sums, count = dict.fromkeys(languages, 0.0), 0
+    for word in filter(None, split(text)):
+        count += 1
+        if word in distinct[0]:
+            for lang in languages:
+                sums[lang] += log(lang, 0, word)
+            continue
+        for n in range(langid.NGRAMS, 0, -1):
+            marked = word if n == 1 else f"<{word}>"
+            known = [marked[i : i + n] for i in range(len(marked) - n + 1) if marked[i : i + n] in distinct[n]]
+            if known:
+                for lang in languages:
+                    sums[lang] += sum(log(lang, n, g) for g in known) / len(known)
+                break
+    top = max(sums.values())
+    shares = {lang: np.exp(langid.SHARPNESS * (x - top) / max(1, count)) for lang, x in sums.items()}
+    best = min(lang for lang in languages if sums[lang] == top)
+    return best, shares[best] / sum(shares.values())
+
+
+def test_languages_equal_the_definition(make_docs, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = {"de": ["der", "hund", "straße", "und", "über"], "en": ["the", "dog", "street", "and", "don't"], "ja": ["犬", "道", "と"]}
+    rows, lang = [], {}
+    for i in range(45):
+        lang[i] = ["de", "en", "ja"][i % 3]
+        rows.append((i, " ".join(rng.choices(vocabulary[lang[i]], k=rng.randrange(1, 9)))))
+    odd = ["hunde", "streets of dogs", "犬犬 道", "²½", "①②", "Ⅷ", "5 + ½", "\u0301", "x\u0301", "DER HUND", "zzz qqq", "a1b2", None, "", "the hund", "ß"]
+    docs = make_docs(rows + [(100 + k, t) for k, t in enumerate(odd)], lang)
+    learned = [(lang[i], t) for i, t in rows if crc(i, 3) != 1]
+    for cached in (langid.CACHED_WORDS, 1):
+        monkeypatch.setattr(langid, "CACHED_WORDS", cached)
+        found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, langid.fit(docs)).collect()}
+        assert len(found) == len(rows) + len(odd)
+        for i, text in [*rows, *((100 + k, t) for k, t in enumerate(odd))]:
+            want = brute_language(text, learned)
+            assert found[i][0] == want[0] and abs(found[i][1] - want[1]) < 1e-9, (text, found[i], want)
+    assert all(found[100 + odd.index(t)] == ("und", 0.0) for t in ("²½", "①②", "Ⅷ", "5 + ½", "\u0301"))
+
+
+def test_the_label_is_no_voter(spark, make_docs):
+    """Turning the labels of a few texts round leaves their posterior, and so the model's view of them, with the words."""
+    rows, labels = synthetic(600)
+    turned = {i for i, _, t in labels if t and crc(i, 4) != 2 and i % 9 == 0}
+    flipped = [(i, q, 0 if i in turned else t) for i, q, t in labels]
+    docs = make_docs(rows)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels_of(spark, flipped))).collect()}
+    assert len(turned) > 10 and np.mean([found[i] >= 0.3 for i in turned]) > 0.9
+
+
+def test_scores_equal_their_definition(spark, make_docs, texts):
+    """The scores of whole tables are those of each text alone, from the model's weights and look-up tables."""
+    rows, labels = synthetic(400)
+    docs = make_docs(rows + [(10_000 + k, t) for k, t in enumerate(texts)])
+    every = dict(rows) | {10_000 + k: t for k, t in enumerate(texts)}
+    model = toxicity.fit(docs, labels_of(spark, labels))
+    weight = dict(zip(model.features, model.w))
+    for r in toxicity.score(docs, model).collect():
+        low = "".join(c if "a" <= c <= "z" or c >= "\x80" else " " for c in (every[r["doc_id"]] or "").lower()).split(" ")
+        hits = [[f for f in [w, *(w[:n] + "*" for n in toxicity.PREFIXES if len(w) > n)] if f in weight] for w in low if w]
+        z = model.b + sum(weight[f] for f in {f for x in hits for f in x}) + sum(c for step, c in zip(model.steps, model.c) if sum(map(bool, hits)) >= step)
+        assert abs(r["score"] - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
+    gam = quality.fit(docs, labels_of(spark, labels))
+    for r in quality.score(docs, gam).collect():
+        x, z = quality.figures(every[r["doc_id"]]), gam.base
+        for k, table in enumerate(gam.tables):
+            z += table[sum(edge <= x[k] for edge in gam.edges[k])]
+        for i, j, table in gam.pairs:
+            z += table[sum(edge <= x[i] for edge in gam.coarse[i]), sum(edge <= x[j] for edge in gam.coarse[j])]
+        assert abs(r["score"] - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_sample_counts_documents_once(spark, make_docs):
+    rows = [(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, None), (None, "d")]
+    sample, sizes = labelled_sample(make_docs(rows), labels_of(spark, [(1, 0, 1), (1, 0, 0), (2, 0, 0), (3, 0, 0), (9, 0, 1), (None, 1, 1)]), "toxic", 1, 1, 10)
+    found = sorted((r["doc_id"], r["y"]) for r in sample.collect())
+    assert found == [(1, 1), (2, 0), (3, 0)] and sizes == {0: 2, 1: 1}
