@@ -17,11 +17,17 @@ message come first, then by turn; a reply never precedes its target.
 Only DataFrame functions are used.  The side that passages are joined to holds
 one row for each hash (with the first two conversations that have it, as one
 may be the passage's own) and one for each hash and conversation, so a passage that
-thousands of messages share joins as one row.
-
-A null text is empty; a null conversation or turn is kept, quotes nothing before
-it, and sorts first.  A line that only introduces a quote (it ends in "wrote:"
-right before a quoted line) goes with the quote.  Repeated rows stay rows.
+thousands of messages share joins as one row.  Conversations are put in order in
+ranges of the whole table: a conversation that holds many of its rows, or all rows
+without one, are numbered in several ranges at once, each from where the one
+before it ends.
+
+A null text is empty; a message without a conversation or turn is kept, links to
+nothing, and sorts first; rows without a conversation are ordered as if they were of one.
+A line that only introduces a quote (it ends in "wrote:" right before a quoted line)
+goes with the quote.  Texts of any length are read whole.  Repeated rows stay rows,
+with places one after another; ties in the order go by role and a hash of the text.
+An empty table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
 
 
@@ -63,7 +71,7 @@ def _sources(own: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
     """The first message that has a hash, by conversation and hash, and those of the first two conversations that have it, by hash, from (conv_id, turn, hash)."""
     own = own.where("turn is not null and conv_id is not null")
     in_conv = own.groupBy("conv_id", "hash").agg(F.min("turn").alias(f"{prefix}near"))
-    place = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))  # each task keeps two rows a hash before they meet
     first = in_conv.withColumn("place", place).where("place <= 2").groupBy("hash")
     return in_conv, first.agg(F.sort_array(F.collect_list(F.struct("conv_id", F.col(f"{prefix}near").alias("turn")))).alias(f"{prefix}far"))  # two at most
 
@@ -86,21 +94,49 @@ def quote_links(rows: DataFrame) -> DataFrame:
     return found.select("conv_id", "turn", F.col("p.level").alias("level"), F.col("p.place").alias("place"), "hash", F.col("source.conv_id").alias("source_conv"), F.col("source.turn").alias("source_turn"))
 
 
+def _ranged(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """`rows`, written, in ranges of conversations and `order`; `range` numbers the ranges upwards."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(rows.repartitionByRange(ranges, "conv_id", *order, F.rand(1)).withColumn("range", F.spark_partition_id()), "ranges")
+
+
+def _with_turn_before(rows: DataFrame) -> DataFrame:
+    """Adds `before`, the largest smaller turn of the conversation."""
+    turns = _ranged(rows.select("conv_id", "turn").distinct(), "turn")
+    here = F.lag("turn").over(Window.partitionBy("conv_id", "range").orderBy("turn"))
+    ends = turns.groupBy("conv_id", "range").agg(F.max("turn").alias("last"))  # a row for each range that a conversation lies in
+    ends = ends.select("conv_id", "range", F.max("last").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    t, e = turns.withColumn("here", here).alias("t"), ends.alias("e")
+    turns = t.join(e, F.col("t.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("t.range") == F.col("e.range"))).select("t.conv_id", "t.turn", F.coalesce("here", "earlier").alias("before")).where("before is not null")
+    r, t = rows.alias("r"), turns.alias("t")
+    return r.join(t, F.col("r.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("r.turn") == F.col("t.turn")), "left").select("r.*", "t.before")
+
+
+def _numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Adds `position`, from 1 on in each conversation, by `order`."""
+    rows = _ranged(rows, *order)
+    sizes = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n"))  # a row for each range that a conversation lies in
+    sizes = sizes.select("conv_id", "range", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    r, s = rows.withColumn("here", F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*order))).alias("r"), sizes.alias("s")
+    joined = r.join(s, F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("r.range") == F.col("s.range")))
+    return joined.select("r.*", (F.col("here") + F.col("earlier")).cast("int").alias("position")).drop("range", "here")
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, text (without quotes), n_quotes, max_level, n_linked, reply_conv, reply_turn, position."""
     rows = parsed(messages.select("conv_id", "turn", "role", "text"))
     links = quote_links(rows).groupBy("conv_id", "turn", "hash", "level", "place").agg(F.min(F.struct("source_conv", "source_turn")).alias("s"))
     best = links.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.when(F.col("s.source_conv") == F.col("conv_id"), F.struct("level", "place", F.col("s.source_turn").alias("t")))).alias("near"), F.min(F.struct("level", "place", F.col("s.source_conv").alias("c"), F.col("s.source_turn").alias("t"))).alias("any"))
-    before = F.max("turn").over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", before).join(best, ["conv_id", "turn"], "left")
+    levels = F.transform("passages", lambda p: p["level"])
+    rows = rows.select("conv_id", "turn", "role", F.col("plain").alias("text"), F.size("passages").alias("n_quotes"), F.coalesce(F.array_max(levels), F.lit(0)).alias("max_level"))
+    rows = _with_turn_before(rows).join(best, ["conv_id", "turn"], "left")
     near = F.coalesce(F.col("near.t"), F.col("before"))
     far = F.col("near").isNull() & F.col("any").isNotNull()
     rows = rows.select(
-        "conv_id", "turn", "role", F.col("plain").alias("text"), F.size("passages").alias("n_quotes"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("max_level"),
-        F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), F.when(far, F.col("any.c")).when(near.isNotNull(), F.col("conv_id")).alias("reply_conv"), F.when(far, F.col("any.t")).otherwise(near).alias("reply_turn"), near.alias("target"),
+        "conv_id", "turn", "role", "text", "n_quotes", "max_level", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
+        F.when(far, F.col("any.c")).when(near.isNotNull(), F.col("conv_id")).alias("reply_conv"), F.when(far, F.col("any.t")).otherwise(near).alias("reply_turn"), near.alias("target"),
     )
-    order = Window.partitionBy("conv_id").orderBy("target", "turn", "role", F.xxhash64("text"))
-    return rows.withColumn("position", F.row_number().over(order)).drop("target")
+    return _numbered(rows, "target", "turn", "role", F.xxhash64("text")).drop("target")
 
 
 def chat_lines(linked: DataFrame) -> DataFrame:

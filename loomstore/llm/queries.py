@@ -94,19 +94,31 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NORMALISED = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+_LINES = "list_filter(list_transform(string_split({0}, chr(10)), lambda x: " + _NORMALISED.format("x") + "), lambda x: x <> '')"
 
-OP5_SQL = rf"""
-WITH raw AS (SELECT conv_id, turn, role, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+
+def _op5_sql(conversations: str = "SELECT * FROM conversations") -> str:
+    """Near and far sources by whole texts, paragraphs and lines, then by runs of lines."""
+    sources = lambda name, own: f"""{name}_near AS (SELECT conv_id, h, min(turn) AS t FROM {own} WHERE h <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+{name}_far AS (SELECT h, list(struct_pack(c := conv_id, t := t) ORDER BY conv_id)[1:2] AS two FROM {name}_near GROUP BY h)"""
+    place = lambda name: f"CASE WHEN {name}_near.t < q.turn THEN struct_pack(c := q.conv_id, t := {name}_near.t) END, list_filter({name}_far.two, lambda x: x.c <> q.conv_id)[1]"
+    joins = " ".join(f"LEFT JOIN {k}_near ON {k}_near.conv_id = q.conv_id AND {k}_near.h = q.h LEFT JOIN {k}_far ON {k}_far.h = q.h" for k in ("whole", "run"))
+    return rf"""
+WITH given AS ({conversations}),
+raw AS (SELECT conv_id, turn, role, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS ls FROM given),
 marked AS (SELECT *, list_transform(ls, lambda x: regexp_extract(x, '^(?:[ \t]*>)+[ \t]?')) AS marks FROM raw),
 lined AS (SELECT conv_id, turn, role, row, list_transform(range(1, len(ls) + 1), lambda i: CAST(length(marks[i]) - length(replace(marks[i], '>', '')) AS INTEGER)) AS levels,
   list_transform(range(1, len(ls) + 1), lambda i: substring(ls[i], length(marks[i]) + 1)) AS lines FROM marked),
 plains AS (SELECT *, trim(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: levels[i] = 0 AND NOT (rtrim(lines[i]) LIKE '%wrote:' AND i < len(lines) AND coalesce(levels[i + 1], 0) > 0)), lambda i: lines[i]), chr(10)), chr(10)) AS plain,
   list_filter(range(1, len(lines) + 1), lambda i: levels[i] > 0 AND (i = 1 OR levels[i - 1] <> levels[i])) AS starts, list_filter(range(1, len(lines) + 1), lambda i: levels[i] > 0 AND (i = len(lines) OR levels[i + 1] <> levels[i])) AS stops FROM lined),
-own AS (SELECT DISTINCT conv_id, turn, {_NORMALISED.format("part")} AS h FROM (SELECT conv_id, turn, unnest(list_concat([plain], string_split_regex(plain, '\n\s*\n'), string_split(plain, chr(10)))) AS part FROM plains) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-near AS (SELECT conv_id, h, min(turn) AS t FROM own WHERE h <> '' GROUP BY ALL),
-far AS (SELECT h, arg_min(conv_id, (conv_id, t)) AS c, arg_min(t, (conv_id, t)) AS t FROM near GROUP BY h),
-quotes AS (SELECT DISTINCT conv_id, turn, level, place, {_NORMALISED.format("text")} AS h FROM (SELECT conv_id, turn, k - 1 AS place, levels[starts[k]] AS level, array_to_string(lines[starts[k] : stops[k]], chr(10)) AS text FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS k FROM plains))),
-links AS (SELECT * FROM (SELECT q.*, CASE WHEN near.t < turn THEN q.conv_id WHEN far.c <> q.conv_id THEN far.c END AS sc, CASE WHEN near.t < turn THEN near.t WHEN far.c <> q.conv_id THEN far.t END AS st FROM quotes q LEFT JOIN near USING (conv_id, h) LEFT JOIN far USING (h) WHERE h <> '') WHERE st IS NOT NULL),
+passages AS (SELECT conv_id, turn, k - 1 AS place, levels[starts[k]] AS level, array_to_string(lines[starts[k] : stops[k]], chr(10)) AS text FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS k FROM plains)),
+quotes AS (SELECT DISTINCT conv_id, turn, level, place, {_NORMALISED.format("text")} AS h FROM passages),
+own AS (SELECT conv_id, turn, {_NORMALISED.format("part")} AS h FROM (SELECT conv_id, turn, unnest(list_concat([plain], string_split_regex(plain, '\n\s*\n'), string_split(plain, chr(10)))) AS part FROM plains)),
+sizes AS (SELECT DISTINCT len({_LINES.format("text")}) AS n FROM passages),
+runs AS (SELECT conv_id, turn, array_to_string(ls[i : i + n - 1], ' ') AS h FROM (SELECT conv_id, turn, ls, n, unnest(range(1, len(ls) - n + 2)) AS i FROM (SELECT conv_id, turn, {_LINES.format("plain")} AS ls FROM plains), sizes WHERE n > 1 AND n <= len(ls))),
+{sources("whole", "own")},
+{sources("run", "runs")},
+links AS (SELECT conv_id, turn, level, place, h, source.c AS sc, source.t AS st FROM (SELECT q.*, coalesce({place("whole")}, {place("run")}) AS source FROM quotes q {joins} WHERE q.h <> '') WHERE source IS NOT NULL),
 best AS (SELECT conv_id, turn, count(*) AS n_linked, arg_min(st, (level, place)) FILTER (WHERE sc = conv_id) AS near_t, arg_min(sc, (level, place, sc, st)) AS any_c, arg_min(st, (level, place, sc, st)) AS any_t FROM links GROUP BY conv_id, turn),
 told AS (SELECT p.conv_id, p.turn, role, row, plain, levels, len(starts) AS n, n_linked, near_t, any_c, any_t, max(p.turn) OVER (PARTITION BY p.conv_id ORDER BY p.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM plains p LEFT JOIN best USING (conv_id, turn))
 SELECT conv_id, turn, role, plain AS text, CAST(n AS INTEGER) AS n_quotes, CAST(coalesce(list_max(levels), 0) AS INTEGER) AS max_level, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
@@ -114,6 +126,28 @@ SELECT conv_id, turn, role, plain AS text, CAST(n AS INTEGER) AS n_quotes, CAST(
   CAST(row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(near_t, before) NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, plain) AS INTEGER) AS position FROM told
 """
 
+
+OP5_SQL = _op5_sql()
+
+#: `conversations` with quotes set into them, as the tables have none: of the message before, of two lines of the first
+#: one under a nested mark, of the first one of the next conversation, and of nothing that was said.
+PLANTED = """
+SELECT c.conv_id, c.turn, c.role, CASE
+  WHEN c.turn % 4 = 1 THEN concat('> ', coalesce(p.text, ''), chr(10), coalesce(c.text, ''))
+  WHEN c.turn % 4 = 2 THEN concat('Someone wrote:', chr(10), '>> ', split_part(z.text, chr(10), 2), chr(10), '> > ', split_part(z.text, chr(10), 3), chr(10), '> ', replace(split_part(p.text, chr(10), 1), ' ', '   '), chr(10), coalesce(c.text, ''))
+  WHEN c.turn % 4 = 3 THEN concat(coalesce(c.text, ''), chr(10), '>  ', split_part(x.text, chr(10), 1), chr(10), 'so far', chr(10), '> nobody said this')
+  ELSE c.text END AS text
+FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN conversations z ON z.conv_id = c.conv_id AND z.turn = 0
+LEFT JOIN conversations x ON x.conv_id = c.conv_id + 1 AND x.turn = 0
+"""
+
+
+def planted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over conversations that do quote."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("planted_conversations")
+    return chat.link_quotations(spark.sql(PLANTED.replace("conversations ", "planted_conversations ")))
+
+
 def _op4_sql() -> str:
     """Rules by length, and the two models level by level."""
     ranked = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
@@ -153,5 +187,6 @@ QUERIES = {
     "op8_weighted_fingerprint": op8_weighted_fingerprint,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
+    "planted_quotes": planted_quotes,
 }
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_url_filter": _op4_sql(), "op5_chat_quotes": OP5_SQL}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_url_filter": _op4_sql(), "op5_chat_quotes": OP5_SQL, "planted_quotes": _op5_sql(PLANTED)}

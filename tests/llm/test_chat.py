@@ -1,3 +1,6 @@
+import random
+import re
+
 from loomstore.llm import chat as C
 
 A = "Hello all.\n\nThe plan is to ship on Friday.\nIt is ready."
@@ -79,3 +82,94 @@ def test_a_source_in_another_conversation_is_found_past_the_own_one(spark):
     found = run(spark, rows)
     assert (found[1, 0]["n_linked"], found[1, 0]["reply_conv"], found[1, 0]["reply_turn"]) == (1, 2, 0)
     assert (found[3, 1]["reply_conv"], found[3, 1]["reply_turn"]) == (1, 1)
+
+
+def brute(rows):
+    """Row by row, by the definition: text, quotes, level, links, reply and place of each (conversation, turn, role, text)."""
+    norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip(" ")
+    parsed = []
+    for conv, turn, role, text in rows:
+        lines = []
+        for line in (text or "").split("\n"):
+            mark = re.match(r"(?:[ \t]*>)+[ \t]?", line)
+            lines.append((mark[0].count(">"), line[mark.end() :]) if mark else (0, line))
+        passages, plain = [], []
+        for k, (level, line) in enumerate(lines):
+            if level and k and lines[k - 1][0] == level:
+                passages[-1][1].append(line)
+            elif level:
+                passages.append((level, [line]))
+            elif not (line.rstrip(" ").endswith("wrote:") and k + 1 < len(lines) and lines[k + 1][0]):
+                plain.append(line)
+        parsed.append((conv, turn, role, "\n".join(plain).strip("\n"), [(level, "\n".join(x)) for level, x in passages]))
+
+    def has(plain, passage):
+        """Whether a message has a passage whole, as a paragraph or a line (0), or as a run of its lines (1)."""
+        parts = [plain, *re.split(r"\n\s*\n", plain), *plain.split("\n")]
+        if norm(passage) in map(norm, parts):
+            return 0
+        want, own = ([norm(x) for x in t.split("\n") if norm(x)] for t in (passage, plain))
+        return 1 if len(want) > 1 and any(own[i : i + len(want)] == want for i in range(len(own))) else None
+
+    out = []
+    for conv, turn, role, plain, passages in parsed:
+        links = set()
+        for place, (level, passage) in enumerate(passages):
+            if not norm(passage) or conv is None or turn is None:
+                continue
+            for how in (0, 1):
+                first = {}
+                for c, t, _, p, _ in parsed:
+                    if c is not None and t is not None and has(p, passage) in ((0, 1) if how else (0,)):
+                        first[c] = min(t, first.get(c, t))
+                if turn is not None and conv in first and first[conv] < turn:
+                    source = conv, first[conv]
+                else:
+                    source = min(((c, t) for c, t in first.items() if conv is not None and c != conv), default=None)
+                if source:
+                    links.add((level, place, norm(passage), *source))
+                    break
+        near = min((x for x in links if x[3] == conv), default=None)
+        anywhere = min(((a, b, c, t) for a, b, _, c, t in links), default=None)
+        before = max((t for c, t, *_ in parsed if c == conv and t is not None and turn is not None and t < turn), default=None)
+        target = near[4] if near else before
+        reply = (anywhere[2], anywhere[3]) if near is None and anywhere else (conv if target is not None else None, target)
+        out.append([conv, turn, role, plain, len(passages), max([x for x, _ in passages], default=0), len(links), *reply, target])
+    return out
+
+
+def test_random_nested_quotes_equal_brute_force(spark):
+    rng = random.Random(11)
+    lines = ["alpha one", "Beta  two", "gamma three", "delta", "epsilon five", "", "zeta wrote:"]
+    for _ in range(3):
+        rows = []
+        for conv in [*range(6), None]:
+            for turn in range(rng.randrange(1, 6)):
+                text = []
+                for _ in range(rng.randrange(1, 7)):
+                    text.append("> " * rng.choice([0, 0, 1, 1, 2]) + rng.choice(lines))
+                rows.append((conv, rng.choice([turn, turn, turn, None]) if conv == 5 else turn, rng.choice(["user", "assistant", None]), "\n".join(text)))
+        found = [tuple(r) for r in C.link_quotations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()]
+        want = brute(rows)
+        assert sorted(map(repr, (r[:9] for r in found))) == sorted(repr(tuple(w[:9])) for w in want)
+        targets = {}
+        for w in want:
+            targets.setdefault(tuple(map(repr, w[:9])), w[9])
+        for conv in {r[0] for r in rows}:
+            mine = sorted((r for r in found if r[0] == conv), key=lambda r: r[9])
+            assert [r[9] for r in mine] == list(range(1, len(mine) + 1))
+            keys = [(targets[tuple(map(repr, r[:9]))], r[1], r[2]) for r in mine]
+            none_first = [tuple((x is not None, x or 0 if not isinstance(x, str) else x) for x in k) for k in keys]
+            assert none_first == sorted(none_first, key=lambda k: tuple((a, str(b) if isinstance(b, str) else b) for a, b in k))
+
+
+def test_a_giant_conversation_is_numbered_over_several_ranges(spark):
+    rows = [(None if k % 2 else 1, k // 4, "u", f"text {k}") for k in range(4000)] + [(2, 0, "u", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    ranged = C._ranged(df, "turn")
+    assert ranged.where("conv_id = 1").select("range").distinct().count() > 1 and ranged.where("conv_id is null").select("range").distinct().count() > 1
+    found = C.link_quotations(df).collect()
+    for conv in (None, 1):
+        mine = sorted((r for r in found if r["conv_id"] == conv), key=lambda r: r["position"])
+        assert [r["position"] for r in mine] == list(range(1, 2001)) and [r["turn"] for r in mine] == sorted(r["turn"] for r in mine)
+        assert all(r["reply_turn"] == (r["turn"] - 1 if r["turn"] else None) for r in mine)
