@@ -134,8 +134,8 @@ OP5_SQL = _op5_sql()
 PLANTED = """
 SELECT c.conv_id, c.turn, c.role, CASE
   WHEN c.turn % 4 = 1 THEN concat('> ', coalesce(p.text, ''), chr(10), coalesce(c.text, ''))
-  WHEN c.turn % 4 = 2 THEN concat('Someone wrote:', chr(10), '>> ', split_part(z.text, chr(10), 2), chr(10), '> > ', split_part(z.text, chr(10), 3), chr(10), '> ', replace(split_part(p.text, chr(10), 1), ' ', '   '), chr(10), coalesce(c.text, ''))
-  WHEN c.turn % 4 = 3 THEN concat(coalesce(c.text, ''), chr(10), '>  ', split_part(x.text, chr(10), 1), chr(10), 'so far', chr(10), '> nobody said this')
+  WHEN c.turn % 4 = 2 THEN concat('Someone wrote:', chr(10), '>> ', split_part(coalesce(z.text, ''), chr(10), 2), chr(10), '> > ', split_part(coalesce(z.text, ''), chr(10), 3), chr(10), '> ', replace(split_part(coalesce(p.text, ''), chr(10), 1), ' ', '   '), chr(10), coalesce(c.text, ''))
+  WHEN c.turn % 4 = 3 THEN concat(coalesce(c.text, ''), chr(10), '>  ', split_part(coalesce(x.text, ''), chr(10), 1), chr(10), 'so far', chr(10), '> nobody said this')
   ELSE c.text END AS text
 FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN conversations z ON z.conv_id = c.conv_id AND z.turn = 0
 LEFT JOIN conversations x ON x.conv_id = c.conv_id + 1 AND x.turn = 0
