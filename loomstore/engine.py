@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from loomstore.functions.text import PRIVACY_RULES, slashes
 from loomstore.operators import budget, conversations, extract, files, graph, locks, search
-from loomstore.operators.snapshots import Store, insert_missing, replace_files
+from loomstore.operators.snapshots import Store, insert_missing, of_projects, replace_files, with_project
 from loomstore.plans import render
 from loomstore.plans.schemas import KEYS, TABLES, conform
+from loomstore.plans.shared import materialize
 from loomstore.sources import project, transcripts
 
 SESSION_EVENTS = "event_id bigint, ts timestamp, op string, session_id string, llm_name string, thread_id string, working_on string, summary string, conversation_context string, files_modified string, tags string"
@@ -82,6 +83,7 @@ class Engine:
 
     def find(self, text: str, sources: tuple[str, ...] = ("graph", "chat", "file"), limit: int = 20, mode: str = "compat") -> DataFrame:
         given = {"nodes": self.graph.nodes() if "graph" in sources else None, "turns": self.sessions.turns() if "chat" in sources else None, "files": self.files() if "file" in sources else None}
+        given |= {"nodes_index": self.store.node_index() if "graph" in sources else None, "turns_index": self.store.turn_index() if "chat" in sources else None}
         return search.unified_find(text, F.lit(self.clock()), limit=limit, mode=mode, stemmed=True, **given)
 
     def export(self, form: str = "context", path: str | None = None) -> str | None:
@@ -97,19 +99,15 @@ class _Part:
     def __init__(self, engine: Engine):
         self.e, self.spark, self.store = engine, engine.spark, engine.store
 
-    def _next(self, table: str, schema: str) -> int:
-        return self.store.read_log(table, schema).agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0] + 1
 
 
 class Sessions(_Part):
     def _event(self, op: str, session_id: str, **values) -> None:
-        names = [c.split()[0] for c in SESSION_EVENTS.split(", ")]
-        row = {"event_id": self._next("session_events", SESSION_EVENTS), "ts": self.e.clock(), "op": op, "session_id": session_id} | values
-        self.store.append("session_events", self.spark.createDataFrame([tuple(row.get(n) for n in names)], SESSION_EVENTS))
+        self.store.put_event("session_events", {"ts": self.e.clock().isoformat(), "op": op, "session_id": session_id} | values)
 
     def table(self) -> DataFrame:
         """Sessions of the log, and imported ones."""
-        own = conversations.fold_sessions(self.store.read_log("session_events", SESSION_EVENTS))
+        own = conversations.fold_sessions(self.store.events("session_events", SESSION_EVENTS))
         return insert_missing(conform(own, "sessions"), self.store.read("sessions"), ["id"])
 
     def turns(self) -> DataFrame:
@@ -142,7 +140,7 @@ class Sessions(_Part):
         return len(rows)
 
     def search(self, query: str, **filters) -> DataFrame:
-        return search.search_turns(self.turns(), self.table(), query, **filters)
+        return search.search_turns(self.turns(), self.table(), query, index=self.store.turn_index(), **filters)
 
     def handoff_data(self, tokens: int | None = None, session_id: str | None = None, thread_id: str | None = None) -> dict:
         """Turns within a budget, how many older ones were cut, and the budget; an unknown session or thread is an error."""
@@ -181,7 +179,7 @@ class Threads(_Part):
     def create(self, title: str, thread_id: str | None = None) -> str:
         thread_id = thread_id or f"thread-{uuid.uuid4().hex[:8]}"
         new = self.spark.createDataFrame([(thread_id, title, self.e.clock())], "id string, title string, created_at timestamp")
-        self.store.write("threads", conversations.create_threads(self.table(), new))
+        self.store.change("threads", lambda old: conversations.create_threads(old, new))
         return thread_id
 
     def list(self) -> DataFrame:
@@ -261,8 +259,7 @@ class Graph(_Part):
     def build(self, folder: str, full: bool = False) -> DataFrame:
         """Parse what changed since the last build (everything if full); files that are gone leave the graph. Returns a row of counts."""
         sources = self._sources(folder)
-        old_nodes, old_edges = self.nodes(), self.edges()
-        known = old_nodes.where("kind = 'File'").select(F.col("file_path").alias("path"), "file_hash")
+        known = self.nodes().where("kind = 'File'").select(F.col("file_path").alias("path"), "file_hash")
         todo = sources if full else files.changed(known, sources, "path", "file_hash")
         gone = files.removed(known, sources)
         python = todo.where(extract.language(F.col("path")) == "python")
@@ -272,8 +269,11 @@ class Graph(_Part):
         edges = parsed[0][1].unionByName(parsed[1][1]).withColumn("confidence", F.lit(1.0)).withColumn("updated_at", F.lit(self.e.clock()))
         paths = todo.select(F.col("path").alias("file_path")).union(gone)
         counts = todo.agg(F.count("*").alias("parsed")).join(sources.agg(F.count("*").alias("files")), F.lit(True)).join(gone.agg(F.count("*").alias("removed")), F.lit(True)).first()
-        self.store.write("code_nodes", replace_files(old_nodes, conform(nodes, "code_nodes"), paths, KEYS["code_nodes"]))
-        self.store.write("code_edges", replace_files(old_edges, conform(edges, "code_edges"), paths, KEYS["code_edges"]))
+        new = {"code_nodes": conform(nodes, "code_nodes"), "code_edges": conform(edges, "code_edges")}
+        paths = materialize(paths, "paths")
+        for table, rows in new.items():  # only the parts that the files lie in
+            rows = materialize(rows, table)
+            self.store.change(table, lambda old, table=table, rows=rows: replace_files(old, rows, paths, KEYS[table]), self.store.buckets_of(table, paths))
         return self.spark.createDataFrame([(counts["files"], counts["parsed"], counts["files"] - counts["parsed"], counts["removed"])], "files bigint, parsed bigint, skipped bigint, removed bigint")
 
     update = build
@@ -307,7 +307,7 @@ class Graph(_Part):
         return graph.test_gaps(self.nodes(), self.edges())
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        return search.search_nodes(self.nodes(), query, limit)
+        return search.search_nodes(self.nodes(), query, limit, index=self.store.node_index())
 
     def overview(self, tokens: int = 2000) -> str:
         return render.overview_markdown(self.nodes(), self.e.files(), tokens)
@@ -332,21 +332,25 @@ class Graph(_Part):
 
 class Locks(_Part):
     def _event(self, op: str, path: str | None, session_id: str, llm_name: str | None = None) -> int:
-        n = self._next("lock_events", LOCK_EVENTS)
-        self.store.append("lock_events", self.spark.createDataFrame([(n, self.e.clock(), op, path, session_id, llm_name)], LOCK_EVENTS).withColumn("file_path", slashes(F.col("file_path"))))
-        return n
+        path = path.replace("\\", "/") if path else path
+        return self.store.put_event("lock_events", {"ts": self.e.clock().isoformat(), "op": op, "file_path": path, "session_id": session_id, "llm_name": llm_name})
 
-    def _folded(self) -> DataFrame:
-        return locks.fold_locks(self.store.read_log("lock_events", LOCK_EVENTS))
+    def _folded(self, path: str | None = None) -> DataFrame:
+        """Every file's events, or one file's."""
+        events = self.store.events("lock_events", LOCK_EVENTS)
+        return locks.fold_locks(events.where(F.col("file_path").isNull() | (F.col("file_path") == path.replace("\\", "/"))) if path else events)
 
     def claim(self, path: str, session_id: str, llm_name: str | None = None) -> bool:
-        """Whether the session has the file now; a refused claim is logged as a conflict."""
+        """Whether the session has the file now; a refused claim is logged as a conflict.
+
+        Events have numbers without gaps, given one after another, so all that came before this claim is there to be folded.
+        """
         n = self._event("claim", path, session_id, llm_name)
-        return self._folded().where(F.col("event_id") == n).first()["granted"]
+        return self._folded(path).where(F.col("event_id") == n).first()["granted"]
 
     def release(self, path: str, session_id: str) -> bool:
         n = self._event("release", path, session_id)
-        return self._folded().where(F.col("event_id") == n).first()["granted"]
+        return self._folded(path).where(F.col("event_id") == n).first()["granted"]
 
     def write(self, path: str, session_id: str) -> None:
         self._event("write", path, session_id)
@@ -390,14 +394,20 @@ class Registry:
         return {"root": self.store.root, "projects": self.store.read("project_registry").count()}
 
     def _turns(self) -> DataFrame:
-        out = None
-        for r in self.projects().collect():
-            part = Engine(self.spark, r["db_path"], self.clock).sessions.turns().withColumn("project_path", F.lit(r["project_path"])).withColumn("project_name", F.lit(r["name"]))
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else conform(None, "conversation_turns", self.spark).withColumns({"project_path": F.lit(""), "project_name": F.lit("")})
+        """All projects' turns, in one scan."""
+        projects, folders = of_projects(self.spark, self.projects(), "turns/log")
+        if not folders:
+            return conform(None, "conversation_turns", self.spark).withColumns({"project_path": F.lit(""), "project_name": F.lit("")})
+        rows = with_project(self.spark.read.schema(TABLES["conversation_turns"]).parquet(*folders), projects, "turns/log")
+        return rows.join(self.projects().select("project_path", F.col("name").alias("project_name")), "project_path")
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        return search.search_projects(self._turns(), query, limit, True)
+        """The best turns of all projects, each ranked by its own statistics, from their stored indexes (which are brought up to date first)."""
+        projects, _ = of_projects(self.spark, self.projects(), "turns/log")
+        for db in projects:
+            Store(self.spark, db).turn_index()
+        turns = self._turns()
+        return search.search_projects(turns, query, limit, True, index=search.Index.of_projects(self.spark, projects, "turns_index") if projects else None)
 
     def handoff(self, tokens: int = 2000) -> str:
         """What the latest session of each project left, the projects seen last first; those without turns are left out."""

@@ -133,6 +133,13 @@ def phrases(node: Node) -> list[Phrase]:
     return [p for part in (node.parts[:1] if node.op == "not" else node.parts) for p in phrases(part)]
 
 
+def all_phrases(node: Node) -> list[Phrase]:
+    """Every phrase of the query that has a word, also those after NOT."""
+    if node.phrase:
+        return [node.phrase] if node.phrase.terms else []
+    return [p for part in node.parts for p in all_phrases(part)]
+
+
 def frequency(phrase: Phrase, tokens: Column) -> Column:
     """How often the phrase occurs in the tokens."""
     same = lambda x, t, last: x.startswith(t) if last and phrase.prefix else x == t

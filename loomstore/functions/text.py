@@ -102,13 +102,14 @@ def timestamp(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
 
 
-# Latin letters with marks, and what is left without them; made by rule.
-_MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+# Letters with marks, and what is left without them; made by rule from every character that is taken apart into a letter and marks.
+_MARKED = [(chr(c), d[0]) for c in range(0xC0, 0x3000) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and all(map(unicodedata.combining, d[1:]))]
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.lower(F.translate(text, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)))
+    """Lower case without diacritics, whether a letter holds its marks or they follow it."""
+    bare = F.regexp_replace(text, r"\p{M}+", "")
+    return F.lower(F.translate(bare, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)))
 
 
 def tokens(text: Column) -> Column:

@@ -15,23 +15,19 @@ from loomstore.functions.text import last_name
 from loomstore.plans.shared import materialize
 
 
-def _touched(edges: DataFrame, ring: DataFrame) -> DataFrame:
-    """(node): the other ends of edges at the ring's nodes, in either direction; the edges move only where the ring is large."""
-    out = edges.join(ring.withColumnRenamed("node", "source_qualified"), "source_qualified", "left_semi").select(F.col("target_qualified").alias("node"))
-    into = edges.join(ring.withColumnRenamed("node", "target_qualified"), "target_qualified", "left_semi").select(F.col("source_qualified").alias("node"))
-    return out.union(into).distinct()
-
-
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth): the least number of hops, in either direction, from the seeds (node).
 
-    Each hop's ring is written out, so every hop reads the edges once, whatever came before.
+    Edges are written out once in both directions, and each hop's ring after it, so a hop is
+    one pass over the edges, whatever came before.
     """
-    ends = edges.select("source_qualified", "target_qualified")
+    ends = edges.select(F.col("source_qualified").alias("node"), F.col("target_qualified").alias("other"))
+    ends = materialize(ends.union(ends.select("other", "node")).distinct(), "ends")
     rings = [materialize(seeds.select("node").distinct(), "ring")]
     reached = rings[0].withColumn("depth", F.lit(0))
     for hop in range(1, depth + 1):
-        ring = materialize(_touched(ends, rings[-1]).join(reached, "node", "left_anti"), "ring")
+        touched = ends.join(rings[-1], "node", "left_semi").select(F.col("other").alias("node")).distinct()
+        ring = materialize(touched.join(reached, "node", "left_anti"), "ring")
         if ring.isEmpty():
             break
         rings.append(ring)

@@ -1,10 +1,17 @@
-"""Ranked full-text search and the hybrid search over graph, chat and files."""
+"""Ranked full-text search over stored postings, and the hybrid search over graph, chat and files.
+
+An index is a table of postings (a row for each term and text, with the term's
+positions) in folders by the term's first character and in the order of terms,
+beside a table of the texts it holds and their lengths.  A search reads the rows
+of its own terms only: folders are pruned by the bucket, row groups by the term.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstore.functions import fts
@@ -12,23 +19,69 @@ from loomstore.functions.stem import stem, stems
 from loomstore.functions.text import basename, contains_ignoring_case, one_line, recency, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Folders of an index; a term's is the code of its first character modulo this.
+BUCKETS = 64
 
 
 def indexed(rows: DataFrame, text: Column, stemmed: bool = False) -> DataFrame:
-    """`rows` with their tokens and number of tokens: what a search reads. Store it to spare the tokenizing."""
+    """`rows` with their tokens and number of tokens."""
     found = tokens(text)
     rows = rows.withColumn("tokens", stems(found) if stemmed else found)
     return rows.withColumn("dl", F.size("tokens"))
 
 
-def build_postings(rows: DataFrame, key: str) -> DataFrame:
-    """(term, key, tf, dl): the inverted index, for storage clustered by term."""
-    words = rows.select(key, "dl", F.explode("tokens").alias("term"))
-    return words.groupBy("term", key).agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+def build_postings(rows: DataFrame, *key: str) -> DataFrame:
+    """(bucket, term, key columns, tf, dl, positions) of rows of `indexed`."""
+    words = rows.select(*key, "dl", F.posexplode("tokens").alias("at", "term"))
+    found = words.groupBy("term", *key).agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("at")).alias("positions"))
+    return found.withColumn("bucket", F.ascii("term") % BUCKETS)
+
+
+def missing_from_index(rows: DataFrame, index: DataFrame, *key: str) -> DataFrame:
+    known = index.select(*key).distinct()
+    for k in key:
+        known = known.where(F.col(k).isNotNull())
+    return rows.join(known, list(key), "left_anti")
+
+
+@dataclass
+class Index:
+    """Postings, and the texts held (key columns, dl); `by` names columns of the key that have statistics of their own.
+
+    A text whose postings were added twice counts once, so adding again after a failure does no harm.
+    """
 
+    postings: DataFrame
+    texts: DataFrame
+    key: list[str]
+    by: list[str]
+    stemmed: bool
 
-def missing_from_index(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    return rows.join(index.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    @classmethod
+    def of(cls, rows: DataFrame, key: list[str], text: Column, stemmed: bool = False, by: list[str] | None = None) -> Index:
+        """The index of `rows`, worked out as it is read."""
+        ready = indexed(rows, text, stemmed)
+        return cls(build_postings(ready, *key), ready.select(*key, "dl"), key, by or [], stemmed)
+
+    def save(self, path: str, mode: str = "append") -> None:
+        """Add to an index under a folder that all executors see; what is there stays as it is."""
+        self.postings.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(mode).parquet(f"{path}/postings")
+        self.texts.write.mode(mode).parquet(f"{path}/texts")  # last: a text that is listed has its postings
+
+    @classmethod
+    def of_projects(cls, spark: SparkSession, projects: dict[str, str], folder: str) -> Index:
+        """The stored turn indexes of several projects (project by database path) in one scan, each with its own statistics."""
+        from loomstore.operators.snapshots import with_project
+
+        read = lambda kind, schema: with_project(spark.read.schema(schema).parquet(*(f"{db}/{folder}/{kind}" for db in projects)), projects, f"{folder}/{kind}")
+        key = ["project_path", *TURN]
+        return cls(read("postings", f"term string, {TURN_TYPE}, tf int, dl int, positions array<int>, bucket int"), read("texts", f"{TURN_TYPE}, dl int").dropDuplicates(key), key, ["project_path"], True)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str | list[str], key: list[str], key_type: str, stemmed: bool, by: list[str] | None = None) -> Index:
+        paths = [path] if isinstance(path, str) else path
+        postings = spark.read.schema(f"term string, {key_type}, tf int, dl int, positions array<int>, bucket int").parquet(*(f"{p}/postings" for p in paths))
+        return cls(postings, spark.read.schema(f"{key_type}, dl int").parquet(*(f"{p}/texts" for p in paths)).dropDuplicates(key), key, by or [], stemmed)
 
 
 def _stemmed(node: fts.Node) -> fts.Node:
@@ -37,52 +90,85 @@ def _stemmed(node: fts.Node) -> fts.Node:
     return fts.Node(node.op, [_stemmed(p) for p in node.parts])
 
 
-def bm25(index: DataFrame, query: str, stemmed: bool = False, by: list[str] | None = None) -> DataFrame:
-    """Rows of an index that fit the query, with `score`: below 0, and the smaller the better.
+def _followed(starts: Column, following: Column, after: int) -> Column:
+    """The starts that have one of the following positions so many tokens on."""
+    return F.filter(starts, lambda x: F.array_contains(following, x + after))
+
+
+def bm25(index: Index, query: str) -> DataFrame:
+    """(key columns, score) of the texts of an index that fit the query; scores are below 0, and the smaller the better.
 
-    The corpus's size, mean length and the phrases' document counts come from
-    one aggregate over the index: over all rows, or for each group of `by` (so
-    projects are ranked by their own statistics).  Both passes are narrow; only
-    a row of statistics a group moves.  A blank query finds nothing.
+    Only the postings of the query's terms are read and grouped by text.  The
+    corpus's size and mean length come from the lengths of the texts held: of all,
+    or for each group of `by` (so projects are ranked by their own statistics).
+    A blank query finds nothing.
     """
+    none = index.texts.where(F.lit(False)).select(*index.key, F.lit(0.0).alias("score"))
     tree = fts.parse(query)
     if tree is None:
-        return index.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    if stemmed:
+        return none
+    if index.stemmed:
         tree = _stemmed(tree)
     ranked = fts.phrases(tree)
     for p in ranked:
         if p.column not in (None, "content", "name", "qualified_name", "text"):
             raise ValueError(f"full-text query: no column {p.column!r}")
-    names: dict[int, str] = {}
-    rows = index
-
-    def frequency(p: fts.Phrase) -> Column:
-        return F.col(names[id(p)]) if id(p) in names else fts.frequency(p, F.col("tokens"))
-
-    for k, p in enumerate(ranked):
-        rows = rows.withColumn(f"f{k}", fts.frequency(p, F.col("tokens")))
+    every = fts.all_phrases(tree)
+    wanted = sorted({(t, p.prefix and k == len(p.terms) - 1) for p in every for k, t in enumerate(p.terms)})
+    if not ranked:
+        return none
+    fits = [(F.col("bucket") == ord(t[0]) % BUCKETS) & (F.col("term").startswith(t) if prefix else F.col("term") == t) for t, prefix in wanted]
+    any_fits = fits[0]
+    for f in fits[1:]:
+        any_fits = any_fits | f
+    rows = index.postings.where(F.col("bucket").isin(sorted({ord(t[0]) % BUCKETS for t, _ in wanted}))).where(any_fits)
+    places = [F.array_distinct(F.flatten(F.collect_list(F.when(f, F.col("positions"))))).alias(f"p{k}") for k, f in enumerate(fits)]
+    rows = rows.groupBy(*index.key).agg(F.first("dl").alias("dl"), *places)
+    names = {}
+    for k, p in enumerate(every):
+        at = [F.col(f"p{wanted.index((t, p.prefix and j == len(p.terms) - 1))}") for j, t in enumerate(p.terms)]
+        starts = at[0]
+        for j, following in enumerate(at[1:], 1):
+            starts = _followed(starts, following, j)
+        rows = rows.withColumn(f"f{k}", F.size(starts))
         names[id(p)] = f"f{k}"
-    figures = [F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(ranked))]]
-    found = rows.where(fts.matches(tree, frequency))
-    if by:
-        found = found.join(rows.groupBy(*by).agg(*figures), by)
+    counts = [F.count_if(F.col(names[id(p)]) > 0).alias(f"n{k}") for k, p in enumerate(ranked)]
+    sizes = [F.count("*").alias("docs"), F.avg("dl").alias("avgdl")]
+    found = rows.where(fts.matches(tree, lambda p: F.col(names[id(p)]) if p.terms else F.lit(0)))
+    if index.by:
+        found = found.join(rows.groupBy(*index.by).agg(*counts), index.by).join(index.texts.groupBy(*index.by).agg(*sizes), index.by)
     else:
-        stats = rows.agg(*figures).first()
-        for name in ("docs", "avgdl", *[f"n{k}" for k in range(len(ranked))]):
-            found = found.withColumn(name, F.lit(stats[name]))
+        for row in (rows.agg(*counts).first(), index.texts.agg(*sizes).first()):
+            found = found.withColumns({name: F.lit(value) for name, value in row.asDict().items()})
     score = F.lit(0.0)
-    for k in range(len(ranked)):
-        n, f = F.col(f"n{k}"), F.col(f"f{k}")
+    for k, p in enumerate(ranked):
+        n, f = F.col(f"n{k}"), F.col(names[id(p)])
         idf = F.ln((F.col("docs") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.withColumn("score", -score).drop("docs", "avgdl", *[f"n{k}" for k in range(len(ranked))], *[f"f{k}" for k in range(len(ranked))])
+    return found.select(*index.key, (-score).alias("score"))
+
+
+TURN, NODE = ["session_id", "turn_index"], ["qualified_name"]
+TURN_TYPE, NODE_TYPE = "session_id string, turn_index int", "qualified_name string"
+
+
+def turn_index(turns: DataFrame, stemmed: bool = True, by: list[str] | None = None) -> Index:
+    return Index.of(turns, [*(by or []), *TURN], F.col("content"), stemmed, by)
+
+
+def node_index(nodes: DataFrame, stemmed: bool = True) -> Index:
+    return Index.of(nodes, NODE, F.concat_ws(" ", "name", "qualified_name"), stemmed)
+
+
+def _fetched(hits: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """Hits (a limited number) with the columns of their rows."""
+    return rows.join(F.broadcast(hits), key)
 
 
-def search_turns(turns: DataFrame, sessions: DataFrame, query: str, session_id: str | None = None, thread_id: str | None = None, source_tool: str | None = None, limit: int = 5, stemmed: bool = True) -> DataFrame:
+def search_turns(turns: DataFrame, sessions: DataFrame, query: str, session_id: str | None = None, thread_id: str | None = None, source_tool: str | None = None, limit: int = 5, stemmed: bool = True, index: Index | None = None) -> DataFrame:
     """The best turns with their session's LLM, tool and thread. Filters restrict the hits, not the statistics."""
-    hits = bm25(indexed(turns, F.col("content"), stemmed), query, stemmed)
+    hits = bm25(index or turn_index(turns, stemmed), query)
     rows = hits.join(sessions.select(F.col("id").alias("session_id"), "llm_name", "source_tool", "thread_id"), "session_id")
     if session_id:
         rows = rows.where(F.col("session_id") == session_id)
@@ -90,22 +176,22 @@ def search_turns(turns: DataFrame, sessions: DataFrame, query: str, session_id:
         rows = rows.where(F.col("thread_id") == thread_id)
     if source_tool:
         rows = rows.where((F.col("source_tool") == source_tool) | (F.col("llm_name") == source_tool))
-    return rows.drop("tokens", "dl").orderBy("score", "session_id", "turn_index").limit(limit)
+    order = ["score", "session_id", "turn_index"]
+    return _fetched(rows.orderBy(*order).limit(limit), turns, TURN).orderBy(*order)
 
 
-def search_nodes(nodes: DataFrame, query: str, limit: int = 20, stemmed: bool = True) -> DataFrame:
+def search_nodes(nodes: DataFrame, query: str, limit: int = 20, stemmed: bool = True, index: Index | None = None) -> DataFrame:
     """Graph nodes by full text over both names; by parts of names if that finds none or cannot be read."""
-    plain = nodes.withColumn("score", F.lit(0.0))
     try:
-        hits = bm25(indexed(nodes, F.concat_ws(" ", "name", "qualified_name"), stemmed), fts.words_query(query) or "", stemmed).drop("tokens", "dl")
-        if hits.limit(1).count():
-            return hits.orderBy("score", "qualified_name").limit(limit)
+        hits = bm25(index or node_index(nodes, stemmed), fts.words_query(query) or "").orderBy("score", *NODE).limit(limit).collect()  # `limit` rows
+        if hits:
+            return _fetched(nodes.sparkSession.createDataFrame(hits, f"{NODE_TYPE}, score double"), nodes, NODE).orderBy("score", *NODE)
     except ValueError:
         pass
     fits = F.lit(True)
     for word in query.split():
         fits = fits & (contains_ignoring_case(F.col("name"), word) | contains_ignoring_case(F.col("qualified_name"), word))
-    return plain.where(fits).orderBy("qualified_name").limit(limit)
+    return nodes.withColumn("score", F.lit(0.0)).where(fits).orderBy("qualified_name").limit(limit)
 
 
 def combined(relevance: Column, freshness: Column) -> Column:
@@ -124,7 +210,7 @@ def _top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 HIT = ["source", "key", "title", "snippet", "path", "score", "ts"]
 
 
-def unified_find(query: str, now: Column, nodes: DataFrame | None = None, turns: DataFrame | None = None, files: DataFrame | None = None, limit: int = 20, mode: str = "compat", stemmed: bool = False, per_source: int | None = None) -> DataFrame:
+def unified_find(query: str, now: Column, nodes: DataFrame | None = None, turns: DataFrame | None = None, files: DataFrame | None = None, limit: int = 20, mode: str = "compat", stemmed: bool = False, per_source: int | None = None, nodes_index: Index | None = None, turns_index: Index | None = None) -> DataFrame:
     """(HIT): the best of each source by its own rank, merged by score, one row for each thing.
 
     nodes need qualified_name, name, kind, file_path, updated_at; turns session_id,
@@ -136,13 +222,13 @@ def unified_find(query: str, now: Column, nodes: DataFrame | None = None, turns:
     parts: list[DataFrame] = []
     if nodes is not None:
         if words:
-            hits = bm25(indexed(nodes, F.concat_ws(" ", "name", "qualified_name"), stemmed), words, stemmed)
-            hits = _top(hits, [F.col("score"), F.col("qualified_name")], k).withColumn("rank", relevance(F.col("score"), mode))
+            hits = _top(bm25(nodes_index or node_index(nodes, stemmed), words), [F.col("score"), F.col("qualified_name")], k)
+            hits = _fetched(hits, nodes, NODE).withColumn("rank", relevance(F.col("score"), mode))
         else:
             hits = _top(nodes.where(contains_ignoring_case(F.col("name"), query) | contains_ignoring_case(F.col("qualified_name"), query)), [F.col("qualified_name")], k).withColumn("rank", F.lit(0.3))
         parts.append(hits.select(F.lit("graph").alias("source"), F.col("qualified_name").alias("key"), F.concat_ws(" ", "kind", "name").alias("title"), F.col("qualified_name").alias("snippet"), F.col("file_path").alias("path"), combined(F.col("rank"), recency(F.col("updated_at"), now)).alias("score"), F.col("updated_at").alias("ts")))
     if turns is not None and words:
-        hits = _top(bm25(indexed(turns, F.col("content"), stemmed), words, stemmed), [F.col("score"), F.col("session_id"), F.col("turn_index")], k)
+        hits = _fetched(_top(bm25(turns_index or turn_index(turns, stemmed), words), [F.col("score"), *map(F.col, TURN)], k), turns, TURN)
         text = one_line(F.col("content"))
         cut = lambda n, mark: F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
         parts.append(hits.select(F.lit("chat").alias("source"), F.concat_ws(":", "session_id", "turn_index").alias("key"), F.concat(F.col("role"), F.lit(": "), F.substring(text, 1, 80)).alias("title"), cut(220, "…").alias("snippet"), F.lit(None).cast("string").alias("path"), combined(relevance(F.col("score"), mode), recency(F.col("recorded_at"), now)).alias("score"), F.col("recorded_at").alias("ts")))
@@ -158,12 +244,13 @@ def unified_find(query: str, now: Column, nodes: DataFrame | None = None, turns:
     return rows.orderBy(F.col("score").desc(), "source", "key").limit(limit)
 
 
-def search_projects(turns: DataFrame, query: str, limit: int = 20, stemmed: bool = False, project: str = "project_path") -> DataFrame:
+def search_projects(turns: DataFrame, query: str, limit: int = 20, stemmed: bool = False, project: str = "project_path", index: Index | None = None) -> DataFrame:
     """Each project's best turns by its own statistics, merged by score as they are."""
-    hits = bm25(indexed(turns, F.col("content"), stemmed), query, stemmed, [project])
-    place = F.row_number().over(Window.partitionBy(project).orderBy("score", "session_id", "turn_index"))
-    rows = hits.withColumn("place", place).where(F.col("place") <= limit).drop("place", "tokens", "dl")
-    return rows.orderBy("score", project, "session_id", "turn_index").limit(limit)
+    hits = bm25(index or turn_index(turns, stemmed, [project]), query)
+    place = F.row_number().over(Window.partitionBy(project).orderBy("score", *TURN))  # each task keeps `limit` rows a project before they meet
+    order = ["score", project, *TURN]
+    hits = hits.withColumn("place", place).where(F.col("place") <= limit).drop("place").orderBy(*order).limit(limit)
+    return _fetched(hits, turns, [project, *TURN]).orderBy(*order)
 
 
 def mentions(files: DataFrame, turns: DataFrame, files_most: int = 10, each: int = 3) -> DataFrame:

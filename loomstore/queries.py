@@ -235,8 +235,8 @@ st AS (SELECT {by}count(*) AS docs, avg(dl) AS avgdl, {n} FROM tf {"GROUP BY " +
 
 @query(f"WITH {_bm25_sql('documents', 'doc_id', 'text', ['the', 'was'])} SELECT doc_id, round(score, 6) AS score FROM hits ORDER BY hits.score, doc_id LIMIT 20")
 def bm25_search(spark, sf_dir):
-    docs = search.indexed(S.table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
-    return search.bm25(docs, "the was").orderBy("score", "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
+    index = search.Index.of(S.table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
+    return search.bm25(index, "the was").orderBy("score", "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {S.TURNS}, {S.SESSIONS}, {_bm25_sql('turns', 'session_id', 'content', ['the', 'and'])} SELECT session_id, turn_index, llm_name, thread_id, round(score, 6) AS score FROM hits JOIN sessions ON session_id = id WHERE source_tool = 'codex' ORDER BY hits.score, session_id, turn_index LIMIT 10")
@@ -247,7 +247,7 @@ def turn_search(spark, sf_dir):
 
 @query(f"WITH {_bm25_sql('documents', 'doc_id', 'text', ['the', 'with'], 'source')}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hits.score, doc_id) AS place FROM hits) SELECT source AS project_path, doc_id, round(r.score, 6) AS score FROM r WHERE place <= 10 ORDER BY r.score, source, doc_id LIMIT 10")
 def global_search_by_project(spark, sf_dir):
-    rows = S.table(spark, sf_dir, "documents").select(F.col("source").alias("project_path"), "doc_id", F.col("doc_id").alias("session_id"), F.lit(0).alias("turn_index"), F.col("text").alias("content"))
+    rows = S.table(spark, sf_dir, "documents").select(F.col("source").alias("project_path"), "doc_id", F.col("doc_id").cast("string").alias("session_id"), F.lit(0).alias("turn_index"), F.col("text").alias("content"))
     return search.search_projects(rows, "the with", 10).select("project_path", "doc_id", F.round("score", 6).alias("score"))
 
 

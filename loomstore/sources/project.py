@@ -95,16 +95,21 @@ def project_facts(manifests: DataFrame) -> DataFrame:
 
 
 def read_projects(spark: SparkSession, registry: DataFrame, table: str) -> DataFrame:
-    """A table of all registered projects that have it, with their project_path; the registry is small and is read first."""
-    from loomstore.operators.snapshots import Store
+    """A table of all registered projects that have it, with their project_path and project_name, in one scan; the registry is small and is read first."""
+    from loomstore.operators.snapshots import Store, with_project
     from loomstore.plans.schemas import empty
 
-    out = empty(spark, table).withColumn("project_path", F.lit(None).cast("string")).withColumn("project_name", F.lit(None).cast("string"))
-    for r in registry.select("project_path", "db_path", "name").orderBy("project_path").collect():
+    folders, projects = [], {}
+    for r in registry.select("project_path", "db_path").collect():
         store = Store(spark, r["db_path"])
-        if store.version(table):
-            out = out.unionByName(store.read(table).withColumn("project_path", F.lit(r["project_path"])).withColumn("project_name", F.lit(r["name"])))
-    return out
+        if parts := store._parts(table, store.version(table)):
+            projects[store.root] = r["project_path"]
+            folders += [f"{store.root}/{table}/{v}" for v in parts.values()]
+    if not folders:
+        return empty(spark, table).withColumns({"project_path": F.lit(None).cast("string"), "project_name": F.lit(None).cast("string")})
+    rows = with_project(spark.read.option("mergeSchema", True).parquet(*folders), projects, table)
+    kept = {f.name: (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType) for f in empty(spark, table).schema}
+    return rows.select(*(c.alias(n) for n, c in kept.items()), "project_path").join(registry.select("project_path", F.col("name").alias("project_name")), "project_path")
 
 
 class SqliteTable(DataSource):

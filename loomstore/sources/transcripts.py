@@ -27,9 +27,16 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_path, line_no, line) of every line below a path; files are read whole, so lines keep their order."""
-    rows = whole_files(spark, path)
-    return rows.select("source_path", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    """(source_path, line_no, line) of every line below a path. Long files are read in splits.
+
+    Lines of a split are numbered as they are read; the split's place in its file, above that, keeps the file's order.
+    `line_no` rises along a file and has gaps.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select("*", F.monotonically_increasing_id().alias("n"), F.input_file_name().alias("source_path"), F.input_file_block_start().alias("start"))
+    # Less than 2**33 lines a task, as the id has it; splits start a byte apart at least, and a file has less than 2**40 bytes
+    in_task = F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
+    line_no = F.struct("start", in_task.alias("n"))
+    return rows.select("source_path", line_no.alias("line_no"), F.col("value").alias("line")).where(F.trim("value") != "")
 
 
 def json_array(files: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def test_bm25_scores(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a a c c"), (3, "d"), (4, "e f g")], "id int, content string")
     import math
 
-    got = {r["id"]: r["score"] for r in search.bm25(search.indexed(docs, F.col("content")), "a").collect()}
+    got = {r["id"]: r["score"] for r in search.bm25(search.Index.of(docs, ["id"], F.col("content")), "a").collect()}
     avg = 10 / 4
     for i, f, dl in ((1, 1, 2), (2, 2, 4)):
         assert math.isclose(got[i], -1e-6 * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg)))
