@@ -7,6 +7,7 @@ versioned tables.  Everything returns DataFrames, or strings where it says so.
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import UTC, datetime
 
@@ -58,6 +59,16 @@ class Engine:
     def meta(self) -> DataFrame:
         return self.store.read("project_meta")
 
+    def watch(self, folder: str, checkpoint: str, every: str = "30 seconds", once: bool = False):
+        """Index the folder and poll all tools again and again, until the query that this returns is stopped."""
+        from loomstore.streaming.watch import watch_project
+
+        return watch_project(self.spark, lambda: (self.index(folder), self.sync.all()), checkpoint, every, once)
+
+    def vacuum(self, keep: int = 5) -> int:
+        """Delete what only commits before the last `keep` need."""
+        return sum(self.store.vacuum(t, keep) for t in KEYS)
+
     def status(self) -> DataFrame:
         return files.overview_counts(self.files(), self.sessions.table(), self.changes(), F.lit(self.clock()))
 
@@ -139,6 +150,11 @@ class Sessions(_Part):
         self.store.append("turns", conform(made, "conversation_turns").coalesce(1))
         return len(rows)
 
+    def add_turns_from_file(self, session_id: str, path: str) -> int:
+        """Turns of a JSON array of {role, content}."""
+        found = transcripts.json_array(transcripts.whole_files(self.spark, path)).orderBy("pos").collect()
+        return self.add_turns(session_id, [(r["role"], r["content"]) for r in found])
+
     def search(self, query: str, **filters) -> DataFrame:
         return search.search_turns(self.turns(), self.table(), query, index=self.store.turn_index(), **filters)
 
@@ -199,15 +215,27 @@ class Sync(_Part):
     def configure(self, tool: str, source_path: str, enabled: bool = True) -> None:
         self.store.upsert("tool_sources", self.spark.createDataFrame([(tool, source_path, enabled, self.e.clock())], TABLES["tool_sources"]))
 
-    def tool(self, name: str, path: str) -> DataFrame:
-        """Import a tool's transcripts below a path; only turns beyond those stored are added."""
+    def tool(self, name: str, path: str, project: str | None = None, session_id: str | None = None) -> DataFrame:
+        """Import a tool's transcripts below a path, a project's alone if its folder is given; only turns beyond those stored are added.
+
+        The newest claude transcript goes on in the given session, else in the newest open one of the claude family.
+        """
         from loomstore.streaming.watch import poll_transcripts
 
-        out = poll_transcripts(self.spark, name, path, self.store)
-        seen = self.spark.createDataFrame([(None, name, path, None, self.e.root, self.e.clock(), None)], TABLES["conversation_sources"])
-        self.store.upsert("conversation_sources", seen)
+        into = None
+        if name == "claude":
+            found = conversations.resolve_session(self.e.sessions.table().where("source_tool is null"), session_id).collect()
+            into = found[0]["id"] if found else session_id
+        out = poll_transcripts(self.spark, name, path, self.store, project, into, self.e.clock())
         return out.withColumn("tool", F.lit(name)).withColumn("fallback", F.lit(name in transcripts.EMPTY_TOOLS))
 
+    def hook(self, payload: str) -> DataFrame:
+        """What a hook passes on its standard input, as JSON: the transcript at transcript_path of the project at cwd is imported."""
+        given = json.loads(payload)
+        if not isinstance(given, dict) or not given.get("transcript_path"):
+            raise ValueError("hook: no transcript_path")
+        return self.tool("claude", given["transcript_path"], given.get("cwd"))
+
     def all(self) -> DataFrame:
         """Every enabled tool source."""
         out = self.spark.createDataFrame([], "imported bigint, updated bigint, inserted bigint, skipped bigint, tool string, fallback boolean")
@@ -234,8 +262,12 @@ class Context(_Part):
     def thread(self, thread_id: str, tokens: int = 4000) -> str:
         return self.e.threads.show(thread_id, tokens)
 
-    def pack(self, tokens: int = 4000, session_id: str | None = None) -> str:
-        return render.context_pack(self.e.sessions.table(), self.e.sessions.turns(), self.e.changes(), tokens, session_id)
+    def pack(self, tokens: int = 4000, session_id: str | None = None, path: str | None = None) -> str:
+        """A context pack; written to a file below the path as well, if one is given."""
+        made = render.context_pack(self.e.sessions.table(), self.e.sessions.turns(), self.e.changes(), tokens, session_id)
+        if path:
+            self.spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return made
 
     def unified(self, changed: list[str], query: str = "") -> dict[str, DataFrame]:
         """What a change touches: impacted nodes, turns that mention its files, and hits for a query."""
@@ -278,6 +310,12 @@ class Graph(_Part):
 
     update = build
 
+    def bench_summary(self, folder: str, most: int = 200) -> dict:
+        """Files parsed, total and mean milliseconds, and the ten slowest."""
+        times = materialize(self.bench(folder, most), "times")
+        total = times.agg(F.count("*").alias("files"), F.coalesce(F.sum("ms"), F.lit(0.0)).alias("total_ms"), F.avg("ms").alias("mean_ms")).first()
+        return total.asDict() | {"slowest": times.orderBy(F.col("ms").desc(), "path").limit(10)}
+
     def bench(self, folder: str, most: int = 200) -> DataFrame:
         """(path, ms) of parsing the first `most` Python files, the slowest first."""
         sample = self._sources(folder).where(extract.language(F.col("path")) == "python").orderBy("path").limit(most)
@@ -309,20 +347,33 @@ class Graph(_Part):
     def search(self, query: str, limit: int = 20) -> DataFrame:
         return search.search_nodes(self.nodes(), query, limit, index=self.store.node_index())
 
-    def overview(self, tokens: int = 2000) -> str:
-        return render.overview_markdown(self.nodes(), self.e.files(), tokens)
+    def overview(self, tokens: int = 2000, prefix: str = "") -> str:
+        """Folders, files and symbols within a budget; of a folder or file alone if a prefix is given."""
+        return render.overview_markdown(graph.below(self.nodes(), prefix) if prefix else self.nodes(), self.e.files(), tokens)
+
+    def impact_text(self, paths: list[str], depth: int = 3) -> str:
+        """The impact of a change, for people: files, and the edges among what is hit."""
+        return render.impact_text(self.impact(paths, depth), self.edges())
+
+    def _centre(self, name: str) -> str:
+        found = graph.resolve_name(self.nodes(), name).collect()
+        return found[0]["qualified_name"] if found else name
 
     def neighbours(self, name: str, hops: int = 1) -> DataFrame:
-        centre = graph.resolve_name(self.nodes(), name).collect()
-        return graph.neighbours(self.nodes(), self.edges(), centre[0]["qualified_name"] if centre else name, hops)
+        return graph.neighbours(self.nodes(), self.edges(), self._centre(name), hops)
+
+    def neighbours_text(self, name: str, hops: int = 1) -> str:
+        return render.neighbourhood_markdown(self._centre(name), self.neighbours(name, hops).orderBy("hop", "role", "kind", "other").collect())
+
+    def subtree_text(self, root: str, depth: int = 8) -> str:
+        return render.subtree_text(root, self.subtree(root, depth).collect())
 
     def subtree(self, root: str, depth: int = 8) -> DataFrame:
         return graph.subtree(self.edges(), root, depth)
 
-    def export(self, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(nodes with degree and state, edges among them), for a drawing."""
-        nodes = self.nodes().where(F.col("kind").isin(kinds)) if kinds else self.nodes()
-        edges = graph.edges_among(self.edges(), nodes.select(F.col("qualified_name").alias("node")))
+    def export(self, kinds: list[str] | None = None, edge_kinds: list[str] | None = None, text: str = "") -> tuple[DataFrame, DataFrame]:
+        """(nodes with degree and state, edges among them), for a drawing: of chosen kinds, and with a text in the name or path."""
+        nodes, edges = graph.drawn(self.nodes(), self.edges(), kinds, edge_kinds, text)
         day = self.e.changes().where(F.col("changed_at") >= F.lit(self.e.clock()) - F.expr("interval 24 hours")).select("file_path")
         blast = graph.impact(self.nodes(), self.edges(), day.select(F.col("file_path").alias("path")), 1).select("qualified_name")
         states = graph.overlay(nodes, self.e.locks.list().select("file_path"), day, blast)

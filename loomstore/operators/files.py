@@ -90,3 +90,8 @@ def change_events(old: DataFrame, new: DataFrame) -> DataFrame:
     moves = gone.join(came, gone["was"] == came["now"]).select("source", "target")
     rows = rows.select(F.col("path").alias("file_path"), "change_type").join(moves.select(F.col("target").alias("file_path"), F.lit(True).alias("moved")), "file_path", "left")
     return rows.select("file_path", F.when(F.col("moved"), "moved").otherwise(F.col("change_type")).alias("change_type"))
+
+
+def staged_or_not(staged: DataFrame, unstaged: DataFrame) -> DataFrame:
+    """(path): files changed in either state, each once."""
+    return staged.select("path").union(unstaged.select("path")).where("path is not null and path <> ''").distinct()

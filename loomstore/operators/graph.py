@@ -180,3 +180,20 @@ def overview(nodes: DataFrame, files: DataFrame, each: int = 8) -> DataFrame:
     symbols = top.groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind", "name"))), lambda x: F.concat_ws(" ", x["kind"], x["name"])).alias("symbols"))
     rows = nodes.where("kind = 'File'").join(symbols, "file_path", "left").join(files.select(F.col("path").alias("file_path"), F.nullif("line_count", F.lit(0)).alias("lines"), "purpose"), "file_path", "left")
     return rows.select("file_path", "language", F.coalesce("lines", "line_end").alias("lines"), "purpose", F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
+
+
+def below(nodes: DataFrame, prefix: str) -> DataFrame:
+    """Nodes of the file or folder of that path."""
+    folder = prefix.rstrip("/")
+    return nodes.where((F.col("file_path") == folder) | F.col("file_path").startswith(folder + "/"))
+
+
+def drawn(nodes: DataFrame, edges: DataFrame, kinds: list[str] | None = None, edge_kinds: list[str] | None = None, text: str = "") -> tuple[DataFrame, DataFrame]:
+    """Nodes of the kinds whose name or path holds the text, and the edges of the kinds among them."""
+    if kinds:
+        nodes = nodes.where(F.col("kind").isin(kinds))
+    if text:
+        nodes = nodes.where(F.lower("name").contains(text.lower()) | F.lower("file_path").contains(text.lower()))
+    if edge_kinds:
+        edges = edges.where(F.col("kind").isin(edge_kinds))
+    return nodes, edges_among(edges, nodes.select(F.col("qualified_name").alias("node")))

@@ -45,8 +45,8 @@ def export_json(path: str, meta: DataFrame, file_rows: DataFrame, sessions: Data
     file_rows.select("path", "file_type", "line_count", "purpose", "tags").write.mode("overwrite").json(f"{path}/files")
 
 
-def export_markdown(meta: DataFrame, file_rows: DataFrame, sessions: DataFrame, changes: DataFrame, generated: str, most_files: int = 2000) -> str:
-    """Everything, for people; files by type, larger types first."""
+def export_markdown(meta: DataFrame, file_rows: DataFrame, sessions: DataFrame, changes: DataFrame, generated: str) -> str:
+    """Everything, for people; files by type, larger types first. The string holds every file; `export_json` is for indexes too large for one."""
     m = _meta(meta)
     total = file_rows.count()
     out = ["# Project context", "", f"**Generated**: {generated}  ", *[f"**{k.title()}**: {m.get(k, 'unknown')}  " for k in ("name", "language", "framework")], f"**Total files**: {total}", ""]
@@ -58,7 +58,7 @@ def export_markdown(meta: DataFrame, file_rows: DataFrame, sessions: DataFrame,
     out += ["## Files", ""]
     kinds = files.type_counts(file_rows, None).collect()
     by: dict[str, list[str]] = {}
-    for r in file_rows.orderBy("path").limit(most_files).collect():
+    for r in file_rows.select("path", "file_type", "purpose").orderBy("path").toLocalIterator():
         by.setdefault(r["file_type"] or "other", []).append(f"- `{r['path']}`" + (f": {r['purpose']}" if r["purpose"] else ""))
     for k in kinds:
         out += [f"### .{k['file_type']} ({k['n']} files)", *by.get(k["file_type"], []), ""]
@@ -132,13 +132,16 @@ def find_markdown(query: str, hits: Iterable) -> str:
 
 def overview_markdown(nodes: DataFrame, file_rows: DataFrame, tokens: int = 2000) -> str:
     """Folders with files and symbols; without symbols, then without files, then cut, until it fits the budget."""
-    rows = graph.overview(nodes, file_rows).orderBy("file_path").limit(5000).collect()
+    most = max(1, tokens)  # a file takes a token at least
+    shown = graph.overview(nodes, file_rows)
+    total = shown.count()
+    rows = shown.orderBy("file_path").limit(most).collect()
     folders: dict[str, list] = {}
     for r in rows:
         folders.setdefault(r["file_path"].rpartition("/")[0] or ".", []).append(r)
 
     def text(with_files: bool, with_symbols: bool) -> str:
-        out = [f"# Overview: {len(rows)} files"]
+        out = [f"# Overview: {total} files"]
         for folder, inside in folders.items():
             out.append(f"{folder}/ ({len(inside)})")
             for r in inside if with_files else ():

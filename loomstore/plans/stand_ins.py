@@ -82,14 +82,14 @@ NODES = """nodes AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CONTAINS down the geography; orders CALL customers; suppliers are TESTED_BY-linked to every 7th customer of their nation."""
+    """CONTAINS down the geography; orders CALL customers; every 7th customer is TESTED_BY one supplier, ten customers a supplier at most."""
     t = lambda n: table(spark, sf_dir, n)
     e = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), a.alias("source_qualified"), b.alias("target_qualified"))
     name = lambda p, c: F.concat(F.lit(p + "::"), c)
     out = e(t("nation"), "CONTAINS", name("R", "n_regionkey"), name("N", "n_nationkey"))
     out = out.unionByName(e(t("customer"), "CONTAINS", name("N", "c_nationkey"), name("C", "c_custkey"))).unionByName(e(t("supplier"), "CONTAINS", name("N", "s_nationkey"), name("S", "s_suppkey")))
     out = out.unionByName(e(t("orders"), "CALLS", name("O", "o_orderkey"), name("C", "o_custkey")))
-    tested = t("supplier").join(t("customer").where("c_custkey % 7 = 0"), F.col("s_nationkey") == F.col("c_nationkey"))
+    tested = t("supplier").join(t("customer").where("c_custkey % 7 = 0"), F.col("s_suppkey") == F.expr("c_custkey div 70 + 1"))
     return out.unionByName(e(tested, "TESTED_BY", name("S", "s_suppkey"), name("C", "c_custkey")))
 
 
@@ -98,4 +98,4 @@ EDGES = """edges AS (
   UNION ALL SELECT 'CONTAINS', 'N::' || c_nationkey, 'C::' || c_custkey FROM customer
   UNION ALL SELECT 'CONTAINS', 'N::' || s_nationkey, 'S::' || s_suppkey FROM supplier
   UNION ALL SELECT 'CALLS', 'O::' || o_orderkey, 'C::' || o_custkey FROM orders
-  UNION ALL SELECT 'TESTED_BY', 'S::' || s_suppkey, 'C::' || c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_custkey % 7 = 0)"""
+  UNION ALL SELECT 'TESTED_BY', 'S::' || s_suppkey, 'C::' || c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey // 70 + 1 WHERE c_custkey % 7 = 0)"""

@@ -410,16 +410,6 @@ def _lock_events(spark, sf_dir):
     return S.changes(spark, sf_dir).select(F.col("id").alias("event_id"), F.col("changed_at").alias("ts"), op.alias("op"), "file_path", "session_id", F.lit("llm").alias("llm_name"))
 
 
-@query()
-def lock_fold(spark, sf_dir):
-    return locks.fold_locks(_lock_events(spark, sf_dir))
-
-
-@query()
-def lock_conflicts_fold(spark, sf_dir):
-    return locks.conflicts(locks.fold_locks(_lock_events(spark, sf_dir)))
-
-
 @query("WITH s AS (SELECT ts, CAST(user_id AS VARCHAR) AS session_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)) SELECT event_id, e.ts, (SELECT session_id FROM s WHERE s.ts <= e.ts ORDER BY s.ts DESC, session_id DESC LIMIT 1) AS session_id FROM events e")
 def active_session_at_event(spark, sf_dir):
     e = S.table(spark, sf_dir, "events")
@@ -433,11 +423,11 @@ def active_session_at_event(spark, sf_dir):
 def _source_files(spark, sf_dir):
     """Documents as Python-like sources: every third word that starts a line declares, imports repeat."""
     d = S.table(spark, sf_dir, "documents")
-    line = lambda x: F.concat(F.element_at(F.array(F.lit("def "), F.lit("class "), F.lit("import ")), (F.length(x) % 3 + 1).cast("int")), F.regexp_replace(F.lower(F.substring(x, 1, 4)), "[^a-z]", "x"))
+    line = lambda x: F.concat(F.element_at(F.array(F.lit("def "), F.lit("class "), F.lit("import ")), (F.length(x) % 3 + 1).cast("int")), F.regexp_replace(F.lower(x), "[^a-z]+", "x"))
     return d.select(F.concat(F.col("doc_id"), F.lit(".py")).alias("path"), F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("content"))
 
 
-_SOURCE_LINES = "src AS (SELECT doc_id || '.py' AS file_path, list_transform(string_split(text, chr(10)), lambda x: ['def ', 'class ', 'import '][CAST(length(x) % 3 + 1 AS INTEGER)] || regexp_replace(lower(substring(x, 1, 4)), '[^a-z]', 'x', 'g')) AS ls FROM documents), lines AS (SELECT file_path, unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS line FROM src)"
+_SOURCE_LINES = "src AS (SELECT doc_id || '.py' AS file_path, list_transform(string_split(text, chr(10)), lambda x: ['def ', 'class ', 'import '][CAST(length(x) % 3 + 1 AS INTEGER)] || regexp_replace(lower(x), '[^a-z]+', 'x', 'g')) AS ls FROM documents), lines AS (SELECT file_path, unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS line FROM src)"
 _SYMBOLS = _SOURCE_LINES + ", sym AS (SELECT file_path, CASE WHEN text LIKE 'class %' THEN 'Class' ELSE 'Function' END AS kind, regexp_extract(text, '^(?:class|def) (\\w+)', 1) AS base, CAST(line AS INTEGER) AS line FROM lines WHERE regexp_matches(text, '^(class|def) \\w')), named AS (SELECT *, row_number() OVER (PARTITION BY file_path, base ORDER BY line) AS r FROM sym)"
 
 
@@ -451,16 +441,11 @@ def duplicate_symbol_rename(spark, sf_dir):
     return extract.symbols(extract.lines_of(_source_files(spark, sf_dir))).where("name like '%\\\\_\\\\_L%'").select("file_path", "name")
 
 
-@query(f"WITH {_SOURCE_LINES} SELECT file_path, target, line FROM (SELECT file_path, trim(text) AS target, CAST(line AS INTEGER) AS line, row_number() OVER (PARTITION BY file_path ORDER BY line) AS r FROM lines WHERE text LIKE 'import %') WHERE r <= 40")
+@query(f"WITH {_SOURCE_LINES} SELECT file_path, target, line FROM (SELECT file_path, substring(trim(text), 1, 200) AS target, CAST(line AS INTEGER) AS line, row_number() OVER (PARTITION BY file_path ORDER BY line) AS r FROM lines WHERE text LIKE 'import %') WHERE r <= 40")
 def import_edges_cap40(spark, sf_dir):
     return extract.imports(extract.lines_of(_source_files(spark, sf_dir)))
 
 
-@query()
-def python_syntax_nodes(spark, sf_dir):
-    return extract.parse_python(_source_files(spark, sf_dir).withColumn("content", F.regexp_replace("content", r"(?m)^(def|class) (\w+)$", "$1 $2(): pass")))[0]
-
-
 @query("WITH h AS (SELECT doc_id, '# ' || text AS c FROM documents) SELECT doc_id, substring(nullif(trim(regexp_extract(substring(c, 1, 3000), '(?m)^#{1,3}\\s+(.+)', 1)), ''), 1, 200) AS purpose FROM h")
 def purpose_extract(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents")
@@ -520,3 +505,6 @@ def parse_transcript_markdown(spark, sf_dir):
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(F.lit("<!-- Role: "), F.upper(t["role"]), F.lit(" -->\n"), t["text"]))
     files = c.groupBy(F.col("conv_id").cast("string").alias("source_path")).agg(F.array_join(parts, "\n\n").alias("content"))
     return transcripts.markdown(files).select(F.col("source_path").cast("bigint").alias("conv_id"), "pos", "role", "content")
+
+
+from loomstore import project_queries  # noqa: E402, F401  registers the rest

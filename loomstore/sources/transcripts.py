@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstore.functions.text import is_preamble, one_line, shorten
+from loomstore.functions.text import folder_slug, is_preamble, one_line, shorten
 from loomstore.operators.conversations import imported_id
 from loomstore.plans.schemas import ROLES
 
@@ -26,7 +26,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("source_path"), F.col("value").alias("content"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_path, line_no, line) of every line below a path. Long files are read in splits.
 
     Lines of a split are numbered as they are read; the split's place in its file, above that, keeps the file's order.
@@ -49,6 +49,7 @@ def json_array(files: DataFrame) -> DataFrame:
     return rows.select("source_path", F.col("source_path").alias("session_key"), "pos", role.alias("role"), F.coalesce("t.content", F.lit("")).alias("content"))
 
 
+# Fixed value: how a file marks the role of what follows.
 MARKER = r"(?i)<!--\s*role:\s*(user|assistant|system)\s*-->"
 
 
@@ -191,12 +192,36 @@ def relative_to(path: Column, folder: Column) -> Column:
 #: Readers by tool; tools whose stores cannot be read give no rows.
 READERS = {"claude": claude, "cursor": cursor, "codex": lambda rows: codex(rows)[0], "aider": markdown}
 EMPTY_TOOLS = ["continue", "copilot", "vscode", "kilocode"]
+TURNS = "source_path string, session_key string, pos int, role string, content string, paths array<string>, llm_name string, started_at timestamp"
 
 
-def read(spark: SparkSession, tool: str, path: str) -> DataFrame:
-    """Turns of a tool's transcripts below a path, for any tool of READERS and EMPTY_TOOLS."""
+def read(spark: SparkSession, tool: str, path: str, project: str | None = None) -> DataFrame:
+    """(TURNS) of a tool's transcripts below a path, for any tool of READERS and EMPTY_TOOLS; of a project alone if one is given.
+
+    A cursor transcript is a project's if it lies below a folder of the project's slug, a codex rollout if it was run in
+    the project's folder; of rollouts the newest MOST_ROLLOUTS are read.  Paths that are not in the project go.
+    """
     if tool in EMPTY_TOOLS:
-        return spark.createDataFrame([], "source_path string, session_key string, pos int, role string, content string")
+        return spark.createDataFrame([], TURNS)
     if tool not in READERS:
         raise ValueError(f"unknown tool {tool!r}")
-    return READERS[tool](whole_files(spark, path) if tool == "aider" else lines(spark, path))
+    if tool == "codex":
+        named = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("source_path"))
+        chosen = [r["source_path"] for r in newest_rollouts(named).collect()]  # MOST_ROLLOUTS at most
+        if not chosen:
+            return spark.createDataFrame([], TURNS)
+        turns, heads = codex(lines(spark, chosen))
+        if project:
+            heads = heads.where(same_folder(F.col("cwd"), F.lit(project)))
+        heads = heads.select("source_path", "llm_name", F.try_to_timestamp("started_at").alias("started_at"), "call_paths")
+        rows = turns.join(heads, "source_path").withColumn("paths", F.array_union("paths", "call_paths")).drop("call_paths")
+    else:
+        rows = READERS[tool](whole_files(spark, path) if tool == "aider" else lines(spark, path))
+        if tool == "cursor" and project:
+            rows = rows.where(F.array_contains(F.split(F.lower("source_path"), "/"), F.lower(folder_slug(F.lit(project)))))
+        rows = rows.withColumns({"llm_name": F.lit(tool), "started_at": F.lit(None).cast("timestamp")})
+        rows = rows if "paths" in rows.columns else rows.withColumn("paths", F.array().cast("array<string>"))
+    if project:
+        inside = F.transform("paths", lambda p: F.when(p.rlike(r"^(?:/|[A-Za-z]:)"), relative_to(p, F.lit(project))).otherwise(F.translate(p, "\\", "/")))
+        rows = rows.withColumn("paths", F.array_distinct(F.array_compact(inside)))
+    return rows.select(*(c.split()[0] for c in TURNS.split(", ")))

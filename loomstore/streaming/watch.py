@@ -37,15 +37,40 @@ def drop_zone(spark: SparkSession, folder: str, store: Store, checkpoint: str, n
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
 
-def poll_transcripts(spark: SparkSession, tool: str, folder: str, store: Store) -> DataFrame:
-    """One poll of a tool's folder: turns beyond those stored are appended; gives the summary row. Run it by a timer."""
-    turns = transcripts.read(spark, tool, folder)
-    turns = turns.withColumn("session_id", conversations.imported_id(F.lit(tool), F.col("session_key"))).withColumn("token_est", F.lit(0))
+def imported_before(sources: DataFrame, tool: str) -> tuple[DataFrame, DataFrame]:
+    """(source_path, by_path) and (session_key, by_id): the session that a transcript was imported to, found by its place or by its id."""
+    mine = sources.where((F.col("adapter_name") == tool) & F.col("session_id").isNotNull())
+    newest = lambda key, name: mine.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("session_id", "last_seen_at").alias(name))
+    return newest("source_path", "by_path"), newest("source_id", "by_id").withColumnRenamed("source_id", "session_key")
+
+
+def poll_transcripts(spark: SparkSession, tool: str, folder: str, store: Store, project: str | None = None, into: str | None = None, now: object = None) -> DataFrame:
+    """One poll of a tool's folder: turns beyond those stored are appended; gives the summary row.
+
+    A transcript goes on in the session that it was imported to before, by its place or its id; the newest claude transcript
+    else in `into`, if that is given; any other makes a session of its own.
+    """
+    turns = materialize(transcripts.read(spark, tool, folder, project), "transcripts")
+    by_path, by_id = imported_before(store.read("conversation_sources"), tool)
+    rows = turns.join(by_path, "source_path", "left").join(by_id, "session_key", "left")
+    known = F.coalesce("by_path", "by_id")
+    if into and tool == "claude":
+        last = rows.agg(F.max("source_path").alias("p")).first()["p"]
+        known = F.coalesce(known, F.when(F.col("source_path") == last, F.lit(into)))
+    rows = rows.withColumn("session_id", F.coalesce(known, conversations.imported_id(F.lit(tool), F.col("session_key")))).drop("by_path", "by_id").withColumn("token_est", F.lit(0))
+    rows = materialize(rows, "turns")
     have = store.turns()
-    summary = spark.createDataFrame(conversations.import_summary(have, turns).collect(), "imported bigint, updated bigint, inserted bigint, skipped bigint")
-    store.append("turns", conform(conversations.append_tail(have, turns), "conversation_turns"))
-    found = transcripts.sessions_of(turns.drop("paths"), tool)
-    store.upsert("sessions", found.select("id", "llm_name", "working_on", "source_tool", "source_path", "source_id", "thread_id", F.lit("completed").alias("status")))
+    summary = spark.createDataFrame(conversations.import_summary(have, rows).collect(), "imported bigint, updated bigint, inserted bigint, skipped bigint")
+    store.append("turns", conform(conversations.append_tail(have, rows).withColumn("recorded_at", F.lit(now).cast("timestamp")), "conversation_turns"))
+    heads = rows.groupBy("session_id").agg(F.max("llm_name").alias("llm_name"), F.max("started_at").alias("started_at"))
+    found = transcripts.sessions_of(rows, tool).withColumn("key", F.col("source_id")).join(rows.select(F.col("session_key").alias("key"), "session_id").distinct(), "key").drop("llm_name").join(heads, "session_id")
+    found = found.select(F.col("session_id").alias("id"), "llm_name", "started_at", "working_on", "source_tool", "source_path", "source_id", "thread_id", F.array_join("files_touched", ",").alias("files_modified"), F.lit("completed").alias("status"))
+    found = materialize(found.where(F.col("id") != F.lit(into or "")), "sessions")
+    store.upsert("sessions", found)
+    places = rows.groupBy("source_path").agg(F.max("session_id").alias("session_id"), F.max("session_key").alias("source_id"), (F.max("pos") + 1).cast("bigint").alias("position"))
+    places = materialize(places.select("*", F.lit(tool).alias("adapter_name"), F.lit(project).cast("string").alias("project_path"), F.lit(now).cast("timestamp").alias("last_seen_at"), F.lit(now).cast("timestamp").alias("last_synced_at")), "places")
+    store.upsert("conversation_sources", places)
+    store.upsert("sync_checkpoints", places)
     return summary
 
 
@@ -70,30 +95,56 @@ def conflict_stream(writes: DataFrame, owners: Callable[[], DataFrame]) -> DataF
 
 
 def lock_stream(events: DataFrame) -> DataFrame:
-    """A stream of lock events, folded by file with the owner as state; out comes what happened to each event.
+    """A stream of lock events, folded by project with the owners as state; out comes what happened to each event and file.
 
-    Within a batch a file's events are taken in the order of event_id; batches must come in order.
+    A release of everything, or a session's end, frees all files that the session owns, so the files of a project are
+    folded together; `project` tells projects apart, and without that column all events are of one.  Within a batch
+    events are taken in the order of event_id; batches must come in order.
     """
     out = "event_id bigint, file_path string, session_id string, op string, granted boolean, owner string"
+    events = events if "project" in events.columns else events.withColumn("project", F.lit(""))
 
     def fold(key, batches, state):
+        import json
+
         import pandas as pd
 
-        (owner,) = state.get if state.exists else (None,)
+        owners = json.loads(state.get[0]) if state.exists else {}
         rows = []
         for e in pd.concat(list(batches)).sort_values("event_id").itertuples():
-            granted = None
+            if e.op in ("release_all", "end_session"):
+                for path in [p for p, owner in owners.items() if owner == e.session_id]:
+                    del owners[path]
+                    rows.append((e.event_id, path, e.session_id, "release", True, None))
+                continue
+            owner, granted = owners.get(e.file_path), None
             if e.op == "claim":
                 granted = owner in (None, e.session_id)
                 owner = e.session_id if granted else owner
             elif e.op == "release":
                 granted = owner == e.session_id
                 owner = None if granted else owner
-            rows.append((e.event_id, key[0], e.session_id, e.op, granted, owner))
-        state.update((owner,))
+            owners[e.file_path] = owner
+            if owner is None:
+                del owners[e.file_path]
+            rows.append((e.event_id, e.file_path, e.session_id, e.op, granted, owner))
+        state.update((json.dumps(owners),))
         yield pd.DataFrame(rows, columns=["event_id", "file_path", "session_id", "op", "granted", "owner"])
 
-    return events.groupBy("file_path").applyInPandasWithState(fold, out, "owner string", "append", "NoTimeout")
+    return events.groupBy("project").applyInPandasWithState(fold, out, "owners string", "append", "NoTimeout")
+
+
+def watch_project(spark: SparkSession, look: Callable[[], object], checkpoint: str, every: str = "30 seconds", once: bool = False):
+    """A running query that calls `look` (an index, a poll) at each tick of a clock; with `once` it looks a single time and ends."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    made = ticks.writeStream.foreachBatch(lambda batch, _: look()).option("checkpointLocation", checkpoint)
+    if not once:
+        return made.trigger(processingTime=every).start()
+    query = made.trigger(processingTime="0 seconds").start()
+    while query.lastProgress is None and query.isActive:
+        query.awaitTermination(1)
+    query.stop()
+    return query
 
 
 def changes_by_window(changes: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -130,3 +130,55 @@ def test_command_line(spark, tmp_path, capsys):
     for bad in (["session", "_event"], ["session", "nothing"]):
         with pytest.raises(SystemExit):
             cli.main([*root, *bad])
+
+
+def test_sync_is_of_one_project_and_goes_on_where_it_was(engine, tmp_path):
+    import json
+
+    home = tmp_path / "tools"
+    rollout = lambda name, cwd, texts: (home / "codex" / f"rollout-{name}.jsonl").write_text("\n".join([json.dumps({"type": "session_meta", "payload": {"id": f"id-{name}", "cwd": cwd, "cli_version": "0.9", "timestamp": "2024-03-01T10:00:00Z"}}), *(json.dumps({"type": "response_item", "payload": {"role": "user", "content": [{"type": "input_text", "text": t}]}}) for t in texts)]))
+    (home / "codex").mkdir(parents=True)
+    rollout("1", "/work/App/", ["look at /work/app/src/a.py and /elsewhere/b.py"])
+    rollout("2", "/other", ["not ours"])
+    (home / "codex" / "notes.jsonl").write_text("{}")
+    assert engine.sync.tool("codex", str(home / "codex"), "/work/app").first()["inserted"] == 1
+    row = engine.sessions.table().where("source_tool = 'codex'").first()
+    assert (row["llm_name"], row["files_modified"], str(row["started_at"])) == ("codex-0.9", "src/a.py", "2024-03-01 10:00:00")
+    rollout("1", "/work/App/", ["look at /work/app/src/a.py and /elsewhere/b.py", "more"])
+    assert engine.sync.tool("codex", str(home / "codex"), "/work/app").first()["inserted"] == 1
+    assert engine.store.read("sync_checkpoints").first()["position"] == 2
+
+    cursor = lambda folder, name, text: ((home / "cursor" / folder).mkdir(parents=True, exist_ok=True), (home / "cursor" / folder / f"{name}.jsonl").write_text(json.dumps({"role": "user", "message": {"content": text}})))
+    cursor("work-app", "c1", "ours")
+    cursor("other-app", "c2", "theirs")
+    assert engine.sync.tool("cursor", str(home / "cursor"), "/work/app").first()["inserted"] == 1
+    (home / "cursor" / "work-app" / "c1.jsonl").rename(home / "cursor" / "work-app" / "moved.jsonl")
+
+    engine.sessions.start("claude", "open", session_id="open")
+    claude = lambda n: (home / "claude.jsonl").write_text("\n".join(json.dumps({"type": "user", "sessionId": "abc", "message": {"role": "user", "content": f"turn {k}"}}) for k in range(n)))
+    claude(2)
+    engine.sync.hook(json.dumps({"transcript_path": str(home / "claude.jsonl"), "cwd": "/work/app"}))
+    assert engine.sessions.turns().where("session_id = 'open'").count() == 2
+    engine.sessions.end("open")
+    claude(3)
+    assert engine.sync.tool("claude", str(home / "claude.jsonl")).first()["inserted"] == 1  # by its place, though the session is closed
+    assert engine.sessions.turns().where("session_id = 'open'").count() == 3
+    with pytest.raises(ValueError):
+        engine.sync.hook("{}")
+
+
+def test_texts_of_the_graph_and_a_look_by_the_clock(engine, tree, tmp_path):
+    query = engine.watch(str(tree), str(tmp_path / "cp"), once=True)
+    assert query.exception() is None and engine.files().count() == 5
+    engine.graph.build(str(tree))
+    assert "src/service.py" in engine.graph.impact_text(["src/utils.py"]) or "nodes in" in engine.graph.impact_text(["src/utils.py"])
+    assert "login" in engine.graph.neighbours_text("src/service.py::UserService") and "UserService" in engine.graph.subtree_text("src/service.py")
+    assert "app.js" not in engine.graph.overview(prefix="src") and engine.graph.overview(prefix="nowhere").startswith("# Overview: 0 files")
+    summary = engine.graph.bench_summary(str(tree))
+    assert summary["files"] == 3 and summary["slowest"].count() == 3 and summary["mean_ms"] > 0
+    (tmp_path / "turns.json").write_text('[{"role": "user", "content": "from a file"}]')
+    engine.sessions.start("claude", session_id="f")
+    assert engine.sessions.add_turns_from_file("f", str(tmp_path / "turns.json")) == 1
+    assert engine.context.pack(path=str(tmp_path / "pack")) and any((tmp_path / "pack").iterdir())
+    engine.store.upsert("project_meta", engine.meta())
+    assert engine.vacuum(1) > 0 and engine.files().count() == 5

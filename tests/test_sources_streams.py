@@ -129,13 +129,13 @@ def test_lock_fold(spark):
 def test_lock_stream_equals_the_batch_fold(spark, tmp_path):
     src = str(tmp_path / "in")
     for k in range(2):
-        spark.createDataFrame([(i, T0, op, p, s, "l") for i, op, p, s in LOCKS if p and (i > 5) == bool(k)], watch.CHANGES).coalesce(1).write.mode("append").parquet(src)
+        spark.createDataFrame([(i, T0, op, p, s, "l") for i, op, p, s in LOCKS if (i > 5) == bool(k)], watch.CHANGES).coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)
     stream = watch.lock_stream(spark.readStream.schema(watch.CHANGES).option("maxFilesPerTrigger", 1).parquet(src))
     q = stream.writeStream.format("memory").queryName("locks_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(90)
-    got_ = {(r["event_id"]): r["owner"] for r in spark.table("locks_out").collect()}
-    want = {r["event_id"]: r["owner"] for r in locks.fold_locks(lock_events(spark, [x for x in LOCKS if x[2]])).collect()}
+    got_ = {(r["event_id"], r["file_path"]): (r["granted"], r["owner"]) for r in spark.table("locks_out").collect()}
+    want = {(r["event_id"], r["file_path"]): (r["granted"], r["owner"]) for r in locks.fold_locks(lock_events(spark)).collect()}
     assert got_ == want
 
 
