@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; where the session names none, one under the warehouse (tests)."""
+    """The folder that all executors see; where a local session (tests) names none, one under the warehouse."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)  # holds for what exists
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, and lost executors cost no rework."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(spark, name)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
