@@ -6,18 +6,20 @@ import pytest
 from loomstore.plans import shared
 
 
-def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
-    assert shared.shared_dir(spark).endswith("/_shared")
-
-    class Context:
-        master = "spark://host:7077"
-        getConf = spark.sparkContext.getConf
-
+@pytest.mark.parametrize("master,given,want", [("local[4]", "", "/wh/_shared"), ("local", "", "/wh/_shared"), ("local-cluster[2,1,900]", "/s/", "/s"), ("spark://host:7077", "hdfs:///s", "hdfs:///s"), ("spark://host:7077", "", None), ("local-cluster[2,1,900]", "", None)])
+def test_a_cluster_must_name_its_shared_folder(master, given, want):
     class Session:
-        sparkContext, conf = Context, spark.conf
+        class sparkContext:  # noqa: N801
+            getConf = staticmethod(lambda: {"spark.checkpoint.dir": given} if given else {})  # noqa: N815
+
+        conf = {"spark.sql.warehouse.dir": "/wh/"}
 
-    with pytest.raises(ValueError):
-        shared.shared_dir(Session)
+    Session.sparkContext.master = master
+    if want is None:
+        with pytest.raises(ValueError):
+            shared.shared_dir(Session)
+    else:
+        assert shared.shared_dir(Session) == want
 
 
 def test_written_tables_go_with_the_application(tmp_path):
