@@ -15,14 +15,13 @@ row for each block and range, or, where blocks are many, as few as one key a row
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, scratch
 
 ASKED = "part int, block bigint, n int, data binary"
 ANSWERED = "block bigint, level int, part int, n int, present bigint, data binary"
@@ -31,11 +30,12 @@ ANSWERED = "block bigint, level int, part int, n int, present bigint, data binar
 def write_blocks(rows: DataFrame) -> DataFrame:
     """`rows` as a table in the shared folder, bucketed by their column `block`."""
     spark = rows.sparkSession
-    name, buckets = f"blocks_{uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "blocks")
+    name, buckets = path.rpartition("/")[2].replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rows.write.format("parquet").option("compression", "zstd").option("parquet.block.size", 32 << 20)
     # Rows are large: look at the size of a page and of a row group after every few of them
     writer = writer.option("parquet.page.size.row.check.min", 2).option("parquet.block.size.row.check.min", 4).option("parquet.block.size.row.check.max", 16)
-    writer.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    writer.mode("append").bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

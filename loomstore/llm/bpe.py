@@ -7,12 +7,17 @@ rank map is a literal of the vocabulary file, keyed by pairs of pieces.  The
 texts' ids are then looked up word by word.  Decoding concatenates the binary
 pieces of the ids.
 
-`fold_column` is the same fold as Spark higher-order functions.  It gives the
-same ids, at about 77 microseconds a word against about 5 here; README.md has the
-figures that decided for the Arrow form on the main path.
-
-Nulls and empty texts have no tokens.  Rows are independent: repeated rows give
-repeated results, and columns other than the id and the text are ignored.
+`fold_column` is the same fold as Spark higher-order functions, and
+`encode_distinct` the whole encoding by it: distinct words of the whole table are
+folded once and joined back.  Both give the same ids, at about 70 microseconds a
+word against about 6 here; README.md has the figures that decided for the Arrow
+form on the main path.
+
+Nulls and empty texts have no tokens.  Of equal ranks the leftmost goes first.
+Texts of any length are read whole, CHUNK_CHARS at a time or one text if that is
+longer; a very long word is folded with a heap, in time n log n.  Rows are
+independent: repeated rows give repeated results, an empty table gives none, and
+columns other than the id and the text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,14 +25,19 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, pieces
+
 #: Distinct words that a task remembers before it starts afresh; bounds its memory.
 MEMORY_WORDS = 400_000
+#: Bytes of a word from which a heap folds it.
+LONG_WORD = 256
 #: Characters of text that are worked on and sent at a time.
 CHUNK_CHARS = 2_000_000
 
@@ -46,6 +56,8 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 def fold_word(word: bytes, byte_ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     """Ids of one word."""
+    if len(word) > LONG_WORD:
+        return _fold_long(word, byte_ids, pairs)
     ids = [byte_ids[b] for b in word]
     none = 1 << 30
     ranks = [pairs.get(p, none) for p in zip(ids, ids[1:])]
@@ -63,6 +75,27 @@ def fold_word(word: bytes, byte_ids: list[int], pairs: dict[tuple[int, int], int
     return ids
 
 
+def _fold_long(word: bytes, byte_ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The same by a heap of (rank, place) over linked pieces; entries of pieces that have changed are skipped."""
+    ids: list[int | None] = [byte_ids[b] for b in word]
+    left, right = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
+    heap = [(r, i) for i, p in enumerate(zip(ids, ids[1:])) if (r := pairs.get(p)) is not None]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        j = right[i]
+        if ids[i] is None or j < 0 or pairs.get((ids[i], ids[j])) != rank:
+            continue
+        ids[i], ids[j], right[i] = rank, None, right[j]
+        if right[i] >= 0:
+            left[right[i]] = i
+            if (r := pairs.get((rank, ids[right[i]]))) is not None:
+                heappush(heap, (r, i))
+        if left[i] >= 0 and (r := pairs.get((ids[left[i]], rank))) is not None:
+            heappush(heap, (r, left[i]))
+    return [i for i in ids if i is not None]
+
+
 def fold_column(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> Column:
     """Ids of the words in a binary column, by higher-order functions.
 
@@ -149,6 +182,49 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def encode_distinct(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `encode`, by `fold_column` over the distinct words of the whole table, joined back to the places they stand at.
+
+    Words longer than LONG_WORD bytes are folded as in `encode`: a higher-order fold takes the square of a word's length.
+    """
+    spark = docs.sparkSession
+    ranks = load_ranks(vocabulary)
+    sent = spark.sparkContext.broadcast(ranks)
+    # Regular expressions of the tokenizer are not Java's, so words are split in Arrow batches
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+        from pyspark import TaskContext
+
+        find, n = regex.compile(pattern).findall, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in pieces(batch, 512):
+                words = [[w.encode() for w in find(t)] if t else [] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(range(n, n + part.num_rows), pa.int64()), part.column(0), pa.array(words, pa.list_(pa.binary()))], names=["row", "doc_id", "words"])
+                n += part.num_rows
+
+    def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, byte_ids = pair_ranks(sent.value), [sent.value[bytes([b])] for b in range(256)]
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold_word(w, byte_ids, pairs) for w in batch.column(0).to_pylist()], pa.list_(pa.int64()))], names=["word", "ids"])
+
+    texts = materialize(rows.mapInArrow(split, "row bigint, doc_id bigint, words array<binary>"), "split-texts")
+    placed = texts.select("row", F.posexplode("words").alias("place", "word"))
+    distinct = placed.select("word").distinct()
+    short = F.octet_length("word") <= LONG_WORD
+    folded = distinct.where(short).select("word", fold_column(F.col("word"), ranks).alias("ids")).unionByName(distinct.where(~short).mapInArrow(long_words, "word binary, ids array<bigint>"))
+    pieces_of = F.from_json(F.lit(json.dumps([base64.b64encode(t).decode() for t, _ in sorted(ranks.items(), key=lambda x: x[1])])), "array<string>")
+    # Decoding concatenates the pieces of the ids; a word's are worked out once
+    folded = materialize(folded.select("word", "ids", F.aggregate("ids", F.lit(b""), lambda a, i: F.concat(a, F.unbase64(F.get(pieces_of, i.cast("int")))))
+                                       .alias("decoded")), "folded")
+    found = placed.join(folded, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "ids", F.base64("decoded").alias("d")))).alias("w"))
+    ids = F.flatten(F.transform("w", lambda x: x["ids"]))
+    whole = F.aggregate("w", F.lit(b""), lambda a, x: F.concat(a, F.unbase64(x["d"])))
+    out = texts.select("row", "doc_id").join(found, "row", "left")
+    return out.select("doc_id", F.coalesce(F.size(ids), F.lit(0)).cast("bigint").alias("n_tokens"), F.coalesce(F.array_join(ids.cast("array<string>"), " "), F.lit("")).alias("ids_text"), F.coalesce(whole, F.lit(b"")).alias("decoded"))
+
+
 def decode(ids_text: list[int], vocabulary: str) -> bytes:
     """Bytes of a list of ids, for files written by `encode`."""
     piece = {r: t for t, r in load_ranks(vocabulary).items()}

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.plans.shared import materialize, shared_dir
+from loomstore.plans.shared import materialize, scratch
 
 #: ASCII upper case to lower case, for bytes.translate.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

@@ -17,7 +17,9 @@ groups by host, so a hot host costs nothing extra.
 A null URL, or one without "://", has an empty host and path and fits no rule.
 A URL without characters has the figure 0.  If either kind of URL is missing
 there is no model and all figures are 0.  Ties of the figure with the threshold
-are allowed.  Rows are independent; other columns are ignored.
+are allowed.  URLs of any length are read whole.  Repeated rows, and rows of one
+URL, are judged alike from one look at the URL.  An empty table gives no rows; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -11,7 +11,12 @@ samples, 16 bits of hash each, as hexadecimal digits; the likeness of two is the
 share of samples that agree.
 
 A null text is empty.  A text without words has a fingerprint of zeros, which
-agrees with its equals alone (a sample of words is never 0).
+agrees with its equals alone (a sample of words is never 0).  Of words with the
+same least value the first in the text's order is sampled; values are of 32 bits,
+so that is rare.  Texts of any length are read whole, one at a time.  Repeated rows
+are fingerprinted each, one as the next of the other.  An empty table gives no rows;
+other columns are ignored, whatever they are called.  Rows of one id, or of none,
+are one block: it is read in order, not held, but it is one task.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ SAMPLES = 64
 REMEMBERED = 120_000
 #: Rows of a block of neighbours, on average; a block is read in order, not held.
 BLOCK_ROWS = 4_096
-MOST_BLOCKS = 10_000
+#: Tasks at most; from BLOCK_ROWS times as many rows on, blocks grow instead (they are read in order, so memory does not).
+MOST_BLOCKS = 100_000
 
 
 def words_of(text: str) -> Counter:

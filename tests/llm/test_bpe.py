@@ -42,5 +42,35 @@ def test_higher_order_fold_gives_the_same_ids(spark):
     assert {r["w"]: r["ids"] for r in df.collect()} == {w: ENCODING.encode_ordinary(w) for w in words}
 
 
+def test_the_fold_of_distinct_words_gives_the_same_rows(make_docs, texts):
+    docs = make_docs([*enumerate(texts), (3, texts[3]), (None, "no id"), (900, "x" * 700 + " aa"), (901, "é" * 400)])
+    by = lambda df: sorted((repr(r["doc_id"]), r["n_tokens"], r["ids_text"], bytes(r["decoded"])) for r in df.collect())
+    assert by(bpe.encode_distinct(docs, *tokenizer())) == by(bpe.encode(docs, *tokenizer()))
+    assert bpe.encode_distinct(make_docs([]), *tokenizer()).count() == 0
+
+
+def step_by_step(word, byte_ids, pairs):
+    ids = [byte_ids[b] for b in word]
+    while (best := min(((pairs[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs), default=None)) is not None:
+        ids[best[1] : best[1] + 2] = [best[0]]
+    return ids
+
+
+def test_long_words():
+    import random
+    import time
+
+    rng = random.Random(2)
+    pairs, byte_ids = bpe.pair_ranks(RANKS), [RANKS[bytes([b])] for b in range(256)]
+    for n in (1, 2, 3, 50, 300, 2000):
+        for letters in (b"a", b"ab", b"etaoin shrdlu", bytes(range(256))):
+            word = bytes(rng.choices(letters, k=n))
+            plain = bpe.fold_word(word, byte_ids, pairs) if n <= bpe.LONG_WORD else step_by_step(word, byte_ids, pairs)
+            assert bpe._fold_long(word, byte_ids, pairs) == plain
+    began = time.perf_counter()
+    assert b"".join(ENCODING.decode_single_token_bytes(i) for i in bpe.fold_word(b"ab" * 100_000, byte_ids, pairs)) == b"ab" * 100_000
+    assert time.perf_counter() - began < 20
+
+
 def test_empty_table(make_docs):
     assert bpe.encode(make_docs([]), *tokenizer()).count() == 0
