@@ -121,7 +121,9 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
 
 def append(df: DataFrame, text_col: str, fn: Callable[[list], list], name: str, kind: str, rows: int = 512) -> DataFrame:
     """`df` with a column that `fn` makes of its texts, some at a time as in `map_rows`; the other columns pass through as they are."""
-    schema = df.sparkSession.createDataFrame([], ", ".join("`%s` %s" % (f.name.replace("`", "``"), f.dataType.simpleString()) for f in df.schema) + f", `{name}` {kind}").schema
+    # By place, as a name may hold anything
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    schema = df.sparkSession.createDataFrame([], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + f", made {kind}").schema
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def append(df: DataFrame, text_col: str, fn: Callable[[list], list], name: str,
                 made = pa.array(fn(part.column(at).to_pylist()), out.field(len(out) - 1).type)
                 yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, out)), made], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*df.columns, name)
 
 
 def keep_rows(docs: DataFrame, fn: Callable[[list], list], text_col: str = "text", rows: int = 512) -> DataFrame:

@@ -212,7 +212,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = free(docs, "key")
     # Whether a text is contaminated hangs on the text alone; written first, so that a small table is known to be small
     bad = materialize(found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("text_key").alias(key)).distinct(), "contaminated")
-    return docs.withColumn(key, F.xxhash64("text")).join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.withColumn(key, F.xxhash64("text")).join(bad, key, "left_anti").drop(key)
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:
