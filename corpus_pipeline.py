@@ -1,8 +1,17 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
 
-Each filtering stage keeps rows whole, with the columns of documents.  Models
-are fitted on the stage's own input.  All stages but the near-duplicate one are
-narrow: documents don't move between executors.
+Each filtering stage keeps rows whole, with the columns of documents, whatever
+else they are called.  Models are fitted on the stage's own input.  Texts move
+between executors in the near-duplicate stage alone; the decontamination stage
+moves rows of windows, and texts only if the contaminated ones are too many to be
+sent out.
+
+Null and empty texts are scored like others; of all texts without words one stays
+after the near-duplicate stage.  Texts of any length are read whole.  Of equal rows
+of one id one stays; rows without an id are never taken for copies.  Ties: of a
+group of copies the smallest id stays.  Without labels nothing is rejected for
+toxicity or quality, without a benchmark nothing for contamination; empty documents
+give an empty result.
 """
 
 from __future__ import annotations
