@@ -273,7 +273,7 @@ class Context(_Part):
         """What a change touches: impacted nodes, turns that mention its files, and hits for a query."""
         paths = self.spark.createDataFrame([(p,) for p in changed], "path string")
         hit = graph.impact(self.e.graph.nodes(), self.e.graph.edges(), paths)
-        out = {"impacted": hit, "mentions": search.mentions(graph.impacted_files(hit).select(F.col("file_path").alias("path")).union(paths), self.e.sessions.turns())}
+        out = {"impacted": hit, "mentions": search.mentions(graph.impacted_files(hit).select(F.col("file_path").alias("path")).union(paths), self.e.sessions.turns(), index=self.store.turn_index())}
         return out | ({"hits": self.search(query)} if query else {})
 
 

@@ -35,6 +35,14 @@ SYMBOLS = {
 }
 # Beginnings of import lines.
 IMPORTS = {"python": r"^(?:import|from) ", "javascript": r"^import |export .* from ", "typescript": r"^import |export .* from ", "tsx": r"^import |export .* from ", "go": r"^import ", "rust": r"^use "}
+# What a class is made from, where a line says so; group 1 is the list of names.
+BASES = {
+    "javascript": r"\bclass\s+\w+\s+extends\s+([\w.]+)", "typescript": r"\b(?:class|interface)\s+\w+(?:<[^>]*>)?\s+(?:extends|implements)\s+([\w.,\s]+)", "tsx": r"\bclass\s+\w+(?:<[^>]*>)?\s+extends\s+([\w.]+)",
+    "java": r"\b(?:class|interface|enum)\s+\w+(?:<[^>]*>)?\s+(?:extends|implements)\s+([\w.,\s]+)", "csharp": r"\b(?:class|interface|struct|record)\s+\w+(?:<[^>]*>)?\s*:\s*([\w.,\s]+)", "cpp": r"\b(?:class|struct)\s+\w+\s*(?:final\s*)?:\s*([\w:,\s]+)",
+    "ruby": r"\bclass\s+\w+\s*<\s*([\w:]+)", "php": r"\bclass\s+\w+\s+(?:extends|implements)\s+([\w\\,\s]+)", "python": r"\bclass\s+\w+\s*\(([\w.,\s]+)\)", "rust": r"\bimpl(?:<[^>]*>)?\s+([\w:]+)\s+for\b",
+}
+_NO_BASE = ["public", "private", "protected", "virtual", "extends", "implements", ""]
+_NO_CALL = "if for while switch catch return sizeof function func fn def class new await typeof elif print_r and or not in match with except super lambda".split()
 IMPORTS_A_FILE, TARGET_CHARS, MOST_BYTES = 40, 200, 512 * 1024
 MINIFIED = r"(?i)\.min\.(?:js|mjs|cjs|css)$"
 TEST_NAME, TEST_FILE = r"(?i)^(?:test_|test[A-Z])", r"(?i)(?:^test_|_test$|Test$|Spec$|_spec$|\.test\.|\.spec\.)"
@@ -84,6 +92,32 @@ def imports(lines: DataFrame, most: int = IMPORTS_A_FILE) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= most).select("file_path", F.substring("trimmed", 1, TARGET_CHARS).alias("target"), "line")
 
 
+def inheritance(lines: DataFrame) -> DataFrame:
+    """(file_path, name, base, line): what the classes of a file are made from, as their lines say."""
+    names, found = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for lang, rule in BASES.items():
+        hit = (F.col("language") == lang) & F.col("text").rlike(rule)
+        found = F.when(hit, F.regexp_extract("text", rule, 1)).otherwise(found)
+        names = F.when(hit, F.regexp_extract("text", r"\b(?:class|interface|struct|record|enum)\s+(\w+)", 1)).otherwise(names)
+    names = F.when((F.col("language") == "rust") & found.isNotNull(), F.regexp_extract("text", r"\bfor\s+(\w+)", 1)).otherwise(names)
+    rows = lines.withColumn("name", names).withColumn("bases", F.split(found, r"[,\s]+")).where("bases is not null and name <> ''")
+    return rows.select("file_path", "name", F.explode("bases").alias("base"), "line").where(~F.col("base").isin(_NO_BASE)).distinct()
+
+
+def calls(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """(file_path, caller, called, line): names before a bracket, below a function's declaration (of `symbols`) and before the next one.
+
+    Strings and comments at a line's end are left out; a file is one window, and has MOST_BYTES bytes at most.
+    """
+    functions = found.where("kind in ('Function', 'Test')").select("file_path", "line", F.col("name").alias("declared"))
+    rows = lines.join(functions, ["file_path", "line"], "left")
+    owner = F.last("declared", ignorenulls=True).over(Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    bare = F.regexp_replace(F.regexp_replace("text", r"\"[^\"]*\"|'[^']*'", ""), r"(?://|#|--).*$", "")
+    rows = rows.withColumn("caller", owner).where("caller is not null").withColumn("called", F.explode(F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))))
+    own = F.regexp_replace("declared", r"__L\d+$", "")
+    return rows.where(~F.col("called").isin(_NO_CALL) & ~F.coalesce(F.col("called") == own, F.lit(False))).groupBy("file_path", "caller", "called").agg(F.min("line").alias("line"))
+
+
 NODES = "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, params string, is_test boolean"
 EDGES = "kind string, source_qualified string, target_qualified string, file_path string, line int, confidence_tier string"
 
@@ -96,6 +130,9 @@ def scan_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = found.select("kind", "name", F.concat_ws("::", "file_path", "name").alias("qualified_name"), "file_path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), language(F.col("file_path")).alias("language"), F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("params"), (F.col("kind") == "Test").alias("is_test"))
     edges = found.select(F.lit("CONTAINS").alias("kind"), F.col("file_path").alias("source_qualified"), F.concat_ws("::", "file_path", "name").alias("target_qualified"), "file_path", "line", F.lit("EXTRACTED").alias("confidence_tier"))
     edges = edges.unionByName(imports(lines).select(F.lit("IMPORTS_FROM").alias("kind"), F.col("file_path").alias("source_qualified"), F.col("target").alias("target_qualified"), "file_path", "line", F.lit("HEURISTIC").alias("confidence_tier")))
+    inferred = lambda rows, kind, a, b: rows.select(F.lit(kind).alias("kind"), F.concat_ws("::", "file_path", a).alias("source_qualified"), F.col(b).alias("target_qualified"), "file_path", "line", F.lit("INFERRED").alias("confidence_tier"))
+    edges = edges.unionByName(inferred(inheritance(lines), "INHERITS", "name", "base")).unionByName(inferred(calls(lines, found), "CALLS", "caller", "called"))
+    edges = edges.unionByName(inferred(found.where("kind = 'Test'"), "TESTED_BY", "name", "file_path"))
     return tops.unionByName(nodes), edges
 
 

@@ -253,9 +253,22 @@ def search_projects(turns: DataFrame, query: str, limit: int = 20, stemmed: bool
     return _fetched(hits, turns, [project, *TURN]).orderBy(*order)
 
 
-def mentions(files: DataFrame, turns: DataFrame, files_most: int = 10, each: int = 3) -> DataFrame:
-    """(path, session_id, turn_index): turns that mention the base name of the first files as a phrase, the newest of each."""
+def mentions(files: DataFrame, turns: DataFrame, files_most: int = 10, each: int = 3, index: Index | None = None) -> DataFrame:
+    """(path, session_id, turn_index): turns that mention the base name of the first files as a phrase, the newest of each.
+
+    With an index only its postings are read, and times of the turns that are hit.
+    """
     paths = files.select("path").distinct().orderBy("path").limit(files_most)
+    if index is not None:
+        hits = None
+        for r in paths.select("path", basename(F.col("path")).alias("name")).collect():  # files_most rows
+            one = bm25(index, '"' + r["name"].replace('"', " ") + '"').select(F.lit(r["path"]).alias("path"), *TURN)
+            hits = one if hits is None else hits.unionByName(one)
+        if hits is None:
+            return paths.limit(0).join(turns.select(*TURN), F.lit(True)).select("path", *TURN)
+        hits = hits.join(turns.select(*TURN, "recorded_at"), TURN)
+        place = F.row_number().over(Window.partitionBy("path").orderBy(F.col("recorded_at").desc(), "session_id", F.col("turn_index").desc()))
+        return hits.withColumn("place", place).where(F.col("place") <= each).select("path", *TURN)
     terms = paths.withColumn("terms", tokens(basename(F.col("path")))).where(F.size("terms") > 0)
     text = indexed(turns, F.col("content")).withColumn("joined", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")))
     hits = text.join(F.broadcast(terms), F.col("joined").contains(F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))))  # files_most rows

@@ -344,6 +344,30 @@ def symbols_of_other_languages(spark, sf_dir):
     return extract.symbols(extract.lines_of(_declared(spark, sf_dir))).select("file_path", "kind", "name", "line")
 
 
+_EXTENDS = [("js", "class A{0} extends B{0} {", "B{0}"), ("java", "public class A{0} implements B{0}, C {", "B{0},C"), ("cs", "class A{0} : B{0}", "B{0}"), ("cpp", "class A{0} : public B{0} {", "B{0}"), ("rb", "class A{0} < B{0}", "B{0}"), ("php", "class A{0} extends B{0}", "B{0}"), ("rs", "impl B{0} for A{0} {", "B{0}")]
+
+
+def _one_of(column, choices):
+    return F.regexp_replace(F.element_at(F.array(*map(F.lit, choices)), (F.col(column) % len(choices) + 1).cast("int")), r"\{0\}", F.col(column).cast("string"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {[e for e, _, _ in _EXTENDS]}[CAST(doc_id % {len(_EXTENDS)} + 1 AS INTEGER)] AS ext, {[b for _, _, b in _EXTENDS]}[CAST(doc_id % {len(_EXTENDS)} + 1 AS INTEGER)] AS bases FROM documents)
+SELECT doc_id || '.' || ext AS file_path, 'A' || doc_id AS name, replace(unnest(string_split(bases, ',')), '{{0}}', CAST(doc_id AS VARCHAR)) AS base, 1 AS line FROM d""")
+def classes_made_from_others(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents")
+    path = F.concat_ws(".", "doc_id", _one_of("doc_id", [e for e, _, _ in _EXTENDS]))
+    return extract.inheritance(extract.lines_of(d.select(path.alias("path"), _one_of("doc_id", [t for _, t, _ in _EXTENDS]).alias("content"))))
+
+
+@query("""WITH d AS (SELECT doc_id || '.go' AS p, doc_id FROM documents) SELECT p AS file_path, 'first' || doc_id AS caller, 'helper' AS called, 2 AS line FROM d UNION ALL SELECT p, 'first' || doc_id, 'run' || doc_id, 3 FROM d UNION ALL SELECT p, 'second', 'first' || doc_id, 6 FROM d""")
+def calls_of_other_languages(spark, sf_dir):
+    """Calls belong to the function declared last; keywords, strings and comments call nothing."""
+    text = 'func first{0}(x int) {\n\tif helper(x) { say("not(this)") }\n\treturn run{0}(x) // nor(that)\n}\nfunc second() {\n\tfirst{0}(1)\n}\n'
+    d = S.table(spark, sf_dir, "documents")
+    lines = extract.lines_of(d.select(F.concat(F.col("doc_id"), F.lit(".go")).alias("path"), F.regexp_replace(F.lit(text), r"\{0\}", F.col("doc_id").cast("string")).alias("content")))
+    return extract.calls(lines, extract.symbols(lines)).where("called <> 'say'")
+
+
 _PY = "WITH d AS (SELECT doc_id, doc_id || '.py' AS p FROM documents)"
 
 
