@@ -10,9 +10,12 @@ difference of log-probabilities; it is allowed at or above a threshold that
 errs least on a quarter of them, by a hash, that is kept from the models.
 
 Only DataFrame functions are used.  Characters are folded to SYMBOLS, so a model
-has at most len(SYMBOLS)**(ORDER + 1) entries at any input size: that bounds
-what is broadcast.  Counts are summed before they are shuffled, and no step
-groups by host, so a hot host costs nothing extra.
+has at most len(SYMBOLS)**(ORDER + 1) entries at any input size, and its contexts
+and shorter grams are at most len(SYMBOLS)**ORDER (about 70,000), which is what is
+broadcast; a level with more entries than SENT is joined in the plain way instead.
+Counts are summed before they are shuffled, and no step groups by host, so a hot
+host costs nothing extra.  A URL is looked at once; its figure is joined back to
+its rows, where a hot or null URL's rows are split by adaptive execution.
 
 A null URL, or one without "://", has an empty host and path and fits no rule.
 A URL without characters has the figure 0.  If either kind of URL is missing
@@ -32,6 +35,8 @@ from .common import ascii_lower
 #: (verdict, host, path prefix)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 ORDER, MIN_CONTEXT, PULL = 3, 4, 2.0
+#: Entries of a level that are broadcast at most, about 50 bytes each.
+SENT = 200_000
 #: Symbols of the models; digits share one, and all other characters share "*".
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0./:-_?=&#%+~^*"
 
@@ -91,9 +96,10 @@ def markov_models(labelled: DataFrame) -> DataFrame:
 def figures(rows: DataFrame, model: DataFrame, key: str) -> DataFrame:
     """(key, figure): the mean difference over the characters, each by its longest known context."""
     grams = _grams(rows)
+    sizes = {r["k"]: r["n"] for r in model.groupBy("k").agg(F.count("*").alias("n")).collect()}  # ORDER + 1 rows
     for k in range(ORDER + 1):
         entries = model.where(F.col("k") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        grams = grams.join(F.broadcast(entries), f"g{k}", "left")
+        grams = grams.join(F.broadcast(entries) if sizes.get(k, 0) <= SENT else entries, f"g{k}", "left")
     best = F.coalesce(*[F.col(f"r{k}") for k in range(ORDER, -1, -1)], F.lit(0.0))
     return grams.groupBy(key).agg(F.avg(best).alias("figure"))
 

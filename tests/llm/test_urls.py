@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import pytest
+
 from loomstore.llm import urls as U
 
 
@@ -72,7 +74,9 @@ def ratio(model_urls, url):
     return sum(out) / len(out)
 
 
-def test_figures_equal_brute_force(spark):
+@pytest.mark.parametrize("sent", [U.SENT, 0])
+def test_figures_equal_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(U, "SENT", sent)  # what is not broadcast is joined
     import hashlib
 
     urls = [f"http://{h}.net/de/{k}" for k in range(40) for h in ("good", "fine")] + [f"http://{h}.com/en/{k}x" for k in range(40) for h in ("spam", "junk")]
