@@ -46,7 +46,7 @@ def free(df: DataFrame, name: str) -> str:
 
 
 #: Bytes of an Arrow batch that become Python objects at a time.
-PIECE_BYTES = 1 << 23
+PIECE_BYTES = 1 << 22
 
 
 def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:

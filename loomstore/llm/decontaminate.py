@@ -39,7 +39,7 @@ FILTER_BITS = 1 << 26
 #: Bits of one value of Spark's bitmap functions.
 BITMAP = 8 * 4096
 #: Bytes of text that are hashed at a time.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 SCANNED = "doc_id bigint, text_key bigint, n_words bigint, print bigint, size int, window binary, starts array<bigint>"
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
