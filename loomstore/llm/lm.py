@@ -47,9 +47,9 @@ ORDER = 3
 #: Weight of the shorter run in that of the longer, in tokens.
 PULL = 100.0
 #: Tokens of a block, and bytes of text that are one piece; both bound a task's memory.
-BLOCK_TOKENS, PIECE_BYTES = 1 << 20, 1 << 22
+BLOCK_TOKENS, PIECE_BYTES = 1 << 19, 1 << 22
 #: Tokens of a block that are written as one row.
-ROW_TOKENS = 1 << 18
+ROW_TOKENS = 1 << 16
 #: N-grams, on average, that one task adds up at a time.
 PART_TOKENS = 1 << 20
 
@@ -170,9 +170,9 @@ class Level:
     def __init__(self, keys: np.ndarray, places: np.ndarray, counted: np.ndarray):
         """keys: by position; places: of the positions that end a whole n-gram; counted: whether a position is learned."""
         self.keys, self.places = keys, places
-        found = keys[places]
-        order = found.argsort()  # which of equal ones comes first does not matter
-        ranked = found[order]
+        ranked = keys[places]
+        order = ranked.argsort()  # which of equal ones comes first does not matter
+        ranked = ranked[order]
         new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
         self.distinct, self.first = ranked[new], order[new]
         self.which = np.empty(len(order), np.int32)
@@ -204,8 +204,8 @@ class Automaton:
         self.words = names[np.concatenate([B.unpacked(x) for x in rows["tokens"].to_pylist()]).astype(np.int64)]
         size = lists["size"].astype(np.int64)
         starts = np.cumsum(size) - size
-        self.piece = np.repeat(np.arange(len(size)), size)
-        self.place = np.arange(len(self.words)) - starts[self.piece]
+        self.piece = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.place = (np.arange(len(self.words)) - starts[self.piece]).astype(np.int32)
         self.read = self.place >= lists["lead"][self.piece]
         learned = lists["learned"].astype(bool)[self.piece]
         self.counted = learned & self.read
@@ -217,12 +217,12 @@ class Automaton:
         """The n-grams one word longer than so far; to be asked for are those that other blocks may have, and that may have been learned."""
         n = len(self.levels) + 1
         if n == 1:
-            level = Level(self.words, np.arange(len(self.words)), self.counted | self.starts)
+            level = Level(self.words, np.arange(len(self.words), dtype=np.int32), self.counted | self.starts)
         else:
             last, size = self.levels[-1], len(self.words)
             keys = np.zeros(size, np.uint64)
             keys[1:] = _mix(last.keys[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + self.words[1:])
-            level = Level(keys, np.flatnonzero(self.place >= n - 1), self.counted)
+            level = Level(keys, np.flatnonzero(self.place >= n - 1).astype(np.int32), self.counted)
             at = level.places[level.first]
             shared = last.spread(last.elsewhere & (last.counts > 0), size)
             level.asked = shared[at - 1] & shared[at]
