@@ -49,16 +49,16 @@ def free(df: DataFrame, name: str) -> str:
 PIECE_BYTES = 1 << 22
 
 
-def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of at most `rows` rows and about PIECE_BYTES bytes, but of one row at least."""
+def pieces(batch: pa.RecordBatch, rows: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and about `most` bytes, but of one row at least."""
     size = max(1, batch.nbytes // max(1, batch.num_rows))
-    if size * min(rows, batch.num_rows) <= PIECE_BYTES // 4:  # even with some rows much longer
+    if size * min(rows, batch.num_rows) <= most // 4:  # even with some rows much longer
         ends = list(range(rows, batch.num_rows, rows))
     else:
         widths = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy().astype("int64") for c in batch.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type)), 0 * np.arange(batch.num_rows))
         ends, first, held = [], 0, 0
         for at, width in enumerate(widths.tolist()):
-            if at > first and (at - first >= rows or held + width > PIECE_BYTES):
+            if at > first and (at - first >= rows or held + width > most):
                 ends.append(at)
                 first, held = at, 0
             held += width

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lm, quality, simhash, toxicity, urls, weighted
-from .common import fold, held_out, table
+from . import bpe, chat, decontaminate, langid, lm, quality, simhash, token_files, toxicity, turns, urls, vectors, weighted
+from .common import fold, held_out, scratch, table
 
 
 def tokenizer() -> tuple[str, str]:
@@ -93,6 +93,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2, stops=".,;:!?", lower=True)
+    rows = token_files.read_documents(spark, path)
+    return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 _NORMALISED = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 _LINES = "list_filter(list_transform(string_split({0}, chr(10)), lambda x: " + _NORMALISED.format("x") + "), lambda x: x <> '')"
 
@@ -187,6 +204,9 @@ QUERIES = {
     "op8_weighted_fingerprint": op8_weighted_fingerprint,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_token_files": op13_token_files,
     "planted_quotes": planted_quotes,
 }
 ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_url_filter": _op4_sql(), "op5_chat_quotes": OP5_SQL, "planted_quotes": _op5_sql(PLANTED)}
