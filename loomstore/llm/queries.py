@@ -193,6 +193,56 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(figure, 0)
 """
 
 
+def _op11_sql() -> str:
+    """The rounds one after the other, every part held against every entry."""
+    near = lambda k: f"near{k} AS MATERIALIZED (SELECT row, p, arg_min(e, apart * 256 + e) AS e, min(apart) AS apart FROM (SELECT row, parts.p, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS apart FROM parts JOIN book{k} ON book{k}.p = parts.p) GROUP BY row, p)"
+    book = lambda k: f"""sums{k} AS (SELECT p, e, place, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS place FROM parts JOIN near{k} USING (row, p)) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY place) AS c FROM sums{k} GROUP BY p, e) m USING (p, e))"""
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p)),
+book0 AS (SELECT p, row - 1 AS e, x AS c FROM parts WHERE row <= 256),
+{", ".join(f"{near(k)}, {book(k)}" for k in range(4))}, {near(4)},
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book4),
+coded AS (SELECT row, string_agg(lower(printf('%02x', CAST(e AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(apart) AS BIGINT) AS error FROM near4 GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), digest
+"""
+
+
+def _op12_sql() -> str:
+    """The forward pass as a recursion over rows, its four states as columns of (cost, audit, repaired text)."""
+    made = lambda s, cost, letter, line="''": f"CASE WHEN {s} IS NOT NULL THEN struct_pack(c := {s}.c + {cost}, a := {s}.a || '{letter}', t := {s}.t || {line}) END"
+    insert = lambda s, role: made(s, 5, "I", f"(chr(10) || '{role}:')")
+    keep = lambda s, initial: f"CASE WHEN NOT go AND initial = '{initial}' THEN {made(s, '5 * cut', 'K', '(chr(10) || role || chr(58) || text)')} END"
+    rerole = lambda s, role: f"CASE WHEN NOT go THEN {made(s, '(1 + 5 * cut)', 'R', f'(chr(10) || {chr(39)}{role}:{chr(39)} || text)')} END"
+    to_u = [f(s, x) for s in ("s0", "s1", "s3") for f, x in ((keep, "u"), (rerole, "user"))]
+    return rf"""
+WITH RECURSIVE bytes AS (SELECT DISTINCT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+bits AS (SELECT conv_id, turn, (xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ord(k[i]) AS BIGINT)), lambda c, x: list_reduce(range(8), lambda b, j: xor(b >> 1, 3988292384 * (b & 1)), xor(c, x)), CAST(4294967295 AS BIGINT)), 4294967295)) % 20 AS fault FROM bytes),
+damaged AS (SELECT c.conv_id, c.turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM conversations c JOIN bits b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.turn IS NOT DISTINCT FROM c.turn WHERE fault <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, substring(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank FROM placed),
+faults AS MATERIALIZED (SELECT *, blank OR again AS go, CAST(NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS INTEGER) AS cut,
+  coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM told),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, struct_pack(c := 0, a := '', t := '') AS s0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s1, struct_pack(c := 5, a := 'I', t := chr(10) || 'user:') AS s2, struct_pack(c := 10, a := 'II', t := chr(10) || 'user:' || chr(10) || 'assistant:') AS s3 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, list_min([s3, {insert("s2", "assistant")}]) AS s3 FROM (
+    SELECT conv_id, i, s0, s1, list_min([s2, {insert("s0", "user")}, {insert("s1", "user")}, {insert("s3", "user")}]) AS s2, s3 FROM (
+      SELECT w.conv_id, f.i, {made("s0", 2, "D")} AS s0, list_min([{made("s1", 2, "D")}, {keep("s0", "s")}]) AS s1, list_min([{made("s2", 2, "D")}, {", ".join(to_u)}]) AS s2, list_min([{made("s3", 2, "D")}, {keep("s2", "a")}, {rerole("s2", "assistant")}]) AS s3
+      FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))),
+ends AS (SELECT conv_id, list_min([s0, s3]) AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE go AND NOT blank) AS duplicate, sum(cut) AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM faults GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substring(best.t, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -209,4 +259,4 @@ QUERIES = {
     "op13_token_files": op13_token_files,
     "planted_quotes": planted_quotes,
 }
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_url_filter": _op4_sql(), "op5_chat_quotes": OP5_SQL, "planted_quotes": _op5_sql(PLANTED)}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op4_url_filter": _op4_sql(), "op5_chat_quotes": OP5_SQL, "op11_vector_codes": _op11_sql(), "op12_turn_repair": _op12_sql(), "planted_quotes": _op5_sql(PLANTED)}

@@ -171,8 +171,9 @@ def _means(rows: DataFrame, entries: np.ndarray, width: int, exact: bool) -> np.
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([p for _, p in keys], pa.int32()), pa.array(values, pa.int64())], names=["spot", "piece", "n"])
 
     found = np.zeros(PARTS * ENTRIES * (size + 1), dtype=object)
-    for r in rows.select("v", "code").mapInArrow(run, "spot bigint, piece int, n bigint").groupBy("spot", "piece").agg(F.sum("n").alias("n")).toLocalIterator():
-        found[r["spot"]] += r["n"] << PIECE * r["piece"]
+    summed = rows.select("v", "code").mapInArrow(run, "spot bigint, piece int, n bigint").groupBy("spot", "piece").agg(F.sum("n").alias("n")).toArrow()
+    for spot, piece, n in zip(*(c.to_pylist() for c in summed.columns)):
+        found[spot] += n << PIECE * piece
     found = found.reshape(PARTS, ENTRIES, size + 1)[:, : entries.shape[1]]
     counts = found[:, :, :1]
     return np.where(counts > 0, (found[:, :, 1:] // np.where(counts > 0, counts, 1)).astype(entries.dtype), entries)
