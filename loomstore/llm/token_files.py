@@ -45,11 +45,11 @@ from .common import pieces
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 16
 #: Distinct words, and characters of them, that a task remembers before it starts afresh; bounds its memory.
-MEMORY_WORDS, MEMORY_CHARS = 1_000_000, 16_000_000
+MEMORY_WORDS, MEMORY_CHARS = 400_000, 8_000_000
 #: Bytes of text for a task, as words are remembered within it, and the most tasks.
 TASK_BYTES, MOST_TASKS = 128 << 20, 50_000
 #: Bytes of text that are worked on at a time.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 #: Latin letters, each one code point by itself and in lower case; and words of them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(f"[{LETTERS}]+")
