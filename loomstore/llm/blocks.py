@@ -8,8 +8,9 @@ is asked for once by each block, and no task ever sees its rows together.
 
 `ask` sends sorted 64-bit keys with a count each to the tasks that own their
 ranges; `answer` adds the counts up over all blocks and sends every block the
-sums, in the order it asked.  Keys and counts travel as compressed columns, a
-row for each block and range, or, where blocks are many, as few as one key a row.
+sums, in the order it asked.  Keys and counts travel a row for each block and range,
+as compressed columns; where ranges are so many that a block has but a few keys in
+each, as plain pairs, at worst one a row, as a grouping by key would send them.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch
 
-ASKED = "part int, block bigint, n int, data binary"
-ANSWERED = "block bigint, level int, part int, n int, present bigint, data binary"
+ASKED = "part int, block bigint, n int, plain boolean, data binary"
+ANSWERED = "block bigint, level int, part int, n int, plain boolean, present bigint, data binary"
+#: Keys of a row, on average, below which packing costs more than it saves.
+FEW_KEYS = 64
 
 
 def write_blocks(rows: DataFrame) -> DataFrame:
@@ -75,19 +79,33 @@ def _unpair(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ask(block: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
-    """Rows of ASKED for a block's sorted distinct keys."""
-    cuts = np.searchsorted(keys, [np.uint64(-(-(p << 64) // parts)) for p in range(1, parts)])
-    spans = [(p, a, z) for p, (a, z) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])) if z > a]
-    columns = ([p for p, _, _ in spans], [block] * len(spans), [z - a for _, a, z in spans], [_pair(np.diff(keys[a:z], prepend=np.uint64(0)), counts[a:z]) for _, a, z in spans])
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "block", "n", "data"])
+    """Rows of ASKED for a block's sorted distinct keys; in time linear in the keys, whatever the number of parts below 2^32."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(first, len(keys))
+    plain = len(keys) < FEW_KEYS * len(first)
+    if plain:  # (key, count) pairs as they are, cut without a look at each row
+        pairs = np.stack([keys, counts.astype(np.uint64)], 1).astype("<u8")
+        data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * 16).astype("<i4").tobytes()), pa.py_buffer(pairs.tobytes())])
+    else:
+        data = pa.array([_pair(np.diff(keys[a:z], prepend=np.uint64(0)), counts[a:z]) for a, z in zip(first.tolist(), ends[1:].tolist())], pa.binary())
+    n = len(first)
+    return pa.table([pa.array(part[first], pa.int32()), pa.array(np.full(n, block), pa.int64()), pa.array(np.diff(ends), pa.int32()), pa.array(np.full(n, plain)), data], names=["part", "block", "n", "plain", "data"])
+
+
+def _asked(data: bytes, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    if plain:
+        return tuple(np.frombuffer(data, "<u8").reshape(-1, 2).T)
+    diffs, counts = _unpair(data)
+    return np.cumsum(diffs, dtype=np.uint64), counts
 
 
 def answer(asked: DataFrame, level: int) -> DataFrame:
     """ANSWERED, written: for each row of ASKED its keys' counts over all blocks, doubled, plus 1 if another block asked for the key; and (on one row a part) how many keys count more than 0."""
 
     def add(rows: pa.Table) -> pa.Table:
-        found = [_unpair(x) for x in rows["data"].to_pylist()]
-        keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in found])
+        found = [_asked(x, p) for x, p in zip(rows["data"].to_pylist(), rows["plain"].to_pylist())]
+        keys = np.concatenate([k for k, _ in found])
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
         del keys
@@ -100,16 +118,17 @@ def answer(asked: DataFrame, level: int) -> DataFrame:
         shared[order] = np.repeat(sizes > 1, sizes)
         stops = np.cumsum([len(k) for k, _ in found])
         present = [int((sums > 0).sum())] + [0] * (len(found) - 1)
-        data = [packed(x) for x in np.split(each * np.uint64(2) + shared, stops[:-1])]
-        return pa.table([rows["block"], pa.array([level] * len(found), pa.int32()), rows["part"], rows["n"], pa.array(present, pa.int64()), pa.array(data, pa.binary())], names=["block", "level", "part", "n", "present", "data"])
+        data = [x.tobytes() if p else packed(x) for x, p in zip(np.split(each * np.uint64(2) + shared, stops[:-1]), rows["plain"].to_pylist())]
+        return pa.table([rows["block"], pa.array([level] * len(found), pa.int32()), rows["part"], rows["n"], rows["plain"], pa.array(present, pa.int64()), pa.array(data, pa.binary())], names=["block", "level", "part", "n", "plain", "present", "data"])
 
     return materialize(asked.groupBy("part").applyInArrow(add, ANSWERED), "answers")
 
 
 def answers_of(rows: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
     """The counts that a block got at a level, in the order of the keys it asked for, and whether other blocks asked for them too."""
-    got = sorted((p, x) for p, at, x in zip(rows["part"].to_pylist(), rows["level"].to_pylist(), rows["data"].to_pylist()) if at == level)
-    both = np.concatenate([unpacked(x) for _, x in got]) if got else np.zeros(0, np.uint64)
+    here = rows.filter(pc.equal(rows["level"], level)).sort_by("part")
+    got = [np.frombuffer(x, "<u8") if p else unpacked(x) for x, p in zip(here["data"].to_pylist(), here["plain"].to_pylist())]
+    both = np.concatenate(got) if got else np.zeros(0, np.uint64)
     return (both >> np.uint64(1)).astype(np.int64), (both & np.uint64(1)).astype(bool)
 
 

@@ -8,8 +8,8 @@ each paragraph, and each line.  A passage is joined to the earliest message that
 has it: one before it in its own conversation if there is one, else the first
 message of another conversation.  A passage of several lines that no message has
 in one of these forms is joined in the same order to the messages that have its
-lines in a run (blank lines left out): runs are hashed as they are read, of the
-numbers of lines that passages have.  The message's reply target is the source of
+lines in a run (blank lines left out): where a message has a passage's first line,
+the run from there of as many lines is hashed, by the lines' own hashes.  The message's reply target is the source of
 its first passage of the lowest level in its own conversation, else the turn
 before it.  Each conversation is put in reply order: replies to an earlier
 message come first, then by turn; a reply never precedes its target.
@@ -67,25 +67,43 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
 
 
-def _sources(own: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """The first message that has a hash, by conversation and hash, and those of the first two conversations that have it, by hash, from (conv_id, turn, hash)."""
+def _sources(own: DataFrame, key: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """The first message that has a hash, by conversation and hash, and those of the first two conversations that have it, by hash, from (conv_id, turn, `key`)."""
     own = own.where("turn is not null and conv_id is not null")
-    in_conv = own.groupBy("conv_id", "hash").agg(F.min("turn").alias(f"{prefix}near"))
-    place = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))  # each task keeps two rows a hash before they meet
-    first = in_conv.withColumn("place", place).where("place <= 2").groupBy("hash")
+    in_conv = own.groupBy("conv_id", key).agg(F.min("turn").alias(f"{prefix}near"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("conv_id"))  # each task keeps two rows a hash before they meet
+    first = in_conv.withColumn("place", place).where("place <= 2").groupBy(key)
     return in_conv, first.agg(F.sort_array(F.collect_list(F.struct("conv_id", F.col(f"{prefix}near").alias("turn")))).alias(f"{prefix}far"))  # two at most
 
 
+def _runs(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """(conv_id, turn, run): hashes of the runs of lines that may be one of `passages` (lines: hashes of theirs).
+
+    A run is hashed where a passage's first line stands, for the lengths of the
+    passages that begin with that line.
+    """
+    first = passages.groupBy(F.get("lines", 0).alias("h")).agg(F.collect_set(F.size("lines")).alias("lengths"))  # at most as many as there are lengths
+    held = rows.select("conv_id", "turn", _hashes(F.col("plain")).alias("ls")).where("size(ls) > 1").withColumn("m", F.xxhash64("ls")).distinct()
+    places = held.select("conv_id", "turn", "m", F.posexplode("ls").alias("place", "h")).groupBy("conv_id", "turn", "m", "h").agg(F.collect_list("place").alias("places"))
+    starts = places.join(first, "h").groupBy("conv_id", "turn", "m").agg(F.collect_list(F.struct("places", "lengths")).alias("starts"))
+    runs = F.expr("flatten(transform(starts, s -> flatten(transform(s.places, i -> transform(filter(s.lengths, n -> i + n <= size(ls)), n -> xxhash64(slice(ls, i + 1, n)))))))")
+    return held.join(starts, ["conv_id", "turn", "m"]).select("conv_id", "turn", F.explode(F.array_distinct(runs)).alias("run"))
+
+
+def _hashes(text: Column) -> Column:
+    return F.transform(_lines(text), lambda x: F.xxhash64(x))
+
+
 def quote_links(rows: DataFrame) -> DataFrame:
     """(row key columns, level, place, source_conv, source_turn) of the passages of `rows` (of `parsed`) that have a source."""
     keyed = F.transform(F.filter(F.transform(F.concat(F.array("plain"), F.split("plain", r"\n\s*\n"), F.split("plain", "\n")), normalised), lambda x: x != ""), lambda x: F.xxhash64(x))
     found = rows.select("conv_id", "turn", F.explode("passages").alias("p")).withColumn("hash", F.xxhash64(normalised(F.col("p.text")))).where(normalised(F.col("p.text")) != "").distinct()
-    sizes = rows.select(F.explode("passages").alias("p")).select(F.size(_lines(F.col("p.text"))).alias("n")).where("n > 1").agg(F.sort_array(F.collect_set("n")).alias("sizes"))  # one row
-    of_lines = rows.select("conv_id", "turn", _lines(F.col("plain")).alias("ls")).crossJoin(F.broadcast(sizes))
-    runs = F.expr("flatten(transform(filter(sizes, n -> n <= size(ls)), n -> transform(sequence(1, size(ls) - n + 1), i -> xxhash64(array_join(slice(ls, i, n), ' ')))))")
-    for prefix, own in (("", rows.select("conv_id", "turn", F.explode(F.array_distinct(keyed)).alias("hash"))), ("run_", of_lines.select("conv_id", "turn", F.explode(F.array_distinct(runs)).alias("hash")))):
-        in_conv, anywhere = _sources(own, prefix)
-        found = found.join(in_conv, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
+    found = found.withColumn("lines", _hashes(F.col("p.text"))).withColumn("run", F.when(F.size("lines") > 1, F.xxhash64("lines")))
+    wholes = rows.select("conv_id", "turn", F.explode(F.array_distinct(keyed)).alias("hash"))
+    runs = _runs(rows, found.where("run is not null").select("lines"))
+    for prefix, key, own in (("", "hash", wholes), ("run_", "run", runs)):
+        in_conv, anywhere = _sources(own, key, prefix)
+        found = found.join(in_conv, ["conv_id", key], "left").join(anywhere, key, "left")
     source = F.coalesce(*(
         x for k in ("", "run_")
         for x in (F.when(F.col(f"{k}near") < F.col("turn"), F.struct("conv_id", F.col(f"{k}near").alias("turn"))), F.get(F.filter(f"{k}far", lambda s: s["conv_id"] != F.col("conv_id")), 0))

@@ -173,3 +173,16 @@ def test_a_giant_conversation_is_numbered_over_several_ranges(spark):
         mine = sorted((r for r in found if r["conv_id"] == conv), key=lambda r: r["position"])
         assert [r["position"] for r in mine] == list(range(1, 2001)) and [r["turn"] for r in mine] == sorted(r["turn"] for r in mine)
         assert all(r["reply_turn"] == (r["turn"] - 1 if r["turn"] else None) for r in mine)
+
+
+def test_long_messages_and_many_lengths_of_quotations(spark):
+    """One long message, and quotations of 400 lengths out of it: runs are looked for only where one begins."""
+    import time
+
+    lines = [f"line number {k} of the long message" for k in range(4000)]
+    rows = [(1, 0, "user", "\n".join(lines))] + [(1, k, "assistant", "\n".join("> " + x for x in lines[7 * k : 7 * k + k + 1]) + "\nI see") for k in range(1, 401)]
+    rows += [(2, 0, "user", "\n".join(["same"] * 3000)), (2, 1, "assistant", "\n".join(["> same"] * 700))]
+    began = time.perf_counter()
+    got = {(r["conv_id"], r["turn"]): r for r in C.link_quotations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(got[1, k]["n_linked"] == 1 and got[1, k]["reply_turn"] == 0 for k in range(1, 401)) and got[2, 1]["reply_turn"] == 0

@@ -50,9 +50,11 @@ def check(rows, docs, items):
         assert sum(s["stop"] - s["start"] for s in r["spans"]) == r["n_hit"]
 
 
-@pytest.mark.parametrize("bits", [D.FILTER_BITS, D.BITMAP])
-def test_equals_brute_force_however_many_pass_the_filter(spark, make_docs, monkeypatch, bits):
-    monkeypatch.setattr(D, "FILTER_BITS", bits)
+@pytest.mark.parametrize("most", [D.MOST_BITS, D.BITMAP])
+@pytest.mark.parametrize("gram", [D.GRAM, 3, 13])
+def test_equals_brute_force_however_many_pass_the_filter(spark, make_docs, monkeypatch, most, gram):
+    monkeypatch.setattr(D, "GRAM", gram)
+    monkeypatch.setattr(D, "MOST_BITS", most)
     docs, items = cases()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     check(D.find_contamination(make_docs(docs), bench).collect(), docs, items)
@@ -60,15 +62,35 @@ def test_equals_brute_force_however_many_pass_the_filter(spark, make_docs, monke
     check(D.find_contamination(make_docs(docs[:30]), spark.createDataFrame(many, "item_id bigint, text string")).collect(), docs[:30], many)
 
 
-def test_the_filter_holds_all_fingerprints_and_is_of_one_size(spark):
+def test_fingerprints_are_selected_once_for_all_windows_that_share_them():
+    rng = random.Random(4)
+    words = D.Words([" ".join(rng.choices("abcdefgh", k=500)).encode(), b"", b"one two", b" ".join(b"w%d" % k for k in range(3000))])
+    for size in (1, 2, 9, 11, 13):
+        prints, at = words.selected(size)
+        gram = min(D.GRAM, size)
+        grams, _ = words.windows(gram)
+        want = {min(range(k, k + size - gram + 1), key=lambda i: (int(grams[i]), i)) for k in range(len(words.hashes) - size + 1) if words.text_of[k] == words.text_of[k + size - 1]}
+        assert at.tolist() == sorted(want) and (prints == grams[at]).all()
+    assert len(words.selected(13)[1]) < 0.5 * len(words.hashes)
+
+
+def test_the_filter_holds_all_fingerprints(spark):
     _, items = cases()
-    windows = D.item_windows(spark.createDataFrame(items, "item_id bigint, text string"))
-    sizes, bits = D.print_filter(windows)
-    assert sizes == sorted({min(13, len(words(t))) for _, t in items} - {0}) and len(bits) == D.FILTER_BITS // 8
-    places = {r["print"] % D.FILTER_BITS for r in windows.collect()}
+    prints, _ = D.benchmark_prints(spark.createDataFrame(items, "item_id bigint, text string"))
+    sizes, bits = D.print_filter(prints)
+    assert sizes == sorted({min(13, len(words(t))) for _, t in items} - {0}) and len(bits) == D.LEAST_BITS // 8
+    places = {r["print"] % (8 * len(bits)) for r in prints.collect()}
     assert all(bits[p >> 3] >> (p & 7) & 1 for p in places) and sum(b.bit_count() for b in bits) == len(places)
 
 
+def test_many_items_share_many_windows_of_one_document(spark, make_docs):
+    """A passage that all items hold goes as one set of items, not as windows times items."""
+    passage = " ".join(f"word{k}" for k in range(2000))
+    bench = spark.range(2000).selectExpr("id AS item_id", f"concat('own', id, ' ', 'lead', id % 7, ' ', '{passage}', ' tail', id) AS text")
+    rows = D.find_contamination(make_docs([(1, "before " + passage + " after"), (2, passage), (2, passage), (3, "else")]), bench).collect()
+    assert sorted((r["doc_id"], r["n_hit"], len(r["item_ids"])) for r in rows) == [(1, 2000, 2000), (2, 2000, 2000), (2, 2000, 2000), (3, 0, 0)]
+
+
 def test_contaminated_rows_go_with_their_columns_kept(spark, make_docs):
     docs, items = cases()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
