@@ -42,8 +42,8 @@ PARTS, ENTRIES, ROUNDS = 4, 256, 4
 SCALE = 1024
 #: Integers below which doubles are exact, and the largest long.
 EXACT, LONGEST = 2**53, 2**63 - 1
-#: Rows whose candidates are compared at a time, and entries of the first step of a scan.
-ROWS, STEP = 1024, 8
+#: Rows whose radius is looked up at a time, and entries of the first step of a scan.
+ROWS, STEP = 1024, 32
 #: Bits of a piece of a sum; pieces are summed by Spark whatever the size of the whole.
 PIECE = 30
 
@@ -69,24 +69,24 @@ class Codebooks:
     def nearest(self, part: int, x: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entry, squared distance) of each row of `x`, from the entries `before` on."""
         book, near, far = self.entries[part], self.near[part], self.far[part]
-        out = [self._some(book, near, far, x[k : k + ROWS], before[k : k + ROWS]) for k in range(0, len(x), ROWS)]
-        return np.concatenate([e for e, _ in out]), np.concatenate([d for _, d in out])
-
-    def _some(self, book: np.ndarray, near: np.ndarray, far: np.ndarray, x: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths, own, turned = (book**2).sum(1), (x**2).sum(1), np.ascontiguousarray(book.T)
         best, least = before.copy(), ((x - book[before]) ** 2).sum(1)
-        reach = (far[before] <= 4 * least[:, None]).sum(1)
-        low, high = 0, STEP
-        while len(rows := np.flatnonzero(reach > low)):
-            some = near[before[rows], low:high]
-            apart = ((book[some] - x[rows][:, None]) ** 2).sum(2)
-            out = np.arange(low, low + some.shape[1]) >= reach[rows][:, None]
-            apart[out] = far.max() * 4 + least.max() + 1  # farther than any
-            self.scanned += int((~out).sum())
-            found = apart.min(1)
-            entry = np.where(apart == found[:, None], some, len(book)).min(1)
-            better = (found < least[rows]) | (found == least[rows]) & (entry < best[rows])
-            best[rows[better]], least[rows[better]] = entry[better], found[better]
-            low, high = high, 2 * high
+        reach = np.concatenate([(far[before[k : k + ROWS]] <= 4 * least[k : k + ROWS, None]).sum(1) for k in range(0, len(x), ROWS)]) if len(x) else before
+        order = np.lexsort((-reach, before))  # together from the same entry on, those that must look farthest first
+        cuts = np.union1d(np.flatnonzero(np.diff(before[order])) + 1, np.arange(ROWS, len(x), ROWS))
+        for rows in np.split(order, cuts) if len(x) else ():
+            low, high = 0, STEP
+            while n := int(np.searchsorted(-reach[rows], -low)):
+                held, some = rows[:n], np.sort(near[before[rows[0]], low:high])  # the lowest of equally near ones comes first
+                apart = x[held] @ turned[:, some]
+                apart *= -2
+                apart += lengths[some]
+                index = apart.argmin(1)
+                found, index = apart[np.arange(n), index] + own[held], some[index]
+                self.scanned += apart.size
+                better = (found < least[held]) | (found == least[held]) & (index < best[held])
+                best[held[better]], least[held[better]] = index[better], found[better]
+                low, high = high, 2 * high
         return best, least
 
 
@@ -132,7 +132,7 @@ def assign(rows: DataFrame, entries: np.ndarray, width: int, exact: bool) -> Dat
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            for part in pieces(batch, 4096):
+            for part in pieces(batch, 1 << 14):
                 x, before = _rows(part.column(at), width, exact), np.frombuffer(b"".join(part.column(code).to_pylist()), np.uint8).reshape(-1, PARTS)
                 found = [books().nearest(p, x[:, p * width // PARTS : (p + 1) * width // PARTS], before[:, p].astype(np.int64)) for p in range(PARTS)]
                 codes = np.stack([e for e, _ in found], 1).astype(np.uint8)
