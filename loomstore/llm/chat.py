@@ -83,7 +83,7 @@ def _runs(rows: DataFrame, passages: DataFrame) -> DataFrame:
     passages that begin with that line.
     """
     first = passages.groupBy(F.get("lines", 0).alias("h")).agg(F.collect_set(F.size("lines")).alias("lengths"))  # at most as many as there are lengths
-    held = rows.select("conv_id", "turn", _hashes(F.col("plain")).alias("ls")).where("size(ls) > 1").withColumn("m", F.xxhash64("ls")).distinct()
+    held = rows.select("conv_id", "turn", "ls").where("size(ls) > 1").withColumn("m", F.xxhash64("ls")).distinct()
     places = held.select("conv_id", "turn", "m", F.posexplode("ls").alias("place", "h")).groupBy("conv_id", "turn", "m", "h").agg(F.collect_list("place").alias("places"))
     starts = places.join(first, "h").groupBy("conv_id", "turn", "m").agg(F.collect_list(F.struct("places", "lengths")).alias("starts"))
     runs = F.expr("flatten(transform(starts, s -> flatten(transform(s.places, i -> transform(filter(s.lengths, n -> i + n <= size(ls)), n -> xxhash64(slice(ls, i + 1, n)))))))")
@@ -95,7 +95,7 @@ def _hashes(text: Column) -> Column:
 
 
 def quote_links(rows: DataFrame) -> DataFrame:
-    """(row key columns, level, place, source_conv, source_turn) of the passages of `rows` (of `parsed`) that have a source."""
+    """(row key columns, level, place, source_conv, source_turn) of the passages of `rows` (of `parsed`, with the lines' hashes `ls`) that have a source."""
     keyed = F.transform(F.filter(F.transform(F.concat(F.array("plain"), F.split("plain", r"\n\s*\n"), F.split("plain", "\n")), normalised), lambda x: x != ""), lambda x: F.xxhash64(x))
     found = rows.select("conv_id", "turn", F.explode("passages").alias("p")).withColumn("hash", F.xxhash64(normalised(F.col("p.text")))).where(normalised(F.col("p.text")) != "").distinct()
     found = found.withColumn("lines", _hashes(F.col("p.text"))).withColumn("run", F.when(F.size("lines") > 1, F.xxhash64("lines")))
@@ -142,7 +142,9 @@ def _numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
 
 def link_quotations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, text (without quotes), n_quotes, max_level, n_linked, reply_conv, reply_turn, position."""
-    rows = parsed(messages.select("conv_id", "turn", "role", "text"))
+    rows = parsed(messages.select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", "plain", "passages")
+    # Written: a filter on what is parsed would else be pushed into it, and parse all lines anew for each line
+    rows = materialize(rows.withColumn("ls", _hashes(F.col("plain"))), "parsed")
     links = quote_links(rows).groupBy("conv_id", "turn", "hash", "level", "place").agg(F.min(F.struct("source_conv", "source_turn")).alias("s"))
     best = links.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.when(F.col("s.source_conv") == F.col("conv_id"), F.struct("level", "place", F.col("s.source_turn").alias("t")))).alias("near"), F.min(F.struct("level", "place", F.col("s.source_conv").alias("c"), F.col("s.source_turn").alias("t"))).alias("any"))
     levels = F.transform("passages", lambda p: p["level"])
