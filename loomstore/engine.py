@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstore.functions.text import PRIVACY_RULES, slashes
-from loomstore.operators import budget, conversations, extract, files, graph, locks, search
+from loomstore.operators import budget, conversations, extract, files, graph, locks, search, segments
 from loomstore.operators.snapshots import Store, insert_missing, of_projects, replace_files, with_project
 from loomstore.plans import render
 from loomstore.plans.schemas import KEYS, TABLES, conform
@@ -458,7 +458,7 @@ class Registry:
         for db in projects:
             Store(self.spark, db).turn_index()
         turns = self._turns()
-        return search.search_projects(turns, query, limit, True, index=search.Index.of_projects(self.spark, projects, "turns_index") if projects else None)
+        return search.search_projects(turns, query, limit, True, index=segments.of_projects(self.spark, projects, "turns_index") if projects else None)
 
     def handoff(self, tokens: int = 2000) -> str:
         """What the latest session of each project left, the projects seen last first; those without turns are left out."""

@@ -1,25 +1,30 @@
 """Ranked full-text search over stored postings, and the hybrid search over graph, chat and files.
 
-An index is a table of postings (a row for each term and text, with the term's
-positions) in folders by the term's first character and in the order of terms,
-beside a table of the texts it holds and their lengths.  A search reads the rows
-of its own terms only: folders are pruned by the bucket, row groups by the term.
+An index gives postings: a row for each term and text, with the term's positions.
+Stored ones lie in segments (see `segments`), in folders by the term's first
+character and in the order of terms.  A search reads the rows of its own terms
+only: folders are pruned by the bucket, row groups by the term.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstore.functions import fts
 from loomstore.functions.stem import stem, stems
 from loomstore.functions.text import basename, contains_ignoring_case, one_line, recency, tokens
 
+if TYPE_CHECKING:
+    from loomstore.operators.segments import Segments
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Folders of an index; a term's is the code of its first character modulo this.
+#: Folders of a stored index; a term's is the code of its first character modulo this.
 BUCKETS = 64
 
 
@@ -46,16 +51,17 @@ def missing_from_index(rows: DataFrame, index: DataFrame, *key: str) -> DataFram
 
 @dataclass
 class Index:
-    """Postings, and the texts held (key columns, dl); `by` names columns of the key that have statistics of their own.
-
-    A text whose postings were added twice counts once, so adding again after a failure does no harm.
-    """
+    """Postings, and the texts held (key columns, dl) or their number and mean length; `by` names columns of the key that have statistics of their own."""
 
     postings: DataFrame
-    texts: DataFrame
+    texts: DataFrame | None
     key: list[str]
     by: list[str]
     stemmed: bool
+    #: (number, mean length) of the texts, or with `by` a table of its columns, docs and avgdl.
+    known: tuple[int, float] | DataFrame | None = None
+    #: The stored segments that the postings are of.
+    segments: Segments | None = None
 
     @classmethod
     def of(cls, rows: DataFrame, key: list[str], text: Column, stemmed: bool = False, by: list[str] | None = None) -> Index:
@@ -63,25 +69,22 @@ class Index:
         ready = indexed(rows, text, stemmed)
         return cls(build_postings(ready, *key), ready.select(*key, "dl"), key, by or [], stemmed)
 
-    def save(self, path: str, mode: str = "append") -> None:
-        """Add to an index under a folder that all executors see; what is there stays as it is."""
-        self.postings.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(mode).parquet(f"{path}/postings")
-        self.texts.write.mode(mode).parquet(f"{path}/texts")  # last: a text that is listed has its postings
+    def sizes(self) -> DataFrame | dict[str, float]:
+        """docs and avgdl of all texts, or a row of them for each group of `by`."""
+        if self.by:
+            return self.known if self.known is not None else self.texts.groupBy(*self.by).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+        return dict(zip(("docs", "avgdl"), self.known)) if self.known else self.texts.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).first().asDict()
 
-    @classmethod
-    def of_projects(cls, spark: SparkSession, projects: dict[str, str], folder: str) -> Index:
-        """The stored turn indexes of several projects (project by database path) in one scan, each with its own statistics."""
-        from loomstore.operators.snapshots import with_project
+    def best(self, query: str, limit: int, keep: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
+        """(key columns, score) of the first `limit` texts that `keep` leaves."""
+        if self.segments:
+            return self.segments.best(query, limit, keep)
+        return keep(bm25(self, query)).orderBy("score", *self.key).limit(limit)
 
-        read = lambda kind, schema: with_project(spark.read.schema(schema).parquet(*(f"{db}/{folder}/{kind}" for db in projects)), projects, f"{folder}/{kind}")
-        key = ["project_path", *TURN]
-        return cls(read("postings", f"term string, {TURN_TYPE}, tf int, dl int, positions array<int>, bucket int"), read("texts", f"{TURN_TYPE}, dl int").dropDuplicates(key), key, ["project_path"], True)
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str | list[str], key: list[str], key_type: str, stemmed: bool, by: list[str] | None = None) -> Index:
-        paths = [path] if isinstance(path, str) else path
-        postings = spark.read.schema(f"term string, {key_type}, tf int, dl int, positions array<int>, bucket int").parquet(*(f"{p}/postings" for p in paths))
-        return cls(postings, spark.read.schema(f"{key_type}, dl int").parquet(*(f"{p}/texts" for p in paths)).dropDuplicates(key), key, by or [], stemmed)
+def idf(docs: int, n: int) -> float:
+    """How much a term tells that n of the texts hold."""
+    return math.log((docs - n + 0.5) / (n + 0.5))
 
 
 def _stemmed(node: fts.Node) -> fts.Node:
@@ -103,7 +106,7 @@ def bm25(index: Index, query: str) -> DataFrame:
     or for each group of `by` (so projects are ranked by their own statistics).
     A blank query finds nothing.
     """
-    none = index.texts.where(F.lit(False)).select(*index.key, F.lit(0.0).alias("score"))
+    none = index.postings.where(F.lit(False)).select(*index.key, F.lit(0.0).alias("score"))
     tree = fts.parse(query)
     if tree is None:
         return none
@@ -133,13 +136,12 @@ def bm25(index: Index, query: str) -> DataFrame:
         rows = rows.withColumn(f"f{k}", F.size(starts))
         names[id(p)] = f"f{k}"
     counts = [F.count_if(F.col(names[id(p)]) > 0).alias(f"n{k}") for k, p in enumerate(ranked)]
-    sizes = [F.count("*").alias("docs"), F.avg("dl").alias("avgdl")]
     found = rows.where(fts.matches(tree, lambda p: F.col(names[id(p)]) if p.terms else F.lit(0)))
     if index.by:
-        found = found.join(rows.groupBy(*index.by).agg(*counts), index.by).join(index.texts.groupBy(*index.by).agg(*sizes), index.by)
+        found = found.join(rows.groupBy(*index.by).agg(*counts), index.by).join(index.sizes(), index.by)
     else:
-        for row in (rows.agg(*counts).first(), index.texts.agg(*sizes).first()):
-            found = found.withColumns({name: F.lit(value) for name, value in row.asDict().items()})
+        for row in (rows.agg(*counts).first().asDict(), index.sizes()):
+            found = found.withColumns({name: F.lit(value) for name, value in row.items()})
     score = F.lit(0.0)
     for k, p in enumerate(ranked):
         n, f = F.col(f"n{k}"), F.col(names[id(p)])
@@ -168,22 +170,21 @@ def _fetched(hits: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 
 def search_turns(turns: DataFrame, sessions: DataFrame, query: str, session_id: str | None = None, thread_id: str | None = None, source_tool: str | None = None, limit: int = 5, stemmed: bool = True, index: Index | None = None) -> DataFrame:
     """The best turns with their session's LLM, tool and thread. Filters restrict the hits, not the statistics."""
-    hits = bm25(index or turn_index(turns, stemmed), query)
-    rows = hits.join(sessions.select(F.col("id").alias("session_id"), "llm_name", "source_tool", "thread_id"), "session_id")
+    known = sessions.select(F.col("id").alias("session_id"), "llm_name", "source_tool", "thread_id")
     if session_id:
-        rows = rows.where(F.col("session_id") == session_id)
+        known = known.where(F.col("session_id") == session_id)
     if thread_id:
-        rows = rows.where(F.col("thread_id") == thread_id)
+        known = known.where(F.col("thread_id") == thread_id)
     if source_tool:
-        rows = rows.where((F.col("source_tool") == source_tool) | (F.col("llm_name") == source_tool))
-    order = ["score", "session_id", "turn_index"]
-    return _fetched(rows.orderBy(*order).limit(limit), turns, TURN).orderBy(*order)
+        known = known.where((F.col("source_tool") == source_tool) | (F.col("llm_name") == source_tool))
+    hits = (index or turn_index(turns, stemmed)).best(query, limit, lambda hits: hits.join(known, "session_id"))
+    return _fetched(hits, turns, TURN).orderBy("score", *TURN)
 
 
 def search_nodes(nodes: DataFrame, query: str, limit: int = 20, stemmed: bool = True, index: Index | None = None) -> DataFrame:
     """Graph nodes by full text over both names; by parts of names if that finds none or cannot be read."""
     try:
-        hits = bm25(index or node_index(nodes, stemmed), fts.words_query(query) or "").orderBy("score", *NODE).limit(limit).collect()  # `limit` rows
+        hits = (index or node_index(nodes, stemmed)).best(fts.words_query(query) or "", limit).collect()  # `limit` rows
         if hits:
             return _fetched(nodes.sparkSession.createDataFrame(hits, f"{NODE_TYPE}, score double"), nodes, NODE).orderBy("score", *NODE)
     except ValueError:
@@ -222,13 +223,13 @@ def unified_find(query: str, now: Column, nodes: DataFrame | None = None, turns:
     parts: list[DataFrame] = []
     if nodes is not None:
         if words:
-            hits = _top(bm25(nodes_index or node_index(nodes, stemmed), words), [F.col("score"), F.col("qualified_name")], k)
+            hits = (nodes_index or node_index(nodes, stemmed)).best(words, k)
             hits = _fetched(hits, nodes, NODE).withColumn("rank", relevance(F.col("score"), mode))
         else:
             hits = _top(nodes.where(contains_ignoring_case(F.col("name"), query) | contains_ignoring_case(F.col("qualified_name"), query)), [F.col("qualified_name")], k).withColumn("rank", F.lit(0.3))
         parts.append(hits.select(F.lit("graph").alias("source"), F.col("qualified_name").alias("key"), F.concat_ws(" ", "kind", "name").alias("title"), F.col("qualified_name").alias("snippet"), F.col("file_path").alias("path"), combined(F.col("rank"), recency(F.col("updated_at"), now)).alias("score"), F.col("updated_at").alias("ts")))
     if turns is not None and words:
-        hits = _fetched(_top(bm25(turns_index or turn_index(turns, stemmed), words), [F.col("score"), *map(F.col, TURN)], k), turns, TURN)
+        hits = _fetched((turns_index or turn_index(turns, stemmed)).best(words, k), turns, TURN)
         text = one_line(F.col("content"))
         cut = lambda n, mark: F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
         parts.append(hits.select(F.lit("chat").alias("source"), F.concat_ws(":", "session_id", "turn_index").alias("key"), F.concat(F.col("role"), F.lit(": "), F.substring(text, 1, 80)).alias("title"), cut(220, "…").alias("snippet"), F.lit(None).cast("string").alias("path"), combined(relevance(F.col("score"), mode), recency(F.col("recorded_at"), now)).alias("score"), F.col("recorded_at").alias("ts")))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomstore.engine import Engine
 from loomstore.functions import fts
-from loomstore.operators import search
+from loomstore.operators import search, segments
+from loomstore.operators.segments import Segments
 from loomstore.operators.snapshots import Conflict, Store
 
 T0 = datetime(2024, 1, 1)
@@ -62,6 +63,8 @@ def plain(tokens, tree):
     return all(parts) if tree.op == "and" else any(parts) if tree.op == "or" else parts[0] and not any(parts[1:])
 
 
+#: The stored index of a test that runs for many queries.
+STORED: dict[str, Segments] = {}
 QUERIES = ["alpha", "alpha beta", '"alpha beta"', "al*", '"alpha be"*', "alpha OR gamma", "alpha NOT beta", "(alpha OR delta) AND NOT_there", "beta NOT (alpha OR gamma)", "uber OR naïve", "ΆΛΦΑ", "việt", '"delta alpha" OR gamma*', "nothing", "..."]
 
 
@@ -72,22 +75,68 @@ def test_an_index_finds_what_reading_every_text_finds(spark, tmp_path_factory, q
     rows = [(k, " ".join(rng.choices(words, k=rng.randrange(0, 9)))) for k in range(60)] + [(99, None)]
     df = spark.createDataFrame(rows, "id bigint, content string")
     index = search.Index.of(df, ["id"], F.col("content"))
-    path = str(tmp_path_factory.mktemp("index"))
-    index.save(path)
-    index.save(path)  # taken in twice: counts once
-    stored = search.Index.load(spark, path, ["id"], "id bigint", False)
+    if "held" not in STORED:  # in two segments, with texts that are taken out again
+        STORED["held"] = Segments(Store(spark, str(tmp_path_factory.mktemp("index"))), "texts", ["id"], "id bigint", False)
+        STORED["held"].add(df.where("id % 3 = 0").unionByName(spark.createDataFrame([(k, "alpha beta gamma alphabet") for k in range(500, 520)], df.schema)), F.col("content"))
+        STORED["held"].add(df.where("id % 3 > 0"), F.col("content"))
+        assert STORED["held"].remove(spark.range(500, 530)) == 20 and STORED["held"].remove(spark.range(500, 530)) == 0
+    stored = STORED["held"].index()
     token_rows = {r["id"]: r["tokens"] for r in search.indexed(df, F.col("content")).collect()}
     tree = fts.parse(query)
     hits = {r["id"]: r["score"] for r in search.bm25(index, query).collect()}
     again = {r["id"]: r["score"] for r in search.bm25(stored, query).collect()}
     assert set(hits) == {k for k, t in token_rows.items() if plain(t, tree)}
     assert hits.keys() == again.keys() and all(abs(hits[k] - again[k]) < 1e-12 for k in hits)
+    for limit in (5,):
+        best = [(r["id"], r["score"]) for r in STORED["held"].best(query, limit).collect()]
+        assert [k for k, _ in best] == [k for k, _ in sorted(hits.items(), key=lambda x: (round(x[1], 9), x[0]))][:limit] and all(abs(hits[k] - x) < 1e-12 for k, x in best)
+
+
+def test_segments_stay_few_and_equal_one_index(spark, tmp_path, monkeypatch):
+    """Appends, removals and merges, against an index of what is left."""
+    monkeypatch.setattr(segments, "FAN", 3)
+    monkeypatch.setattr(segments, "SPAN", 4)
+    rng = random.Random(8)
+    held = Segments(Store(spark, str(tmp_path)), "texts", ["k", "n"], "k string, n int")
+    rows = {}
+    for at in range(11):
+        new = [(f"s{at}", n, " ".join(rng.choices(["running", "runs", "walk", "walked", "sun", "the"], k=rng.randrange(0, 12)))) for n in range(rng.randrange(1, 9))]
+        rows |= {(k, n): t for k, n, t in new}
+        held.add(spark.createDataFrame(new, "k string, n int, content string"), F.col("content"))
+        if at % 4 == 2:
+            gone = rng.sample(sorted(rows), 3)
+            assert held.remove(spark.createDataFrame(gone, "k string, n int")) == 3
+            for g in gone:
+                del rows[g]
+    _, parts = held.manifest()
+    assert len(parts) <= 5 and sum(s["texts"] for s in parts) == len(rows)
+    fresh = search.Index.of(spark.createDataFrame([(k, n, t) for (k, n), t in rows.items()], "k string, n int, content string"), ["k", "n"], F.col("content"), True)
+    assert held.sizes() == (len(rows), pytest.approx(fresh.sizes()["avgdl"]))
+    for query in ("run", "walks OR sun", "the NOT running", '"run walk" OR sunned'):
+        want = {(r["k"], r["n"]): r["score"] for r in search.bm25(fresh, query).collect()}
+        got = {(r["k"], r["n"]): r["score"] for r in held.best(query, 1000).collect()}
+        assert got == pytest.approx(want)
+        assert [(r["k"], r["n"]) for r in held.best(query, 4).collect()] == [k for k, _ in sorted(want.items(), key=lambda x: (round(x[1], 9), x[0]))][:4]
+    assert not held.add(spark.createDataFrame([("x", 1, "a")], "k string, n int, content string"), F.col("content"), ["f"]) or not held.add(spark.createDataFrame([("x", 1, "a")], "k string, n int, content string"), F.col("content"), ["f"])
+
+
+def test_the_best_of_a_common_word_reads_few_spans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "SPAN", 16)
+    rng = random.Random(9)
+    held = Segments(Store(spark, str(tmp_path)), "texts", ["id"], "id bigint")
+    rows = [(k, " ".join(["common"] * rng.choice([1, 1, 1, 1, 2, 5]) + rng.choices(["other", "words", "stand", "here"], k=rng.randrange(3, 300)))) for k in range(3000)]
+    held.add(spark.createDataFrame(rows, "id bigint, content string"), F.col("content"))
+    full = [(r["id"], r["score"]) for r in search.bm25(held.index(), "common OR nowhere").orderBy("score", "id").limit(10).collect()]
+    assert [(r["id"], pytest.approx(r["score"])) for r in held.best("common OR nowhere", 10).collect()] == full
+    read, every = held.read_rows()
+    assert every >= 180 and read <= every / 3
 
 
 def test_a_search_reads_its_terms_alone(spark, tmp_path):
     df = spark.createDataFrame([(k, f"word{k} other{k % 7} {chr(97 + k % 26)}x") for k in range(300)], "id bigint, content string")
-    search.Index.of(df, ["id"], F.col("content")).save(str(tmp_path))
-    found = search.bm25(search.Index.load(spark, str(tmp_path), ["id"], "id bigint", False), "word7")
+    held = Segments(Store(spark, str(tmp_path)), "texts", ["id"], "id bigint", False)
+    held.add(df, F.col("content"))
+    found = search.bm25(held.index(), "word7")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(term,word7)" in plan
     assert [r["id"] for r in found.collect()] == [7]
@@ -100,5 +149,5 @@ def test_stored_indexes_follow_turns_and_nodes(spark, tmp_path):
     assert [r["turn_index"] for r in engine.sessions.search("retry").collect()] == [0]
     engine.sessions.add_turns(s, [("assistant", "retrying now")])
     assert sorted(r["turn_index"] for r in engine.sessions.search("retry").collect()) == [0, 2]
-    assert engine.store.turn_index().texts.count() == 3 and engine.sessions.search('"first retries" OR now').count() == 2
-    assert engine.graph.search("x").count() == 0 and engine.store.exists("code_nodes_index/000000000000/texts")
+    assert engine.store.turn_index().known == (3, 7 / 3) and engine.sessions.search('"first retries" OR now').count() == 2
+    assert engine.graph.search("x").count() == 0 and engine.store.exists("code_nodes_index/000000000000/commits")
