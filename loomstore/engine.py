@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomstore.functions.text import PRIVACY_RULES, slashes
 from loomstore.operators import budget, conversations, extract, files, graph, locks, search, segments
-from loomstore.operators.snapshots import Store, insert_missing, of_projects, replace_files, with_project
+from loomstore.operators.snapshots import EACH, Store, insert_missing, of_projects, replace_files, with_project
 from loomstore.plans import render
 from loomstore.plans.schemas import KEYS, TABLES, conform
 from loomstore.plans.shared import materialize
@@ -136,7 +136,7 @@ class Sessions(_Part):
 
     def end(self, session_id: str, **values: str) -> None:
         self._event("end", session_id, **values)
-        self.e.locks._event("end_session", None, session_id)
+        self.e.locks._snapshot(self.e.locks._event("end_session", None, session_id))
 
     def list(self, **filters) -> DataFrame:
         return conversations.list_sessions(self.table(), self.turns(), **filters)
@@ -386,32 +386,58 @@ class Locks(_Part):
         path = path.replace("\\", "/") if path else path
         return self.store.put_event("lock_events", {"ts": self.e.clock().isoformat(), "op": op, "file_path": path, "session_id": session_id, "llm_name": llm_name})
 
-    def _folded(self, path: str | None = None) -> DataFrame:
-        """Every file's events, or one file's."""
-        events = self.store.events("lock_events", LOCK_EVENTS)
-        return locks.fold_locks(events.where(F.col("file_path").isNull() | (F.col("file_path") == path.replace("\\", "/"))) if path else events)
+    def _state(self) -> tuple[int, DataFrame, DataFrame]:
+        """The newest snapshot: its last event, who owned which file then, and the conflicts up to it."""
+        n, folder = self.store.snapshot("lock_events")
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{folder}/{name}") if folder else self.spark.createDataFrame([], schema)
+        return n, read("owners", locks.OWNERS), read("conflicts", "event_id bigint, file_path string, session_a string, session_b string")
+
+    def _folded(self, path: str | None = None, upto: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The events after the newest snapshot, of every file or one, folded; and the snapshot's owners and conflicts."""
+        n, owners, known = self._state()
+        events = self.store.events("lock_events", LOCK_EVENTS, n)
+        if upto is not None:
+            events = events.where(F.col("event_id") <= upto)
+        if path:
+            path = path.replace("\\", "/")
+            events, owners = events.where(F.col("file_path").isNull() | (F.col("file_path") == path)), owners.where(F.col("file_path") == path)
+        return locks.fold_locks(events, owners), owners, known
+
+    def _snapshot(self, n: int) -> None:
+        """Write who owns what after every EACH events, so that no one reads more than the events since."""
+        if n % EACH == 0 and self.store.snapshot("lock_events")[0] < n:
+            folded, owners, known = self._folded(upto=n)
+            folded = materialize(folded, "folded")
+            self.store.put_snapshot("lock_events", n, {"owners": locks.owners_after(owners, folded), "conflicts": known.unionByName(locks.conflicts(folded))})
 
     def claim(self, path: str, session_id: str, llm_name: str | None = None) -> bool:
         """Whether the session has the file now; a refused claim is logged as a conflict.
 
         Events have numbers without gaps, given one after another, so all that came before this claim is there to be folded.
         """
-        n = self._event("claim", path, session_id, llm_name)
-        return self._folded(path).where(F.col("event_id") == n).first()["granted"]
+        return self._granted(path, self._event("claim", path, session_id, llm_name))
 
     def release(self, path: str, session_id: str) -> bool:
-        n = self._event("release", path, session_id)
-        return self._folded(path).where(F.col("event_id") == n).first()["granted"]
+        return self._granted(path, self._event("release", path, session_id))
+
+    def _granted(self, path: str, n: int) -> bool:
+        granted = self._folded(path)[0].where(F.col("event_id") == n).first()
+        if granted is None:  # another writer's snapshot has taken it in meanwhile
+            granted = locks.fold_locks(self.store.events("lock_events", LOCK_EVENTS).where(F.col("event_id") <= n)).where(F.col("event_id") == n).first()
+        self._snapshot(n)
+        return granted["granted"]
 
     def write(self, path: str, session_id: str) -> None:
-        self._event("write", path, session_id)
+        self._snapshot(self._event("write", path, session_id))
 
     def list(self) -> DataFrame:
-        return locks.current_locks(self._folded())
+        folded, owners, _ = self._folded()
+        return locks.owners_after(owners, folded)
 
     def conflicts(self, resolved: bool = False) -> DataFrame:
         done = self.store.read_log("resolved_conflicts", "event_id bigint, resolved_at timestamp, resolved_by string")
-        rows = locks.conflicts(self._folded()).join(done, "event_id", "left")
+        folded, _, known = self._folded()
+        rows = known.unionByName(locks.conflicts(folded)).join(done, "event_id", "left")
         return rows if resolved else rows.where("resolved_at is null").drop("resolved_at", "resolved_by")
 
     def resolve(self, by: str, conflict_id: int | None = None, path: str | None = None) -> int:
