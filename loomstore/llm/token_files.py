@@ -45,11 +45,11 @@ from .common import pieces
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 16
 #: Distinct words, and characters of them, that a task remembers before it starts afresh; bounds its memory.
-MEMORY_WORDS, MEMORY_CHARS = 400_000, 8_000_000
+MEMORY_WORDS, MEMORY_CHARS = 300_000, 8_000_000
 #: Bytes of text for a task, as words are remembered within it, and the most tasks.
-TASK_BYTES, MOST_TASKS = 128 << 20, 50_000
+TASK_BYTES, MOST_TASKS = 64 << 20, 50_000
 #: Bytes of text that are worked on at a time.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Latin letters, each one code point by itself and in lower case; and words of them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(f"[{LETTERS}]+")
@@ -224,12 +224,13 @@ def tokenizer_words(path: str, lower: bool = False) -> Callable[[list[str]], lis
     model, spell = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
     spelt = {ord(c): spell(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if PLAIN.fullmatch(c)}
 
-    def encode(words: list[str]) -> list[list[int]]:
+    def some(words: list[str]) -> list[list[int]]:
         plain = [lower and PLAIN.fullmatch(w) is not None for w in words]
         others = iter(tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
         return [[x.id for x in model.tokenize(w.translate(spelt))] if p else next(others).ids for w, p in zip(words, plain)]
 
-    return encode
+    # A few at a time, as the library's results are much larger than their ids
+    return lambda words: [ids for k in range(0, len(words), 4096) for ids in some(words[k : k + 4096])]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = None, stops: str = "", lower: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
