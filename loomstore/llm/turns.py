@@ -11,7 +11,8 @@ same rows neither begins the other, as more letters cost more; so the order of
 two, once told, stays, and a pass needs to keep but the few letters that tell it.
 
 A pass is a small automaton: its layers, with costs counted from the least and
-audits cut down to those letters, recur, and are looked up after their first time.
+audits cut down to those letters, recur (states that can no longer be on a cheapest
+way are dropped), and are looked up after their first time.
 What is kept for a row is one byte a state, from which the audit is read at the end,
 and one running hash a state.
 
@@ -122,6 +123,10 @@ class Pass:
         for _ in range(2):
             for s, (cost, audit, before, letters) in list(row.items()):
                 offer(NEXT[s], cost + INSERT, audit + "I", before, letters + "I")
+        # What nothing may still gain by: from a on, all can be done that can from nothing on, but a kept s (2 for deleting it), and all that can from s on
+        for s, gain in ((0, DELETE), (1, 0)):
+            if s in row and row[s][0] > row[3][0] + gain:
+                del row[s]
         least = min(x[0] for x in row.values())
         states = sorted(row)
         short = dict(zip(states, telling([row[s][1] for s in states])))

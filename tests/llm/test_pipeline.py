@@ -29,7 +29,7 @@ def test_each_filter_agrees_with_its_query(spark):
 
 
 def test_names_of_the_registered_queries():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k[:2] == "op") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k[:2] == "op") == list(range(1, 14))
     assert [n for n, _ in P.STAGES] == ["toxicity", "quality", "simhash_near_dedup", "decontamination", "byte_bpe"]
 
 
