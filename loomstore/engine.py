@@ -262,9 +262,11 @@ class Context(_Part):
     def thread(self, thread_id: str, tokens: int = 4000) -> str:
         return self.e.threads.show(thread_id, tokens)
 
-    def pack(self, tokens: int = 4000, session_id: str | None = None, path: str | None = None) -> str:
-        """A context pack; written to a file below the path as well, if one is given."""
-        made = render.context_pack(self.e.sessions.table(), self.e.sessions.turns(), self.e.changes(), tokens, session_id)
+    def pack(self, tokens: int = 4000, session_id: str | None = None, path: str | None = None, query: str = "") -> str:
+        """Hits of a query, the session's last turns, files and changes under one budget; written to a file below the path as well, if one is given."""
+        e = self.e
+        hits = e.find(query, limit=20, mode="bm25") if query.strip() else None
+        made = render.context_pack(e.sessions.table(), e.sessions.turns(), e.changes(), tokens, session_id, hits=hits, overview=graph.overview(e.graph.nodes(), e.files()))
         if path:
             self.spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(path)
         return made
@@ -366,10 +368,11 @@ class Graph(_Part):
         return render.neighbourhood_markdown(self._centre(name), self.neighbours(name, hops).orderBy("hop", "role", "kind", "other").collect())
 
     def subtree_text(self, root: str, depth: int = 8) -> str:
-        return render.subtree_text(root, self.subtree(root, depth).collect())
+        return render.subtree_text(self.subtree(root, depth).collect())
 
     def subtree(self, root: str, depth: int = 8) -> DataFrame:
-        return graph.subtree(self.edges(), root, depth)
+        """The first 500 nodes below a node, in preorder by line and name."""
+        return graph.tree(self.nodes(), self.edges(), root, depth).orderBy("place")
 
     def export(self, kinds: list[str] | None = None, edge_kinds: list[str] | None = None, text: str = "") -> tuple[DataFrame, DataFrame]:
         """(nodes with degree and state, edges among them), for a drawing: of chosen kinds, and with a text in the name or path."""

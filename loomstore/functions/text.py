@@ -137,3 +137,15 @@ def is_preamble(text: Column) -> Column:
     for p in PREAMBLES:
         out = out | head.startswith(p.lower())
     return out
+
+
+# The colours that tools are drawn in.
+TOOL_COLOURS = [("cursor", "purple"), ("claude", "deep-orange"), ("codex", "blue"), ("openai", "blue")]
+
+
+def tool_colour(llm_name: Column) -> Column:
+    """The colour of the first tool that an LLM's name tells, else steel."""
+    out = F.lit("steel")
+    for part, colour in reversed(TOOL_COLOURS):
+        out = F.when(F.lower(llm_name).contains(part), colour).otherwise(out)
+    return out

@@ -45,3 +45,25 @@ def truncated(turns: DataFrame, kept: DataFrame) -> DataFrame:
     n = kept.groupBy("session_id").agg(F.count("*").alias("kept"))
     total = turns.groupBy("session_id").agg(F.count("*").alias("total"))
     return total.join(n, "session_id", "left").select("session_id", "total", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("total") - F.coalesce("kept", F.lit(0))).alias("cut"))
+
+
+def pack(rows: DataFrame, shares: dict[str, float], tokens: int) -> DataFrame:
+    """Of (section, rank, est) the rows that fit one budget, with `cut`: the tokens that a last, partial row has left.
+
+    Each section, in the order of `shares`, first has its share of the budget.
+    What sections leave of theirs goes to the rows left over, by section and
+    rank; the first of them that does not fit is cut to what remains.  A row takes a
+    token at least, so a section's first `tokens` rows are all that can matter.
+    """
+    order = F.array_position(F.array(*map(F.lit, shares)), F.col("section")).cast("int")
+    quota = F.element_at(F.create_map(*(F.lit(x) for k, v in shares.items() for x in (k, int(v * tokens)))), F.col("section"))
+    by_section = Window.partitionBy("section").orderBy("rank")
+    rows = rows.where(F.col("section").isin(list(shares))).withColumn("est", F.greatest("est", F.lit(1)).cast("bigint")).withColumn("n", F.row_number().over(by_section)).where(F.col("n") <= tokens).drop("n")
+    rows = rows.withColumn("sum", F.sum("est").over(by_section.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("first", F.col("sum") <= quota)
+    used = F.sum(F.when(F.col("first"), F.col("est")).otherwise(0)).over(Window.partitionBy())  # sections * tokens rows at most
+    over = Window.partitionBy("first").orderBy(order, "rank")
+    before = F.coalesce(F.sum("est").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("left", F.lit(tokens) - used).withColumn("room", F.col("left") - before)
+    rows = rows.where(F.col("first") | (F.col("room") > 0))
+    return rows.withColumn("cut", F.when(~F.col("first") & (F.col("room") < F.col("est")), F.col("room"))).withColumn("section_order", order).drop("sum", "first", "left", "room")

@@ -151,6 +151,28 @@ def subtree(edges: DataFrame, root: str, depth: int = 8, most: int | None = 500)
     return found.orderBy("depth", "node").limit(most) if most else found
 
 
+def tree(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 8, most: int | None = 500) -> DataFrame:
+    """(node, parent, depth, name, line, place) along CONTAINS edges, in preorder: under each parent by line and name.
+
+    `place` holds the (line, name, node) of all nodes from the root down, so the
+    whole order is one sort.  A node hangs where it is reached first; of several
+    parents on one level under the first in that order.
+    """
+    known = nodes.groupBy(F.col("qualified_name").alias("node")).agg(F.min(F.struct(F.coalesce(F.col("line_start").cast("int"), F.lit(0)).alias("line"), F.coalesce("name", "qualified_name").alias("name"))).alias("n"))
+    links = edges.where("kind = 'CONTAINS'").select(F.col("source_qualified").alias("parent"), F.col("target_qualified").alias("node")).distinct()
+    links = links.join(known, "node", "left").select("parent", "node", F.coalesce("n.line", F.lit(0)).alias("line"), F.coalesce("n.name", "node").alias("name"))
+    found = links.sparkSession.createDataFrame([(root, None, 0, root, 0, [])], "node string, parent string, depth int, name string, line int, place array<struct<line: int, name: string, node: string>>")
+    for hop in range(1, depth + 1):
+        above = found.where(F.col("depth") == hop - 1).select(F.col("node").alias("parent"), F.col("place").alias("above"))
+        step = links.join(above, "parent").withColumn("place", F.concat("above", F.array(F.struct("line", "name", "node"))))
+        step = step.groupBy("node").agg(F.min(F.struct("place", "parent", "name", "line")).alias("s")).join(found.select("node"), "node", "left_anti")
+        step = materialize(step.select("node", "s.parent", F.lit(hop).alias("depth"), "s.name", "s.line", "s.place"), "level")
+        if step.isEmpty():
+            break
+        found = found.unionByName(step)
+    return found.orderBy("place").limit(most) if most else found
+
+
 def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """CALLS edges whose bare target is the name of exactly one function point to it; others stay as they are."""
     unique = nodes.where("kind in ('Function', 'Test')").groupBy(F.col("name").alias("target_qualified")).agg(F.count("*").alias("n"), F.min("qualified_name").alias("resolved")).where("n = 1").drop("n")
@@ -182,6 +204,18 @@ def overview(nodes: DataFrame, files: DataFrame, each: int = 8) -> DataFrame:
     return rows.select("file_path", "language", F.coalesce("lines", "line_end").alias("lines"), "purpose", F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
 
 
+def overview_totals(nodes: DataFrame, files: DataFrame, each: int = 8) -> DataFrame:
+    """(files, symbols, languages) of the overview: symbols as shown, `each` a file at most; languages sorted."""
+    shown = overview(nodes, files, each)
+    return shown.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).cast("bigint").alias("symbols"), F.sort_array(F.collect_set("language")).alias("languages"))
+
+
+def folder_counts(nodes: DataFrame) -> DataFrame:
+    """(folder, n): how many files of the graph each folder holds itself."""
+    folder = F.regexp_extract(F.col("file_path"), r"^(.*)/[^/]*$", 1)
+    return nodes.where("kind = 'File'").groupBy(F.when(folder == "", ".").otherwise(folder).alias("folder")).agg(F.count("*").alias("n"))
+
+
 def below(nodes: DataFrame, prefix: str) -> DataFrame:
     """Nodes of the file or folder of that path."""
     folder = prefix.rstrip("/")

@@ -45,8 +45,8 @@ SPAN, FAN, SEEDS = 1024, 8, 16
 class Segments:
     """An index at `name` of a store; `key` are the columns that name a text."""
 
-    def __init__(self, store, name: str, key: list[str], key_type: str, stemmed: bool = True):
-        self.store, self.spark, self.name, self.key, self.key_type, self.stemmed = store, store.spark, name, key, key_type, stemmed
+    def __init__(self, store, name: str, key: list[str], key_type: str, stemmed: bool = True, fan: int = FAN):
+        self.store, self.spark, self.name, self.key, self.key_type, self.stemmed, self.fan = store, store.spark, name, key, key_type, stemmed, fan
         fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in key_type.split(", "))
         self.schema = f"term string, span bigint, n int, max_tf int, min_dl int, hits array<struct<{fields}, dl: int, tf: int, positions: array<int>>>, bucket int, segment string"
 
@@ -123,14 +123,14 @@ class Segments:
                 return sum(r["n"] for r in sums.values())
 
     def merge(self) -> int:
-        """Merge segments, FAN of a tier at a time, until no tier has as many; returns the number of merges."""
+        """Merge segments, `fan` of a tier at a time, until no tier has as many; returns the number of merges."""
         merged = 0
         while True:
             version, held = self.manifest()
             tiers: dict[int, list[dict]] = {}
             for s in held:
-                tiers.setdefault(int(math.log(max(s["texts"], 1), FAN)), []).append(s)
-            due = next((t for _, t in sorted(tiers.items()) if len(t) >= FAN), None)
+                tiers.setdefault(int(math.log(max(s["texts"], 1), self.fan)), []).append(s)
+            due = next((t for _, t in sorted(tiers.items()) if len(t) >= self.fan), None)
             if due is None:
                 return merged
             entry = self._merged(due)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstore.functions.text import token_estimate
@@ -108,17 +108,9 @@ def neighbourhood_markdown(centre: str, rows: Iterable) -> str:
     return "\n".join([f"# {centre}", *[line for role, title in titles.items() if role in by for line in ("", f"## {title}", *by[role])]])
 
 
-def subtree_text(root: str, rows: Iterable) -> str:
-    below: dict[str, list[str]] = {}
-    for r in rows:
-        if r["parent"] is not None:
-            below.setdefault(r["parent"], []).append(r["node"])
-    out, stack = [], [(root, 0)]
-    while stack:
-        node, depth = stack.pop()
-        out.append("  " * depth + node)
-        stack += [(c, depth + 1) for c in sorted(below.get(node, []), reverse=True)]
-    return "\n".join(out)
+def subtree_text(rows: Iterable) -> str:
+    """Rows of `graph.tree`, in their order, each as deep as it lies."""
+    return "\n".join("  " * r["depth"] + r["node"] for r in rows)
 
 
 def find_markdown(query: str, hits: Iterable) -> str:
@@ -132,19 +124,20 @@ def find_markdown(query: str, hits: Iterable) -> str:
 
 def overview_markdown(nodes: DataFrame, file_rows: DataFrame, tokens: int = 2000) -> str:
     """Folders with files and symbols; without symbols, then without files, then cut, until it fits the budget."""
-    most = max(1, tokens)  # a file takes a token at least
+    most = max(1, tokens)  # a file, and a folder, takes a token at least
     shown = graph.overview(nodes, file_rows)
-    total = shown.count()
-    rows = shown.orderBy("file_path").limit(most).collect()
-    folders: dict[str, list] = {}
-    for r in rows:
-        folders.setdefault(r["file_path"].rpartition("/")[0] or ".", []).append(r)
+    folders = graph.folder_counts(nodes)
+    total = folders.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = folders.orderBy("folder").limit(most).collect()
+    inside: dict[str, list] = {}
+    for r in shown.withColumn("folder", F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)).orderBy("folder", "file_path").limit(most).collect():
+        inside.setdefault(r["folder"] or ".", []).append(r)
 
     def text(with_files: bool, with_symbols: bool) -> str:
         out = [f"# Overview: {total} files"]
-        for folder, inside in folders.items():
-            out.append(f"{folder}/ ({len(inside)})")
-            for r in inside if with_files else ():
+        for folder, n in counts:
+            out.append(f"{folder}/ ({n})")
+            for r in inside.get(folder, ()) if with_files else ():
                 out.append(f"  {r['file_path'].rpartition('/')[2]}" + (f" ({r['lines']} lines)" if r["lines"] else "") + (f": {', '.join(r['symbols'])}" if with_symbols and r["symbols"] else ""))
         return "\n".join(out)
 
@@ -154,17 +147,43 @@ def overview_markdown(nodes: DataFrame, file_rows: DataFrame, tokens: int = 2000
     return trim(made, tokens)
 
 
-def context_pack(sessions: DataFrame, turns: DataFrame, changes: DataFrame, tokens: int = 4000, session_id: str | None = None, last: int = 10, note: str = "") -> str:
-    """The session, its last turns and the last changes, under a hard limit of four characters a token."""
+#: Sections of a context pack, their titles and shares of what the heading leaves.
+SECTIONS = {"hits": ("Results", 0.3), "turns": ("Last turns", 0.4), "overview": ("Files", 0.2), "changes": ("Last changes", 0.1)}
+
+
+def context_pack(sessions: DataFrame, turns: DataFrame, changes: DataFrame, tokens: int = 4000, session_id: str | None = None, last: int = 10, note: str = "", hits: DataFrame | None = None, overview: DataFrame | None = None) -> str:
+    """The session, hits of a query, its last turns, files with symbols and the last changes, under one limit of four characters a token.
+
+    Each section has a share; what one leaves goes to the others, and the pack is cut where the budget ends.
+    """
     chosen = sessions.where(F.col("id") == session_id) if session_id else sessions.orderBy((F.col("status") == "active").desc(), F.col("started_at").desc(), "id").limit(1)
     out = ["# Context pack"]
+    line = lambda section, rank, text: (F.lit(section).alias("section"), rank.cast("bigint").alias("rank"), text.alias("text"))
+    parts = []
     for s in chosen.collect():
         out += ["", "## Session", f"`{s['id']}` ({s['llm_name']}, {s['status']}): {s['working_on'] or ''}"]
-        own = budget.last_turns(turns.where(F.col("session_id") == s["id"]), last).orderBy("turn_index").withColumn("est", token_estimate(F.col("content"), 1))
-        out += ["", "## Last turns", *[f"**{t['role']}**: {t['content'][:600]}" for t in own.collect()]]
-    newest = changes.orderBy(F.col("changed_at").desc(), F.col("id").desc()).limit(15).collect()
-    if newest:
-        out += ["", "## Last changes", *[f"- {c['change_type']} `{c['file_path']}`" for c in newest]]
+        own = budget.last_turns(turns.where(F.col("session_id") == s["id"]), last)
+        parts.append(own.select(*line("turns", -F.col("turn_index"), F.concat(F.lit("**"), "role", F.lit("**: "), F.substring("content", 1, 600)))))
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  of a limited number of rows
+    if hits is not None:
+        parts.append(hits.select(*line("hits", place(F.col("score").desc(), "source", "key"), F.concat(F.lit("- ["), "source", F.lit("] "), "title", F.lit(": "), F.substring(F.coalesce("snippet", F.lit("")), 1, 220)))))
+    if overview is not None:
+        few = overview.orderBy("file_path").limit(max(1, tokens))
+        parts.append(few.select(*line("overview", place("file_path"), F.concat(F.lit("- `"), "file_path", F.lit("` "), F.array_join("symbols", ", ")))))
+    newest = changes.orderBy(F.col("changed_at").desc(), F.col("id").desc()).limit(15)
+    parts.append(newest.select(*line("changes", place(F.col("changed_at").desc(), F.col("id").desc()), F.concat(F.lit("- "), "change_type", F.lit(" `"), "file_path", F.lit("`")))))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    # A line break belongs to its line, and a title to the heading of its section
+    heads = sum(len(f"\n\n## {t}") for t, _ in SECTIONS.values())
+    room = max(1, tokens - (len("\n".join(out)) + heads + len(note) + 7) // 4)
+    rows = rows.withColumn("est", F.ceil((F.length("text") + 1) / 4))
+    kept = budget.pack(rows, {k: share for k, (_, share) in SECTIONS.items()}, room).collect()  # `room` tokens at most
+    for k, (title, _) in SECTIONS.items():
+        own = sorted((r for r in kept if r["section"] == k), key=lambda r: r["rank"])
+        texts = [r["text"] if r["cut"] is None else r["text"][: 4 * r["cut"] - 1] for r in own]
+        out += ["", f"## {title}", *(reversed(texts) if k == "turns" else texts)] if own else []
     return trim("\n".join(out + ([note] if note else [])), tokens)
 
 

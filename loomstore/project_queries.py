@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstore.functions import text as T
+from loomstore.functions.stem import stem
 from loomstore.operators import budget, conversations, extract, files, graph, locks, search, snapshots
+from loomstore.operators.segments import Segments
 from loomstore.plans import stand_ins as S
+from loomstore.plans.shared import scratch
 from loomstore.queries import _bm25_sql, _lock_events, query
 from loomstore.sources import project, transcripts
 
@@ -262,6 +266,44 @@ def search_folds_marks(spark, sf_dir):
     return _search(spark, sf_dir, "ÜBER")
 
 
+def _forms(word: str) -> list[str]:
+    """The words of one stem that endings make of it."""
+    ends = ["", "s", "e", "ed", "ing", "ful", "ness", "ative", "ly", "al", "er", "y"]
+    return sorted(w for w in {word + a + b + c for a in ends for b in ends for c in ends} if stem(w) == word)
+
+
+def _stemmed_sql(words: list[str], rows: str, where: str) -> str:
+    """Scores by the stems of words."""
+    chain = _bm25_sql(rows, "doc_id", "text", words)
+    for w in words:
+        chain = chain.replace(f"lambda x: x = '{w}'", "lambda x: x IN (" + ", ".join(f"'{f}'" for f in _forms(w)) + ")")
+    before, after = chain.rsplit(" AND ".join(f"f{k} > 0" for k in range(len(words))), 1)
+    return f"WITH {before}{where}{after} SELECT doc_id, round(score, 6) AS score FROM hits ORDER BY hits.score, doc_id"
+
+
+def _stored(spark, sf_dir) -> Segments:
+    """A stored, stemmed index of all documents, taken in by three appends, which are merged."""
+    rows = S.table(spark, sf_dir, "documents")
+    held = Segments(snapshots.Store(spark, scratch(spark, "index")), "texts", ["doc_id"], "doc_id bigint", fan=3)
+    for k in range(3):
+        held.add(rows.where(F.pmod("doc_id", F.lit(3)) == k), F.col("text"))
+    return held
+
+
+@query(_stemmed_sql(["hand", "thing"], "documents", "(f0 > 0 OR f1 > 0)") + " LIMIT 20")
+def stored_search_best(spark, sf_dir):
+    """The best of a stored index by block maxima."""
+    return _stored(spark, sf_dir).best("handing OR things", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_stemmed_sql(["hand", "thing", "with"], "(SELECT * FROM documents WHERE lang <> 'fr')", "(f0 > 0 OR f1 > 0) AND NOT f2 > 0").replace("f2 * 2.2", "0 * 2.2"))
+def stored_search_after_removal(spark, sf_dir):
+    """All that fits in a stored index that texts were taken out of."""
+    held = _stored(spark, sf_dir)
+    held.remove(S.table(spark, sf_dir, "documents").where("lang = 'fr'"))
+    return search.bm25(held.index(), "(hands OR thinging) NOT with").select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {S.NODES} SELECT qualified_name FROM nodes WHERE (lower(name) LIKE '%mer#%' OR lower(qualified_name) LIKE '%mer#%') AND (lower(name) LIKE '%7%' OR lower(qualified_name) LIKE '%7%') ORDER BY qualified_name LIMIT 20")
 def nodes_by_parts_of_names(spark, sf_dir):
     """Every part must be in one of the names."""
@@ -413,3 +455,61 @@ def budget_of_estimates(spark, sf_dir):
 def trimmed_to_tokens(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
     return S.table(spark, sf_dir, "documents").select("doc_id", F.substring(t, 1, 400).alias("cut"), T.trim_to_tokens(t, 500).alias("trimmed"))
+
+
+# Trees, packs, totals
+
+
+def _lined(spark, sf_dir):
+    """The graph with a line for each node: customers and suppliers by the size of their balance."""
+    nodes = S.nodes(spark, sf_dir)
+    of = lambda t, p, k, c: S.table(spark, sf_dir, t).select(F.concat(F.lit(p), k).alias("qualified_name"), F.floor(F.abs(F.col(c)) / 100).cast("int").alias("line_start"))
+    return nodes.join(of("customer", "C::", "c_custkey", "c_acctbal").unionByName(of("supplier", "S::", "s_suppkey", "s_acctbal")), "qualified_name", "left")
+
+
+@query(f"""WITH RECURSIVE {S.NODES}, {S.EDGES}, lines AS (SELECT 'C::' || c_custkey AS node, CAST(floor(abs(c_acctbal) / 100) AS INTEGER) AS line FROM customer UNION ALL SELECT 'S::' || s_suppkey, CAST(floor(abs(s_acctbal) / 100) AS INTEGER) FROM supplier),
+named AS (SELECT qualified_name AS node, name, coalesce(line, 0) AS line FROM nodes LEFT JOIN lines ON node = qualified_name),
+t AS (SELECT 'R::1' AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, CAST([] AS STRUCT(line INTEGER, name VARCHAR, node VARCHAR)[]) AS place
+  UNION ALL SELECT e.target_qualified, t.node, depth + 1, list_append(place, struct_pack(line := n.line, name := n.name, node := n.node)) FROM t JOIN edges e ON e.source_qualified = t.node AND e.kind = 'CONTAINS' JOIN named n ON n.node = e.target_qualified WHERE depth < 8)
+SELECT node, parent, depth, row_number() OVER (ORDER BY place) AS number FROM t""")
+def subtree_in_preorder(spark, sf_dir):
+    """The whole tree below a node, in the order that it is read in."""
+    rows = graph.tree(_lined(spark, sf_dir), S.edges(spark, sf_dir), "R::1", most=None)
+    return rows.select("node", "parent", "depth", F.row_number().over(Window.orderBy("place")).cast("bigint").alias("number"))
+
+
+_PACKED = f"""{S.TURNS}, {S.FILES}, {S.CHANGES}, given AS (
+  SELECT 'turns' AS section, row_number() OVER (ORDER BY session_id, turn_index) AS rank, token_est AS est FROM turns
+  UNION ALL SELECT 'files', row_number() OVER (ORDER BY path), length(path) // 4 FROM files UNION ALL SELECT 'changes', row_number() OVER (ORDER BY changed_at DESC, id DESC), 60 FROM changes WHERE id < 40),
+est AS (SELECT section, rank, greatest(est, 1) AS est, CASE section WHEN 'turns' THEN 1 WHEN 'files' THEN 2 ELSE 3 END AS o, CASE section WHEN 'turns' THEN 1500 WHEN 'files' THEN 300 ELSE 1200 END AS quota FROM given),
+sums AS (SELECT *, sum(est) OVER (PARTITION BY section ORDER BY rank) <= quota AS first FROM est),
+room AS (SELECT *, 3000 - sum(CASE WHEN first THEN est ELSE 0 END) OVER () - coalesce(sum(est) OVER (PARTITION BY first ORDER BY o, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM sums)"""
+
+
+@query(f"WITH {_PACKED} SELECT section, rank, CAST(CASE WHEN NOT first AND room < est THEN room END AS BIGINT) AS cut FROM room WHERE first OR room > 0")
+def pack_under_a_budget(spark, sf_dir):
+    """Sections with shares of one budget, and what one leaves for the others."""
+    place = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank")
+    turns = S.turns(spark, sf_dir).select(F.lit("turns").alias("section"), place("session_id", "turn_index"), F.col("token_est").cast("bigint").alias("est"))
+    paths = S.files(spark, sf_dir).select(F.lit("files").alias("section"), place("path"), F.floor(F.length("path") / 4).alias("est"))
+    late = S.changes(spark, sf_dir).where("id < 40").select(F.lit("changes").alias("section"), place(F.col("changed_at").desc(), F.col("id").desc()), F.lit(60).cast("bigint").alias("est"))
+    rows = budget.pack(turns.unionByName(paths).unionByName(late), {"turns": 0.5, "files": 0.1, "changes": 0.4}, 3000)
+    return rows.select("section", "rank", F.col("cut").cast("bigint").alias("cut"))
+
+
+@query("SELECT 'src/' || source AS folder, count(*) AS n FROM documents GROUP BY 1")
+def files_by_folder(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents")
+    return graph.folder_counts(d.select(F.lit("File").alias("kind"), F.concat(F.lit("src/"), "source", F.lit("/"), "doc_id").alias("file_path")))
+
+
+@query(f"WITH {S.NODES}, shown AS (SELECT file_path, least(count(*) FILTER (WHERE parent_name IS NULL AND kind <> 'File'), 3) AS n FROM nodes GROUP BY file_path) SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS symbols, 'sql' AS languages FROM shown")
+def overview_totals(spark, sf_dir):
+    """Files, symbols as shown, and languages of the overview."""
+    nodes = S.nodes(spark, sf_dir).withColumns({"line_start": F.lit(1), "line_end": F.lit(9), "language": F.lit("sql")})
+    return graph.overview_totals(nodes, S.files(spark, sf_dir), 3).withColumn("languages", F.array_join("languages", ","))
+
+
+@query(f"WITH {S.SESSIONS} SELECT id, CASE WHEN llm_name = 'cursor' THEN 'purple' WHEN llm_name = 'claude' THEN 'deep-orange' ELSE 'blue' END AS colour FROM sessions")
+def colours_of_sessions(spark, sf_dir):
+    return S.sessions(spark, sf_dir).select("id", T.tool_colour(F.col("llm_name")).alias("colour"))

@@ -60,6 +60,8 @@ def test_neighbours_subtree_and_names(spark):
     assert ("out", "src/db.py::query_db") in rows and ("in", "src/api.py") in rows and ("sibling", "src/api.py::handle_request") in rows and ("second", "src/auth.py") in rows
     tree = graph.subtree(edges, "src/auth.py").collect()
     assert [(r["node"], r["depth"]) for r in tree] == [("src/auth.py", 0), ("src/auth.py::login", 1), ("src/auth.py::verify_token", 1)]
+    lined = nodes.where("kind <> 'File'").withColumn("line_start", F.when(F.col("name") == "login", 9).otherwise(3))
+    assert [(r["node"], r["parent"]) for r in graph.tree(lined, edges, "src/auth.py").collect()] == [("src/auth.py", None), ("src/auth.py::verify_token", "src/auth.py"), ("src/auth.py::login", "src/auth.py")]
     assert graph.resolve_name(nodes, "login").first()["qualified_name"] == "src/auth.py::login" and graph.resolve_name(nodes, "src/db.py").first()["kind"] == "File" and graph.resolve_name(nodes, "nothing").count() == 0
 
 

@@ -190,7 +190,13 @@ def test_renderers(spark, tmp_path):
     render.export_json(str(tmp_path / "x"), meta, index, sessions, changes)
     assert spark.read.json(str(tmp_path / "x/files")).count() == 2 and json.loads(spark.read.text(str(tmp_path / "x/project")).first()[0])["meta"]["name"] == "demo"
     pack = render.context_pack(sessions, turns, changes, 100)
-    assert len(pack) <= 100 * 4 + 20 and "`s1`" in pack
+    assert len(pack) <= 100 * 4 + 20 and "`s1`" in pack and "## Last changes" in pack
+    hits = spark.createDataFrame([("chat", f"k{k}", f"title {k}", "said", None, 1.0 / k, T0) for k in range(1, 40)], "source string, key string, title string, snippet string, path string, score double, ts timestamp")
+    overview = spark.createDataFrame([(f"src/f{k:02}.py", ["def a", "def b"]) for k in range(60)], "file_path string, symbols array<string>")
+    for tokens in (60, 120, 400, 1500):
+        pack = render.context_pack(sessions, turns, changes, tokens, hits=hits, overview=overview)
+        assert len(pack) <= 4 * tokens + 20 and "title 1: said" in pack and (tokens < 400 or len(pack) > 3 * tokens)
+    assert all(x in pack for x in ("hello hello", "src/f00.py", "modified `b.py`"))
     assert "hello" in render.handoff_markdown(sessions, turns, 1000) and json.loads(render.to_json(meta))[0]["key"] == "name"
-    assert render.subtree_text("r", [{"node": "r", "parent": None}, {"node": "b", "parent": "r"}, {"node": "a", "parent": "r"}, {"node": "c", "parent": "a"}]) == "r\n  a\n    c\n  b"
+    assert render.subtree_text([{"node": "r", "depth": 0}, {"node": "b", "depth": 1}, {"node": "c", "depth": 2}]) == "r\n  b\n    c"
     assert render.find_markdown("q", []) == "No results for q" and render.trim("x" * 50, 10).startswith("x" * 40)

@@ -94,10 +94,9 @@ def test_an_index_finds_what_reading_every_text_finds(spark, tmp_path_factory, q
 
 def test_segments_stay_few_and_equal_one_index(spark, tmp_path, monkeypatch):
     """Appends, removals and merges, against an index of what is left."""
-    monkeypatch.setattr(segments, "FAN", 3)
     monkeypatch.setattr(segments, "SPAN", 4)
     rng = random.Random(8)
-    held = Segments(Store(spark, str(tmp_path)), "texts", ["k", "n"], "k string, n int")
+    held = Segments(Store(spark, str(tmp_path)), "texts", ["k", "n"], "k string, n int", fan=3)
     rows = {}
     for at in range(11):
         new = [(f"s{at}", n, " ".join(rng.choices(["running", "runs", "walk", "walked", "sun", "the"], k=rng.randrange(0, 12)))) for n in range(rng.randrange(1, 9))]
