@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstore.plans.shared import materialize, scratch
 
@@ -49,8 +50,9 @@ def free(df: DataFrame, name: str) -> str:
 PIECE_BYTES = 1 << 22
 
 
-def pieces(batch: pa.RecordBatch, rows: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of at most `rows` rows and about `most` bytes, but of one row at least."""
+def pieces(batch: pa.RecordBatch, rows: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and about `most` (PIECE_BYTES) bytes, but of one row at least."""
+    most = most or PIECE_BYTES
     size = max(1, batch.nbytes // max(1, batch.num_rows))
     if size * min(rows, batch.num_rows) <= most // 4:  # even with some rows much longer
         ends = list(range(rows, batch.num_rows, rows))
@@ -123,7 +125,7 @@ def append(df: DataFrame, text_col: str, fn: Callable[[list], list], name: str,
     """`df` with a column that `fn` makes of its texts, some at a time as in `map_rows`; the other columns pass through as they are."""
     # By place, as a name may hold anything
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
-    schema = df.sparkSession.createDataFrame([], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + f", made {kind}").schema
+    schema = T.StructType([*plain.schema.fields, *df.sparkSession.createDataFrame([], f"made {kind}").schema.fields])
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

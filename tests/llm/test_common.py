@@ -15,6 +15,13 @@ def test_appended_columns_leave_the_others_as_they_are(spark):
     assert common.append(df.limit(0), "text", lambda texts: [0] * len(texts), "size", "int").count() == 0
 
 
+def test_appended_columns_beside_nested_ones_of_any_name(spark):
+    df = spark.createDataFrame([("ab", (1, {"x y": [2]}))], "text string, `odd name` struct<`a b`: int, `c:d`: map<string, array<int>>>")
+    out = common.append(df, "text", lambda texts: [len(t) for t in texts], "size", "int")
+    assert out.schema["odd name"] == df.schema["odd name"] and [r.asDict(True) for r in out.collect()] == [{"text": "ab", "odd name": {"a b": 1, "c:d": {"x y": [2]}}, "size": 2}]
+    assert common.keep_rows(df, lambda texts: [True] * len(texts)).schema == df.schema
+
+
 def test_folds(spark):
     import zlib
 
