@@ -291,24 +291,36 @@ class Graph(_Part):
         return extract.parseable(tree).select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("file_hash"))
 
     def build(self, folder: str, full: bool = False) -> DataFrame:
-        """Parse what changed since the last build (everything if full); files that are gone leave the graph. Returns a row of counts."""
-        sources = self._sources(folder)
-        known = self.nodes().where("kind = 'File'").select(F.col("file_path").alias("path"), "file_hash")
-        todo = sources if full else files.changed(known, sources, "path", "file_hash")
-        gone = files.removed(known, sources)
+        """Parse what changed since the last build (everything if full); files that are gone leave the graph.
+
+        Files are compared by a listing; only those of another length or time
+        are opened, and parsed if their content is another too.  Returns a row of
+        counts: files, parsed, skipped (as they were), removed, failed (no tree).
+        """
+        listed = materialize(extract.parseable(project.list_tree(self.spark, folder)), "listed")
+        known = self.nodes().where("kind = 'File'").select(F.col("file_path").alias("path"), "file_hash", F.col("extra").alias("mark"))
+        gone = files.removed(known, listed)
+        other = project.read_files(self.spark, folder, materialize(listed if full else files.changed(known, listed, "path", "mark"), "other"))
+        read = materialize(other.select("path", "mark", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("file_hash")), "read")
+        todo = read if full else files.changed(known, read, "path", "file_hash")
         python = todo.where(extract.language(F.col("path")) == "python")
-        parsed = [extract.parse_python(python), extract.scan_lines(todo.where(extract.language(F.col("path")) != "python"))]
-        hashes = todo.select(F.col("path").alias("file_path"), "file_hash")
-        nodes = parsed[0][0].unionByName(parsed[1][0]).join(hashes, "file_path").withColumn("updated_at", F.lit(self.e.clock()))
-        edges = parsed[0][1].unionByName(parsed[1][1]).withColumn("confidence", F.lit(1.0)).withColumn("updated_at", F.lit(self.e.clock()))
-        paths = todo.select(F.col("path").alias("file_path")).union(gone)
-        counts = todo.agg(F.count("*").alias("parsed")).join(sources.agg(F.count("*").alias("files")), F.lit(True)).join(gone.agg(F.count("*").alias("removed")), F.lit(True)).first()
+        by_tree, by_lines = extract.parse_python(python.select("path", "content")), extract.scan_lines(todo.where(extract.language(F.col("path")) != "python"))
+        marks = todo.select(F.col("path").alias("file_path"), "file_hash", F.col("mark").alias("extra"))
+        nodes = by_tree[0].unionByName(by_lines[0]).join(marks, "file_path").withColumn("updated_at", F.lit(self.e.clock()))
+        edges = by_tree[1].unionByName(by_lines[1]).withColumn("confidence", F.lit(1.0)).withColumn("updated_at", F.lit(self.e.clock()))
+        paths = materialize(todo.select(F.col("path").alias("file_path")).union(gone), "paths")
+        touched = read.join(todo.select("path"), "path", "left_anti").select(F.col("path").alias("file_path"), F.col("mark").alias("new_mark"))
+        failed = by_tree[2].count()
         new = {"code_nodes": conform(nodes, "code_nodes"), "code_edges": conform(edges, "code_edges")}
-        paths = materialize(paths, "paths")
         for table, rows in new.items():  # only the parts that the files lie in
-            rows = materialize(rows, table)
-            self.store.change(table, lambda old, table=table, rows=rows: replace_files(old, rows, paths, KEYS[table]), self.store.buckets_of(table, paths))
-        return self.spark.createDataFrame([(counts["files"], counts["parsed"], counts["files"] - counts["parsed"], counts["removed"])], "files bigint, parsed bigint, skipped bigint, removed bigint")
+            rows, parts = materialize(rows, table), self.store.buckets_of(table, paths)
+            if parts:
+                self.store.change(table, lambda old, table=table, rows=rows: replace_files(old, rows, paths, KEYS[table]), parts)
+        if parts := self.store.buckets_of("code_nodes", touched):  # of another time, but as they were
+            marked = lambda old: old.join(touched, "file_path", "left").withColumn("extra", F.coalesce("new_mark", "extra")).drop("new_mark")
+            self.store.change("code_nodes", marked, parts)
+        every, parsed, removed = listed.count(), todo.count(), gone.count()
+        return self.spark.createDataFrame([(every, parsed - failed, every - parsed, removed, failed)], "files bigint, parsed bigint, skipped bigint, removed bigint, failed bigint")
 
     update = build
 
@@ -331,7 +343,7 @@ class Graph(_Part):
                 paths, spent = batch.column(0).to_pylist(), []
                 for path, text in zip(paths, batch.column(1).to_pylist()):
                     began = time.perf_counter()
-                    extract.syntax_rows(path, text)
+                    extract.timed_rows(path, text, extract.PARSE_SECONDS)
                     spent.append(1000 * (time.perf_counter() - began))
                 yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(spent, pa.float64())], names=["path", "ms"])
 

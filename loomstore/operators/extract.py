@@ -118,7 +118,7 @@ def calls(lines: DataFrame, found: DataFrame) -> DataFrame:
     return rows.where(~F.col("called").isin(_NO_CALL) & ~F.coalesce(F.col("called") == own, F.lit(False))).groupBy("file_path", "caller", "called").agg(F.min("line").alias("line"))
 
 
-NODES = "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, params string, is_test boolean"
+NODES = "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, params string, return_type string, is_test boolean"
 EDGES = "kind string, source_qualified string, target_qualified string, file_path string, line int, confidence_tier string"
 
 
@@ -127,7 +127,7 @@ def scan_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = lines_of(files)
     tops = files.select(F.lit("File").alias("kind"), basename(slashes(F.col("path"))).alias("name"), F.concat_ws("::", slashes(F.col("path")), basename(slashes(F.col("path")))).alias("qualified_name"), slashes(F.col("path")).alias("file_path"), F.lit(1).alias("line_start"), line_count(F.col("content")).alias("line_end"), language(F.col("path")).alias("language"), F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("params"), F.lit(False).alias("is_test"))
     found = symbols(lines)
-    nodes = found.select("kind", "name", F.concat_ws("::", "file_path", "name").alias("qualified_name"), "file_path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), language(F.col("file_path")).alias("language"), F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("params"), (F.col("kind") == "Test").alias("is_test"))
+    nodes = found.select("kind", "name", F.concat_ws("::", "file_path", "name").alias("qualified_name"), "file_path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), language(F.col("file_path")).alias("language"), F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("params"), F.lit(None).cast("string").alias("return_type"), (F.col("kind") == "Test").alias("is_test"))
     edges = found.select(F.lit("CONTAINS").alias("kind"), F.col("file_path").alias("source_qualified"), F.concat_ws("::", "file_path", "name").alias("target_qualified"), "file_path", "line", F.lit("EXTRACTED").alias("confidence_tier"))
     edges = edges.unionByName(imports(lines).select(F.lit("IMPORTS_FROM").alias("kind"), F.col("file_path").alias("source_qualified"), F.col("target").alias("target_qualified"), "file_path", "line", F.lit("HEURISTIC").alias("confidence_tier")))
     inferred = lambda rows, kind, a, b: rows.select(F.lit(kind).alias("kind"), F.concat_ws("::", "file_path", a).alias("source_qualified"), F.col(b).alias("target_qualified"), "file_path", "line", F.lit("INFERRED").alias("confidence_tier"))
@@ -136,13 +136,19 @@ def scan_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tops.unionByName(nodes), edges
 
 
-def parse_python(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of Python files (path, content) from their syntax trees; one that doesn't parse has its file node alone.
+#: Seconds that a file may take to parse.
+PARSE_SECONDS = 10.0
 
-    A function's name is qualified by its class, not by enclosing functions; of
+
+def parse_python(files: DataFrame, seconds: float = PARSE_SECONDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, failures) of Python files (path, content) from their syntax trees.
+
+    A file that doesn't parse, or takes longer than its time, has its file node
+    alone and a row (file_path, error) of failures; no file ends a task.  A
+    function's name is qualified by its class, not by enclosing functions; of
     equal qualified names the last one stands.
     """
-    schema = f"node struct<{', '.join(f.replace(' ', ': ', 1) for f in NODES.split(', '))}>, edge struct<{', '.join(f.replace(' ', ': ', 1) for f in EDGES.split(', '))}>, place int"
+    schema = f"node struct<{', '.join(f.replace(' ', ': ', 1) for f in NODES.split(', '))}>, edge struct<{', '.join(f.replace(' ', ': ', 1) for f in EDGES.split(', '))}>, place int, file_path string, error string"
     target = files.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator) -> Iterator:
@@ -151,17 +157,59 @@ def parse_python(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         out = to_arrow_schema(target)
         for batch in batches:
-            rows = [{"node": n, "edge": e, "place": k} for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, (n, e) in enumerate(syntax_rows(path, text or ""))]
+            rows = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, error = timed_rows(path, text or "", seconds)
+                rows += [{"node": n, "edge": e, "place": k, "file_path": path, "error": None} for k, (n, e) in enumerate(found)]
+                rows += [{"node": None, "edge": None, "place": None, "file_path": path, "error": error}] if error else []
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in out], schema=out)
 
     parsed = files.select(slashes(F.col("path")).alias("path"), "content").mapInArrow(run, target)
     last = Window.partitionBy("qualified_name").orderBy(F.col("place").desc())
     nodes = parsed.where("node is not null").select("node.*", "place").withColumn("r", F.row_number().over(last)).where("r = 1").drop("r", "place")
-    return nodes, parsed.where("edge is not null").select("edge.*").distinct()
+    return nodes, parsed.where("edge is not null").select("edge.*").distinct(), parsed.where("error is not null").select("file_path", "error")
+
+
+def timed_rows(path: str, text: str, seconds: float) -> tuple[list[tuple[dict | None, dict | None]], str | None]:
+    """The rows of one file, and what was wrong with it; past its time it has its file node alone."""
+    import signal
+    import threading
+
+    def late(*_) -> None:
+        raise TimeoutError(f"took more than {seconds:g} s")
+
+    timed = threading.current_thread() is threading.main_thread()  # tasks run there
+    before = signal.signal(signal.SIGALRM, late) if timed else None
+    try:
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, seconds)
+        return syntax_rows(path, text), None
+    except (SyntaxError, ValueError, RecursionError, MemoryError, TimeoutError) as e:
+        kind = "timeout" if isinstance(e, TimeoutError) else type(e).__name__
+        return [(_file_node(path, text.count("\n") + 1), None)], f"{kind}: {str(e)[:200]}"
+    finally:
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+
+def _file_node(path: str, last: int) -> dict:
+    return {"kind": "File", "name": path.rsplit("/", 1)[-1], "qualified_name": "::".join((path, path.rsplit("/", 1)[-1])), "file_path": path, "line_start": 1, "line_end": last, "language": "python", "parent_name": None, "params": None, "return_type": None, "is_test": False}
+
+
+def _params(args) -> str:
+    """Names of all parameters, as they are called: a, *rest, key, **more; a bare * before keywords alone."""
+    names = [a.arg for a in (*args.posonlyargs, *args.args)]
+    if args.vararg:
+        names.append("*" + args.vararg.arg)
+    elif args.kwonlyargs:
+        names.append("*")
+    names += [a.arg for a in args.kwonlyargs]
+    return "(" + ", ".join(names + (["**" + args.kwarg.arg] if args.kwarg else [])) + ")"
 
 
 def syntax_rows(path: str, text: str) -> list[tuple[dict | None, dict | None]]:
-    """(node, None) and (None, edge) of one file, in the order of the text."""
+    """(node, None) and (None, edge) of one file, in the order of the text; raises what its parser does."""
     import ast
     import re
 
@@ -170,17 +218,13 @@ def syntax_rows(path: str, text: str) -> list[tuple[dict | None, dict | None]]:
     testing_file = bool(re.search(TEST_FILE, stem))
     rows: list[tuple[dict | None, dict | None]] = []
 
-    def node(kind: str, called: str, first: int, last: int, parent: str | None = None, params: str | None = None, test: bool = False) -> None:
-        rows.append(({"kind": kind, "name": called, "qualified_name": "::".join(filter(None, (path, parent, called))), "file_path": path, "line_start": first, "line_end": last, "language": "python", "parent_name": parent, "params": params, "is_test": test}, None))
+    def node(kind: str, called: str, first: int, last: int, parent: str | None = None, params: str | None = None, test: bool = False, returns: str | None = None) -> None:
+        rows.append(({"kind": kind, "name": called, "qualified_name": "::".join(filter(None, (path, parent, called))), "file_path": path, "line_start": first, "line_end": last, "language": "python", "parent_name": parent, "params": params, "return_type": returns, "is_test": test}, None))
 
     def edge(kind: str, source: str, target: str, line: int, tier: str = "EXTRACTED") -> None:
         rows.append((None, {"kind": kind, "source_qualified": source, "target_qualified": target, "file_path": path, "line": line, "confidence_tier": tier}))
 
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        node("File", name, 1, text.count("\n") + 1)
-        return rows
+    tree = ast.parse(text)
     node("File", name, 1, max([1, *(x.end_lineno for x in tree.body)]))
     # Depth first with a stack of (syntax node, class around it, function around it)
     stack = [(x, None, None) for x in reversed(tree.body)]
@@ -201,7 +245,7 @@ def syntax_rows(path: str, text: str) -> list[tuple[dict | None, dict | None]]:
         elif isinstance(at, ast.FunctionDef | ast.AsyncFunctionDef):
             test = testing_file or bool(re.search(TEST_NAME, at.name))
             holder, own = "::".join(filter(None, (path, owner))), "::".join(filter(None, (path, owner, at.name)))
-            node("Test" if test else "Function", at.name, at.lineno, at.end_lineno, owner, "(" + ", ".join(a.arg for a in at.args.args) + ")", test)
+            node("Test" if test else "Function", at.name, at.lineno, at.end_lineno, owner, _params(at.args), test, ast.unparse(at.returns) if at.returns else None)
             edge("CONTAINS", holder, own, at.lineno)
             if test:
                 edge("TESTED_BY", own, holder, at.lineno)

@@ -410,26 +410,36 @@ def calls_of_other_languages(spark, sf_dir):
     return extract.calls(lines, extract.symbols(lines)).where("called <> 'say'")
 
 
-_PY = "WITH d AS (SELECT doc_id, doc_id || '.py' AS p FROM documents)"
+#: Python sources out of whole texts: every line is a class with a method and a function in it, a function, or an import, by its number.
+_BLOCKS = ("class C{0}(B{0}):\n    def m(self, x, *rest, key=None) -> T{0}:\n        def inner{0}(y):\n            return call{0}(y)\n        return inner{0}(x)", "def f{0}(a):\n    return g{0}(a)", "import m{0}")
+_PY = """WITH lines AS (SELECT doc_id || '.py' AS p, i, i % 3 AS k, substring(md5(i || ':' || ls[i + 1]), 1, 8) AS h FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+b AS (SELECT *, 1 + coalesce(sum(CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END) OVER (PARTITION BY p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM lines)"""
 
 
 def _python(spark, sf_dir):
-    d = S.table(spark, sf_dir, "documents")
-    text = 'import os\n\n\nclass A{0}(Base):\n    def run(self, x):\n        return helper(x)\n\n\ndef test_{0}():\n    A{0}().run(1)\n'
-    return d.select(F.concat(F.col("doc_id"), F.lit(".py")).alias("path"), F.regexp_replace(F.lit(text), r"\{0\}", F.col("doc_id").cast("string")).alias("content"))
+    marked = lambda x, i: F.substring(F.md5(F.concat_ws(":", i, x)), 1, 8)
+
+    def block(x, i):
+        parts = [F.concat_ws("", *(y for k, t in enumerate(b.split("{0}")) for y in ([marked(x, i)] if k else []) + [F.lit(t)])) for b in _BLOCKS]
+        return F.when(i % 3 == 0, parts[0]).when(i % 3 == 1, parts[1]).otherwise(parts[2])
+
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    return S.table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id"), F.lit(".py")).alias("path"), F.array_join(F.transform(lines, block), "\n").alias("content"))
 
 
-@query(f"""{_PY} SELECT * FROM (SELECT 'File' AS kind, p AS qualified_name, 1 AS line_start, false AS is_test FROM d UNION ALL SELECT 'Class', p || '::A' || doc_id, 4, false FROM d UNION ALL SELECT 'Function', p || '::A' || doc_id || '::run', 5, false FROM d
-UNION ALL SELECT 'Test', p || '::test_' || doc_id, 9, true FROM d)""")
+@query(f"""{_PY} SELECT DISTINCT 'File' AS kind, p AS qualified_name, 1 AS line_start, NULL AS parent_name, NULL AS params, NULL AS return_type FROM b
+UNION ALL SELECT 'Class', p || '::C' || h, line, NULL, NULL, NULL FROM b WHERE k = 0 UNION ALL SELECT 'Function', p || '::C' || h || '::m', line + 1, 'C' || h, '(self, x, *rest, key)', 'T' || h FROM b WHERE k = 0
+UNION ALL SELECT 'Function', p || '::C' || h || '::inner' || h, line + 2, 'C' || h, '(y)', NULL FROM b WHERE k = 0 UNION ALL SELECT 'Function', p || '::f' || h, line, NULL, '(a)', NULL FROM b WHERE k = 1""")
 def python_syntax_nodes(spark, sf_dir):
     nodes = extract.parse_python(_python(spark, sf_dir))[0]
     own = F.when(F.col("kind") == "File", F.col("file_path")).otherwise(F.col("qualified_name"))
-    return nodes.select("kind", own.alias("qualified_name"), "line_start", "is_test")
+    return nodes.select("kind", own.alias("qualified_name"), "line_start", "parent_name", "params", "return_type")
 
 
-@query(f"""{_PY} SELECT 'CONTAINS' AS kind, p AS source_qualified, p || '::A' || doc_id AS target_qualified FROM d UNION ALL SELECT 'CONTAINS', p || '::A' || doc_id, p || '::A' || doc_id || '::run' FROM d UNION ALL SELECT 'CONTAINS', p, p || '::test_' || doc_id FROM d
-UNION ALL SELECT 'INHERITS', p || '::A' || doc_id, 'Base' FROM d UNION ALL SELECT 'CALLS', p || '::A' || doc_id || '::run', 'helper' FROM d UNION ALL SELECT 'CALLS', p || '::test_' || doc_id, 'A' || doc_id FROM d UNION ALL SELECT 'CALLS', p || '::test_' || doc_id, 'run' FROM d
-UNION ALL SELECT 'TESTED_BY', p || '::test_' || doc_id, p FROM d UNION ALL SELECT 'IMPORTS_FROM', p, 'os' FROM d""")
+@query(f"""{_PY} SELECT DISTINCT * FROM (SELECT 'CONTAINS' AS kind, p AS source_qualified, p || '::C' || h AS target_qualified FROM b WHERE k = 0 UNION ALL SELECT 'CONTAINS', p || '::C' || h, p || '::C' || h || '::m' FROM b WHERE k = 0
+UNION ALL SELECT 'CONTAINS', p || '::C' || h, p || '::C' || h || '::inner' || h FROM b WHERE k = 0 UNION ALL SELECT 'CONTAINS', p, p || '::f' || h FROM b WHERE k = 1 UNION ALL SELECT 'INHERITS', p || '::C' || h, 'B' || h FROM b WHERE k = 0
+UNION ALL SELECT 'CALLS', p || '::C' || h || '::m', 'inner' || h FROM b WHERE k = 0 UNION ALL SELECT 'CALLS', p || '::C' || h || '::inner' || h, 'call' || h FROM b WHERE k = 0 UNION ALL SELECT 'CALLS', p || '::f' || h, 'g' || h FROM b WHERE k = 1
+UNION ALL SELECT 'IMPORTS_FROM', p, 'm' || h FROM b WHERE k = 2)""")
 def python_syntax_edges(spark, sf_dir):
     return extract.parse_python(_python(spark, sf_dir))[1].select("kind", "source_qualified", "target_qualified")
 

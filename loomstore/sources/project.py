@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,13 +44,39 @@ def ignored(path: Column, more: list[str] | None = None) -> Column:
     return F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.array_contains(names, x) | x.startswith("."))
 
 
-def read_tree(spark: SparkSession, root: str, more_ignored: list[str] | None = None) -> DataFrame:
-    """(path, length, modified, content) of the indexable files below a folder, with paths relative to it."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _placed(rows: DataFrame, root: str, more_ignored: list[str] | None = None) -> DataFrame:
+    """Files with `rel`, their path below a folder, of those that are indexable."""
     base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^[a-z]+:/*", "/")
     path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     rows = rows.withColumn("rel", F.substr(path, F.length(base) + 1))
-    return rows.where(indexable(F.col("rel")) & ~ignored(F.col("rel"), more_ignored)).select(F.col("rel").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+    return rows.where(indexable(F.col("rel")) & ~ignored(F.col("rel"), more_ignored))
+
+
+def read_tree(spark: SparkSession, root: str, more_ignored: list[str] | None = None) -> DataFrame:
+    """(path, length, modified, content) of the indexable files below a folder, with paths relative to it."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return _placed(rows, root, more_ignored).select(F.col("rel").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, at, length, mark) of the indexable files below a folder: a listing, no file is opened. `mark` changes with a file's length or time."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return _placed(rows, root).select(F.col("rel").alias("path"), F.col("path").alias("at"), "length", F.concat_ws("@", "length", F.unix_micros("modificationTime")).alias("mark"))
+
+
+#: Files that are opened by name; more are read with the whole tree.
+FEW_FILES = 10_000
+
+
+def read_files(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """(path, mark, content) of listed files (path, at, mark); only they are opened."""
+    some = [re.sub(r"([{}\[\]*?\\])", r"\\\1", r["at"]) for r in listed.select("at").limit(FEW_FILES + 1).collect()]
+    if not some:
+        return listed.select("path", "mark", F.lit(None).cast("binary").alias("content"))
+    if len(some) > FEW_FILES:
+        return read_tree(spark, root).select("path", "content").join(listed.select("path", "mark"), "path").select("path", "mark", "content")
+    rows = _placed(spark.read.format("binaryFile").load(some), root).select(F.col("rel").alias("path"), "content")
+    return rows.join(listed.select("path", "mark"), "path").select("path", "mark", "content")
 
 
 def index_files(tree: DataFrame) -> DataFrame:

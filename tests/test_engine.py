@@ -47,15 +47,23 @@ def test_index_query_and_find(engine, tree):
 
 def test_graph(engine, tree):
     engine.index(str(tree))
-    assert engine.graph.build(str(tree)).first().asDict() == {"files": 4, "parsed": 4, "skipped": 0, "removed": 0}
+    assert engine.graph.build(str(tree)).first().asDict() == {"files": 4, "parsed": 4, "skipped": 0, "removed": 0, "failed": 0}
     names = {r["qualified_name"] for r in engine.graph.nodes().collect()}
     assert {"src/service.py::UserService::login", "src/utils.py::helper", "src/test_service.py::test_login", "app.js::start"} <= names
     before = engine.graph.edges().count()
     (tree / "src/utils.py").write_text("def other():\n    pass\n")
     (tree / "app.js").unlink()
-    assert engine.graph.update(str(tree)).first().asDict() == {"files": 3, "parsed": 1, "skipped": 2, "removed": 1}
+    assert engine.graph.update(str(tree)).first().asDict() == {"files": 3, "parsed": 1, "skipped": 2, "removed": 1, "failed": 0}
     names = {r["qualified_name"] for r in engine.graph.nodes().collect()}
     assert "src/utils.py::other" in names and not names & {"src/utils.py::helper", "app.js::start"} and engine.graph.edges().count() == before - 1
+    # Of another time only: opened, but not parsed; a file that is no Python: told, and kept as a file
+    os.utime(tree / "src/service.py", (1, 1))
+    (tree / "src/bad [1].py").write_text("def x(:\n")
+    assert engine.graph.update(str(tree)).first().asDict() == {"files": 4, "parsed": 0, "skipped": 3, "removed": 0, "failed": 1}
+    marks = {r["file_path"]: r["extra"] for r in engine.graph.nodes().where("kind = 'File'").collect()}
+    assert marks["src/service.py"].endswith("@1000000") and "src/bad [1].py" in marks
+    (tree / "src/bad [1].py").unlink()
+    assert engine.graph.update(str(tree)).first().asDict() == {"files": 3, "parsed": 0, "skipped": 3, "removed": 1, "failed": 0}
     assert [r["qualified_name"] for r in engine.graph.search("login").collect()][:1] and "UserService" in engine.graph.overview()
     assert {r["source"] for r in engine.find("login").collect()} == {"graph"}
     assert [r["ms"] > 0 for r in engine.graph.bench(str(tree)).collect()] == [True] * 3
@@ -102,6 +110,7 @@ def test_locks(engine):
 
 def test_sync_and_registry(spark, engine, tmp_path):
     import json
+import os
 
     folder = tmp_path / "cursor"
     folder.mkdir()

@@ -114,16 +114,27 @@ def other():
 
 def test_python_syntax(spark):
     files = spark.createDataFrame([("src\\service.py", SERVICE), ("bad.py", "def x(:\n"), ("empty.py", ""), ("null.py", None)], "path string, content string")
-    nodes, edges = extract.parse_python(files)
+    nodes, edges, failures = extract.parse_python(files)
     n = {r["qualified_name"]: r for r in nodes.collect()}
     e = {(r["kind"], r["source_qualified"], r["target_qualified"]) for r in edges.collect()}
     s = "src/service.py"
     assert n[f"{s}::UserService::login"]["params"] == "(self, name)" and n[f"{s}::test_login"]["kind"] == "Test" and n[f"{s}::UserService::Inner"]["parent_name"] == "UserService"
     assert {("INHERITS", f"{s}::UserService", "Base"), ("CONTAINS", f"{s}::UserService", f"{s}::UserService::login"), ("CONTAINS", s, f"{s}::Inner"), ("TESTED_BY", f"{s}::test_login", s), ("CALLS", f"{s}::UserService::login", "helper"), ("CALLS", f"{s}::UserService::login", "strip"), ("CALLS", f"{s}::test_login", "login"), ("CALLS", f"{s}::inner", "print"), ("IMPORTS_FROM", s, "os"), ("IMPORTS_FROM", s, "app.utils")} <= e
+    assert [(r["file_path"], r["error"].split(":")[0]) for r in failures.collect()] == [("bad.py", "SyntaxError")]
     assert n[f"{s}::inner"]["line_start"] == 27  # of two inner functions the last one stands
     assert n["bad.py::bad.py"]["kind"] == "File" and sum(q.startswith("bad") for q in n) == 1 and "empty.py::empty.py" in n
 
 
+def test_parameters_returns_and_files_that_take_too_long(spark):
+    text = "async def f(a, /, b: int = 2, *rest, key=None, **more) -> dict[str, int]:\n    pass\ndef g(*, only): ...\n"
+    long = "x = 1\n" * 200_000
+    nodes, _, failures = extract.parse_python(spark.createDataFrame([("a.py", text), ("deep.py", "(" * 5000), ("nul.py", "a\0b")], "path string, content string"))
+    assert {r["name"]: (r["params"], r["return_type"]) for r in nodes.where("kind = 'Function'").collect()} == {"f": ("(a, b, *rest, key, **more)", "dict[str, int]"), "g": ("(*, only)", None)}
+    assert {r["file_path"] for r in failures.collect()} == {"deep.py", "nul.py"} and nodes.where("kind = 'File'").count() == 3
+    nodes, _, failures = extract.parse_python(spark.createDataFrame([("long.py", long), ("ok.py", "y = 2")], "path string, content string"), 0.05)
+    assert [(r["file_path"], r["error"].split(":")[0]) for r in failures.collect()] == [("long.py", "timeout")] and nodes.count() == 2
+
+
 def test_line_scanners(spark):
     files = spark.createDataFrame(
         [("a.js", "import x from 'y'\nexport default class App {\nconst go = () => 1\nfunction go() {}\nexport { a } from 'b'\n"), ("b.go", "func (s *T) Run(a int) {\nimport \"fmt\"\nfunc testIt() {"), ("c.rs", "use std::io;\npub struct P;\npub async fn q() {"), ("d.c", "static int main(void) {\n  else if (x) {\nint f(int a) {"), ("e.rb", "class A\n  def b"), ("f.swift", "func x() {}")],

@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 
 from loomstore.functions import fts
 from loomstore.functions.stem import stem
-from loomstore.operators.extract import syntax_rows
+from loomstore.operators.extract import timed_rows
 from loomstore.plans import render
 
 
@@ -33,7 +33,7 @@ def test_a_stem_is_no_longer_than_its_word(word):
 @given(st.text(max_size=80))
 @settings(deadline=None)
 def test_any_text_gives_a_file_node(text):
-    rows = syntax_rows("a/b.py", text)
+    rows, _ = timed_rows("a/b.py", text, 10)
     assert rows[0][0]["kind"] == "File" and all((n is None) != (e is None) for n, e in rows)
 
 
