@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from loomstore.functions.text import slashes
 from loomstore.operators import conversations, files, locks
 from loomstore.operators.snapshots import Store
 from loomstore.plans.schemas import conform
@@ -94,44 +96,80 @@ def conflict_stream(writes: DataFrame, owners: Callable[[], DataFrame]) -> DataF
     return locks.write_conflicts(owners(), writes)
 
 
-def lock_stream(events: DataFrame) -> DataFrame:
-    """A stream of lock events, folded by project with the owners as state; out comes what happened to each event and file.
+ROUTED = "project string, event_id bigint, op string, file_path string, session_id string"
 
-    A release of everything, or a session's end, frees all files that the session owns, so the files of a project are
-    folded together; `project` tells projects apart, and without that column all events are of one.  Within a batch
-    events are taken in the order of event_id; batches must come in order.
-    """
-    out = "event_id bigint, file_path string, session_id string, op string, granted boolean, owner string"
-    events = events if "project" in events.columns else events.withColumn("project", F.lit(""))
 
-    def fold(key, batches, state):
-        import json
+class _Routing(StatefulProcessor):
+    """Of a session: the files that it has claimed, to which it sends its releases of everything."""
 
+    def init(self, handle) -> None:
+        self.files = handle.getMapState("files", "file_path string", "n int")
+
+    def handleInputRows(self, key, rows, timers):  # noqa: N802
         import pandas as pd
 
-        owners = json.loads(state.get[0]) if state.exists else {}
-        rows = []
-        for e in pd.concat(list(batches)).sort_values("event_id").itertuples():
+        out = []
+        for e in pd.concat(list(rows)).sort_values("event_id").itertuples():
             if e.op in ("release_all", "end_session"):
-                for path in [p for p, owner in owners.items() if owner == e.session_id]:
-                    del owners[path]
-                    rows.append((e.event_id, path, e.session_id, "release", True, None))
+                out += [(key[0], e.event_id, "release", path, key[1]) for (path,) in list(self.files.keys())]
+                self.files.clear()
                 continue
-            owner, granted = owners.get(e.file_path), None
+            if e.op == "claim":
+                self.files.updateValue((e.file_path,), (1,))
+            out.append((key[0], e.event_id, e.op, e.file_path, key[1]))
+        yield pd.DataFrame(out, columns=["project", "event_id", "op", "file_path", "session_id"])
+
+    def close(self) -> None:
+        pass
+
+
+class _Owning(StatefulProcessor):
+    """Of a file: the session that owns it."""
+
+    def init(self, handle) -> None:
+        self.owner = handle.getValueState("owner", "session_id string")
+
+    def handleInputRows(self, key, rows, timers):  # noqa: N802
+        import pandas as pd
+
+        owner = self.owner.get()[0] if self.owner.exists() else None
+        out = []
+        for e in pd.concat(list(rows)).sort_values("event_id").itertuples():
+            granted = None
             if e.op == "claim":
                 granted = owner in (None, e.session_id)
                 owner = e.session_id if granted else owner
             elif e.op == "release":
-                granted = owner == e.session_id
+                granted = owner is not None and owner == e.session_id
                 owner = None if granted else owner
-            owners[e.file_path] = owner
-            if owner is None:
-                del owners[e.file_path]
-            rows.append((e.event_id, e.file_path, e.session_id, e.op, granted, owner))
-        state.update((json.dumps(owners),))
-        yield pd.DataFrame(rows, columns=["event_id", "file_path", "session_id", "op", "granted", "owner"])
-
-    return events.groupBy("project").applyInPandasWithState(fold, out, "owners string", "append", "NoTimeout")
+            out.append((key[0], e.event_id, key[1], e.session_id, e.op, granted, owner))
+        if owner is None:
+            self.owner.clear()
+        else:
+            self.owner.update((owner,))
+        yield pd.DataFrame(out, columns=["project", "event_id", "file_path", "session_id", "op", "granted", "owner"])
+
+    def close(self) -> None:
+        pass
+
+
+def lock_stream(events: DataFrame) -> DataFrame:
+    """A stream of lock events: what happened to each event and file, with the file's owner after it.
+
+    Two keyed states follow each other: of a session the files it claimed, so that a
+    release of everything, or the session's end, becomes a release of each of them;
+    and of a file its owner.  So no state is larger than one session's files, and no
+    group holds a project.  `project` tells projects apart; without that column all
+    events are of one.  Within a batch a file's events are taken in the order of
+    event_id; batches must come in order.  The session's state store must keep several
+    column families, as RocksDB does; it is set here if it was not.
+    """
+    spark = events.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.withColumn("project", F.col("project") if "project" in events.columns else F.lit("")).withColumn("file_path", slashes(F.col("file_path")))
+    routed = rows.select(*(c.split()[0] for c in ROUTED.split(", "))).groupBy("project", "session_id").transformWithStateInPandas(_Routing(), ROUTED, "Append", "None")
+    return routed.groupBy("project", "file_path").transformWithStateInPandas(_Owning(), "project string, event_id bigint, file_path string, session_id string, op string, granted boolean, owner string", "Append", "None")
 
 
 def watch_project(spark: SparkSession, look: Callable[[], object], checkpoint: str, every: str = "30 seconds", once: bool = False):
