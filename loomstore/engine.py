@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import UTC, datetime
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,7 +147,11 @@ class Sessions(_Part):
         new = self.spark.createDataFrame([(session_id, r, c, 0, k) for k, (r, c) in enumerate(rows)], "session_id string, role string, content string, token_est int, pos int")
         if bad := conversations.prepared_turns(new)[1].count():
             raise ValueError(f"{bad} turns have an unknown role")
-        made = conversations.append_turns(self.turns(), new).withColumn("recorded_at", F.lit(self.e.clock()))
+        own = self.turns().where(F.col("session_id") == session_id)
+        base = 1 + own.agg(F.coalesce(F.max("turn_index"), F.lit(-1))).first()[0]
+        # Numbers from 1 on, so that two writers at once never number the same
+        first = self.store.reserve(f"turns/sessions/{md5(session_id.encode()).hexdigest()}", len(rows), base + 1) - 1 if rows else base
+        made = conversations.append_turns(own.where("false"), new).withColumn("turn_index", (F.col("turn_index") + first).cast("int")).withColumn("recorded_at", F.lit(self.e.clock()))
         self.store.append("turns", conform(made, "conversation_turns").coalesce(1))
         return len(rows)
 
@@ -490,7 +495,7 @@ class Registry:
         projects, folders = of_projects(self.spark, self.projects(), "turns/log")
         if not folders:
             return conform(None, "conversation_turns", self.spark).withColumns({"project_path": F.lit(""), "project_name": F.lit("")})
-        rows = with_project(self.spark.read.schema(TABLES["conversation_turns"]).parquet(*folders), projects, "turns/log")
+        rows = with_project(self.spark.read.schema(TABLES["conversation_turns"]).option("recursiveFileLookup", True).parquet(*folders), projects, "turns/log")
         return rows.join(self.projects().select("project_path", F.col("name").alias("project_name")), "project_path")
 
     def search(self, query: str, limit: int = 20) -> DataFrame:

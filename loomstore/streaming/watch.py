@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from loomstore.functions.text import slashes
 from loomstore.operators import conversations, files, locks
-from loomstore.operators.snapshots import Store
+from loomstore.operators.snapshots import Store, delete
 from loomstore.plans.schemas import conform
 from loomstore.plans.shared import materialize
 from loomstore.sources import transcripts
@@ -77,17 +77,28 @@ def poll_transcripts(spark: SparkSession, tool: str, folder: str, store: Store,
 
 
 def snapshot_changes(spark: SparkSession, store: Store, current: DataFrame, now: object, session_id: str | None = None) -> DataFrame:
-    """One look at a project's files (rows of `files`): events against the stored snapshot, which is then replaced.
+    """One look at a project's files (rows of `files`): events against the stored snapshot, in which what changed is then replaced.
 
     A file stream reports new files only, so changes and deletions are found by comparing snapshots.
     """
     before = store.read("files")
-    last = store.changes().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     events = materialize(files.change_events(before, current), "change-events")
-    new = events.select((F.monotonically_increasing_id() + last + 1).alias("id"), "file_path", "change_type", F.lit(session_id).cast("string").alias("session_id"), F.lit(now).cast("timestamp").alias("changed_at"))
+    n = events.count()
+    if not n:
+        return spark.createDataFrame([], "id bigint, file_path string, change_type string, session_id string, changed_at timestamp")
+    last = store.changes().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    first = store.reserve("changes", n, last + 1)  # two looks at once never give the same ids
+    sizes = materialize(events.withColumn("part", F.spark_partition_id()), "change-parts")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("file_path")) - 1
+    before_part = sizes.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))  # a row a part
+    numbered = sizes.withColumn("place", place).join(F.broadcast(before_part), "part")
+    new = numbered.select((F.col("place") + F.col("earlier") + first).alias("id"), "file_path", "change_type", F.lit(session_id).cast("string").alias("session_id"), F.lit(now).cast("timestamp").alias("changed_at"))
     new = materialize(new, "changes")
     store.append("changes", conform(new, "changes"))
-    store.write("files", current.withColumn("indexed_at", F.lit(now)).withColumn("llm_notes", F.lit(None).cast("string")))
+    # Only rows of changed paths are replaced, and only the parts that hold them written
+    paths = new.select(F.col("file_path").alias("path")).distinct()
+    rows = materialize(conform(current.join(paths, "path", "left_semi").withColumn("indexed_at", F.lit(now)).withColumn("llm_notes", F.lit(None).cast("string")), "files"), "files")
+    store.change("files", lambda old: delete(old, paths, ["path"]).unionByName(rows), store.buckets_of("files", paths))
     return new
 
 

@@ -150,3 +150,30 @@ def test_stored_indexes_follow_turns_and_nodes(spark, tmp_path):
     assert sorted(r["turn_index"] for r in engine.sessions.search("retry").collect()) == [0, 2]
     assert engine.store.turn_index().known == (3, 7 / 3) and engine.sessions.search('"first retries" OR now').count() == 2
     assert engine.graph.search("x").count() == 0 and engine.store.exists("code_nodes_index/000000000000/commits")
+
+
+def test_two_writers_never_give_the_same_numbers(spark, tmp_path):
+    a, b = Engine(spark, str(tmp_path / "db"), lambda: T0), Engine(spark, str(tmp_path / "db"), lambda: T0)
+    s = a.sessions.start("claude", "x", session_id="s")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: (a, b)[k % 2].sessions.add_turns(s, [("user", f"one {k}"), ("assistant", f"two {k}")]), range(4)))
+        firsts = list(pool.map(lambda k: (a, b)[k % 2].store.reserve("changes", 5, 3), range(6)))
+    turns = {r["turn_index"]: r["content"] for r in a.sessions.turns().collect()}
+    assert sorted(turns) == list(range(8)) and all(turns[k + 1] == turns[k].replace("one", "two") for k in range(0, 8, 2))
+    assert sorted(firsts) == [3 + 5 * k for k in range(6)]
+
+
+def test_a_look_rewrites_only_the_parts_that_changed(spark, tmp_path):
+    from loomstore.streaming.watch import snapshot_changes
+
+    store = Store(spark, str(tmp_path / "db"))
+    index = lambda rows: spark.createDataFrame([(p, c, 1) for p, c in rows], "path string, checksum string, line_count int")
+    rows = [(f"f{k}", "1") for k in range(40)]
+    first = snapshot_changes(spark, store, index(rows), T0)
+    assert sorted(r["id"] for r in first.collect()) == list(range(1, 41))
+    before = store._parts("files", store.version("files"))
+    again = snapshot_changes(spark, store, index([("f3", "2"), *rows[4:], *rows[:2], ("new", "9")]), T0)
+    assert sorted((r["file_path"], r["change_type"]) for r in again.collect()) == [("f2", "deleted"), ("f3", "modified"), ("new", "created")] and sorted(r["id"] for r in again.collect()) == [41, 42, 43]
+    after = store._parts("files", store.version("files"))
+    assert sum(before.get(k) != after.get(k) for k in before | after) <= 3 and store.read("files").count() == 40
+    assert snapshot_changes(spark, store, index([("f3", "2"), *rows[4:], *rows[:2], ("new", "9")]), T0).count() == 0
