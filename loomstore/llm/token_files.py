@@ -60,7 +60,7 @@ RANK_BITS = 512
 def best_widths(lengths: np.ndarray) -> list[int]:
     """Chunk widths, low bits first, that need the fewest bits for ids of these lengths in bits."""
     top = int(lengths.max(initial=1))
-    left = [int((lengths > b).sum()) for b in range(top)]  # ids that reach beyond bit b
+    left = (len(lengths) - np.cumsum(np.bincount(lengths, minlength=top))).tolist()  # ids that reach beyond bit b
     best: list[tuple[float, list[int]]] = [(0.0, [])] * (top + 1)
     for a in range(top - 1, -1, -1):
         best[a] = min((left[a] * (z - a + (1 + 32 / RANK_BITS) * (z < top)) + best[z][0], [z - a, *best[z][1]]) for z in range(a + 1, top + 1))
@@ -68,8 +68,17 @@ def best_widths(lengths: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+    """Values of `width` bits, one after another, in 64-bit words: sums of what each word holds, and what a value has left for the next."""
+    n = len(values)
+    at = np.arange(n, dtype=np.int64) * width
+    word, shift, values = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
+    out = np.zeros((n * width + 63) // 64 + 1, "<u8")
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    if n:
+        out[word[first]] = np.add.reduceat(values << shift, first)
+    over = np.flatnonzero(shift + np.uint64(width) > 64)
+    out[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
+    return out.tobytes()[: (n * width + 7) // 8]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -150,11 +159,9 @@ class Codes:
         for k, (width, _, chunks, bits, _) in enumerate(self.levels):
             if z <= a:
                 break
-            held = np.frombuffer(self.data, np.uint8, (z * width + 7) // 8 - a * width // 8, chunks + a * width // 8)
-            cut = np.unpackbits(held, bitorder="little")[a * width % 8 :][: (z - a) * width].reshape(-1, width)
-            full = np.zeros((z - a, 32), np.uint8)
-            full[:, :width] = cut
-            ids[live] |= np.packbits(full, axis=1, bitorder="little").view("<u4")[:, 0] << np.uint32(shift)
+            at = np.arange(a * width, z * width, width)
+            held = (self._words(chunks)[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
+            ids[live] |= (held << np.uint64(shift)).astype(np.uint32)
             shift += width
             if k + 1 < len(self.levels):
                 more = np.unpackbits(np.frombuffer(self.data, np.uint8, (z + 7) // 8 - a // 8, bits + a // 8), bitorder="little")[a % 8 :][: z - a] == 1
@@ -293,7 +300,7 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, tokens): each document's ids as little-endian unsigned 32-bit integers, read as a run of its block."""
+    """(id, start, n_tokens, tokens): each document's ids as little-endian unsigned 32-bit integers, read from its block."""
     held = blocks(spark, path).select("start", "ids", "sizes", "codes")
     schema = T.StructType([T.StructField("id", held.schema["ids"].dataType.elementType), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
@@ -305,18 +312,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for k in range(batch.num_rows):
                 codes, sizes = Codes(batch.column(3)[k].as_py()), np.asarray(batch.column(2)[k].as_py(), np.int64)
                 ends = np.cumsum(sizes)
-                ids = [codes.run(int(z - n), int(z)).astype("<u4").tobytes() for z, n in zip(ends, sizes)] if len(sizes) < 64 else _runs(codes, ends, sizes)
+                data = codes.run(0, codes.size).astype("<u4").tobytes()  # neighbours, read as one run
+                ids = [data[4 * (z - n) : 4 * z] for z, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(1)[k].values.cast(out.field(0).type), pa.array(batch.column(0)[k].as_py() + ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())], schema=out)
 
     return held.mapInArrow(run, schema)
 
 
-def _runs(codes: Codes, ends: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Many short neighbours, read as one run."""
-    data = codes.run(0, int(ends[-1])).astype("<u4").tobytes()
-    return [data[4 * (z - n) : 4 * z] for z, n in zip(ends.tolist(), sizes.tolist())]
-
-
 def tokens_at(spark: SparkSession, path: str, places: DataFrame, place: str = "place") -> DataFrame:
     """(place, token) for the places, counted over all documents, that exist: each block is met once, and no other id of it is decoded."""
     held = blocks(spark, path)
