@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstore.functions.text import basename, extension, slashes
+from loomstore.operators import scopes
 
 # The language of a file by its extension.
 LANGUAGES = {
@@ -123,15 +124,18 @@ EDGES = "kind string, source_qualified string, target_qualified string, file_pat
 
 
 def scan_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of files (path, content) by lines alone: a file node each, its symbols, CONTAINS and imports."""
-    lines = lines_of(files)
-    tops = files.select(F.lit("File").alias("kind"), basename(slashes(F.col("path"))).alias("name"), F.concat_ws("::", slashes(F.col("path")), basename(slashes(F.col("path")))).alias("qualified_name"), slashes(F.col("path")).alias("file_path"), F.lit(1).alias("line_start"), line_count(F.col("content")).alias("line_end"), language(F.col("path")).alias("language"), F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("params"), F.lit(False).alias("is_test"))
-    found = symbols(lines)
-    nodes = found.select("kind", "name", F.concat_ws("::", "file_path", "name").alias("qualified_name"), "file_path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), language(F.col("file_path")).alias("language"), F.lit(None).cast("string").alias("parent_name"), F.lit(None).cast("string").alias("params"), F.lit(None).cast("string").alias("return_type"), (F.col("kind") == "Test").alias("is_test"))
-    edges = found.select(F.lit("CONTAINS").alias("kind"), F.col("file_path").alias("source_qualified"), F.concat_ws("::", "file_path", "name").alias("target_qualified"), "file_path", "line", F.lit("EXTRACTED").alias("confidence_tier"))
+    """(nodes, edges) of files (path, content) by lines and brackets: a file node each, its declarations with their scopes, CONTAINS, imports, bases, calls and tests."""
+    path, kind = slashes(F.col("path")), F.coalesce("language", language(F.col("path"))) if "language" in files.columns else language(F.col("path"))
+    lines = scopes.scoped_lines(files, kind)
+    none = F.lit(None).cast("string")
+    tops = files.select(F.lit("File").alias("kind"), basename(path).alias("name"), F.concat_ws("::", path, basename(path)).alias("qualified_name"), path.alias("file_path"), F.lit(1).alias("line_start"), line_count(F.col("content")).alias("line_end"), kind.alias("language"), none.alias("parent_name"), none.alias("params"), none.alias("return_type"), F.lit(False).alias("is_test"))
+    bare = lines.withColumn("text", F.col("bare"))
+    found = scopes.declared(symbols(bare), lines)
+    nodes = found.select("kind", "name", F.concat_ws("::", "file_path", "name").alias("qualified_name"), "file_path", F.col("line").alias("line_start"), F.col("last").alias("line_end"), language(F.col("file_path")).alias("language"), "parent_name", "params", "return_type", (F.col("kind") == "Test").alias("is_test"))
+    edges = found.select(F.lit("CONTAINS").alias("kind"), F.concat_ws("::", "file_path", "parent_name").alias("source_qualified"), F.concat_ws("::", "file_path", "name").alias("target_qualified"), "file_path", "line", F.lit("EXTRACTED").alias("confidence_tier"))
     edges = edges.unionByName(imports(lines).select(F.lit("IMPORTS_FROM").alias("kind"), F.col("file_path").alias("source_qualified"), F.col("target").alias("target_qualified"), "file_path", "line", F.lit("HEURISTIC").alias("confidence_tier")))
     inferred = lambda rows, kind, a, b: rows.select(F.lit(kind).alias("kind"), F.concat_ws("::", "file_path", a).alias("source_qualified"), F.col(b).alias("target_qualified"), "file_path", "line", F.lit("INFERRED").alias("confidence_tier"))
-    edges = edges.unionByName(inferred(inheritance(lines), "INHERITS", "name", "base")).unionByName(inferred(calls(lines, found), "CALLS", "caller", "called"))
+    edges = edges.unionByName(inferred(inheritance(bare), "INHERITS", "name", "base")).unionByName(inferred(scopes.calls(lines, found, _NO_CALL), "CALLS", "caller", "called"))
     edges = edges.unionByName(inferred(found.where("kind = 'Test'"), "TESTED_BY", "name", "file_path"))
     return tops.unionByName(nodes), edges
 

@@ -444,6 +444,45 @@ def python_syntax_edges(spark, sf_dir):
     return extract.parse_python(_python(spark, sf_dir))[1].select("kind", "source_qualified", "target_qualified")
 
 
+#: Sources with functions in functions, three deep, and the whole line of the text in a string: TypeScript of even documents, Rust of odd ones.
+_NESTED = (
+    'function f{0}(a: number): T{0} {\n  const s = "{1} no({";\n  const g{0} = (b: string): string => {\n    const k{0} = (c) => { return d{0}(c); };\n    return k{0}(b);\n  };\n  /* no{0}(\n  } */ return g{0}(1);\n}',
+    'fn f{0}(a: T{0}) -> T{0} {\n    let s = r#"{1} no({"#;\n    fn g{0}(b: u8) -> u8 {\n        fn k{0}(c: u8) -> u8 { d{0}(c) }\n        k{0}(b)\n    }\n    /* no{0}(\n    } */ g{0}(1)\n}',
+)
+_NESTED_SQL = """WITH b AS (SELECT doc_id || CASE doc_id % 2 WHEN 0 THEN '.ts' ELSE '.rs' END AS p, doc_id % 2 = 0 AS ts, 9 * i AS above, substring(md5(i || ':' || ls[i + 1]), 1, 8) AS h FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))"""
+
+
+def _nested(spark, sf_dir):
+    def blocks(shape):
+        def block(x, i):
+            h = F.substring(F.md5(F.concat_ws(":", i, x)), 1, 8)
+            said = F.regexp_replace(x, r'["\\\r]', "")
+            return F.replace(F.replace(F.lit(shape), F.lit("{0}"), h), F.lit("{1}"), said)
+
+        return block
+
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    made = [F.array_join(F.transform(lines, blocks(t)), "\n") for t in _NESTED]
+    even = F.col("doc_id") % 2 == 0
+    return S.table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id"), F.when(even, ".ts").otherwise(".rs")).alias("path"), F.when(even, made[0]).otherwise(made[1]).alias("content"))
+
+
+@query(f"""{_NESTED_SQL} SELECT p AS file_path, 'f' || h AS name, above + 1 AS line_start, above + 9 AS line_end, NULL AS parent_name, CASE WHEN ts THEN '(a: number)' ELSE '(a: T' || h || ')' END AS params, 'T' || h AS return_type FROM b
+UNION ALL SELECT p, 'g' || h, above + 3, above + 6, 'f' || h, CASE WHEN ts THEN '(b: string)' ELSE '(b: u8)' END, CASE WHEN ts THEN 'string' ELSE 'u8' END FROM b
+UNION ALL SELECT p, 'k' || h, above + 4, above + 4, 'g' || h, CASE WHEN ts THEN '(c)' ELSE '(c: u8)' END, CASE WHEN ts THEN NULL ELSE 'u8' END FROM b""")
+def scopes_of_nested_functions(spark, sf_dir):
+    """Where functions in functions end, what holds them, what they take and give."""
+    nodes = extract.scan_lines(_nested(spark, sf_dir))[0].where("kind <> 'File'")
+    return nodes.select("file_path", "name", "line_start", "line_end", "parent_name", "params", "return_type")
+
+
+@query(f"{_NESTED_SQL} SELECT p AS file_path, 'f' || h AS caller, 'g' || h AS called, above + 8 AS line FROM b UNION ALL SELECT p, 'g' || h, 'k' || h, above + 5 FROM b UNION ALL SELECT p, 'k' || h, 'd' || h, above + 4 FROM b")
+def calls_of_nested_functions(spark, sf_dir):
+    """Calls by the innermost function; strings and comments of several lines call nothing."""
+    found = extract.scan_lines(_nested(spark, sf_dir))[1].where("kind = 'CALLS'")
+    return found.select("file_path", F.regexp_extract("source_qualified", "::(.*)$", 1).alias("caller"), F.col("target_qualified").alias("called"), "line")
+
+
 # Budgets and windows
 
 
