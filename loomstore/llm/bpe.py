@@ -18,6 +18,7 @@ Texts of any length are read whole, CHUNK_CHARS at a time or one text if that is
 longer; a very long word is folded with a heap, in time n log n.  Rows are
 independent: repeated rows give repeated results, an empty table gives none, and
 columns other than the id and the text are ignored, whatever they are called.
+Ids that are not numbers are an error.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ A null text, and one without a letter (`str.isalpha`), is UNKNOWN with score 0,
 is every text when nothing was learned.  A text whose letters make no word that
 any n-gram knows scores all languages alike; ties go to the language that sorts
 first.  Texts of any length are read whole.  Repeated rows count each; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored.  Ids that are not numbers are an
+error.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ be taken for one with a chance of about (number of n-grams)^2 / 2^65.
 A null or empty text has no words, but an end.  A row without an id is scored like
 others; `learned` says what is learned from (null: not).  Repeated rows are scored
 (and learned from) each; other columns are ignored.  If nothing was learned all
-scores are 0.  An empty table has no rows.
+scores are 0.  An empty table has no rows.  Nothing is decided by an order, so there
+are no ties.  Ids that are not numbers are an error.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ class's share (0.5 without labels).  A figure that ties with a bin's edge falls
 into the bin above.  Repeated rows are scored each; a labelled id with several
 rows is learned from once.  An empty table gives no rows; other columns are
 ignored by `score` and kept as they are by `keep_good`, whatever they are called.
+Ids that are not numbers are an error to `score`.
 """
 
 from __future__ import annotations

@@ -19,6 +19,7 @@ other.  Texts of any length are read whole.  Repeated rows, and equal texts, hav
 equal fingerprints and so one component; nothing is left to ties, as a component is
 named by its smallest id.  Rows without an id belong to components but name none.
 An empty table gives no rows; other columns are ignored, whatever they are called.
+Ids that are not numbers are an error.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ any).  Of words that tell alike the longer comes first, then by the alphabet.
 Texts of any length are read whole.  Repeated rows are scored each; a labelled id
 with several rows is learned from once.  An empty table gives no rows; other
 columns are ignored by `score` and kept as they are by `keep_clean`, whatever they
-are called.
+are called.  Ids that are not numbers are an error to `score`.
 """
 
 from __future__ import annotations

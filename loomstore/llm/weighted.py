@@ -16,7 +16,8 @@ same least value the first in the text's order is sampled; values are of 32 bits
 so that is rare.  Texts of any length are read whole, one at a time.  Repeated rows
 are fingerprinted each, one as the next of the other.  An empty table gives no rows;
 other columns are ignored, whatever they are called.  Rows of one id, or of none,
-are one block: it is read in order, not held, but it is one task.
+are one block: it is read in order, not held, but it is one task.  Ids that are not
+numbers are an error.
 """
 
 from __future__ import annotations
