@@ -21,7 +21,7 @@ from loomstore.operators.snapshots import EACH, Store, insert_missing, of_projec
 from loomstore.plans import render
 from loomstore.plans.schemas import KEYS, TABLES, conform
 from loomstore.plans.shared import materialize
-from loomstore.sources import project, transcripts
+from loomstore.sources import git, project, transcripts
 
 SESSION_EVENTS = "event_id bigint, ts timestamp, op string, session_id string, llm_name string, thread_id string, working_on string, summary string, conversation_context string, files_modified string, tags string"
 LOCK_EVENTS = "event_id bigint, ts timestamp, op string, file_path string, session_id string, llm_name string"
@@ -276,9 +276,14 @@ class Context(_Part):
             self.spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(path)
         return made
 
-    def unified(self, changed: list[str], query: str = "") -> dict[str, DataFrame]:
-        """What a change touches: impacted nodes, turns that mention its files, and hits for a query."""
-        paths = self.spark.createDataFrame([(p,) for p in changed], "path string")
+    def changed_in_git(self, folder: str) -> DataFrame:
+        """(path): files of a repository that are changed, staged or not."""
+        rows = git.sides(self.spark, folder)
+        return files.staged_or_not(git.staged(rows), git.unstaged(rows))
+
+    def unified(self, changed: list[str] | DataFrame, query: str = "") -> dict[str, DataFrame]:
+        """What a change (paths, or rows of them as `changed_in_git` gives) touches: impacted nodes, turns that mention its files, and hits for a query."""
+        paths = changed if isinstance(changed, DataFrame) else self.spark.createDataFrame([(p,) for p in changed], "path string")
         hit = graph.impact(self.e.graph.nodes(), self.e.graph.edges(), paths)
         out = {"impacted": hit, "mentions": search.mentions(graph.impacted_files(hit).select(F.col("file_path").alias("path")).union(paths), self.e.sessions.turns(), index=self.store.turn_index())}
         return out | ({"hits": self.search(query)} if query else {})
