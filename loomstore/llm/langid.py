@@ -8,7 +8,7 @@ characters.  The language of the largest sum is predicted; the score is its shar
 among all, from the mean per word, so that it does not saturate on long texts.
 
 The model is fitted on PER_LANGUAGE training rows a language (about that many:
-each row is taken or not by the hash of its id alone, so no task sees all rows of
+each row is taken or not by the hash of its id and text, so no task sees all rows of
 a language; all rows if there are fewer): a documented bound.  All words and n-grams
 of those rows are kept, so the model is as large as their texts' vocabulary.
 
@@ -123,7 +123,7 @@ class Reader:
 def fit(docs: DataFrame, mod: int = 3, remainder: int = 1) -> Model:
     learned = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", mod) != remainder))
     sizes = learned.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20)  # rows of one id are chosen each by itself
     sample = learned.join(F.broadcast(sizes), "lang").where(share * F.col("n") < PER_LANGUAGE).select("lang", "text")  # a row a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
