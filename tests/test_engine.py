@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -110,7 +111,6 @@ def test_locks(engine):
 
 def test_sync_and_registry(spark, engine, tmp_path):
     import json
-import os
 
     folder = tmp_path / "cursor"
     folder.mkdir()
