@@ -99,9 +99,11 @@ class Engine:
         return search.unified_find(text, F.lit(self.clock()), limit=limit, mode=mode, stemmed=True, **given)
 
     def export(self, form: str = "context", path: str | None = None) -> str | None:
-        """markdown or context give a string; json writes below a path."""
+        """markdown or context give a string; json, and markdown with a path, write below it."""
         if form == "json":
             return render.export_json(path, self.meta(), self.files(), self.sessions.table(), self.changes())
+        if form == "markdown" and path:
+            return render.write_markdown(path, self.meta(), self.files(), self.sessions.table(), self.changes(), str(self.clock()))
         if form == "markdown":
             return render.export_markdown(self.meta(), self.files(), self.sessions.table(), self.changes(), str(self.clock()))
         return render.export_context(self.meta(), self.files(), self.sessions.table())

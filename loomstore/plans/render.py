@@ -45,10 +45,12 @@ def export_json(path: str, meta: DataFrame, file_rows: DataFrame, sessions: Data
     file_rows.select("path", "file_type", "line_count", "purpose", "tags").write.mode("overwrite").json(f"{path}/files")
 
 
-def export_markdown(meta: DataFrame, file_rows: DataFrame, sessions: DataFrame, changes: DataFrame, generated: str) -> str:
-    """Everything, for people; files by type, larger types first. The string holds every file; `export_json` is for indexes too large for one."""
+def markdown_lines(meta: DataFrame, file_rows: DataFrame, sessions: DataFrame, changes: DataFrame, generated: str) -> DataFrame:
+    """(part, a, b, c, line): everything, for people, in the order of the other columns; files by type, larger types first."""
     m = _meta(meta)
-    total = file_rows.count()
+    rows = file_rows.select(F.coalesce("file_type", F.lit("other")).alias("b"), F.col("path").alias("c"), "purpose")
+    kinds = rows.groupBy("b").agg(F.count("*").alias("n"))
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     out = ["# Project context", "", f"**Generated**: {generated}  ", *[f"**{k.title()}**: {m.get(k, 'unknown')}  " for k in ("name", "language", "framework")], f"**Total files**: {total}", ""]
     if opened := _open(sessions):
         out += ["## Open sessions", ""]
@@ -56,17 +58,30 @@ def export_markdown(meta: DataFrame, file_rows: DataFrame, sessions: DataFrame,
             out.append(f"### [{s['llm_name']}] `{s['id']}` ({s['status']})")
             out += [f"**{label}**: {s[c]}" for label, c in (("Working on", "working_on"), ("Summary", "summary")) if s[c]] + [""]
     out += ["## Files", ""]
-    kinds = files.type_counts(file_rows, None).collect()
-    by: dict[str, list[str]] = {}
-    for r in file_rows.select("path", "file_type", "purpose").orderBy("path").toLocalIterator():
-        by.setdefault(r["file_type"] or "other", []).append(f"- `{r['path']}`" + (f": {r['purpose']}" if r["purpose"] else ""))
-    for k in kinds:
-        out += [f"### .{k['file_type']} ({k['n']} files)", *by.get(k["file_type"], []), ""]
     newest = changes.orderBy(F.col("changed_at").desc(), F.col("id").desc()).limit(50).collect()
-    if newest:
-        out += ["## Recent changes", "", "| File | Type | When | Session |", "|---|---|---|---|"]
-        out += [f"| `{c['file_path']}` | {c['change_type']} | {str(c['changed_at'] or '')[:16]} | {c['session_id'] or ''} |" for c in newest]
-    return "\n".join(out)
+    after = ["## Recent changes", "", "| File | Type | When | Session |", "|---|---|---|---|"] if newest else []
+    after += [f"| `{c['file_path']}` | {c['change_type']} | {str(c['changed_at'] or '')[:16]} | {c['session_id'] or ''} |" for c in newest]
+    fixed = [(part, k, "", "", line) for part, lines in ((0, out), (2, after)) for k, line in enumerate(lines)]
+    told = meta.sparkSession.createDataFrame(fixed, "part int, a bigint, b string, c string, line string")
+    line = F.concat(F.lit("- `"), "c", F.lit("`"), F.when(F.coalesce("purpose", F.lit("")) != "", F.concat(F.lit(": "), "purpose")).otherwise(""))
+    listed = rows.join(kinds, "b").select(F.lit(1).alias("part"), (-F.col("n")).alias("a"), "b", "c", line.alias("line"))
+    heads = kinds.select(F.lit(1).alias("part"), (-F.col("n")).alias("a"), "b", F.lit("").alias("c"), F.concat(F.lit("### ."), "b", F.lit(" ("), "n", F.lit(" files)")).alias("line"))
+    ends = kinds.select(F.lit(1).alias("part"), (-F.col("n")).alias("a"), "b", F.lit("\U0010ffff").alias("c"), F.lit("").alias("line"))
+    return told.unionByName(heads).unionByName(listed).unionByName(ends)
+
+
+_ORDER = ["part", "a", "b", "c", "line"]
+
+
+def export_markdown(meta: DataFrame, file_rows: DataFrame, sessions: DataFrame, changes: DataFrame, generated: str) -> str:
+    """`markdown_lines` as one string; `write_markdown` is for indexes too large for one."""
+    return "\n".join(r["line"] for r in markdown_lines(meta, file_rows, sessions, changes, generated).orderBy(*_ORDER).toLocalIterator())
+
+
+def write_markdown(path: str, meta: DataFrame, file_rows: DataFrame, sessions: DataFrame, changes: DataFrame, generated: str) -> None:
+    """`markdown_lines` as text files below a path, whose names are in the order of their lines."""
+    rows = markdown_lines(meta, file_rows, sessions, changes, generated)
+    rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def export_context(meta: DataFrame, file_rows: DataFrame, sessions: DataFrame) -> str:

@@ -187,6 +187,8 @@ def test_renderers(spark, tmp_path):
     changes = spark.createDataFrame([(1, "b.py", "modified", "s1", T0, None)], TABLES["changes"])
     full = render.export_markdown(meta, index, sessions, changes, "now")
     assert "**Total files**: 2" in full and "### .py (2 files)" in full and "`src/a.py`: does it" in full and "| `b.py` | modified" in full
+    render.write_markdown(str(tmp_path / "md"), meta, index, sessions, changes, "now")
+    assert "\n".join(x for f in sorted((tmp_path / "md").glob("part-*")) for x in f.read_text().split("\n")[:-1]) == full
     short = render.export_context(meta, index, sessions)
     assert "**claude** `s2`: logout" in short and "`.py`: 2 files" in short and "cursor" not in short
     render.export_json(str(tmp_path / "x"), meta, index, sessions, changes)
