@@ -94,7 +94,8 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = [_signed(m) for m in covering_masks(radius=radius)]
     tables = nodes.select("fp", "label", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
     sizes = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = materialize(tables.join(sizes, ["t", "key"]), "buckets")
+    # Spark takes these for as small as the nodes they are exploded from, so it must be told not to send them to the driver
+    keyed = materialize(tables.join(sizes.hint("merge"), ["t", "key"]), "buckets")
     few = keyed.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.array_sort(F.collect_list(F.struct("fp", "label"))).alias("fps"))
     pair = F.expr(f"flatten(transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, size(fps)), y -> bit_count(x.fp ^ y.fp) <= {radius}), y -> struct(x.label as u, y.label as v))))")
     links = few.select(F.explode(pair).alias("p")).select("p.u", "p.v")
@@ -120,8 +121,8 @@ def link_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(nodes.withColumn("label", F.coalesce("first", F.col("fp").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS))), "nodes")
     found = materialize(components(near_links(nodes, radius)), "components")
     lowest = F.coalesce("component", "label")
-    members = nodes.join(found, nodes["label"] == found["node"], "left").select("fp", F.when(lowest < NAMELESS, lowest).alias("component_id"))
-    return rows.join(members, "fp").select("doc_id", "text_key", "fp", "component_id")
+    members = nodes.join(found.hint("merge"), nodes["label"] == found["node"], "left").select("fp", F.when(lowest < NAMELESS, lowest).alias("component_id"))
+    return rows.join(members.hint("merge"), "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def hex_fp(fp: Column) -> Column:

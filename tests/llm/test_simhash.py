@@ -104,3 +104,23 @@ def test_one_row_for_each_document_with_its_class(make_docs):
 
 def test_empty_table(make_docs):
     assert S.link_duplicates(make_docs([])).count() == 0 and S.keep_one(make_docs([])).count() == 0
+
+
+def test_no_table_that_grows_is_sent_to_the_driver(spark, monkeypatch):
+    """With Spark's own limit for broadcasts, which goes by the size of files: buckets are 31 rows a node, links are packed well."""
+    from loomstore.llm import components as C
+
+    plans = []
+
+    def seen(df, name, real=S.materialize):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(S, "materialize", seen)
+    monkeypatch.setattr(C, "materialize", seen)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower() in ("10485760b", "10485760", "10mb")
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('words of a text that goes on for so many more words and so on ', id % 40) as text")
+    found = S.link_duplicates(docs)
+    plans.append(("members", found._jdf.queryExecution().executedPlan().toString()))
+    assert {"buckets", "links", "members"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "BroadcastHashJoin" in plan]
