@@ -69,18 +69,21 @@ def lines_of(files: DataFrame) -> DataFrame:
     return rows.select("file_path", "language", (F.col("i") + 1).alias("line"), "text")
 
 
-def symbols(lines: DataFrame) -> DataFrame:
-    """(file_path, kind, name, line): declarations; a name's second and later ones in a file are called name__Lline."""
+def _declaring(lines: DataFrame) -> DataFrame:
+    """`lines` with the kind and name (`base`) of what each declares, null where it is nothing; functions that are tests as such."""
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for lang, rules in SYMBOLS.items():
         for what, rule in reversed(rules):
             hit = (F.col("language") == lang) & F.col("text").rlike(rule)
             kind, name = F.when(hit, what).otherwise(kind), F.when(hit, F.regexp_extract("text", rule, 1)).otherwise(name)
-    found = lines.withColumn("kind", kind).withColumn("base", name).where("base is not null")
+    return lines.withColumns({"kind": F.when((kind == "Function") & is_test(name, F.col("file_path")), "Test").otherwise(kind), "base": name})
+
+
+def symbols(lines: DataFrame) -> DataFrame:
+    """(file_path, kind, name, line): declarations; a name's second and later ones in a file are called name__Lline."""
     place = F.row_number().over(Window.partitionBy("file_path", "base").orderBy("line"))
-    found = found.withColumn("name", F.when(place > 1, F.concat("base", F.lit("__L"), "line")).otherwise(F.col("base")))
-    kind = F.when((F.col("kind") == "Function") & is_test(F.col("base"), F.col("file_path")), "Test").otherwise(F.col("kind"))
-    return found.select("file_path", kind.alias("kind"), "name", "line")
+    found = _declaring(lines).where("base is not null")
+    return found.select("file_path", "kind", F.when(place > 1, F.concat("base", F.lit("__L"), "line")).otherwise(F.col("base")).alias("name"), "line")
 
 
 def imports(lines: DataFrame, most: int = IMPORTS_A_FILE) -> DataFrame:
@@ -130,12 +133,14 @@ def scan_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.lit(None).cast("string")
     tops = files.select(F.lit("File").alias("kind"), basename(path).alias("name"), F.concat_ws("::", path, basename(path)).alias("qualified_name"), path.alias("file_path"), F.lit(1).alias("line_start"), line_count(F.col("content")).alias("line_end"), kind.alias("language"), none.alias("parent_name"), none.alias("params"), none.alias("return_type"), F.lit(False).alias("is_test"))
     bare = lines.withColumn("text", F.col("bare"))
-    found = scopes.declared(symbols(bare), lines)
+    marked = _declaring(bare)
+    found = scopes.declared(marked.where("base is not null").select("file_path", "language", "line", "last", "head", "kind", "base"))
+    calling = marked.withColumn("said", scopes.said(F.col("bare"))).where("base is not null or size(said) > 0").select("file_path", "line", "last", "kind", "base", "said")
     nodes = found.select("kind", "name", F.concat_ws("::", "file_path", "name").alias("qualified_name"), "file_path", F.col("line").alias("line_start"), F.col("last").alias("line_end"), language(F.col("file_path")).alias("language"), "parent_name", "params", "return_type", (F.col("kind") == "Test").alias("is_test"))
     edges = found.select(F.lit("CONTAINS").alias("kind"), F.concat_ws("::", "file_path", "parent_name").alias("source_qualified"), F.concat_ws("::", "file_path", "name").alias("target_qualified"), "file_path", "line", F.lit("EXTRACTED").alias("confidence_tier"))
     edges = edges.unionByName(imports(lines).select(F.lit("IMPORTS_FROM").alias("kind"), F.col("file_path").alias("source_qualified"), F.col("target").alias("target_qualified"), "file_path", "line", F.lit("HEURISTIC").alias("confidence_tier")))
     inferred = lambda rows, kind, a, b: rows.select(F.lit(kind).alias("kind"), F.concat_ws("::", "file_path", a).alias("source_qualified"), F.col(b).alias("target_qualified"), "file_path", "line", F.lit("INFERRED").alias("confidence_tier"))
-    edges = edges.unionByName(inferred(inheritance(bare), "INHERITS", "name", "base")).unionByName(inferred(scopes.calls(lines, found, _NO_CALL), "CALLS", "caller", "called"))
+    edges = edges.unionByName(inferred(inheritance(bare), "INHERITS", "name", "base")).unionByName(inferred(scopes.calls(calling, _NO_CALL), "CALLS", "caller", "called"))
     edges = edges.unionByName(inferred(found.where("kind = 'Test'"), "TESTED_BY", "name", "file_path"))
     return tops.unionByName(nodes), edges
 

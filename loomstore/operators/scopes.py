@@ -3,9 +3,9 @@
 A file goes once through a small machine that blanks out strings and comments, also
 those of several lines, and pairs its brackets.  A declaration reaches from its line
 to the bracket that closes the body it opens; of languages without brackets (Ruby),
-to the `end` or the last line that stands farther in.  Everything else is made of
-DataFrames: a declaration is held by the innermost one around its line, and so is a
-call by the innermost function.
+to the `end` or the last line that stands farther in.  A declaration is held by the
+innermost one around its line, and so is a call by the innermost function: the marked
+lines of a file go by once, in their order, past a stack of what is open.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstore.functions.text import slashes
 
@@ -34,12 +35,15 @@ _MACHINES = {k: re.compile("|".join(f"(?:{x})" if "(#*)" not in x else x for x i
 _GOES_ON = re.compile(r"\s*(?:$|throws\b|where\b|->|:|extends\b|implements\b|,)")
 INDENTED = ["ruby"]
 SCOPED = "file_path string, language string, line int, text string, bare string, last int, head string"
+#: Lines that go to Spark at a time; a file's stay together.
+BATCH_LINES = 1 << 14
+FUNCTIONS = ("Function", "Test")
 
 
 def blanked(text: str, language: str) -> str:
     """The text with the inside of strings and comments as spaces; lines stay where they are."""
     machine = _MACHINES.get(language)
-    return machine.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text) if machine else text
+    return machine.sub(lambda m: "\n".join(" " * len(x) for x in m.group().split("\n")), text) if machine else text
 
 
 def line_scopes(bare: str, language: str) -> list[tuple[int, str]]:
@@ -107,32 +111,75 @@ def scoped_lines(files: DataFrame, language: Column) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(target)
+        made = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+        held: list[list] = [[] for _ in out]
         for batch in batches:
-            for path, kind, text in zip(*(c.to_pylist() for c in batch.columns)):  # a file has MOST_BYTES at most
+            for row in range(batch.num_rows):
+                path, kind, text = (c[row].as_py() for c in batch.columns)  # a file has MOST_BYTES at most
                 text = re.sub(r"\r?\n\Z", "", text or "").replace("\r\n", "\n")
                 bare, lines = blanked(text, kind), text.split("\n")
-                rows = [(path, kind, n, line, b, end, head) for n, (line, b, (end, head)) in enumerate(zip(lines, bare.split("\n"), line_scopes(bare, kind)), 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                ends, heads = zip(*line_scopes(bare, kind))
+                for column, more in zip(held, ([path] * len(lines), [kind] * len(lines), range(1, len(lines) + 1), lines, bare.split("\n"), ends, heads)):
+                    column.extend(more)
+                if len(held[0]) >= BATCH_LINES:
+                    yield made(held)
+                    held = [[] for _ in out]
+        if held[0]:
+            yield made(held)
 
     return files.select(slashes(F.col("path")).alias("path"), language.alias("language"), "content").where("language is not null").mapInArrow(run, target)
 
 
-def _around(found: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(file_path, line, start, name): for each line the declarations around it; one row for each depth of nesting."""
-    rows = found.where(F.col("kind").isin(kinds)) if kinds else found
-    return rows.select("file_path", F.explode(F.sequence("line", F.greatest("line", "last"))).alias("at"), F.col("line").alias("start"), "name").withColumnRenamed("at", "line")
+def surrounded(rows: DataFrame) -> DataFrame:
+    """Marked lines (file_path, line, last, kind, base; kind and base null where nothing is declared) with names and what is around them.
 
+    name: the base, and for a file's second and later ones base__Lline; parent_name:
+    the innermost declaration that begins on an earlier line and reaches this one;
+    caller and caller_line: the innermost function around the line or on it.  A
+    file's lines pass in order; kept are its names and what is open.
+    """
+    target = T.StructType([*rows.schema.fields, *rows.sparkSession.createDataFrame([], "name string, parent_name string, caller string, caller_line int").schema.fields])
+    names = rows.columns
 
-def declared(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Declarations (file_path, kind, name, line) with last, parent_name, params and return_type."""
-    rows = found.join(lines.select("file_path", "line", "language", "last", "head"), ["file_path", "line"])
-    outer = rows.alias("r").join(_around(rows).alias("a"), (F.col("r.file_path") == F.col("a.file_path")) & (F.col("r.line") == F.col("a.line")) & (F.col("a.start") < F.col("r.line")))
-    parents = outer.groupBy(F.col("r.file_path").alias("file_path"), F.col("r.line").alias("line")).agg(F.max_by(F.col("a.name"), F.col("a.start")).alias("parent_name"))
-    rows = rows.join(parents, ["file_path", "line"], "left")
-    base = F.regexp_replace("name", r"__L\d+$", "")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out, at, now, seen = to_arrow_schema(target), None, 0, set()
+        around: list[tuple[int, int, str]] = []  # (last, line, name) of declarations, functions, and those of the line at hand
+        functions, begun = list(around), list(around)
+        for batch in batches:
+            found: list[tuple] = []
+            for path, line, last, kind, base in zip(*(batch.column(names.index(c)).to_pylist() for c in ("file_path", "line", "last", "kind", "base"))):
+                if path != at:
+                    at, now, seen, around, functions, begun = path, line, set(), [], [], []
+                if line != now:
+                    around.extend(begun)
+                    now, begun = line, []
+                # What ended before this line is around no later one either
+                for stack in (around, functions):
+                    while stack and stack[-1][0] < line:
+                        stack.pop()
+                name, parent = base, around[-1][2] if around else None
+                if base is not None:
+                    name = f"{base}__L{line}" if base in seen else base
+                    seen.add(base)
+                    begun.append((max(last, line), line, name))
+                    if kind in FUNCTIONS:
+                        functions.append(begun[-1])
+                found.append((name, parent, *(functions[-1][2:0:-1] if functions else (None, None))))
+            if found:
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, out)), *(pa.array(c, f.type) for c, f in zip(zip(*found), list(out)[-4:]))], schema=out)
+
+    return rows.repartition("file_path").sortWithinPartitions("file_path", "line").mapInArrow(run, target)
+
+
+def declared(found: DataFrame) -> DataFrame:
+    """Declarations (file_path, language, kind, base, line, last, head) with name, parent_name, params and return_type."""
+    rows = surrounded(found)
     rest = F.regexp_replace(F.expr("substring(head, instr(head, base) + length(base))"), r"^\s*=\s*(?:async\s*)?(?:function\b\s*\w*\s*)?", "")
     brackets = r"^\s*(?:<[^>]*>)?\s*(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))"
-    rows = rows.withColumn("base", base).withColumn("rest", rest)
+    rows = rows.withColumn("rest", rest)
     function = F.col("kind").isin("Function", "Test")
     rows = rows.withColumn("params", F.when(function, F.nullif(F.regexp_extract("rest", brackets, 1), F.lit(""))))
     after = F.trim(F.regexp_replace("rest", brackets, ""))
@@ -146,10 +193,16 @@ def declared(found: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("file_path", "kind", "name", "line", "last", "parent_name", "params", "return_type")
 
 
-def calls(lines: DataFrame, found: DataFrame, no_call: list[str]) -> DataFrame:
-    """(file_path, caller, called, line): names before a bracket inside a function's body, told by the innermost function around them."""
-    said = lines.select("file_path", "line", F.explode(F.regexp_extract_all("bare", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))).alias("called")).where(~F.col("called").isin(no_call))
-    inner = _around(found, ["Function", "Test"]).groupBy("file_path", "line").agg(F.max_by(F.struct("name", "start"), "start").alias("f"))
-    rows = said.join(inner, ["file_path", "line"]).withColumn("caller", F.col("f.name"))
-    itself = (F.col("line") == F.col("f.start")) & (F.col("called") == F.regexp_replace("caller", r"__L\d+$", ""))
+def calls(marked: DataFrame, no_call: list[str]) -> DataFrame:
+    """(file_path, caller, called, line): names before a bracket inside a function's body, told by the innermost function around them.
+
+    `marked` has the declarations and the lines that call something: file_path, line, last, kind, base, said.
+    """
+    rows = surrounded(marked).where("caller is not null").withColumn("called", F.explode("said")).where(~F.col("called").isin(no_call))
+    itself = (F.col("line") == F.col("caller_line")) & (F.col("called") == F.regexp_replace("caller", r"__L\d+$", ""))
     return rows.where(~itself).groupBy("file_path", "caller", "called").agg(F.min("line").alias("line"))
+
+
+def said(bare: Column) -> Column:
+    """The names before a bracket in a blanked line."""
+    return F.when(bare.contains("("), F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))).otherwise(F.array().cast("array<string>"))

@@ -1,5 +1,7 @@
 """Declarations with their scopes, against rows made by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,19 @@ def test_blanking_keeps_every_line_and_place():
 def test_files_without_lines_or_of_no_language(spark):
     nodes, edges = extract.scan_lines(spark.createDataFrame([("a.js", None), ("b.js", ""), ("c.txt", "function x() {"), ("d.js", "((((" * 1000 + "}}}" * 1000)], "path string, content string"))
     assert nodes.where(F.col("kind") != "File").count() == 0 and edges.count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+DEEP = "\n".join([f"function f{k % 700}() {{" for k in range(1400)] + ["g(1)"])
+
+
+def test_scopes_need_no_row_for_each_line_of_a_body(spark):
+    nodes, _ = extract.scan_lines(spark.createDataFrame([("a.js", DEEP)], "path string, content string"))
+    nodes = nodes.where("kind <> 'File'")
+    name = lambda k: f"f{k}" if k < 700 else f"f{k - 700}__L{k + 1}"
+    got = {r["line_start"]: (r["name"], r["parent_name"], r["line_end"]) for r in nodes.collect()}
+    assert got == {k + 1: (name(k), name(k - 1) if k else None, 1401) for k in range(1400)}
+    assert not re.search("Join|Generate", _plan(nodes)) and _plan(nodes).count("MapInArrow") == 2  # lines, and what is around them
