@@ -44,7 +44,7 @@ from .common import pieces
 
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 16
-#: Distinct words, and characters of them, that a task remembers before it starts afresh; bounds its memory.
+#: Distinct words, and characters of them, that a task remembers before it forgets those that did not come again; bounds its memory.
 MEMORY_WORDS, MEMORY_CHARS = 300_000, 8_000_000
 #: Bytes of text for a task, as words are remembered within it, and the most tasks.
 TASK_BYTES, MOST_TASKS = 64 << 20, 50_000
@@ -57,6 +57,11 @@ PLAIN = re.compile(f"[{LETTERS}]+")
 RANK_BITS = 512
 
 
+def plain(word: str) -> bool:
+    """Whether a word is of PLAIN; most are told without the pattern."""
+    return word.isalpha() if word.isascii() else PLAIN.fullmatch(word) is not None
+
+
 def best_widths(lengths: np.ndarray) -> list[int]:
     """Chunk widths, low bits first, that need the fewest bits for ids of these lengths in bits."""
     top = int(lengths.max(initial=1))
@@ -184,15 +189,27 @@ class Words:
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.ids, self.ends, self.chars = np.zeros(0, np.uint32), np.zeros(1, np.int32), 0
+        self.ids, self.ends, self.hits, self.chars = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(0, np.int32), 0
+
+    def forget(self) -> None:
+        """Keep the words that two calls or more had since the last time; none, if these are too many."""
+        keep = self.hits > 1
+        place = (np.cumsum(keep, dtype=np.int32) - 1).tolist()
+        slots, ids = {w: place[s] for w, s in self.slots.items() if keep[s]}, pa.ListArray.from_arrays(self.ends, self.ids).filter(pa.array(keep))
+        counts, chars = np.diff(self.ends)[keep], sum(map(len, slots))
+        self.clear()
+        if chars <= MEMORY_CHARS // 2 and len(slots) <= MEMORY_WORDS // 2:
+            self.slots, self.ids, self.chars = slots, ids.flatten().to_numpy(), chars
+            self.ends, self.hits = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), np.ones(len(counts), np.int32)
 
     def learn(self, new: list[str]) -> None:
-        own = [w.lower() if PLAIN.fullmatch(w) else w for w in new] if self.lower else new
+        own = [w.lower() if plain(w) else w for w in new] if self.lower else new
         unknown = [w for w in dict.fromkeys(own) if w not in self.slots]
         found = self.encode(unknown)
         first = len(self.ends) - 1
         self.slots |= zip(unknown, range(first, first + len(unknown)))
-        self.slots |= zip(new, [self.slots[w] for w in own])
+        self.slots |= [(w, self.slots[o]) for w, o in zip(new, own) if w != o]
+        self.hits = np.concatenate([self.hits, np.zeros(len(unknown), np.int32)])
         self.chars += sum(map(len, new))
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), dtype=np.int32)])
@@ -200,7 +217,7 @@ class Words:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
         if self.chars > MEMORY_CHARS or len(self.slots) > MEMORY_WORDS:
-            self.clear()
+            self.forget()
         texts = pc.fill_null(texts, "")
         if self.stops:
             texts = pc.replace_substring_regex(texts, self.stops, r"\1 \2")
@@ -209,7 +226,9 @@ class Words:
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if new := [w for w in words if w not in self.slots]:
             self.learn(new)
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
+        slots = np.fromiter(map(self.slots.__getitem__, words), np.int32, len(words))
+        self.hits[slots] += 1
+        slots = slots[coded.indices.to_numpy()]
         ids = pa.ListArray.from_arrays(self.ends, self.ids).take(pa.array(slots)).flatten().to_numpy()
         ends = np.concatenate([[0], np.cumsum(np.diff(self.ends)[slots], dtype=np.int64)])
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])])
@@ -228,13 +247,13 @@ def tokenizer_words(path: str, lower: bool = False) -> Callable[[list[str]], lis
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    model, spell = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    spelt = {ord(c): spell(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if PLAIN.fullmatch(c)}
+    tokenize, spell = tokenizer.model.tokenize, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    spelt = {ord(c): spell(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if plain(c)}
 
     def some(words: list[str]) -> list[list[int]]:
-        plain = [lower and PLAIN.fullmatch(w) is not None for w in words]
-        others = iter(tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
-        return [[x.id for x in model.tokenize(w.translate(spelt))] if p else next(others).ids for w, p in zip(words, plain)]
+        direct = [lower and plain(w) for w in words]
+        others = iter(tokenizer.encode_batch_fast([w for w, d in zip(words, direct) if not d], add_special_tokens=False))
+        return [[x.id for x in tokenize(w if w.isascii() else w.translate(spelt))] if d else next(others).ids for w, d in zip(words, direct)]
 
     # A few at a time, as the library's results are much larger than their ids
     return lambda words: [ids for k in range(0, len(words), 4096) for ids in some(words[k : k + 4096])]

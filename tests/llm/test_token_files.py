@@ -105,3 +105,18 @@ def test_the_query_equals_the_library(spark):
 def test_no_documents_and_no_end_id(spark, make_docs, tmp_path):
     assert read(spark, make_docs([]), str(tmp_path / "a")) == []
     assert [(i, n, t) for _, i, n, t in read(spark, make_docs([(1, ""), (2, None), (3, "a")]), str(tmp_path / "b"), None)] == [(1, 0, b""), (2, 0, b""), (3, 1, np.array(ids_of("a"), "<u4").tobytes())]
+
+
+def test_words_that_come_again_are_tokenized_once(monkeypatch):
+    """Also when more words came between than a task remembers."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(K, "MEMORY_WORDS", 30)
+    asked = []
+    words = K.Words(lambda new: asked.extend(new) or [[len(w), ord(w[-1])] for w in new])
+    for k in range(40):
+        text = "often " + " ".join(f"w{k}x{j}" for j in range(9)) + " often"
+        ids, counts = words(pa.array([text]))
+        assert counts.tolist() == [22] and ids.tolist() == [x for w in text.split() for x in (len(w), ord(w[-1]))]
+        assert len(words.slots) <= 30 + 10
+    assert asked.count("often") == 1 and len(asked) == 361
