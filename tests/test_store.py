@@ -177,3 +177,21 @@ def test_a_look_rewrites_only_the_parts_that_changed(spark, tmp_path):
     after = store._parts("files", store.version("files"))
     assert sum(before.get(k) != after.get(k) for k in before | after) <= 3 and store.read("files").count() == 40
     assert snapshot_changes(spark, store, index([("f3", "2"), *rows[4:], *rows[:2], ("new", "9")]), T0).count() == 0
+
+
+def test_an_append_stems_and_groups_once(spark, tmp_path, monkeypatch):
+    """What is dealt out by ranges is read twice, so it must be written already."""
+    plans = []
+
+    def seen(df, name, real=segments.materialize):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(segments, "materialize", seen)
+    held = Segments(Store(spark, str(tmp_path / "store")), "texts", ["k"], "k bigint")
+    held.add(spark.range(50).selectExpr("id as k", "concat('going words ', id % 7) as t"), F.col("t"))
+    assert [name for name, plan in plans if "EvalPython" in plan] == ["tokens"] and "grouped" in {name for name, _ in plans}
+    assert not [name for name, plan in plans if "rangepartitioning" in plan and ("EvalPython" in plan or "Aggregate" in plan)]
+    assert held.remove(spark.range(0, 50, 7).selectExpr("id as k")) == 8
+    dead = {r["term"]: r["n"] for r in spark.read.parquet(*(f"{held.store.root}/texts/dead/{d}/terms" for s in held.manifest()[1] for d in s["dead"])).collect()}
+    assert dead == {"go": 8, "word": 8, "0": 8}
