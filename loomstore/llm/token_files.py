@@ -15,8 +15,8 @@ table says how many ids lie before each shard.
 
 Documents are dealt out in ranges of (id, hash of the text, place in the input), so
 that no id, however frequent, is one task.  The tokenizer is applied to each distinct
-word between ASCII white space that a task has not met before: no rule of it looks
-across white space.
+word between ASCII white space that a Python worker has not met before, in this task
+or an earlier one: no rule of it looks across white space.
 
 A null text is empty; an empty text has the end id alone, or no ids without one.
 Texts of any length are read whole and stay in one block.  Documents without an id
@@ -28,8 +28,10 @@ they are called.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -44,10 +46,10 @@ from .common import pieces
 
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 16
-#: Distinct words, and characters of them, that a task remembers before it forgets those that did not come again; bounds its memory.
+#: Distinct words, and characters of them, that a worker remembers before it forgets those that did not come again; bounds its memory.
 MEMORY_WORDS, MEMORY_CHARS = 300_000, 8_000_000
-#: Bytes of text for a task, as words are remembered within it, and the most tasks.
-TASK_BYTES, MOST_TASKS = 64 << 20, 50_000
+#: Bytes of text for a task, which are sorted, and whose codes are written and read, in an executor's memory; and the most tasks.
+TASK_BYTES, MOST_TASKS = 24 << 20, 50_000
 #: Bytes of text that are worked on at a time.
 TEXT_BYTES = 4 << 20
 #: Latin letters, each one code point by itself and in lower case; and words of them.
@@ -241,8 +243,6 @@ def tokenizer_words(path: str, lower: bool = False) -> Callable[[list[str]], lis
     byte alphabet writes them: for byte-level files that lower letters and keep runs
     of them whole.
     """
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -259,6 +259,17 @@ def tokenizer_words(path: str, lower: bool = False) -> Callable[[list[str]], lis
     return lambda words: [ids for k in range(0, len(words), 4096) for ids in some(words[k : k + 4096])]
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str, stops: str, lower: bool, state: tuple[int, int]) -> Words:
+    return Words(tokenizer_words(path, lower), stops, lower)
+
+
+def kept_words(path: str, stops: str = "", lower: bool = False) -> Words:
+    """The words of a tokenizer file, which a Python worker keeps from task to task; those of a file that changed are made anew."""
+    found = os.stat(path)
+    return _kept(path, stops, lower, (found.st_mtime_ns, found.st_size))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = None, stops: str = "", lower: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode `docs` by a tokenizer file that all executors can read, and write the ids' files below `path`, which must not exist.
 
@@ -274,7 +285,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out, words = to_arrow_schema(schema), Words(tokenizer_words(tokenizer, lower), stops, lower)
+        out, words = to_arrow_schema(schema), kept_words(tokenizer, stops, lower)
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         names, sizes, held, tail = [], [], [], np.zeros(0, np.uint32)
 

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomstore.llm import token_files as K
@@ -120,3 +121,35 @@ def test_words_that_come_again_are_tokenized_once(monkeypatch):
         assert counts.tolist() == [22] and ids.tolist() == [x for w in text.split() for x in (len(w), ord(w[-1]))]
         assert len(words.slots) <= 30 + 10
     assert asked.count("often") == 1 and len(asked) == 361
+
+
+def test_a_worker_keeps_its_words_from_task_to_task(spark, tmp_path):
+    import shutil
+
+    import pyarrow as pa
+
+    path = str(tmp_path / "tokenizer.json")
+    shutil.copy(PATH, path)
+
+    def run(batches):
+        words = K.kept_words(path, **KNOWN)
+        known = len(words.slots)
+        for _ in batches:
+            words(pa.array(["often again"]))
+        yield pa.RecordBatch.from_arrays([pa.array([known])], names=["known"])
+
+    known = [r["known"] for r in spark.range(0, 24, 1, 24).mapInArrow(run, "known bigint").collect()]
+    assert set(known) == {0, 2} and known.count(0) <= 4  # one first task for each of four workers
+    before = K.kept_words(path, **KNOWN)
+    assert K.kept_words(path, **KNOWN) is before
+    with open(path, "a") as f:
+        f.write("\n")
+    assert K.kept_words(path, **KNOWN) is not before
+
+
+def test_a_task_gets_few_bytes_of_text(spark, tmp_path):
+    """They lie in an executor's memory to be sorted, and so do their codes."""
+    docs = spark.range(480).selectExpr("id AS doc_id", "repeat('word ', 25000) AS text")  # 60 MB
+    K.write_tokens(docs, PATH, str(tmp_path / "t"), 2, **KNOWN)
+    shards = K.blocks(spark, str(tmp_path / "t")).groupBy("shard").agg(F.sum(F.size("ids")).alias("n")).collect()
+    assert sum(r["n"] for r in shards) == 480 and max(r["n"] for r in shards) * 125_000 <= 40 << 20
