@@ -1,6 +1,7 @@
 """Rows out of source texts: purposes, symbols and imports by line, and Python's syntax tree.
 
-Line scanners are regular expressions over exploded lines and stay in the JVM.
+Line scanners are regular expressions over exploded lines and stay in the JVM, but for
+those of declarations with their scopes, which go with the brackets of the whole file.
 Python files go through the standard library's parser in Arrow batches.
 """
 
@@ -21,7 +22,7 @@ LANGUAGES = {
 }
 
 # What a line declares, tried in order; group 1 is the name.
-_JS = [("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*[\(:]"), ("Class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?[\(\w]")]
+_JS = [("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*[\(:]"), ("Class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+(\w+)\s*=\s*+(?:async\s*+)?[\(\w]")]
 SYMBOLS = {
     "python": [("Class", r"^\s*(?:@\w+(?:\([^)]*\))?\s*)*class\s+(\w+)"), ("Function", r"^\s*(?:@\w+(?:\([^)]*\))?\s*)*def\s+(\w+)")],
     "javascript": _JS, "typescript": _JS, "tsx": _JS,
@@ -129,13 +130,14 @@ EDGES = "kind string, source_qualified string, target_qualified string, file_pat
 def scan_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of files (path, content) by lines and brackets: a file node each, its declarations with their scopes, CONTAINS, imports, bases, calls and tests."""
     path, kind = slashes(F.col("path")), F.coalesce("language", language(F.col("path"))) if "language" in files.columns else language(F.col("path"))
-    lines = scopes.scoped_lines(files, kind)
+    lines = scopes.bare_lines(files, kind)
     none = F.lit(None).cast("string")
     tops = files.select(F.lit("File").alias("kind"), basename(path).alias("name"), F.concat_ws("::", path, basename(path)).alias("qualified_name"), path.alias("file_path"), F.lit(1).alias("line_start"), line_count(F.col("content")).alias("line_end"), kind.alias("language"), none.alias("parent_name"), none.alias("params"), none.alias("return_type"), F.lit(False).alias("is_test"))
     bare = lines.withColumn("text", F.col("bare"))
-    marked = _declaring(bare)
-    found = scopes.declared(marked.where("base is not null").select("file_path", "language", "line", "last", "head", "kind", "base"))
-    calling = marked.withColumn("said", scopes.said(F.col("bare"))).where("base is not null or size(said) > 0").select("file_path", "line", "last", "kind", "base", "said")
+    tests = F.when((F.col("kind") == "Function") & is_test(F.col("base"), F.col("file_path")), "Test").otherwise(F.col("kind"))
+    marked = lambda calling: scopes.marked_lines(files, kind, SYMBOLS, calling).withColumn("kind", tests)
+    found = scopes.declared(marked(False).select("file_path", "language", "line", "last", "head", "kind", "base"))
+    calling = marked(True).select("file_path", "line", "last", "kind", "base", "bare")
     nodes = found.select("kind", "name", F.concat_ws("::", "file_path", "name").alias("qualified_name"), "file_path", F.col("line").alias("line_start"), F.col("last").alias("line_end"), language(F.col("file_path")).alias("language"), "parent_name", "params", "return_type", (F.col("kind") == "Test").alias("is_test"))
     edges = found.select(F.lit("CONTAINS").alias("kind"), F.concat_ws("::", "file_path", "parent_name").alias("source_qualified"), F.concat_ws("::", "file_path", "name").alias("target_qualified"), "file_path", "line", F.lit("EXTRACTED").alias("confidence_tier"))
     edges = edges.unionByName(imports(lines).select(F.lit("IMPORTS_FROM").alias("kind"), F.col("file_path").alias("source_qualified"), F.col("target").alias("target_qualified"), "file_path", "line", F.lit("HEURISTIC").alias("confidence_tier")))

@@ -156,3 +156,15 @@ def test_calls_need_no_row_for_each_line_of_a_body(spark):
     found = edges.where("kind = 'CALLS'")
     assert {(r["source_qualified"], r["target_qualified"], r["line"]) for r in found.collect()} == {("a.js::f699__L1400", "g", 1401), ("a.js::h", "f0", 1402)}
     assert not [x for x in _plan(found) if "Join" in x] and _plan(found).count("MapInArrow") == 2
+
+
+def test_lines_of_a_file_are_not_dealt_out_anew(spark):
+    """Marked lines alone leave the first pass, and stay where they are: only the calls' groups are shuffled."""
+    more = [(f"{k}.ts", "const no = 'f(';\nplain words;\n" * k + FILES["a.ts"]) for k in range(40)]
+    files = spark.createDataFrame(more, "path string, content string")  # several files in a task
+    marked = scopes.marked_lines(files, extract.language(F.col("path")), extract.SYMBOLS).collect()
+    assert len(marked) == 40 * 5 and {r["bare"] for r in marked} == {None}
+    nodes, edges = extract.scan_lines(files)
+    nodes, found = nodes.where("kind <> 'File'"), edges.where("kind = 'CALLS'")
+    assert _plan(nodes).count("Exchange") == 0 and _plan(found).count("Exchange") == 1
+    assert {(r["file_path"], r["source_qualified"].split("::")[1], r["target_qualified"], r["line"]) for r in found.collect()} == {(f"{k}.ts", a, b, n + 2 * k) for k in range(40) for a, b, n in (("inner", "helper", 10), ("start", "inner", 14), ("next", "start", 22))}
