@@ -49,7 +49,7 @@ BLOCK_TOKENS = 1 << 16
 #: Distinct words, and characters of them, that a worker remembers before it forgets those that did not come again; bounds its memory.
 MEMORY_WORDS, MEMORY_CHARS = 300_000, 8_000_000
 #: Bytes of text for a task, which are sorted, and whose codes are written and read, in an executor's memory; and the most tasks.
-TASK_BYTES, MOST_TASKS = 24 << 20, 50_000
+TASK_BYTES, MOST_TASKS = 12 << 20, 50_000
 #: Bytes of text that are worked on at a time.
 TEXT_BYTES = 4 << 20
 #: Latin letters, each one code point by itself and in lower case; and words of them.
