@@ -32,7 +32,6 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +45,35 @@ from .common import pieces
 
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_TOKENS = 1 << 16
-#: Distinct words, and characters of them, that a worker remembers before it forgets those that did not come again; bounds its memory.
-MEMORY_WORDS, MEMORY_CHARS = 300_000, 8_000_000
+#: Distinct words, and bytes of them, that a worker remembers before it forgets those that did not come again; bounds its memory.
+MEMORY_WORDS, MEMORY_BYTES = 600_000, 16_000_000
 #: Bytes of text for a task, which are sorted, and whose codes are written and read, in an executor's memory; and the most tasks.
 TASK_BYTES, MOST_TASKS = 12 << 20, 50_000
 #: Bytes of text that are worked on at a time.
-TEXT_BYTES = 4 << 20
-#: Latin letters, each one code point by itself and in lower case; and words of them.
+TEXT_BYTES = 6 << 20
+#: Latin letters, each one code point by itself and in lower case.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(f"[{LETTERS}]+")
+#: Words that a tokenizer file gets at a time, as its results are much larger than their ids; and those of LETTERS that are one text.
+MANY_WORDS, JOINED_WORDS = 4096, 256
 #: Bits between entries of a rank directory.
 RANK_BITS = 512
+#: Ids of words.
+IDS = pa.list_(pa.uint32())
 
 
-def plain(word: str) -> bool:
-    """Whether a word is of PLAIN; most are told without the pattern."""
-    return word.isalpha() if word.isascii() else PLAIN.fullmatch(word) is not None
+def plain(words: pa.Array) -> pa.Array:
+    """Whether each word consists of LETTERS."""
+    return pc.match_substring_regex(words, rf"\A[{LETTERS}]+\z")
+
+
+def size(words: pa.Array) -> int:
+    """Bytes of the words."""
+    return pc.sum(pc.binary_length(words)).as_py() or 0
+
+
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Lists of so many of the values each."""
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), values)
 
 
 def best_widths(lengths: np.ndarray) -> list[int]:
@@ -75,17 +87,33 @@ def best_widths(lengths: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    """Values of `width` bits, one after another, in 64-bit words: sums of what each word holds, and what a value has left for the next."""
+    """Values of `width` bits, one after another: 64 of them are `width` words of 64 bits."""
     n = len(values)
-    at = np.arange(n, dtype=np.int64) * width
-    word, shift, values = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
-    out = np.zeros((n * width + 63) // 64 + 1, "<u8")
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    if n:
-        out[word[first]] = np.add.reduceat(values << shift, first)
-    over = np.flatnonzero(shift + np.uint64(width) > 64)
-    out[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
-    return out.tobytes()[: (n * width + 7) // 8]
+    columns = np.zeros(-(-n // 64) * 64, np.uint64)
+    columns[:n] = values
+    columns = np.ascontiguousarray(columns.reshape(-1, 64).T)
+    out = np.zeros((width, columns.shape[1]), "<u8")
+    for k in range(64):
+        word, shift = k * width >> 6, k * width & 63
+        out[word] |= columns[k] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= columns[k] >> np.uint64(64 - shift)
+    return out.T.tobytes()[: (n * width + 7) // 8]
+
+
+def _unpack(data: bytes, first: int, width: int, a: int, z: int) -> np.ndarray:
+    """The values from the a-th to before the z-th of those packed from byte `first` on."""
+    start = a // 64
+    held = data[first + start * width * 8 : first + (z * width + 7) // 8]
+    words = np.frombuffer(held.ljust((-(-z // 64) - start) * width * 8, b"\0"), "<u8").reshape(-1, width).T.copy()
+    out, mask = np.empty((64, words.shape[1]), np.uint64), np.uint64((1 << width) - 1)
+    for k in range(64):
+        word, shift = k * width >> 6, k * width & 63
+        out[k] = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[k] |= words[word + 1] << np.uint64(64 - shift)
+    out &= mask
+    return out.T.astype(np.uint32).ravel()[a - 64 * start : z - 64 * start]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -100,7 +128,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
         ids, below = ids >> np.uint32(width) if width < 32 else ids * 0, below + width
         if k + 1 < len(widths):
             more = lengths > below
-            ids, lengths = ids[more], lengths[more]
+            ids, lengths = np.compress(more, ids), np.compress(more, lengths)
             bits = np.packbits(more, bitorder="little")
             ones = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), RANK_BITS // 8), dtype=np.uint32) if len(bits) else np.zeros(0, np.uint32)
             parts += [bits.tobytes(), (np.cumsum(ones, dtype=np.uint32) - ones).astype("<u4").tobytes()]
@@ -166,14 +194,12 @@ class Codes:
         for k, (width, _, chunks, bits, _) in enumerate(self.levels):
             if z <= a:
                 break
-            at = np.arange(a * width, z * width, width)
-            held = (self._words(chunks)[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
-            ids[live] |= (held << np.uint64(shift)).astype(np.uint32)
+            ids[live] |= _unpack(self.data, chunks, width, a, z) << np.uint32(shift)
             shift += width
             if k + 1 < len(self.levels):
                 more = np.unpackbits(np.frombuffer(self.data, np.uint8, (z + 7) // 8 - a // 8, bits + a // 8), bitorder="little")[a % 8 :][: z - a] == 1
                 a, z = (int(x) for x in self._rank(k, np.array([a, z])))
-                live = live[more]
+                live = np.compress(more, live)
         return ids
 
 
@@ -184,79 +210,97 @@ class Words:
     case and consist of Latin letters are one with `lower`.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], stops: str = "", lower: bool = False):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]] | pa.ListArray], stops: str = "", lower: bool = False):
         self.encode, self.lower = encode, lower
         self.stops = f"([{LETTERS}])([{re.escape(stops)}])" if stops else ""
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.ids, self.ends, self.hits, self.chars = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(0, np.int32), 0
+        self.slots, self.ids, self.hits = pa.array([], pa.string()), pa.array([], IDS), np.zeros(0, np.int32)
 
     def forget(self) -> None:
         """Keep the words that two calls or more had since the last time; none, if these are too many."""
-        keep = self.hits > 1
-        place = (np.cumsum(keep, dtype=np.int32) - 1).tolist()
-        slots, ids = {w: place[s] for w, s in self.slots.items() if keep[s]}, pa.ListArray.from_arrays(self.ends, self.ids).filter(pa.array(keep))
-        counts, chars = np.diff(self.ends)[keep], sum(map(len, slots))
+        keep = pa.array(self.hits > 1)
+        slots, ids = self.slots.filter(keep), self.ids.filter(keep)
         self.clear()
-        if chars <= MEMORY_CHARS // 2 and len(slots) <= MEMORY_WORDS // 2:
-            self.slots, self.ids, self.chars = slots, ids.flatten().to_numpy(), chars
-            self.ends, self.hits = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), np.ones(len(counts), np.int32)
-
-    def learn(self, new: list[str]) -> None:
-        own = [w.lower() if plain(w) else w for w in new] if self.lower else new
-        unknown = [w for w in dict.fromkeys(own) if w not in self.slots]
-        found = self.encode(unknown)
-        first = len(self.ends) - 1
-        self.slots |= zip(unknown, range(first, first + len(unknown)))
-        self.slots |= [(w, self.slots[o]) for w, o in zip(new, own) if w != o]
-        self.hits = np.concatenate([self.hits, np.zeros(len(unknown), np.int32)])
-        self.chars += sum(map(len, new))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), dtype=np.int32)])
+        if len(slots) <= MEMORY_WORDS // 2 and size(slots) <= MEMORY_BYTES // 2:
+            self.slots, self.ids, self.hits = slots, ids, np.ones(len(slots), np.int32)
+
+    def learn(self, new: pa.Array) -> None:
+        found = self.encode(new.to_pylist())
+        found = found if isinstance(found, pa.Array) else pa.array(found, IDS)
+        self.slots, self.ids = pa.concat_arrays([self.slots, new]), pa.concat_arrays([self.ids, found])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int32)])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
-        if self.chars > MEMORY_CHARS or len(self.slots) > MEMORY_WORDS:
+        if len(self.slots) > MEMORY_WORDS or size(self.slots) > MEMORY_BYTES:
             self.forget()
         texts = pc.fill_null(texts, "")
         if self.stops:
             texts = pc.replace_substring_regex(texts, self.stops, r"\1 \2")
         split = pc.ascii_split_whitespace(texts)
         coded = pc.dictionary_encode(split.flatten())
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if new := [w for w in words if w not in self.slots]:
-            self.learn(new)
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int32, len(words))
+        words, places = coded.dictionary.cast(pa.string()), coded.indices
+        if self.lower:
+            coded = pc.dictionary_encode(pc.if_else(plain(words), pc.utf8_lower(words), words))
+            words, places = coded.dictionary, coded.indices.take(places)
+        slots = pc.fill_null(pc.index_in(words, self.slots), -1).to_numpy().copy()
+        if len(new := np.flatnonzero(slots < 0)):
+            slots[new] = np.arange(len(self.slots), len(self.slots) + len(new))
+            self.learn(words.take(pa.array(new)))
         self.hits[slots] += 1
-        slots = slots[coded.indices.to_numpy()]
-        ids = pa.ListArray.from_arrays(self.ends, self.ids).take(pa.array(slots)).flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(np.diff(self.ends)[slots], dtype=np.int64)])
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])])
+        ids = self.ids.take(pa.array(slots)).take(places)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(), dtype=np.int64)])
+        return ids.flatten().to_numpy(), np.diff(ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])])
 
 
-def tokenizer_words(path: str, lower: bool = False) -> Callable[[list[str]], list[list[int]]]:
+def tokenizer_words(path: str, lower: bool = False) -> Callable[[list[str]], pa.ListArray]:
     """How a tokenizer file encodes words, without special tokens added.
 
     With `lower`, words of lower-case Latin letters go to its model at once, as the
     byte alphabet writes them: for byte-level files that lower letters and keep runs
-    of them whole.
+    of them whole.  If the model marks the ends of words, many go as one text, whose
+    ids tell where each word ends.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    tokenize, spell = tokenizer.model.tokenize, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    spelt = {ord(c): spell(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if plain(c)}
-
-    def some(words: list[str]) -> list[list[int]]:
-        direct = [lower and plain(w) for w in words]
-        others = iter(tokenizer.encode_batch_fast([w for w, d in zip(words, direct) if not d], add_special_tokens=False))
-        return [[x.id for x in tokenize(w if w.isascii() else w.translate(spelt))] if d else next(others).ids for w, d in zip(words, direct)]
-
-    # A few at a time, as the library's results are much larger than their ids
-    return lambda words: [ids for k in range(0, len(words), 4096) for ids in some(words[k : k + 4096])]
+    model = Tokenizer(tokenizer.model)
+    model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    spelt = np.arange(256, dtype="<u4")  # by the byte; those of LETTERS, and the blank
+    for c in map(chr, range(0xC0, 0x100)):
+        spelt[list(c.encode())] = list(map(ord, spell(c)[0][0]))
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+    marked = not set(suffix) <= {chr(c) for c in spelt.tolist() if chr(c).isalpha() or c > 127}  # else a word may have it inside
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    last[[i for w, i in vocabulary.items() if marked and w.endswith(suffix)]] = True
+
+    def encoded(by: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, and how many each has."""
+        found = [e.ids for e in by.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def direct(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = " ".join(words)
+        words = words if text.isascii() else spelt[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le").split(" ")
+        if marked:
+            ids, _ = encoded(model, [" ".join(words[k : k + JOINED_WORDS]) for k in range(0, len(words), JOINED_WORDS)])
+            ends = np.flatnonzero(last[ids])
+            if len(ends) == len(words):  # else one ends with a letter that the model does not know
+                return ids, np.diff(ends, prepend=-1)
+        return encoded(model, words)
+
+    def some(words: list[str]) -> pa.ListArray:
+        plainly = plain(pa.array(words, pa.string())).to_numpy(zero_copy_only=False) if lower else np.zeros(len(words), bool)
+        parts = [fn([words[k] for k in at.tolist()]) for fn, at in ((direct, np.flatnonzero(plainly)), (lambda x: encoded(tokenizer, x), np.flatnonzero(~plainly)))]
+        ids, counts = (np.concatenate(x) for x in zip(*parts))
+        return lists(ids, counts).take(pa.array(np.argsort(np.argsort(~plainly, kind="stable"))))
+
+    return lambda words: pa.concat_arrays([some(words[k : k + MANY_WORDS]) for k in range(0, max(1, len(words)), MANY_WORDS)])
 
 
 @lru_cache(maxsize=1)

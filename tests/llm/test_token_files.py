@@ -153,3 +153,62 @@ def test_a_task_gets_few_bytes_of_text(spark, tmp_path):
     K.write_tokens(docs, PATH, str(tmp_path / "t"), 2, **KNOWN)
     shards = K.blocks(spark, str(tmp_path / "t")).groupBy("shard").agg(F.sum(F.size("ids")).alias("n")).collect()
     assert sum(r["n"] for r in shards) == 480 and max(r["n"] for r in shards) * 125_000 <= 40 << 20
+
+
+def test_half_a_million_words_are_remembered():
+    import pyarrow as pa
+
+    asked = []
+    words = K.Words(lambda new: asked.extend(new) or [[len(w)] for w in new])
+    for k in [*range(20), *range(20)]:
+        ids, counts = words(pa.array([" ".join(f"w{k}x{j}" for j in range(25_000))]))
+        assert counts.tolist() == [25_000] and ids[0] == len(f"w{k}x0") and ids[-1] == len(f"w{k}x24999")
+    assert len(asked) == len(set(asked)) == 500_000
+
+
+def test_words_of_letters_go_to_the_model_as_one_text(monkeypatch):
+    """Nothing is called for each of them."""
+    texts = []
+
+    class Counted:
+        def __init__(self, model):
+            self.inner = model if isinstance(model, Tokenizer) else Tokenizer(model)
+
+        def encode_batch_fast(self, given, **known):
+            texts.extend(given)
+            return self.inner.encode_batch_fast(given, **known)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            super().__setattr__(name, value) if name == "inner" else setattr(self.inner, name, value)
+
+        @staticmethod
+        def from_file(path):
+            return Counted(TOKENIZER)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counted)
+    rng = random.Random(3)
+    given = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzàéïößÿ", k=rng.randrange(1, 12))) for _ in range(10_000)] + ["<|endoftext|>", "x7", ""]
+    rng.shuffle(given)
+    assert K.tokenizer_words(PATH, True)(given).to_pylist() == [ids_of(w) for w in given]
+    assert 0 < len(texts) <= 10_000 / 256 + 3 + 3
+
+
+@pytest.mark.parametrize("suffix, lacking", [("</w>", ""), ("</w>", "b"), ("b", ""), (None, "")])
+def test_other_files_with_lower(tmp_path, suffix, lacking):
+    """Also if the model does not mark the ends of words, or drops the last letter of some."""
+    import pyarrow as pa
+    from tokenizers import Regex, models, normalizers, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    known = [*letters, *(c + suffix for c in letters if suffix and c not in lacking), "ab", "Ã©"]
+    tokenizer = Tokenizer(models.BPE({w: k for k, w in enumerate(known)}, [("a", "b"), ("Ã", "©")], **({"end_of_word_suffix": suffix} if suffix else {})))
+    tokenizer.normalizer = normalizers.Lowercase()
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"\p{L}+|[^\s\p{L}]+"), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tokenizer.save(path := str(tmp_path / "tokenizer.json"))
+    text = "ab cab é éb B Abc ÉTÉ x1 b --b b"
+    got, n = K.Words(K.tokenizer_words(path, True), lower=True)(pa.array([text, "b", text]))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "b", text)]
+    assert got.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
