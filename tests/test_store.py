@@ -1,5 +1,6 @@
 """Two writers at once, and searches over a stored index."""
 
+import os
 import random
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
@@ -12,6 +13,7 @@ from loomstore.functions import fts
 from loomstore.operators import search, segments
 from loomstore.operators.segments import Segments
 from loomstore.operators.snapshots import Conflict, Store
+from loomstore.plans import shared
 
 T0 = datetime(2024, 1, 1)
 
@@ -195,3 +197,26 @@ def test_an_append_stems_and_groups_once(spark, tmp_path, monkeypatch):
     assert held.remove(spark.range(0, 50, 7).selectExpr("id as k")) == 8
     dead = {r["term"]: r["n"] for r in spark.read.parquet(*(f"{held.store.root}/texts/dead/{d}/terms" for s in held.manifest()[1] for d in s["dead"])).collect()}
     assert dead == {"go": 8, "word": 8, "0": 8}
+
+
+def test_a_stored_index_leaves_no_scratch_and_deals_out_in_slices(spark, tmp_path, monkeypatch):
+    """Tables on the way and shuffles go as soon as they are used, and what is merged can go; slices and pieces change no result."""
+    for name, value in (("SPAN", 4), ("PIECE", 30), ("SLICE", 60), ("KEYS", 2)):
+        monkeypatch.setattr(segments, name, value)
+    there = lambda: {d for d in os.listdir(shared.shared_dir(spark).removeprefix("file:")) if d.split("-")[0] in ("tokens", "texts", "grouped", "spans", "gone")}
+    spark.range(1).write.parquet(shared.scratch(spark, "any") + "/t")
+    rng, before = random.Random(4), there()
+    rows = {k: " ".join(rng.choices(["running", "runs", "walked", "sun", "über", "the"], k=rng.randrange(0, 14))) for k in range(40)} | {40: "sun runs " * 50, 41: None}
+    df = spark.createDataFrame(list(rows.items()), "k bigint, t string")
+    held = Segments(Store(spark, str(tmp_path)), "texts", ["k"], "k bigint", fan=3)
+    for at in range(3):
+        held.add(df.where(f"k % 3 = {at}"), F.col("t"))
+    assert len(held.manifest()[1]) == 1 and held.vacuum() == 6 and len(os.listdir(tmp_path / "texts/postings")) == 1
+    assert held.remove(spark.range(0, 42, 5).toDF("k")) == 9
+    assert there() == before
+    assert held.vacuum() == 0
+    fresh = search.Index.of(df.where("k % 5 > 0"), ["k"], F.col("t"), True)
+    for query in ("run", '"run walk" OR uber', "sun NOT the"):
+        want = {r["k"]: r["score"] for r in search.bm25(fresh, query).collect()}
+        assert want and {r["k"]: r["score"] for r in search.bm25(held.index(), query).collect()} == pytest.approx(want)
+        assert {r["k"]: r["score"] for r in held.best(query, 100).collect()} == pytest.approx(want)
